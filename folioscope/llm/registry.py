@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import bpe, mixing, quality, sharding, warc
+from folioscope.llm import bpe, jaccard, mixing, quality, sharding, vectors, warc
 from folioscope.llm.common import table
 
 
@@ -24,16 +24,24 @@ def op5_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def op8_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(table(spark, sf_dir, "pages"))
 
 
+def op9_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_byte_bpe, op2_repetition_rules, op5_histogram_shards, op8_warc_normaliser, op10_source_mixing)
+    found = (op1_byte_bpe, op2_repetition_rules, op5_histogram_shards, op7_jaccard_join, op8_warc_normaliser, op9_prefix_forest, op10_source_mixing)
     return {f.__name__: f for f in found}
 
 

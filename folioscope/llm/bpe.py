@@ -23,7 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bounds of a worker's memory of encoded pre-tokens: entries, and letters of one entry.
-REMEMBERED, REMEMBERED_LENGTH = 300_000, 64
+REMEMBERED, REMEMBERED_LENGTH = 200_000, 64
+#: Rows that a worker encodes before it hands them on.
+SLICE = 256
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -139,11 +141,27 @@ class ByteBPE:
         return self._decode(ids)
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, ids (binary, four bytes each) and decoded (the bytes
+    that those ids stand for). One Python worker does both, on slices of bounded size."""
+    with open(path, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(shared.value, pattern)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                ids = [codec.encode(t.as_py()) for t in part.column("text")]
+                decoded = [codec.decode(i) for i in ids]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+
+
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_tokens, ids_sha256 and decoded_sha256."""
-    bpe = ByteBPE(docs.sparkSession, path, pattern)
-    coded = docs.select("doc_id", bpe.encode("text").alias("ids")).select("doc_id", "ids", bpe.decode("ids").alias("decoded"))
-    return coded.select(
+    return round_trip(docs, path, pattern).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import cut, scratch
@@ -150,17 +150,24 @@ def read_archive(fs, archive: str, sidecar: str) -> Iterator[dict]:
 
 
 def with_revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
-    """page_id, url, html, refers_to, is_revisit: which pages repeat the payload of another."""
-    html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), F.monotonically_increasing_id().alias("nth"))
+    """page_id, url, html, is_revisit, refers_to: which pages repeat the payload of another."""
+    rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
     long_ = F.octet_length("html") >= least
-    by_payload = rows.where(long_).select(F.sha1("html").alias("digest"), "page_id", "nth")
-    order = F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("page_id"), "nth")
-    keepers = by_payload.groupBy("digest").agg(F.max(order).alias("keeper"), F.count("*").alias("n")).where("n > 1")
-    keepers = cut(keepers.select("digest", F.col("keeper.nth").alias("keeper_nth"), F.col("keeper.page_id").alias("keeper_id")), "warc-keepers")
-    joined = rows.withColumn("digest", F.when(long_, F.sha1("html")).otherwise(F.concat(F.lit("-"), "nth"))).join(keepers, "digest", "left")
-    revisit = F.coalesce(F.col("keeper_nth") != F.col("nth"), F.lit(False))
-    return joined.select("page_id", "url", "html", revisit.alias("is_revisit"), F.when(revisit & (F.col("keeper_id") > -(1 << 63)), F.col("keeper_id")).alias("refers_to"))
+    lowest = -(1 << 63)
+    by_payload = rows.where(long_).select(F.sha1("html").alias("digest"), F.coalesce("page_id", F.lit(lowest)).alias("id"))
+    by_payload = by_payload.groupBy("digest", "id").agg(F.count("*").alias("n"))
+    keepers = by_payload.groupBy("digest").agg(F.max(F.struct("id", "n")).alias("keeper"), F.sum("n").alias("n")).where("n > 1")
+    keepers = cut(keepers.select("digest", F.col("keeper.id").alias("keeper_id"), F.col("keeper.n").alias("twins")), "warc-keepers")
+    salted = F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))  # short payloads have no keeper
+    joined = rows.withColumn("digest", F.when(long_, F.sha1("html")).otherwise(salted)).join(keepers, "digest", "left")
+    own = F.coalesce("page_id", F.lit(lowest)) == F.col("keeper_id")
+    refers_to = F.when(F.col("keeper_id") > lowest, F.col("keeper_id"))
+    out = joined.select("page_id", "url", "html", (F.col("keeper_id").isNotNull() & ~own).alias("is_revisit"), refers_to.alias("refers_to"), "digest", (own & (F.col("twins") > 1)).alias("twin"))
+    if not keepers.where("twins > 1").isEmpty():  # the same page twice: one of its rows holds the payload
+        twin = F.coalesce("twin", F.lit(False))
+        nth = F.row_number().over(Window.partitionBy("digest").orderBy("url"))
+        out = out.where(~twin).unionByName(out.where(twin).withColumn("is_revisit", nth > 1))
+    return out.select("page_id", "url", "html", "is_revisit", F.when(F.col("is_revisit"), F.col("refers_to")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import bpe, jaccard, lm, mixing, quality, sharding, vectors, warc
+from folioscope.llm import bpe, jaccard, lines, lm, mixing, quality, secrets, sharding, vectors, warc
 from folioscope.llm.common import table
 
 
@@ -24,10 +24,18 @@ def op3_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def op5_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"))
 
@@ -45,7 +53,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_byte_bpe, op2_repetition_rules, op3_log_bilinear, op5_histogram_shards, op7_jaccard_join, op8_warc_normaliser, op9_prefix_forest, op10_source_mixing)
+    found = (op1_byte_bpe, op2_repetition_rules, op3_log_bilinear, op4_line_dedup, op5_histogram_shards, op6_secret_scan, op7_jaccard_join, op8_warc_normaliser, op9_prefix_forest, op10_source_mixing)
     return {f.__name__: f for f in found}
 
 

@@ -1,27 +1,59 @@
 """From documents to token ids: quality rules, line dedup, near-duplicate documents, source
-mixing, and byte-level BPE, each stage over all that the one before it kept."""
+mixing, and byte-level BPE, each stage over all that the one before it kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the next one's docs. All but the last return the columns of documents. A text that lost
+all its lines stays a row until the mix, which takes words and so leaves it out; a document that
+the mix takes twice has two rows from there on.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscope.llm import bpe, jaccard, lines, mixing, quality
+from folioscope.llm.common import cut, table
 
+#: SQL can't express the edit join, nor the encoding.
 ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from folioscope.llm import quality
-
     return quality.keep_good(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return lines.drop_lines(docs)
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from folioscope.llm.common import cut, table
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.expand(docs)
 
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (four bytes each, little-endian), and digests of both directions."""
+    coded = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("source mix", source_mix),
+    ("byte-level BPE", token_ids),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = cut(docs, f"pipeline-{i}")

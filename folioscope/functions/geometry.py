@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 class Box(NamedTuple):
@@ -166,7 +167,6 @@ def _shape(polygon: list | None, box: dict) -> np.ndarray:
     return np.array([[box["x1"], box["y1"]], [box["x2"], box["y1"]], [box["x2"], box["y2"]], [box["x1"], box["y2"]]], dtype=float)
 
 
-@F.arrow_udf("double")
 def _polygon_iou(pairs: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
     for columns in pairs:
         out = []
@@ -182,4 +182,4 @@ def region_iou(polygon_a: Column, a: Box, polygon_b: Column, b: Box) -> Column:
     cross themselves are filled by the even-odd rule."""
     points = "array<struct<x:double,y:double>>"
     as_doubles = lambda x: Box(*(c.cast("double") for c in x)).as_struct()
-    return _polygon_iou(polygon_a.cast(points), as_doubles(a), polygon_b.cast(points), as_doubles(b))
+    return F.arrow_udf(_polygon_iou, DoubleType())(polygon_a.cast(points), as_doubles(a), polygon_b.cast(points), as_doubles(b))

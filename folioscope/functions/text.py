@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What separates words: Unicode white space and the four separators \x1C to \x1F.
 SPACES = r"(?U)[\s\x1C-\x1F]+"
@@ -73,12 +74,15 @@ def direction_of(text: str | None) -> str | None:
     return {"L": "ltr", "R": "rtl", "AL": "rtl"}.get(strong, "auto")
 
 
-@F.arrow_udf("string")
-def direction(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """ltr, rtl or auto, by the first character with a strong direction."""
+def _directions(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in texts:
         yield pa.array([direction_of(x) for x in batch.to_pylist()], type=pa.string())
 
 
+def direction(text: Column | str) -> Column:
+    """ltr, rtl or auto, by the first character with a strong direction."""
+    return F.arrow_udf(_directions, StringType())(text)
+
+
 def percent(rate: Column, missing: str = "Undefined") -> Column:
     return F.coalesce(F.format_string("%.1f%%", rate * 100), F.lit(missing))

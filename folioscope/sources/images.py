@@ -74,13 +74,16 @@ def header(content: bytes | None) -> dict | None:
 _INFO = pa.struct([("width", pa.int32()), ("height", pa.int32()), ("mode", pa.string()), ("format", pa.string())])
 
 
-@F.arrow_udf("width int, height int, mode string, format string")
-def image_info(contents: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Size, mode and format of PNG, JPEG and TIFF images, as stored (no orientation applied)."""
+def _infos(contents: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in contents:
         yield pa.array([header(c.as_py()) for c in batch], type=_INFO)
 
 
+def image_info(content: Column | str) -> Column:
+    """Size, mode and format of PNG, JPEG and TIFF images, as stored (no orientation applied)."""
+    return F.arrow_udf(_infos, "width int, height int, mode string, format string")(content)
+
+
 def is_image(path: Column) -> Column:
     return suffix(path).isin(*IMAGE_SUFFIXES)
 

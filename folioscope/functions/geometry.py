@@ -159,19 +159,63 @@ def polygon_areas(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
     return own_a, own_b, shared
 
 
-def _shape(polygon: list | None, box: dict) -> np.ndarray:
+def _convex(p: list[tuple[float, float]]) -> int:
+    """1 or -1 for a convex polygon by its sense of rotation, 0 for any other."""
+    sense = total = 0
+    for (x0, y0), (x1, y1), (x2, y2) in zip(p, p[1:] + p[:1], p[2:] + p[:2], strict=True):
+        turn = (x1 - x0) * (y2 - y1) - (y1 - y0) * (x2 - x1)
+        if turn:
+            total += 1
+            sense += 1 if turn > 0 else -1
+    # one sense of rotation, and once around: x turns back twice
+    backs = [1 if b[0] > a[0] else -1 for a, b in zip(p, p[1:] + p[:1], strict=True) if a[0] != b[0]]
+    once = sum(a != b for a, b in zip(backs, backs[1:] + backs[:1], strict=True)) == 2
+    return 0 if abs(sense) != total or not total or not once else 1 if sense > 0 else -1
+
+
+def _shoelace(p: list[tuple[float, float]]) -> float:
+    return abs(sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in zip(p, p[1:] + p[:1], strict=True))) / 2
+
+
+def _clipped(p: list[tuple[float, float]], by: list[tuple[float, float]], sense: int) -> list[tuple[float, float]]:
+    """What of p lies on the inner side of every edge of a convex polygon."""
+    for (ax, ay), (bx, by_) in zip(by, by[1:] + by[:1], strict=True):
+        inside = [sense * ((bx - ax) * (y - ay) - (by_ - ay) * (x - ax)) for x, y in p]
+        out = []
+        for (x0, y0), (x1, y1), d0, d1 in zip(p, p[1:] + p[:1], inside, inside[1:] + inside[:1], strict=True):
+            if d0 >= 0:
+                out.append((x0, y0))
+            if (d0 > 0 > d1) or (d0 < 0 < d1):
+                t = d0 / (d0 - d1)
+                out.append((x0 + t * (x1 - x0), y0 + t * (y1 - y0)))
+        p = out
+        if len(p) < 3:
+            return []
+    return p
+
+
+def areas(a: list[tuple[float, float]], b: list[tuple[float, float]]) -> tuple[float, float, float]:
+    """Areas of two polygons and of their intersection; convex ones are clipped, others cut in slabs."""
+    sense = _convex(b)
+    if sense and _convex(a):
+        rest = _clipped(a, b, sense)
+        return _shoelace(a), _shoelace(b), _shoelace(rest) if rest else 0.0
+    return polygon_areas(np.array(a), np.array(b))
+
+
+def _shape(polygon: list | None, box: dict) -> list[tuple[float, float]]:
     if polygon and len(polygon) >= 3:
-        points = np.array([[p["x"], p["y"]] for p in polygon], dtype=float)
-        if polygon_areas(points, points)[0] > 0:
+        points = [(float(p["x"]), float(p["y"])) for p in polygon]
+        if _convex(points) or polygon_areas(np.array(points), np.array(points))[0] > 0:
             return points
-    return np.array([[box["x1"], box["y1"]], [box["x2"], box["y1"]], [box["x2"], box["y2"]], [box["x1"], box["y2"]]], dtype=float)
+    return [(box["x1"], box["y1"]), (box["x2"], box["y1"]), (box["x2"], box["y2"]), (box["x1"], box["y2"])]
 
 
 def _polygon_iou(pairs: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
     for columns in pairs:
         out = []
         for pa_, ba, pb, bb in zip(*(c.to_pylist() for c in columns), strict=True):
-            own_a, own_b, shared = polygon_areas(_shape(pa_, ba), _shape(pb, bb))
+            own_a, own_b, shared = areas(_shape(pa_, ba), _shape(pb, bb))
             union = own_a + own_b - shared
             out.append(shared / union if union else 0.0)
         yield pa.array(out, type=pa.float64())

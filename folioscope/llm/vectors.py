@@ -73,7 +73,7 @@ def nearest_in_cell(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray,
     lengths = np.sqrt((distinct * distinct).sum(axis=1))
     unit = distinct / lengths[:, None]
     out: list[tuple[int, int, float]] = []
-    least = int(np.ceil(fraction * len(distinct)))
+    least = max(int(np.ceil(fraction * len(distinct))), k + 1)  # the query itself may be one
     for q_id, q, mask in zip(query_ids.tolist(), queries, Forest(unit).candidates(queries, least), strict=True):
         at = np.nonzero(mask)[0]
         rough = unit[at] @ (q / np.sqrt((q * q).sum()))

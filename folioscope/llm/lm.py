@@ -267,7 +267,8 @@ def score(docs: DataFrame) -> DataFrame:
     n_words, v_words = seen.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = n_words + ends, v_words + (ends > 0)
     own = [r["word"].encode() for r in seen.orderBy(F.desc("c"), "word").limit(OWN).collect()]
-    top = counts.orderBy(F.desc("c_all"), "word").limit(TOP).select("word", "c").toArrow()
+    frequent = counts.orderBy(F.desc("c_all"), "word").limit(TOP).select("word", "c")
+    top = frequent.union(seen.orderBy(F.desc("c"), "word").limit(OWN).select("word", "c")).distinct().toArrow()
     rest = seen.where(~F.col("word").isin([w.decode() for w in own])) if own else seen
     by_class = rest.groupBy((F.pmod(F.crc32(F.right("word", F.lit(2))), F.lit(SUFFIXES)) + 1 + OWN).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     inside = np.full(CLASSES, 1.0)
@@ -277,6 +278,8 @@ def score(docs: DataFrame) -> DataFrame:
     triples = docs.select("doc_id", "text").mapInArrow(_triples(own), "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
     fitted = triples.coalesce(1).mapInPandas(_fit, "name string, shape array<int>, data binary").collect()
     parameters = {r["name"]: np.frombuffer(r["data"], dtype="<f4").reshape(r["shape"]) for r in fitted}
+    if not parameters:  # no training document at all
+        parameters = LogBilinear.start(np.full(CLASSES, 1 / CLASSES)).p
     shared = spark.sparkContext.broadcast(
         {
             "words": b" ".join(w.encode() for w in top.column("word").to_pylist()), "counts": top.column("c").to_numpy(), "own": own, "class_logs": np.log10(inside),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import cut
+from folioscope.llm.common import cut, files_for
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -18,14 +18,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
     before = None
     while True:
-        print_ = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if tuple(print_) == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
-        before = tuple(print_)
+        state = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
+        if state == before:
+            labels = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            return files_for(labels.union(now.select("b", "b").distinct()), 2 * state[0])
+        before = state
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumnRenamed("a", "u")
         large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = cut(large, name)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least.withColumnRenamed("a", "u"), F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(moved.where("a <> b").union(least).distinct(), name)
+        now = cut(moved.where("a <> b").union(least).distinct(), name, 2 * state[0])  # at most one edge more for each node

@@ -74,9 +74,10 @@ def _cutoffs(keyed: DataFrame, weights: tuple[float, ...], budget: float, cap: f
     """For each source: its size and target, whole epochs, and the key up to which documents are
     taken once more; ``ties`` rows have that key, of which ``ties_taken`` are taken."""
     ranges = cut(keyed.groupBy("source", "range").agg(F.sum("size").alias("size")), "mix-ranges")
+    n = ranges.count()  # no fewer than the sources
     targets = _targets(ranges.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    targets = cut(targets.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-targets")
+    targets = cut(targets.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-targets", n)
     scan = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
     crossed = ranges.withColumn("upto", F.sum("size").over(scan)).join(targets.select("source", "rest"), "source")
     crossed = crossed.where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("size") < F.col("rest")))
@@ -90,7 +91,7 @@ def _cutoffs(keyed: DataFrame, weights: tuple[float, ...], budget: float, cap: f
     taken = F.floor((F.col("rest") - (F.col("upto") - F.col("size"))) / one + 0.5).cast("long")
     last = rows.select("source", F.col("key").alias("last_key"), "ties", F.least("ties", taken).alias("ties_taken"))
     figures = targets.join(last, "source", "left").select("source", "source_size", "target", "epochs", "last_key", F.coalesce("ties", F.lit(0)).alias("ties"), F.coalesce("ties_taken", F.lit(0)).alias("ties_taken"))
-    return cut(figures, "mix-sources")
+    return cut(figures, "mix-sources", n)
 
 
 def _with_copies(keyed: DataFrame, figures: DataFrame) -> DataFrame:

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: The same six characters, for str.strip and the like.
 SPACE = " \t\n\x0b\x0c\r"
-#: Rows of a small table that one file takes.
-FILE_ROWS = 250_000
+#: Rows of a table of names and numbers, and of one with texts or work done on texts, that a task
+#: and its file should have at least.
+FILE_ROWS, TEXT_ROWS = 100_000, 2_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,16 +34,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def files_for(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` in no more partitions than so many rows need files."""
-    return df.coalesce(max(1, -(-rows // FILE_ROWS)))
+def files_for(df: DataFrame, rows: int, per_file: int = FILE_ROWS) -> DataFrame:
+    """``df`` in no more partitions than so many rows need; large tables are left as they are."""
+    return df.coalesce(max(1, -(-rows // per_file)))
 
 
-def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def cut(df: DataFrame, name: str, rows: int | None = None, per_file: int = FILE_ROWS) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back: lineage ends there, and a
     lost executor costs no more than the tasks that it ran. ``rows``: how many it has at most, where
     that is known; few rows then make few files."""
-    df = df if rows is None else files_for(df, rows)
+    df = df if rows is None else files_for(df, rows, per_file)
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

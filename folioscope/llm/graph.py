@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import cut, files_for
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, name: str = "components", rows: int | None = None) -> DataFrame:
     """node, component (the smallest node reachable), for every node of ``edges`` (a, b: long).
 
     Alternates the large-star and small-star steps, which keep components and shorten paths, until
-    the edges no longer change. Each round ends in a table in the shared folder. No step gathers a
+    the edges no longer change. Each round ends in a table in the shared folder (``rows``: about how many edges there are). No step gathers a
     node's neighbours: minima are aggregated partially, and joins go by edge.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
+    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name, rows)
     before = None
     while True:
         state = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import cut
+from folioscope.llm.common import TEXT_ROWS, cut, files_for
 from folioscope.llm.graph import components
 
 SHINGLE, PERCENT = 5, 75
@@ -177,17 +177,17 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solved()
 
 
-def _nodes(info: DataFrame) -> DataFrame:
+def _nodes(info: DataFrame, n: int) -> DataFrame:
     some = info.where("n_shingles > 0").groupBy("digest")
-    return cut(some.agg(F.min("uid").alias("node"), F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"), F.min(F.struct("uid", "doc_id", "text_md5")).alias("at")), "join-nodes")
+    return cut(some.agg(F.min("uid").alias("node"), F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"), F.min(F.struct("uid", "doc_id", "text_md5")).alias("at")), "join-nodes", n)
 
 
-def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _links(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """node, component, for all nodes with a link."""
     keys = nodes.select("node", F.explode("bands").alias("key"))
     firsts = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
     ties = keys.join(firsts, "key").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    blocks = cut(components(ties, "join-ties").withColumnRenamed("component", "block"), "join-blocks")
+    blocks = cut(components(ties, "join-ties", n).withColumnRenamed("component", "block"), "join-blocks", n)
     parts = blocks.groupBy("block").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
     member = blocks.join(parts, "block").join(nodes.select("node", "digest", "at"), "node")
     side = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
@@ -197,32 +197,32 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     cells = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = cells.select("block", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "parts", "node", "digest", "text")
     cells = cells.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high")
-    links = cut(cells.mapInArrow(_solve, "a long, b long, split boolean"), "join-links")
+    links = cut(cells.mapInArrow(_solve, "a long, b long, split boolean"), "join-links", n, TEXT_ROWS)
     whole = links.where("not split").select(F.col("a").alias("node"), F.col("b").alias("component"))
     whole = whole.union(whole.select("component", "component").distinct())
     split = links.where("split")
-    return whole if split.isEmpty() else whole.union(components(split.select("a", "b"), "join-split"))
+    return whole if split.isEmpty() else whole.union(components(split.select("a", "b"), "join-split", n))
 
 
-def _describe_all(docs: DataFrame) -> DataFrame:
+def _describe_all(docs: DataFrame, n: int) -> DataFrame:
     rows = docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("text_md5"), F.monotonically_increasing_id().alias("uid"))
-    return cut(rows.mapInArrow(_describe, "doc_id long, uid long, text_md5 binary, n_shingles long, digest binary, bands array<long>"), "join-sets")
+    return cut(rows.mapInArrow(_describe, "doc_id long, uid long, text_md5 binary, n_shingles long, digest binary, bands array<long>"), "join-sets", n, TEXT_ROWS)
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All rows described, and digest, component, least_id for all nodes."""
-    info = _describe_all(docs)
-    nodes = _nodes(info)
+    n = docs.count()
+    info = _describe_all(docs, n)
+    nodes = _nodes(info, n)
     own = nodes.select("digest", "node", "least_id", "at")
-    labels = _links(docs, nodes)
+    labels = _links(docs, nodes, n)
     labelled = own.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return info, cut(labelled, "join-labels")
+    return info, cut(labelled, "join-labels", n)
 
 
 def link(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id."""
     info, labelled = _grouped(docs)
-    alone = labelled.where("component = node")
     least = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
     ids = labelled.join(least, "component").select("digest", "component_id")
     out = info.select("doc_id", "n_shingles", "digest").join(ids, "digest", "left")
@@ -233,13 +233,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one document of each component: the first of those with its
     smallest id. Rows without words all stay."""
     info, labelled = _grouped(docs)
+    n = info.count()
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_md5")
     best = info.where("n_shingles > 0").join(labelled.select("digest", "component"), "digest").groupBy("component").agg(F.min(order).alias("best"))
-    best = cut(best.select(F.col("best.doc_id").alias("best_id"), F.col("best.text_md5").alias("best_md5")), "join-kept")
+    best = cut(best.select(F.col("best.doc_id").alias("best_id"), F.col("best.text_md5").alias("best_md5")), "join-kept", n)
     times = info.where("n_shingles > 0").groupBy("doc_id", "text_md5").agg(F.count("*").alias("n")).where("n > 1")
     rows = docs.select(F.struct("*").alias("row"), "doc_id", F.unhex(F.md5("text")).alias("text_md5"), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
     kept = rows.where("worded").join(best, F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("text_md5") == F.col("best_md5")), "left_semi")
     if not times.isEmpty():
         nth = F.row_number().over(Window.partitionBy("doc_id", "text_md5").orderBy("doc_id"))
         kept = kept.withColumn("nth", nth).where("nth = 1")
-    return kept.select("row.*").unionByName(rows.where("not worded").select("row.*"))
+    return files_for(kept.select("row.*").unionByName(rows.where("not worded").select("row.*")), n, TEXT_ROWS)

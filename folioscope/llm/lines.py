@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import SPACE, cut
+from folioscope.llm.common import SPACE, TEXT_ROWS, cut, files_for
 from folioscope.llm.graph import components
 
 EDITS, CHARS_PER_EDIT = 2, 10
@@ -204,16 +204,17 @@ def _hashed(docs: DataFrame) -> DataFrame:
     """uid, doc_id, text_md5 and hashes (line, name, check) of the lines with a word."""
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.cast("int").alias("nth"), F.xxhash64(x).alias("line"), F.xxhash64(F.lit(1), x).alias("check"), _worded(x).alias("worded")))
     kept = F.coalesce(F.transform(F.filter(lines, lambda x: x["worded"]), lambda x: F.struct(x["nth"], x["line"], x["check"])), F.array().cast("array<struct<nth:int,line:bigint,check:bigint>>"))
-    return cut(docs.select("doc_id", F.unhex(F.md5("text")).alias("text_md5"), F.monotonically_increasing_id().alias("uid"), kept.alias("lines")), "lines-names")
+    return cut(docs.select("doc_id", F.unhex(F.md5("text")).alias("text_md5"), F.monotonically_increasing_id().alias("uid"), kept.alias("lines")), "lines-names", docs.count(), TEXT_ROWS)
 
 
-def near_lines(docs: DataFrame) -> DataFrame:
-    """line, component: names of lines with a near-duplicate, and the smallest name of their class."""
+def near_lines(docs: DataFrame, n: int | None = None) -> DataFrame:
+    """line, component: names of lines with a near-duplicate, and the smallest name of their class.
+    ``n``: about how many lines there are."""
     keys = docs.select("text").mapInArrow(_signatures, "key long, line long, own boolean")
     # Whether unlike lines meet under a key. Spark holds the rows of one key at a time for this, on disk if they are many.
     group = Window.partitionBy("key")
     keys = keys.select("*", F.min("line").over(group).alias("least"), F.max("line").over(group).alias("most"), F.max("own").over(group).alias("indexed"))
-    live = cut(keys.where("indexed and least <> most").select("key", "line", "own").groupBy("key", "line").agg(F.max("own").alias("own")), "lines-live")
+    live = cut(keys.where("indexed and least <> most").select("key", "line", "own").groupBy("key", "line").agg(F.max("own").alias("own")), "lines-live", n and 12 * n)
     counts = live.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
     wanted = live.select("line").distinct()
     texts = docs.select(F.explode(F.split("text", "\n")).alias("text")).select(F.xxhash64("text").alias("line"), "text")
@@ -222,25 +223,26 @@ def near_lines(docs: DataFrame) -> DataFrame:
     cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = cells.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "line", "own", "side", "text")
     cells = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return components(cells.mapInArrow(_verify, "a long, b long"), "lines-links").withColumnRenamed("node", "line")
+    return components(cells.mapInArrow(_verify, "a long, b long"), "lines-links", n).withColumnRenamed("node", "line")
 
 
 def _removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The named lines of all rows, and uid with the lines that go: nth, and where the first of
     its class is."""
     named = _hashed(docs)
+    n, n_lines = named.agg(F.count("*"), F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()
     lines = named.select("uid", "doc_id", F.explode("lines").alias("x")).select("uid", "doc_id", "x.nth", "x.line", "x.check")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid", "nth")
     firsts = lines.groupBy("line").agg(F.min(place).alias("at"), F.count("*").alias("n"), F.min("check").alias("c1"), F.max("check").alias("c2")).where("c1 = c2").select("line", "at", "n")
-    classes = firsts.join(cut(near_lines(docs), "lines-classes"), "line", "left").withColumn("component", F.coalesce("component", "line"))
+    classes = firsts.join(cut(near_lines(docs, n_lines), "lines-classes", n_lines), "line", "left").withColumn("component", F.coalesce("component", "line"))
     near = classes.where("component <> line").select("component").distinct().withColumn("near", F.lit(True))
     classes = classes.join(near, "component", "left").where("n > 1 or near")
-    classes = cut(classes.select("line", "component", "at"), "lines-repeated")
+    classes = cut(classes.select("line", "component", "at"), "lines-repeated", n_lines)
     keep = classes.groupBy("component").agg(F.min("at").alias("first"))
     repeated = classes.select("line", "component").join(keep, "component").select("line", "first")
     gone = lines.select("line", "uid", "nth").join(repeated, "line").where((F.col("uid") != F.col("first.uid")) | (F.col("nth") != F.col("first.nth")))
     each = F.struct("nth", F.col("first.doc_id").alias("first_doc_id"), F.col("first.nth").alias("first_line"))
-    return named, cut(gone.groupBy("uid").agg(F.sort_array(F.collect_list(each)).alias("removed")), "lines-removed")
+    return named, cut(gone.groupBy("uid").agg(F.sort_array(F.collect_list(each)).alias("removed")), "lines-removed", n)
 
 
 _NONE = "array<struct<nth:int,first_doc_id:bigint,first_line:int>>"
@@ -260,7 +262,7 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     named, gone = _removed(docs)
     marked = named.select("uid", "doc_id", "text_md5").join(gone.select("uid", F.col("removed.nth").alias("removed")), "uid", "left")
     of_first = marked.groupBy("doc_id", "text_md5").agg(F.count("*").alias("times"), F.min_by("removed", "uid").alias("removed")).where("removed is not null or times > 1")
-    of_first = cut(of_first.withColumnRenamed("doc_id", "id").withColumnRenamed("text_md5", "md5"), "lines-of-rows")
+    of_first = cut(of_first.withColumnRenamed("doc_id", "id").withColumnRenamed("text_md5", "md5"), "lines-of-rows", named.count())
     rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.unhex(F.md5("text")).alias("text_md5"))
     rows = rows.join(of_first, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_md5") == F.col("md5")), "left")
     rows = rows.select("row", "doc_id", "text", "text_md5", "removed", F.coalesce("times", F.lit(1)).alias("times"))
@@ -272,4 +274,4 @@ def drop_lines(docs: DataFrame) -> DataFrame:
         again = again.withColumn("new", F.when(F.col("nth") == 1, first).otherwise(text(lambda x, i: ~_worded(x)))).drop("nth")
         cleaned = cleaned.where("times = 1").unionByName(again)
     follow = {"text": F.col("new")} | ({"n_chars": F.length("new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return cleaned.select(*(follow.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+    return files_for(cleaned.select(*(follow.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns)), docs.count(), TEXT_ROWS)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import WORD, cut
+from folioscope.llm.common import TEXT_ROWS, WORD, cut, files_for
 
 WEIGHTS, BUDGET, CAP, SEED = (3, 1, 2), 1.5, 2.0, "mix-1"
 #: Key ranges of a source, and copies of a source's row of figures against hot sources in the join.
@@ -73,7 +73,7 @@ def _targets(sizes: DataFrame, weights: tuple[float, ...], budget: float, cap: f
 def _cutoffs(keyed: DataFrame, weights: tuple[float, ...], budget: float, cap: float) -> DataFrame:
     """For each source: its size and target, whole epochs, and the key up to which documents are
     taken once more; ``ties`` rows have that key, of which ``ties_taken`` are taken."""
-    ranges = cut(keyed.groupBy("source", "range").agg(F.sum("size").alias("size")), "mix-ranges")
+    ranges = cut(keyed.groupBy("source", "range").agg(F.sum("size").alias("size")), "mix-ranges", keyed.count())
     n = ranges.count()  # no fewer than the sources
     targets = _targets(ranges.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -113,21 +113,22 @@ def _with_copies(keyed: DataFrame, figures: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP, seed: str = SEED) -> DataFrame:
     """One row for each row of ``docs``: doc_id, size, source_size, target and taken (words)."""
-    keyed = cut(_keyed(docs, seed), "mix-keys")
+    keyed = cut(_keyed(docs, seed), "mix-keys", docs.count(), TEXT_ROWS)
     out = _with_copies(keyed, _cutoffs(keyed, weights, budget, cap))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def expand(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP, seed: str = SEED) -> DataFrame:
     """The mix itself: each row of ``docs`` as many times as it is taken."""
-    keyed = cut(_keyed(docs, seed), "mix-keys")
+    n = docs.count()
+    keyed = cut(_keyed(docs, seed), "mix-keys", n, TEXT_ROWS)
     figures = _cutoffs(keyed, weights, budget, cap)
     rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", "source")
     rows = rows.select("row", "doc_id", "text", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("source"), size_of("text").alias("size"))
     rows = rows.select("row", "source", "size", exponential_key("doc_id", "text", quality_of("text", F.col("size")), seed).alias("key"))
     rows = rows.withColumn("range", F.least(F.floor((1 - F.exp(-F.col("key"))) * RANGES), F.lit(RANGES - 1)).cast("int"))
     taken = _with_copies(rows, figures).where("copies > 0")
-    return taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    return files_for(taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*"), n, TEXT_ROWS)
 
 
 MIX_SQL = r"""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import SPACE
+from folioscope.llm.common import SPACE, TEXT_ROWS, files_for
 
 #: Highest share of word characters inside repeated n-grams, by n (fixed values of the published
 #: rules for massive web text), and the same for repeated lines and their count.
@@ -140,4 +140,5 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their own columns only."""
     whole = docs.select(F.struct("*").alias("row"), measures("text").alias("m"))
-    return whole.where(~base_failed(F.col("m")) & repeats_little(F.col("m"))).select("row.*")
+    kept = whole.where(~base_failed(F.col("m")) & repeats_little(F.col("m"))).select("row.*")
+    return files_for(kept, docs.count(), TEXT_ROWS)

@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from folioscope.operators import disagreements, linkage, overview
 from folioscope.sources.corpus import Corpus, load_corpus
 from folioscope.sources.sinks import html_page, html_table, page_file, publish_files
+from folioscope.sources.store import settle
 
 
 def overview_tables(corpus: Corpus, spark: SparkSession, min_pages: int = 5) -> dict[str, DataFrame]:
     """The corpus roll-ups, each a small table."""
     if min_pages < 1:
         raise ValueError("min_pages must be positive")
-    groups = linkage.build_groups(corpus.annotated, corpus.frozen, corpus.corrected)
+    groups = settle(linkage.build_groups(corpus.annotated, corpus.frozen, corpus.corrected), "report-groups")
     compared = linkage.htr_comparisons(groups, corpus.results.where("task = 'htr'"), corpus.machine, corpus.failures)
+    compared["readings"] = settle(compared["readings"], "report-readings")
     predicted = corpus.regions.where("not reviewed")
     reviewed_text = corpus.artifacts.where("reviewed_text")
     tables = {

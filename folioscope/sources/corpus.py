@@ -16,6 +16,7 @@ from folioscope.functions.geometry import Box
 from folioscope.functions.ids import relative_to, stem
 from folioscope.functions.labels import system_name, system_rank
 from folioscope.sources import images, layout, records
+from folioscope.sources.store import settle
 
 LAYOUT_FOLDERS = {"alto": False, "predictions/escriptorium": False, "ground-truth/alto": True}
 _BOXES = ", ".join(f"{c} double" for c in Box._fields)
@@ -61,7 +62,7 @@ def load_corpus(spark: SparkSession, root: str) -> Corpus:
         if not exists(spark, f"{root}/{folder}"):
             continue
         blocks, bad = layout.read_layout(spark, f"{root}/{folder}")
-        blocks = blocks.withColumn("path", relative_to(F.col("path"), root))
+        blocks, bad = settle(blocks.withColumn("path", relative_to(F.col("path"), root)), "corpus-blocks"), settle(bad, "corpus-bad")
         seen = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(f"{root}/{folder}").select(relative_to(F.col("path"), root).alias("path"), stem(F.col("path")).alias("page_id"))
         bad = bad.withColumn("path", relative_to(F.col("path"), root))
         issues, pages = issues.unionByName(bad), pages.unionByName(seen.select("page_id"))
@@ -107,9 +108,14 @@ def load_corpus(spark: SparkSession, root: str) -> Corpus:
     if exists(spark, f"{root}/corpus.json"):
         manifest, bad = records.read_manifest(spark, f"{root}/corpus.json")
         issues = issues.unionByName(bad)
+    systems = settle(systems, "corpus-systems")
     order = Window.partitionBy("page_id").orderBy("reviewed", system_rank(F.col("system")), "source")
     systems = systems.withColumn("sys_ord", F.row_number().over(order) - 1)
     regions = regions.join(systems.select("page_id", "source", "system", "sys_ord", "reviewed"), ["page_id", "source"])
     # Regions of a page's corrected layout in document order, over its files.
     placed = layout_text.withColumn("ord", F.row_number().over(Window.partitionBy("page_id", "source").orderBy("ord")) - 1)
-    return Corpus(pages.distinct(), systems, regions, artifacts, results, annotated, frozen, failures, placed.where("not reviewed"), placed.where("reviewed"), manifest, issues)
+    tables = {"pages": pages.distinct(), "systems": systems, "regions": regions, "artifacts": artifacts, "results": results, "annotated": annotated, "frozen": frozen, "failures": failures, "layout": placed, "manifest": manifest, "issues": issues}
+    # Files are parsed once; everything else reads these tables.
+    tables = {k: settle(df, f"corpus-{k}") for k, df in tables.items()}
+    text = tables.pop("layout")
+    return Corpus(machine=text.where("not reviewed"), corrected=text.where("reviewed"), **tables)

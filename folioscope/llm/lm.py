@@ -203,9 +203,12 @@ class Scorer:
     """What a worker needs to score texts; made once from the broadcast pieces."""
 
     def __init__(self, words: bytes, counts: np.ndarray, own: list[bytes], class_logs: np.ndarray, end: tuple[bool, float], base_log: float, parameters: dict):
+        frequent = words.split(b" ") if words else []
         self.classes = _Classes(own)
-        self.logs = dict(zip(words.split(b" "), np.log10(counts + 0.5).tolist(), strict=True)) if words else {}
-        self.unseen = {w for w, c in zip(words.split(b" "), counts.tolist(), strict=True) if not c} if words else set()
+        self.place = {w: i for i, w in enumerate(frequent)}
+        self.class_of = np.array([self.classes.own.get(w) or _suffix_class(w) for w in frequent] + [0])
+        self.log_of = np.append(np.log10(counts + 0.5), 0.0)  # the last of each is for words that aren't there
+        self.seen = np.append(counts > 0, False)
         self.class_logs, self.end, self.base_log = class_logs, end, base_log
         self.table = LogBilinear(parameters).log10_probabilities().reshape(-1)
 
@@ -215,18 +218,17 @@ class Scorer:
         Denominators are in for all tokens."""
         words = words_of(text)
         n = len(words) + 1
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=n - 1)
         classes = np.zeros(n, dtype=np.int64)
-        classes[:-1] = np.fromiter(map(self.classes.__getitem__, words), dtype=np.int64, count=n - 1)
-        logs = np.fromiter(map(self.logs.get, words, repeat(float("nan"))), dtype=np.float64, count=n - 1)
-        found = ~np.isnan(logs)
-        rest = Counter(compress(words, (~found).tolist()))
-        unseen = sum(map(self.unseen.__contains__, words)) if self.unseen else 0
-        known = int(found.sum()) - unseen + self.end[0]
-        logs[~found] = 0.0
+        classes[:-1] = self.class_of[at]
+        missing = at < 0
+        rest = list(compress(words, missing.tolist())) if missing.any() else []
+        classes[:-1][missing] = np.fromiter(map(self.classes.__getitem__, rest), dtype=np.int64, count=len(rest))
+        logs = self.log_of[at]
         base = logs.sum() + self.end[1] - n * self.base_log
         within = logs[classes[:-1] > OWN].sum() - self.class_logs[classes].sum()
         model = float(self.table[_codes(classes)].astype(np.float64).sum()) + within
-        return n, known, float(base), float(model), rest
+        return n, int(self.seen[at].sum()) + self.end[0], float(base), float(model), Counter(rest)
 
 
 _scorers: dict[str, Scorer] = {}
@@ -239,20 +241,30 @@ def _score(shared, key: str):
             _scorers[key] = Scorer(**shared.value)
         scorer = _scorers[key]
         kinds = pa.schema([("uid", pa.int64()), ("word", pa.string()), ("times", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.int32()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
+
+        def rest_rows(owners: list, words: list, times: list) -> pa.RecordBatch:
+            columns = [pa.array(owners, pa.int64()), pa.array(words, pa.string()), pa.array(times, pa.int64())]
+            out = pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(owners), t.type) for t in list(kinds)[3:])], schema=kinds)
+            for x in (owners, words, times):
+                x.clear()
+            return out
+
         for batch in batches:
-            columns: list[list] = [[] for _ in kinds]
+            own: list[tuple] = []
+            owners: list[int] = []
+            words: list[str] = []
+            times: list[int] = []
             for uid, doc_id, text in zip(batch.column("uid").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 n, known, base, model, rest = scorer.score(text.as_py())
                 # the document's own row goes by a key that no word can be
-                for x, row in zip(columns, (uid, f" {uid}", 0, doc_id, int(is_held_out(doc_id)), n, known, base, model), strict=True):
-                    x.append(row)
-                for word, times in rest.items():
-                    for x, row in zip(columns, (uid, word.decode(), times, None, None, None, None, None, None), strict=True):
-                        x.append(row)
-                if len(columns[0]) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(columns, kinds, strict=True)], schema=kinds)
-                    columns = [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(columns, kinds, strict=True)], schema=kinds)
+                own.append((uid, f" {uid}", 0, doc_id, int(is_held_out(doc_id)), n, known, base, model))
+                owners += [uid] * len(rest)
+                words += [w.decode() for w in rest]
+                times += rest.values()
+                if len(owners) > 50_000:
+                    yield rest_rows(owners, words, times)
+            yield rest_rows(owners, words, times)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*own, strict=True), kinds, strict=True)] if own else [pa.nulls(0, t.type) for t in kinds], schema=kinds)
 
     return run
 

@@ -23,20 +23,19 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
 
 
+def _as_code_points(items: Column, vocabulary: Column) -> Column:
+    """A string with one character for each item: the one at the item's place in the vocabulary,
+    counted from U+10000, so that any two items differ as their characters do."""
+    return F.decode(F.unhex(F.array_join(F.transform(items, lambda w: F.lpad(F.hex(F.array_position(vocabulary, w) + 0x10000), 8, "0")), "")), "UTF-32")
+
+
 def word_distance(reference: Column, hypothesis: Column) -> Column:
-    """Levenshtein distance between arrays, a row of the table at a time, natively."""
-    n = F.size(reference)
-    first = F.transform(F.sequence(F.lit(0), n), lambda i: i)
-
-    def next_row(row: Column, word: Column) -> Column:
-        start = F.array(row[0] + 1)
-        step = lambda out, i: F.array_append(
-            out, F.least(F.element_at(out, -1) + 1, F.element_at(row, i + 1) + 1, F.element_at(row, i) + F.when(F.element_at(reference, i) == word, 0).otherwise(1))
-        )
-        return F.aggregate(F.sequence(F.lit(1), n), start, step)
-
-    table = F.aggregate(hypothesis, first, next_row, lambda row: F.element_at(row, -1))
-    return F.when(n == 0, F.size(hypothesis)).otherwise(table)
+    """Levenshtein distance between arrays: that of strings with a character for each distinct item,
+    which the built-in function gives."""
+    # The vocabulary is an array's only element, so that it is made once and not for each item.
+    vocabulary = F.array(F.array_distinct(F.concat(reference, hypothesis)))
+    coded = F.transform(vocabulary, lambda v: F.levenshtein(_as_code_points(reference, v), _as_code_points(hypothesis, v)))[0]
+    return F.when(F.size(reference) == 0, F.size(hypothesis)).when(F.size(hypothesis) == 0, F.size(reference)).otherwise(coded)
 
 
 def char_distance(reference: Column, hypothesis: Column) -> Column:

@@ -256,42 +256,44 @@ def label_counts(spark, sf_dir):
 _CHARS = "regexp_extract_all({}, '(?s).')"
 # Levenshtein by code points or words over lists r and h, a row at a time.
 _LEV = """CASE WHEN len(r) = 0 THEN len(h) WHEN len(h) = 0 THEN len(r) ELSE list_extract(list_reduce(list_transform(h, lambda w: [w]), lambda row, w: list_reduce(range(1, len(r) + 1), lambda acc, i: list_append(acc, least(acc[-1] + 1, row[i + 1] + 1, row[i] + CASE WHEN r[i] = w[1] THEN 0 ELSE 1 END)), [row[1] + 1]), range(0, len(r) + 1)), -1) END"""
-_PAIRS = """WITH p AS (SELECT conv_id, turn, substr(text, 1, 60) AS ref, substr(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), 1, 60) AS hyp FROM conversations)"""
+# Texts of no more than 127 different characters have their distance by bytes, once each character is a byte.
+_BYTES = "array_to_string(list_transform({}, lambda c: chr(CAST(list_position(list_distinct(list_concat(r, h)), c) AS INTEGER))), '')"
+_LEV_CHARS = f"CASE WHEN len(list_distinct(list_concat(r, h))) <= 127 THEN levenshtein({_BYTES.format('r')}, {_BYTES.format('h')}) ELSE {_LEV} END"
+_PAIRS = """WITH p AS (SELECT conv_id, turn, text AS ref, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS hyp FROM conversations)"""
 
 
 def _turns(spark, sf_dir):
-    """Consecutive turns as reference and hypothesis. Their first 60 characters are the texts compared:
-    the SQL side has no distance by code points of its own, and none shorter than quadratic in a list."""
+    """Consecutive turns of conversations as reference and hypothesis."""
     from pyspark.sql import Window
 
     rows = _t(spark, sf_dir, "conversations")
     following = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return rows.select("conv_id", "turn", F.substring("text", 1, 60).alias("ref"), F.substring(following, 1, 60).alias("hyp")).where("hyp is not null")
+    return rows.select("conv_id", "turn", F.col("text").alias("ref"), following.alias("hyp")).where("hyp is not null")
 
 
-def _text_sql(split: str, names: tuple[str, str, str]) -> str:
+def _text_sql(split: str, names: tuple[str, str, str], distance: str) -> str:
     errors, length, rate = names
     return f"""SELECT conv_id, turn, e AS {errors}, n AS {length}, CASE WHEN n = 0 THEN CASE WHEN k = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END ELSE round(e::DOUBLE / n, 9) END AS {rate}
- FROM (SELECT conv_id, turn, len(r) AS n, len(h) AS k, CAST({_LEV} AS BIGINT) AS e FROM (SELECT conv_id, turn, {split.format('ref')} AS r, {split.format('hyp')} AS h FROM p WHERE hyp IS NOT NULL))"""
+ FROM (SELECT conv_id, turn, len(r) AS n, len(h) AS k, CAST({distance} AS BIGINT) AS e FROM (SELECT conv_id, turn, {split.format('ref')} AS r, {split.format('hyp')} AS h FROM p WHERE hyp IS NOT NULL))"""
 
 
 _WORDS = "regexp_extract_all({}, '\\S+')"
 
 
-@query(_PAIRS + _text_sql(_CHARS, ("char_errors", "ref_chars", "cer")))
+@query(_PAIRS + _text_sql(_CHARS, ("char_errors", "ref_chars", "cer"), _LEV_CHARS))
 def cer(spark, sf_dir):
     r, h = F.col("ref"), F.col("hyp")
     return _turns(spark, sf_dir).select("conv_id", "turn", T.char_distance(r, h).cast("long").alias("char_errors"), F.length(r).cast("long").alias("ref_chars"), F.round(T.cer(r, h), R9).alias("cer"))
 
 
-@query(_PAIRS + _text_sql(_WORDS, ("word_errors", "ref_words", "wer")))
+@query(_PAIRS + _text_sql(_WORDS, ("word_errors", "ref_words", "wer"), _LEV))
 def wer(spark, sf_dir):
     r, h = F.col("ref"), F.col("hyp")
     rw, hw = T.words(r), T.words(h)
     return _turns(spark, sf_dir).select("conv_id", "turn", T.word_distance(rw, hw).cast("long").alias("word_errors"), F.size(rw).cast("long").alias("ref_words"), F.round(T.wer(r, h), R9).alias("wer"))
 
 
-@query(_PAIRS + f", c AS ({_text_sql(_CHARS, ('char_errors', 'ref_chars', 'cer'))}), w AS ({_text_sql(_WORDS, ('word_errors', 'ref_words', 'wer'))}) SELECT * FROM c JOIN w USING (conv_id, turn)")
+@query(_PAIRS + f", c AS ({_text_sql(_CHARS, ('char_errors', 'ref_chars', 'cer'), _LEV_CHARS)}), w AS ({_text_sql(_WORDS, ('word_errors', 'ref_words', 'wer'), _LEV)}) SELECT * FROM c JOIN w USING (conv_id, turn)")
 def htr_metrics(spark, sf_dir):
     rows = _turns(spark, sf_dir).select("conv_id", "turn", T.htr_metrics(F.col("ref"), F.col("hyp")).alias("m")).select("conv_id", "turn", "m.*")
     return _rounded(rows, "cer", "wer")

@@ -173,3 +173,39 @@ def test_stream_keeps_the_latest(spark, tmp_path):
 def test_windowed_counts(spark):
     rows = spark.createDataFrame([(0, "m", "x"), (10, "m", None), (4000, "m", "y")], "s long, model string, transcription string").withColumn("modified", F.timestamp_seconds("s"))
     assert sorted((r["results"], r["read"]) for r in stream.windowed_counts(rows).collect()) == [(1, 1), (2, 1)]
+
+
+def test_chat_client():
+    from folioscope.sources import inference
+
+    sent = []
+
+    def send(url, body):
+        sent.append((url, json.loads(body)))
+        return json.dumps({"choices": [{"message": {"content": "hello"}, "finish_reason": "stop"}]}).encode()
+
+    job = {"model": "m", "prompt": "read", "image_name": "a.PNG", "image_content": b"ab"}
+    reply = inference.chat_client("http://x/v1/", send=send)(job)
+    assert (reply["content"], reply["finish_reason"]) == ("hello", "stop") and reply["elapsed_seconds"] >= 0
+    url, body = sent[0]
+    assert url == "http://x/v1/chat/completions" and body["temperature"] == 0.0
+    assert body["messages"][0]["content"][1]["image_url"]["url"] == "data:image/png;base64,YWI="
+    with pytest.raises(ValueError, match="unsupported image type"):
+        inference.image_message("p", "a.gif", b"")
+
+
+def test_outcomes_are_saved_apart(spark, tmp_path):
+    from folioscope.sources.inference import load_prompt
+
+    rows = [("p", "m", "htr", "r1", True, "text", None, "stop"), ("p", "m", "htr", "r2", False, None, "ValueError: x", "length")]
+    outcomes = spark.createDataFrame(rows, "page_id string, model string, task string, region_id string, ok boolean, transcription string, error string, finish_reason string")
+    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
+    sinks.save_results(outcomes, good, bad)
+    assert [(r["region_id"], r["transcription"], r["page_id"]) for r in spark.read.json(good).collect()] == [("r1", "text", "p")]
+    assert [(r["region_id"], r["error"], r["finish_reason"]) for r in spark.read.json(bad).collect()] == [("r2", "ValueError: x", "length")]
+    pages = spark.createDataFrame([("a", 1), ("b", 2)], "page_id string, n int")
+    sinks.publish_pages(pages, str(tmp_path / "t"))
+    sinks.publish_pages(pages.where("page_id = 'a'").withColumn("n", F.lit(9)), str(tmp_path / "t"))
+    assert sorted((r["page_id"], r["n"]) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [("a", 9), ("b", 2)]
+    (tmp_path / "prompt.txt").write_text("read\nthis", encoding="utf-8")
+    assert load_prompt(spark, str(tmp_path / "prompt.txt")) == "read\nthis"

@@ -156,7 +156,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 decoded = [codec.decode(i) for i in ids]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

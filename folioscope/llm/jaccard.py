@@ -205,7 +205,7 @@ def _links(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
 
 
 def _describe_all(docs: DataFrame, n: int) -> DataFrame:
-    rows = docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("text_md5"), F.monotonically_increasing_id().alias("uid"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.unhex(F.md5("text")).alias("text_md5"), F.monotonically_increasing_id().alias("uid"))
     return cut(rows.mapInArrow(_describe, "doc_id long, uid long, text_md5 binary, n_shingles long, digest binary, bands array<long>"), "join-sets", n, TEXT_ROWS)
 
 

@@ -204,7 +204,7 @@ def _hashed(docs: DataFrame) -> DataFrame:
     """uid, doc_id, text_md5 and hashes (line, name, check) of the lines with a word."""
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.cast("int").alias("nth"), F.xxhash64(x).alias("line"), F.xxhash64(F.lit(1), x).alias("check"), _worded(x).alias("worded")))
     kept = F.coalesce(F.transform(F.filter(lines, lambda x: x["worded"]), lambda x: F.struct(x["nth"], x["line"], x["check"])), F.array().cast("array<struct<nth:int,line:bigint,check:bigint>>"))
-    return cut(docs.select("doc_id", F.unhex(F.md5("text")).alias("text_md5"), F.monotonically_increasing_id().alias("uid"), kept.alias("lines")), "lines-names", docs.count(), TEXT_ROWS)
+    return cut(docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5("text")).alias("text_md5"), F.monotonically_increasing_id().alias("uid"), kept.alias("lines")), "lines-names", docs.count(), TEXT_ROWS)
 
 
 def near_lines(docs: DataFrame, n: int | None = None) -> DataFrame:

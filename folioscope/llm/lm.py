@@ -195,7 +195,7 @@ def _fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, c (in training documents), c_all: of all documents."""
-    counted = docs.select("doc_id", "text").mapInArrow(_count, "word string, c long, c_all long")
+    counted = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_count, "word string, c long, c_all long")
     return cut(counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all")), "lm-counts")
 
 
@@ -298,7 +298,7 @@ def score(docs: DataFrame) -> DataFrame:
             "end": (ends > 0, float(np.log10(ends + 0.5))), "base_log": float(np.log10(n + 0.5 * (v + 1))), "parameters": parameters,
         }
     )
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("uid"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("uid"))
     scored = rows.mapInArrow(_score(shared, str(shared._jbroadcast.id())), "uid long, word string, times long, doc_id long, held_out int, n_tokens long, n_known long, base double, model double")
     counted = scored.join(counts.select("word", "c"), "word", "left")
     c = F.coalesce("c", F.lit(0))

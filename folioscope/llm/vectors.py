@@ -92,7 +92,7 @@ def nearest_in_cell(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray,
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and vector (array of double) of the rows that take part."""
     sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vector")).where("vec_id is not null and vector is not null")
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vector")).where("vec_id is not null and vector is not null")
     return rows.where(sound).distinct()
 
 

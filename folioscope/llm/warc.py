@@ -151,7 +151,7 @@ def read_archive(fs, archive: str, sidecar: str) -> Iterator[dict]:
 
 def with_revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """page_id, url, html, is_revisit, refers_to: which pages repeat the payload of another."""
-    rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
+    rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
     long_ = F.octet_length("html") >= least
     lowest = -(1 << 63)
     by_payload = rows.where(long_).select(F.sha1("html").alias("digest"), F.coalesce("page_id", F.lit(lowest)).alias("id"))

@@ -179,7 +179,7 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _nodes(info: DataFrame, n: int) -> DataFrame:
     some = info.where("n_shingles > 0").groupBy("digest")
-    return cut(some.agg(F.min("uid").alias("node"), F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"), F.min(F.struct("uid", "doc_id", "text_md5")).alias("at")), "join-nodes", n)
+    return cut(some.agg(F.min("uid").alias("node"), F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"), F.min(F.struct("uid", "doc_id", "text_md5")).alias("at")), "join-nodes", n, 10 * TEXT_ROWS)
 
 
 def _links(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import cut
 
-TREES, BITS, FRACTION = 16, 64, 0.6
+TREES, BITS, FRACTION = 24, 64, 0.6
 VECTORS, QUERIES = 8192, 4096
 SEED = 9
 

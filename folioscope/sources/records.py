@@ -59,13 +59,15 @@ def json_regions(records: DataFrame, source: Column, items: Column) -> tuple[Dat
     Items that are no object, or whose bbox is no list of four, are skipped. A box with other than
     numbers, out of range or without extent rejects its whole record. Regions: path, ord, id,
     region_type, box, confidence, confidence_raw, text, language, script, metadata (other keys)."""
-    rows = records.withColumn("source_name", source).withColumn("items", items)
-    usable = lambda x: (kind(x) == "OBJECT") & item_box(x).isNotNull()
-    bad = F.exists("items", lambda x: F.coalesce(usable(x), F.lit(False)) & ~valid_box(_box(item_box(x))))
+    # Kind and box of each item are taken once; what follows reads them as fields.
+    taken = F.transform(items, lambda x: F.struct(x.alias("item"), kind(x).alias("kind"), item_box(x).alias("box")))
+    rows = records.withColumn("source_name", source).withColumn("items", taken)
+    usable = lambda x: (x["kind"] == "OBJECT") & x["box"].isNotNull()
+    bad = F.exists("items", lambda x: F.coalesce(usable(x), F.lit(False)) & ~valid_box(_box(x["box"])))
     rows = rows.withColumn("bad", F.coalesce(bad, F.lit(False)))
     rejected = rows.where("bad").select("path", F.lit("regions").alias("stage"), F.lit("invalid bounding box").alias("message"))
-    flat = rows.where("not bad").select("path", "source_name", F.posexplode("items").alias("ord", "item")).where(usable(F.col("item")))
-    item, box = F.col("item"), _box(item_box(F.col("item")))
+    flat = rows.where("not bad").select("path", "source_name", F.posexplode("items").alias("ord", "x")).where(usable(F.col("x")))
+    item, box = F.col("x.item"), _box(F.col("x.box"))
     label = F.when(kind(F.try_variant_get(item, "$.type", "variant")) == "STRING", shown(item, "$.type"))
     others = F.map_filter(F.try_variant_get(item, "$", "map<string,variant>"), lambda k, v: ~k.isin(*KNOWN_KEYS))
     return flat.select(

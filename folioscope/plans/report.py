@@ -37,7 +37,8 @@ def build_report(spark: SparkSession, data: str, output: str, min_pages: int = 5
     if only is not None and pages.isEmpty():
         raise ValueError(f"no such page: {only}")
     shared = {}
-    tables = {k: (df.columns, [tuple(r) for r in df.collect()]) for k, df in overview_tables(corpus, spark, min_pages).items()}
+    # In an order of their own, so that an unchanged corpus gives the same bytes.
+    tables = {k: (df.columns, sorted((tuple(r) for r in df.collect()), key=str)) for k, df in overview_tables(corpus, spark, min_pages).items()}
     shared["overview.html"] = html_page("Corpus overview", [html_table(k, c, rows) for k, (c, rows) in tables.items()])
     regions, systems = corpus.regions.join(pages, "page_id", "left_semi"), corpus.systems.join(pages, "page_id", "left_semi")
     ranked = disagreements.select_varied(disagreements.disagreements(regions, systems))

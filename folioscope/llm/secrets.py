@@ -36,13 +36,15 @@ CUTOFF, SEED, NEAR, CONTEXT = 0.5, 6, 3, 120
 _FLUSH = 400_000
 
 KINDS = ("aws_key", "token_prefix", "private_key", "assignment", "mixed_string")
-#: Patterns of candidates, the special before the general; group v is the secret itself.
+#: Patterns of candidates, the special before the general; the named group is the secret itself. None
+#: has an upper bound, and none scans a run twice. A private key goes to its END line, or without one
+#: over the rows of base64 that follow.
 PATTERN = re.compile(
     r"(?P<aws_key>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9]))"
     r"|(?P<token_prefix>(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}))"
-    r"|(?P<private_key>-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)"
-    r"|(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?(?P<assignment>[^\s\"'<>,;]{6,256})"
-    r"|(?P<mixed_string>(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,256}={0,2}(?![A-Za-z0-9+/_-]))",
+    r"|(?P<private_key>-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:[^-]|-(?!----))*+-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:\s++[A-Za-z0-9+/]{32,}+={0,2})++(?:\s++[A-Za-z0-9+/=]++\s*+\Z)?)?)"
+    r"|(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?(?P<assignment>[^\s\"'<>,;]{6,}+)"
+    r"|(?P<mixed_string>(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_-]))",
     re.IGNORECASE,
 )
 #: Words near a candidate: seven that ask for a secret, then those that speak against one.
@@ -215,6 +217,7 @@ def labelled_findings(words: list[str], n: int = 6000, seed: int = SEED) -> list
     pick = lambda alphabet, k: "".join(r.choice(alphabet) for _ in range(k))
     prose = lambda k: " ".join(r.choice(words) for _ in range(k))
     joined = lambda k, by="": by.join(r.choice(words) for _ in range(k))
+    key_block = lambda rows: "\n".join(["-----BEGIN RSA PRIVATE KEY-----", *(pick(letters + "+/", 64) for _ in range(rows)), "-----END RSA PRIVATE KEY-----"])
     names = ("password", "passwd", "pwd", "secret", "token", "api_key", "access_key", "auth")
     paths = (None, "src1", "src12", "src7", "app/settings.py", "deploy/prod.yml", ".env", "tests/test_login.py", "docs/readme.md", "examples/config.ini")
     hexed = "0123456789abcdef"
@@ -224,7 +227,7 @@ def labelled_findings(words: list[str], n: int = 6000, seed: int = SEED) -> list
         lambda: ("assignment", pick(letters + "!#%&*+-@^_", r.randint(8, 24)), f"{prose(6)} {r.choice(names)}{r.choice(('=', ' = ', ': '))}", " " + prose(5)),
         lambda: ("token_prefix", r.choice(("ghp_" + pick(letters, 36), "sk_live_" + pick(letters, 24), "xoxb-" + pick(string.digits, 11) + "-" + pick(letters, 24))), prose(6) + " ", " " + prose(5)),
         lambda: ("mixed_string", pick(letters + "+/", 40), f"{prose(4)} {r.choice(('secret', 'key', 'credential', ''))} ", " " + prose(5)),
-        lambda: ("private_key", "-----BEGIN RSA PRIVATE KEY-----", prose(4) + " ", " " + pick(letters, 40)),
+        lambda: ("private_key", r.choice(("-----BEGIN RSA PRIVATE KEY-----", key_block(r.randint(3, 26)))), prose(4) + " ", " " + prose(5)),
     )
     false = (
         lambda: ("aws_key", "AKIA" + (joined(6).upper().encode("ascii", "ignore").decode() + "EXAMPLEEXAMPLEEX")[:9] + "EXAMPLE", prose(6) + " ", " " + prose(5)),

@@ -1,3 +1,6 @@
+import random
+import string
+
 import numpy as np
 import pytest
 
@@ -42,3 +45,26 @@ def test_held_out_accuracy():
     y = np.array([x[5] for x in held])
     p = forest.predict(np.array([secrets.features(corpus, *x[:5]) for x in held])) >= 0.5
     assert (p == y).mean() > 0.97
+
+
+def test_long_candidates_are_whole():
+    spans = lambda text: [(k, v) for k, _, _, v, _, _ in secrets.candidates(text)]
+    run = "aB3xK9" * 50
+    assert spans(f"so {run} end") == [("mixed_string", run)]
+    assert spans(f"token={run}") == [("assignment", run)]
+    body = "\n".join(["MIIEpAIB" * 8] * 12)
+    block = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{body}\nAb3=\n-----END RSA PRIVATE KEY-----"
+    assert spans(f"a {block} b {block}\n") == [("private_key", block)] * 2
+    cut = f"-----BEGIN PRIVATE KEY-----\n{body}\nAb3dE"  # the text ends before the key does
+    assert spans(cut) == [("private_key", cut)]
+    assert spans("-----BEGIN PRIVATE KEY----- is how it starts") == [("private_key", "-----BEGIN PRIVATE KEY-----")]
+
+
+def test_long_secrets_leave_nothing_behind(spark):
+    prose, run = " ".join(WORDS), "aB3xK9qZ7" * 60
+    r = random.Random(8)
+    rows = ["".join(r.choice(string.ascii_letters + string.digits + "+/") for _ in range(64)) for _ in range(13)]
+    block = "\n".join(["-----BEGIN RSA PRIVATE KEY-----", *rows, "-----END RSA PRIVATE KEY-----"])
+    docs = spark.createDataFrame([(1, f"{prose} token={run} {prose}"), (2, f"{prose} {block} {prose}")], "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert clean == {1: f"{prose} token=[secret] {prose}", 2: f"{prose} [secret] {prose}"}

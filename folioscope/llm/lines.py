@@ -1,16 +1,16 @@
 """Line dedup by a segment-partition edit join.
 
-Two lines are near-duplicates if their edit distance is at most 2, and at most a tenth of the
-shorter one's length. Each line is split into one segment more than the edits it may have, so two
-near lines share a segment; a line indexes its own segments, and looks up, for each length that a
-shorter partner may have, the few substrings of itself that can be the partner's segment there
-(start positions that leave too many edits on either side are left out). Lines that meet under a
-key are verified by a banded bit-parallel edit distance. Near lines chain into classes; of each
-class, and of each line that just repeats, the first occurrence (smallest id, then line) stays.
-
-Keys travel without texts. Only keys under which unlike lines meet go on, with their lines' texts;
-a key with many lines is split into cells, each of two parts of the lines, and a cell returns no
-more links than join what isn't joined yet.
+Two lines are near-duplicates if their edit distance is at most a tenth of the shorter one's length,
+whatever that is. Each line is split into one segment more than the edits it may have, or into as
+many as have nine characters, so two near lines share all segments but the edits; a line indexes
+its own segments, and looks up all its substrings of the widths that a shorter partner's segments
+have. Lines that share enough segments, at places that the edits allow, are verified by a
+bit-parallel edit distance. Near lines chain into classes; of each class, and of each line that just
+repeats, the first occurrence (smallest id, then line) stays.
+
+Keys travel without texts, many to a row, by buckets of their hashes; there are about as many keys
+as characters. Within a bucket lines that share a key meet if their lengths, the key's places and
+their counts of characters allow it. Only pairs that share enough go on, with their lines' texts.
 
 Lines are named by a 64-bit hash; should two lines have the same, which a second hash shows, both
 are left alone. Lines without a word are no lines here and always stay.
@@ -34,46 +34,58 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import SPACE, TEXT_ROWS, cut, files_for
 from folioscope.llm.graph import components
 
-EDITS, CHARS_PER_EDIT = 2, 10
-#: Lines in half a cell, and lines that a task remembers so as to emit each once.
+CHARS_PER_EDIT, LONGEST = 10, 9
+#: Own keys of a bucket that meet their partners at once, and lines that a task remembers so as to emit each once.
 CELL, RECENT = 512, 500_000
 #: Of Spark's xxhash64, so that both sides name a line alike.
 NAME_SEED = 42
+#: Characters hashed at once, keys held before they go out, and characters of all texts for a bucket.
+CHARS, HELD, BUCKET = 1 << 18, 1 << 20, 1 << 20
+#: A key's hash within its bucket; of its line the name, the first and last place of the key, the length,
+#: how many of its own segments the key is, and counts of characters by 16 groups, up to 255 each.
+_KEY = np.dtype([("key", "<u4"), ("line", "<i8"), ("first", "<u4"), ("last", "<u4"), ("size", "<u4"), ("own", "<u4"), ("bag", "u1", (16,))])
 
 
 def edits_of(length: int) -> int:
-    return min(EDITS, length // CHARS_PER_EDIT)
-
-
-@lru_cache(1 << 16)
-def _segments(length: int) -> list[tuple[int, int]]:
-    """Start and length of each segment of a line of that length."""
-    n = edits_of(length) + 1
-    short, longer = length // n, length % n
-    sizes = [short] * (n - longer) + [short + 1] * longer
-    starts = np.cumsum([0, *sizes[:-1]]).tolist()
-    return list(zip(starts, sizes, strict=True))
-
-
-@lru_cache(1 << 16)
-def _keys_of(length: int) -> list[tuple[int, int, int]]:
-    """Start, end and hash seed of the substrings that a line has keys of; first its own segments."""
-    own = [(p, p + n, length * (EDITS + 1) + i) for i, (p, n) in enumerate(_segments(length))] if edits_of(length) else []
-    asked = []
-    for shorter in range(max(0, length - EDITS), length + 1):
-        edits, delta = edits_of(shorter), length - shorter
-        if not edits or delta > edits:
-            continue
-        for i, (p, n) in enumerate(_segments(shorter)):
-            low = max(p - i, p + delta - (edits - i), 0)
-            high = min(p + i, p + delta + (edits - i), length - n)
-            asked += [(at, at + n, shorter * (EDITS + 1) + i) for at in range(low, high + 1) if delta or at != p]
-    return own + asked
+    return length // CHARS_PER_EDIT
+
+
+def _parts(length):
+    """Segments of a line of that length (or lengths): one more than it may have edits, or as many as
+    have LONGEST characters if those are more. All but the edits stay as they are."""
+    return np.maximum(edits_of(length) + 1, length // LONGEST)
+
+
+def _width(length: int) -> int:
+    """Characters of the shortest segment of a line of that length: 5 to LONGEST."""
+    return min(LONGEST, length // int(_parts(length)))
+
+
+def _segments(length: int) -> np.ndarray:
+    """Start of each segment of a line of that length."""
+    n = int(_parts(length))
+    return np.arange(n) * (length // n) + np.maximum(0, np.arange(n) - (n - length % n))
+
+
+@lru_cache(1 << 12)
+def _keys_of(length: int) -> np.ndarray:
+    """Start, end and width of the substrings that a line has keys of; first its own segments, cut
+    to one width, then all others of the widths that a partner no longer than it may have."""
+    edits, width = edits_of(length), _width(length)
+    if not edits:
+        return np.empty((0, 3), dtype=np.int64)
+    own = _segments(length)
+    rows = [np.stack([own, own + width, np.full(len(own), width)], axis=1)]
+    for w in sorted({_width(n) for n in range(max(CHARS_PER_EDIT, length - edits), length + 1) if length - n <= edits_of(n)}):
+        at = np.arange(length - w + 1)
+        at = np.setdiff1d(at, own) if w == width else at
+        rows.append(np.stack([at, at + w, np.full(len(at), w)], axis=1))
+    return np.concatenate(rows)
 
 
 def within(a: str, b: str, edits: int) -> bool:
-    """Whether the edit distance is at most ``edits``: reachable diagonals, a bit each, for each
-    number of edits spent; a column of the matrix at a time, in a band of 2 * edits + 1 diagonals."""
+    """Whether the edit distance is at most ``edits``: a column of the matrix at a time, its steps up
+    and down as bits of two numbers."""
     if abs(len(a) - len(b)) > edits:
         return False
     low, high = 0, min(len(a), len(b))
@@ -86,114 +98,171 @@ def within(a: str, b: str, edits: int) -> bool:
         mid = (low + high + 1) // 2
         low, high = (mid, high) if a[len(a) - mid :] == b[len(b) - mid :] else (low, mid - 1)
     a, b = a[: len(a) - low], b[: len(b) - low]
-    band = (1 << (2 * edits + 1)) - 1
-    reach = [(1 << edits) * ((2 << e) - 1) & band for e in range(edits + 1)]  # bit d + edits: e insertions reach diagonals 0 to e
+    if not a or not b:
+        return max(len(a), len(b)) <= edits
+    places: dict[str, int] = {}
     for i, ch in enumerate(a):
-        same = 0
-        for bit in range(2 * edits + 1):
-            j = i + bit - edits
-            if 0 <= j < len(b) and b[j] == ch:
-                same |= 1 << bit
-        new = [reach[0] & same]
-        for e in range(1, edits + 1):
-            new.append(((reach[e] & same) | reach[e - 1] | (reach[e - 1] >> 1) | (new[e - 1] << 1)) & band)
-        reach = new
-        if not reach[-1]:
+        places[ch] = places.get(ch, 0) | 1 << i
+    mask, last, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down = mask, 0
+    for left, ch in zip(range(len(b) - 1, -1, -1), b, strict=True):
+        same = places.get(ch, 0)
+        flat = (((same & up) + up) ^ up) | same
+        plus, minus = down | (mask & ~(flat | up)), up & flat
+        score += 1 if plus & last else -1 if minus & last else 0
+        if score - left > edits:
             return False
-    return bool(reach[-1] >> (len(b) - len(a) + edits) & 1)
-
+        plus, minus, same = (plus << 1 | 1) & mask, minus << 1 & mask, same | down
+        up, down = minus | (mask & ~(same | plus)), plus & same
+    return score <= edits
+
+
+def _keys(lines: list[str], names: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (64 bits) and keys of the lines, each key once for a line."""
+    codes = np.frombuffer("".join(lines).encode("utf-32-le"), dtype="<u4").astype(np.uint64) + np.uint64(1)
+    wide = {}
+    rolled = np.zeros(len(codes), dtype=np.uint64)
+    for w in range(1, LONGEST + 1):
+        rolled = rolled[: len(codes) - w + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[w - 1 :]
+        wide[w] = rolled
+    hashes, out, base = [], [], 0
+    for line, name in zip(lines, names, strict=True):
+        wanted = _keys_of(len(line))
+        h = np.empty(len(wanted), dtype=np.uint64)
+        for w in np.unique(wanted[:, 2]).tolist():
+            these = wanted[:, 2] == w
+            h[these] = wide[w][base + wanted[these, 0]] + np.uint64(w)
+        order = np.argsort(h, kind="stable")
+        starts = np.nonzero(np.diff(h[order], prepend=h[order[:1]] + np.uint64(1)))[0]
+        rows = np.empty(len(starts), dtype=_KEY)
+        rows["line"], rows["size"] = name, len(line)
+        if len(starts):
+            rows["first"], rows["last"] = np.minimum.reduceat(wanted[order, 0], starts), np.maximum.reduceat(wanted[order, 0], starts)
+            rows["own"] = np.add.reduceat(order < _parts(len(line)), starts, dtype=np.int64)
+            rows["bag"] = np.minimum(np.bincount(codes[base : base + len(line)].astype(np.int64) & 15, minlength=16), 255)
+        hashes.append(h[order[starts]])
+        out.append(rows)
+        base += len(line)
+    h = np.concatenate(hashes)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return h, np.concatenate(out)
+
+
+def _signatures(buckets: int):
+    """bucket, keys: the keys of all lines, many to a row; each line once for a task while it is remembered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent: set[int] = set()
+        lines, names, chars = [], [], 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def take() -> None:
+            nonlocal chars
+            if lines:
+                held.append(_keys(lines, names))
+            lines.clear()
+            names.clear()
+            chars = 0
+
+        def flush() -> pa.RecordBatch:
+            h, rows = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.empty(0, np.uint64), np.empty(0, _KEY))
+            held.clear()
+            rows["key"] = h >> np.uint64(32)
+            bucket = ((h & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            rows, bucket = rows[order], bucket[order]
+            edges = [*np.nonzero(np.diff(bucket, prepend=-1))[0].tolist(), len(rows)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int32()), pa.array([rows[i:j].tobytes() for i, j in zip(edges, edges[1:])], pa.binary())], names=["bucket", "keys"])  # noqa: RUF007
+
+        for batch in batches:
+            for text in batch.column("text"):
+                for line in (text.as_py() or "").split("\n"):
+                    if len(line) < CHARS_PER_EDIT or not line.strip(SPACE):
+                        continue
+                    name = xxhash.xxh64_intdigest(line, NAME_SEED)
+                    if name in recent:
+                        continue
+                    if len(recent) >= RECENT:
+                        recent.clear()
+                    recent.add(name)
+                    lines.append(line)
+                    names.append(name - (1 << 64) if name >> 63 else name)
+                    chars += len(line)
+                    if chars >= CHARS:
+                        take()
+                        if sum(len(h) for h, _ in held) >= HELD:
+                            yield flush()
+        take()
+        yield flush()
+
+    return run
+
+
+def _met(rows: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """a, b: names of unlike lines that share a key which ``a``, the shorter, has of its own, with
+    places, lengths and characters that so many edits allow; how many segments of ``a`` the key is,
+    and how many must be shared in all. With s edits before a shared segment that shift it, and those
+    behind it that make up the rest of the lengths' difference d, abs(s) + abs(d - s) are in the budget."""
+    rows = rows[np.lexsort((rows["first"], rows["line"], rows["size"], rows["key"]))]
+    same = np.zeros(len(rows), dtype=bool)
+    same[1:] = np.logical_and.reduce([rows[c][1:] == rows[c][:-1] for c in ("key", "size", "line", "first")])
+    rows = rows[~same]  # a line that several tasks had
+    at = rows["key"].astype(np.uint64) << np.uint64(32) | rows["size"]
+    own = np.nonzero(rows["own"])[0]
+    sizes = rows["size"].astype(np.int64)
+    first, last, line, bag = rows["first"].astype(np.int64), rows["last"].astype(np.int64), rows["line"], rows["bag"]
+    edits = edits_of(sizes)
+    low = np.searchsorted(at, at[own])
+    n = np.searchsorted(at, at[own] + edits[own].astype(np.uint64), side="right") - low
+    ends = np.cumsum(n)
+    i = 0
+    while i < len(own):
+        done = ends[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, done + CELL * CELL, side="right")))
+        nth = np.repeat(np.arange(i, j), n[i:j])
+        a, b = own[nth], np.arange(len(nth)) + done - (ends - n)[nth] + low[nth]
+        k, longer = edits[a], sizes[b] - sizes[a]
+        ok = (last[b] - first[a] >= (longer - k) / 2) & (first[b] - last[a] <= (longer + k) / 2)
+        ok = np.nonzero(ok & ((longer > 0) | (line[a] < line[b])))[0]
+        gap = np.abs(bag[a[ok]].astype(np.int16) - bag[b[ok]]).sum(axis=1)
+        a, b = (x[ok[gap <= 2 * k[ok]]] for x in (a, b))
+        yield line[a], line[b], rows["own"][a].astype(np.int64), _parts(sizes[a]) - edits[a]
+        i = j
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, shared, needed: pairs of lines and how many segments they share, by key."""
+    now, held = None, []
+
+    def solve() -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(held) if held else np.empty(0, _KEY)
+        held.clear()
+        for found in _met(rows):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "shared", "needed"])
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, line (its name), own: the keys of all lines, each line once for a task while it is remembered."""
-    recent: set[int] = set()
-    keys, names, own = [], [], []
+    for batch in batches:
+        for bucket, keys in zip(batch.column("bucket").to_pylist(), batch.column("keys"), strict=True):
+            if bucket != now:
+                yield from solve()
+                now = bucket
+            held.append(np.frombuffer(keys.as_py(), dtype=_KEY))
+    yield from solve()
 
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(np.array(names, dtype=np.uint64).view(np.int64)), pa.array(own)], names=["key", "line", "own"])
-        for x in (keys, names, own):
-            x.clear()
-        return out
 
-    digest = xxhash.xxh64_intdigest
-    for batch in batches:
-        for text in batch.column("text"):
-            for line in (text.as_py() or "").split("\n"):
-                if not line.strip(SPACE):
-                    continue
-                name = digest(line, NAME_SEED)
-                if name in recent:
-                    continue
-                if len(recent) >= RECENT:
-                    recent.clear()
-                recent.add(name)
-                wanted = _keys_of(len(line))
-                keys += [digest(line[a:b], seed) for a, b, seed in wanted]
-                names += [name] * len(wanted)
-                n = edits_of(len(line)) + 1 if wanted else 0
-                own += [True] * n + [False] * (len(wanted) - n)
-            if len(keys) > 100_000:
-                yield flush()
-    yield flush()
-
-
-def _bags(lines: list[str]) -> np.ndarray:
+def _bag(line: str) -> np.ndarray:
     """Counts of characters by 32 groups: an edit changes a line's counts by 2 at most."""
-    out = np.zeros((len(lines), 32), dtype=np.int32)
-    for i, x in enumerate(lines):
-        codes = np.frombuffer(x.encode("utf-32-le"), dtype="<u4")
-        out[i] = np.bincount(codes & 31, minlength=32)
-    return out
-
-
-def linked(lines: list[str], own: list[bool], sides: list[int]) -> list[int]:
-    """For each line the first of those it is joined with, by near lines that share the cell's key."""
-    root = list(range(len(lines)))
-    two = len(set(sides)) > 1
-    bags = _bags(lines) if len(lines) > 8 else None
-    lengths = np.array([len(x) for x in lines])
-    for i in range(len(lines) - 1):
-        later = range(i + 1, len(lines))
-        if bags is not None:
-            gap = np.abs(bags[i + 1 :] - bags[i]).sum(axis=1)
-            later = (np.nonzero((gap <= 2 * EDITS) & (np.abs(lengths[i + 1 :] - lengths[i]) <= EDITS))[0] + i + 1).tolist()
-        for j in later:
-            if root[i] != root[j] and (own[i] or own[j]) and not (two and sides[i] == sides[j]) and within(lines[i], lines[j], edits_of(min(len(lines[i]), len(lines[j])))):
-                a, b = sorted((root[i], root[j]))
-                root = [a if r == b else r for r in root]
-    return root
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cell, held = None, {}
-    a, b = [], []
-
-    def solve() -> None:
-        names = sorted(held)
-        root = linked([held[n][0] for n in names], [held[n][1] for n in names], [held[n][2] for n in names])
-        for n, r in zip(names, root, strict=True):
-            if names[r] != n:
-                a.append(n)
-                b.append(names[r])
-
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-        a.clear()
-        b.clear()
-        return out
+    return np.bincount(np.frombuffer(line.encode("utf-32-le"), dtype="<u4") & 31, minlength=32)
+
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bag = lru_cache(1 << 14)(_bag)
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("key", "low", "high", "line", "own", "side", "text"))
-        for key, low, high, line, own, side, text in zip(*columns, strict=True):
-            if (key, low, high) != cell:
-                if len(held) > 1:
-                    solve()
-                cell, held = (key, low, high), {}
-            held[line] = (text, own or (line in held and held[line][1]), side)
-        if len(a) > 50_000:
-            yield flush()
-    if len(held) > 1:
-        solve()
-    yield flush()
+        keep = []
+        for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
+            edits = edits_of(min(len(a), len(b)))
+            keep.append(int(np.abs(bag(a) - bag(b)).sum()) <= 2 * edits and within(a, b, edits))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _worded(line: Column) -> Column:
@@ -210,20 +279,17 @@ def _hashed(docs: DataFrame) -> DataFrame:
 def near_lines(docs: DataFrame, n: int | None = None) -> DataFrame:
     """line, component: names of lines with a near-duplicate, and the smallest name of their class.
     ``n``: about how many lines there are."""
-    keys = docs.select("text").mapInArrow(_signatures, "key long, line long, own boolean")
-    # Whether unlike lines meet under a key. Spark holds the rows of one key at a time for this, on disk if they are many.
-    group = Window.partitionBy("key")
-    keys = keys.select("*", F.min("line").over(group).alias("least"), F.max("line").over(group).alias("most"), F.max("own").over(group).alias("indexed"))
-    live = cut(keys.where("indexed and least <> most").select("key", "line", "own").groupBy("key", "line").agg(F.max("own").alias("own")), "lines-live", n and 12 * n)
-    counts = live.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
-    wanted = live.select("line").distinct()
+    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    buckets = chars // BUCKET + 1
+    keys = docs.select("text").mapInArrow(_signatures(buckets), "bucket int, keys binary")
+    keys = keys.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    pairs = keys.mapInArrow(_pairs, "a long, b long, shared long, needed long").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed"))
+    pairs = cut(pairs.where("shared >= needed").select("a", "b"), "lines-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
     texts = docs.select(F.explode(F.split("text", "\n")).alias("text")).select(F.xxhash64("text").alias("line"), "text")
-    texts = texts.join(wanted.hint("shuffle_hash"), "line", "left_semi").dropDuplicates(["line"])
-    rows = live.join(counts, "key").withColumn("side", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int")).join(texts, "line")
-    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = cells.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "line", "own", "side", "text")
-    cells = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return components(cells.mapInArrow(_verify, "a long, b long"), "lines-links", n).withColumnRenamed("node", "line")
+    texts = cut(texts.join(wanted.hint("shuffle_hash"), "line", "left_semi").dropDuplicates(["line"]), "lines-texts", n, TEXT_ROWS)
+    rows = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("line").alias("b"), F.col("text").alias("text_b")), "b")
+    return components(rows.select("a", "b", "text_a", "text_b").mapInArrow(_near, "a long, b long"), "lines-links", n).withColumnRenamed("node", "line")
 
 
 def _removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -114,3 +114,19 @@ def test_edges(spark):
     texts = sorted((r["doc_id"] or 0, r["text"]) for r in L.drop_lines(docs).collect() if r["doc_id"] != 1)
     assert texts == [(0, ""), (2, ""), (3, ""), (3, rows[2][1]), (4, "\n \n"), (5, "y" * 5000), (6, "")]
     assert L.line_report(docs.limit(0)).count() == 0 and L.drop_lines(docs.limit(0)).count() == 0
+
+
+def test_long_lines_may_have_a_tenth_of_edits(spark):
+    r = random.Random(9)
+    rows = []
+    for i, n in enumerate((30, 99, 166, 338, 700, 1500)):
+        line = "".join(r.choice("abcdefgh é") for _ in range(n))
+        near, word = changed(r, line, n // 10 - n // 100), line[:20] + "replaced" * (n // 100) + line[20 + 8 * (n // 100) :]
+        far = line[: n // 2] + "Z" * (n // 10 + 1) + line[n // 2 + n // 10 + 1 :]
+        rows += [(10 * i, line), (10 * i + 1, near), (10 * i + 2, word), (10 * i + 3, far)]
+    rows += [(100, "ab " * 60), (101, "ab " * 40 + "cd " * 5 + "ab " * 16)]  # repeated segments
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows)
+    assert {i % 10 for i in want if i < 100} >= {1, 2} and 3 not in {i % 10 for i in want} and 101 in want
+    got = {x["doc_id"]: [tuple(y) for y in x["removed"]] for x in L.line_report(docs).collect()}
+    assert {i: v for i, v in got.items() if v} == want

@@ -5,8 +5,9 @@ values given to names like password or token, private key blocks, and long mixed
 forest then judges each by its length and alphabet, how usual its characters' transitions are in
 the corpus, how much of it dictionary words cover, words of its path, and the words around it.
 
-Transitions and the dictionary are counted over all documents; what is kept of them has a fixed
-size. The forest is trained on labelled findings, at most ``LABELLED`` of them; by default they are
+Transitions and the dictionary are counted over all documents. The table of transitions has a fixed
+size; the dictionary has the words that make up a share of all occurrences, so it grows with the
+languages of the corpus. The forest is trained on labelled findings, at most ``LABELLED`` of them; by default they are
 made here, from a seed, with the dictionary's words around them.
 
 Defined results: a null or empty text has no findings; a null path has no words; texts of any
@@ -29,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled findings that a forest is trained on at most; words of the dictionary.
-LABELLED, DICTIONARY = 20_000, 5_000
+#: Labelled findings that a forest is trained on at most; share of all words' occurrences that those of the dictionary have.
+LABELLED, DICTIONARY = 20_000, 0.6
 TREES, DEPTH, BINS, LEAST = 48, 8, 32, 4
 CUTOFF, SEED, NEAR, CONTEXT = 0.5, 6, 3, 120
 _FLUSH = 400_000
@@ -51,7 +52,7 @@ PATTERN = re.compile(
 SUSPECT_WORDS = ("password", "passwd", "pwd", "secret", "token", "key", "auth", "example", "sample", "test", "dummy", "placeholder", "changeme", "commit", "sha", "sha1", "sha256", "md5", "checksum", "hash", "uuid", "guid", "id", "digest", "revision", "image", "base64")
 ASKING, BENIGN = frozenset(SUSPECT_WORDS[:7]), frozenset(SUSPECT_WORDS[7:])
 PATH_BENIGN, PATH_CONFIG = re.compile(r"test|spec|example|sample|fixture|mock|docs?\b|readme|lock", re.I), re.compile(r"\.env|config|settings|deploy|secret|credential|\.ya?ml|\.ini|\.tf|prod", re.I)
-_words, _letters = re.compile(r"[^\W_]+").findall, re.compile(r"[^\W\d_]{3,15}").findall
+_words, _letters = re.compile(r"[^\W_]+").findall, re.compile(r"[^\W\d_]{3,}").findall
 
 
 @dataclass
@@ -109,7 +110,8 @@ def _transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def study(docs: DataFrame) -> Corpus:
-    """Counts all documents' transitions and words; keeps the table and the DICTIONARY top words."""
+    """Counts all documents' transitions and words; keeps the table and the top words that have the share
+    DICTIONARY of all occurrences, and all that are as frequent as the last of them."""
     from folioscope.llm.common import cut
 
     counted = docs.select("text").mapInArrow(_transitions, "item string, n long").groupBy("item").agg(F.sum("n").alias("n"))
@@ -118,7 +120,14 @@ def study(docs: DataFrame) -> Corpus:
     table = np.full((128, 128), 0.5)
     for r in counted.where(number).collect():  # at most 128 * 128
         table[int(r["item"]) // 128, int(r["item"]) % 128] += r["n"]
-    words = counted.where(~number).orderBy(F.desc("n"), "item").limit(DICTIONARY).collect()
+    words, total, least = counted.where(~number), 0, 0
+    sizes = words.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect()  # far fewer than words: about the root of all occurrences
+    wanted = DICTIONARY * sum(r["n"] * r["words"] for r in sizes)
+    for r in sizes:
+        if total >= wanted:
+            break
+        total, least = total + r["n"] * r["words"], r["n"]
+    words = words.where(F.col("n") >= least).collect()
     return Corpus(np.log(table / table.sum(axis=1, keepdims=True)), frozenset(r["item"] for r in words))
 
 
@@ -247,7 +256,9 @@ def labelled_findings(words: list[str], n: int = 6000, seed: int = SEED) -> list
 
 
 def train(corpus: Corpus, findings: list[tuple] | None = None) -> Forest:
-    rows = (findings if findings is not None else labelled_findings(list(corpus.words)))[:LABELLED]
+    rows = findings if findings is not None else labelled_findings(list(corpus.words))
+    if len(rows) > LABELLED:
+        rows = random.Random(SEED).sample(rows, LABELLED)
     x = np.array([features(corpus, *r[:5]) for r in rows])
     return Forest(x, np.array([r[5] for r in rows]))
 

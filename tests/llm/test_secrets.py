@@ -68,3 +68,20 @@ def test_long_secrets_leave_nothing_behind(spark):
     docs = spark.createDataFrame([(1, f"{prose} token={run} {prose}"), (2, f"{prose} {block} {prose}")], "doc_id long, text string")
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
     assert clean == {1: f"{prose} token=[secret] {prose}", 2: f"{prose} [secret] {prose}"}
+
+
+def test_dictionary_has_a_share_of_all_words(spark):
+    rows = [(1, " ".join(["the"] * 40 + ["house"] * 15 + ["donaudampfschifffahrt"] * 15 + [f"rare{chr(97 + i)}" for i in range(26)]))]
+    corpus = secrets.study(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert corpus.words == {"the", "house", "donaudampfschifffahrt"}  # 70 of 96; ties stay together
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    many = " ".join(letters(i) for i in range(8000))
+    assert len(secrets.study(spark.createDataFrame([(1, many)], "doc_id long, text string")).words) == 8000
+
+
+def test_labelled_findings_are_a_sample(monkeypatch):
+    corpus = secrets.Corpus(np.log(np.full((128, 128), 1 / 128)), frozenset(w for w in WORDS if len(w) > 2))
+    findings = sorted(secrets.labelled_findings(sorted(corpus.words), 400), key=lambda x: x[5])
+    monkeypatch.setattr(secrets, "LABELLED", 150)
+    p = secrets.train(corpus, findings).predict(np.array([secrets.features(corpus, *x[:5]) for x in findings]))
+    assert (p >= 0.5).any() and (p < 0.5).any()

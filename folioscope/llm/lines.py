@@ -1,16 +1,20 @@
 """Line dedup by a segment-partition edit join.
 
-Two lines are near-duplicates if their edit distance is at most a tenth of the shorter one's length,
-whatever that is. Each line is split into one segment more than the edits it may have, or into as
-many as have nine characters, so two near lines share all segments but the edits; a line indexes
-its own segments, and looks up all its substrings of the widths that a shorter partner's segments
-have. Lines that share enough segments, at places that the edits allow, are verified by a
-bit-parallel edit distance. Near lines chain into classes; of each class, and of each line that just
-repeats, the first occurrence (smallest id, then line) stays.
-
-Keys travel without texts, many to a row, by buckets of their hashes; there are about as many keys
-as characters. Within a bucket lines that share a key meet if their lengths, the key's places and
-their counts of characters allow it. Only pairs that share enough go on, with their lines' texts.
+Two lines are near-duplicates if their edit distance is at most two, and one more for every
+``EDIT_CHARS`` characters of the shorter line, but no more than a tenth of it.
+A line is split into one segment more than the edits it may have, so a near line that is no shorter
+holds at least one of its segments whole, moved by no more than the edits. Segments are indexed, and
+probed for among all substrings of the longer line, by one gram each: of the grams within a segment
+that whose group is rarest in the corpus (then that of the smallest hash, then the first). Equal
+substrings have the same such gram, so a line needs no key for each of its substrings: those of one
+width have few grams among them. Pairs that share a gram at places and lengths that the edits allow
+are verified by a banded bit-parallel edit distance, many pairs at once. Near lines chain into
+classes; of each class, and of each line that just repeats, the first occurrence (smallest id, then
+line) stays.
+
+Keys travel without texts, many to a row, by buckets of their hashes. A segment with more than
+``CROWD`` lines to meet meets a few at first; what these links leave in different classes is
+compared in a second round, so a group of copies doesn't make all its pairs and no pair is lost.
 
 Lines are named by a 64-bit hash; should two lines have the same, which a second hash shows, both
 are left alone. Lines without a word are no lines here and always stay.
@@ -22,6 +26,8 @@ repeat, one keeps its lines; a text left without lines stays as a row. Other col
 
 from __future__ import annotations
 
+import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,53 +40,54 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import SPACE, TEXT_ROWS, cut, files_for
 from folioscope.llm.graph import components
 
-CHARS_PER_EDIT, LONGEST = 10, 9
-#: Own keys of a bucket that meet their partners at once, and lines that a task remembers so as to emit each once.
-CELL, RECENT = 512, 500_000
-#: Of Spark's xxhash64, so that both sides name a line alike.
-NAME_SEED = 42
+EDIT_CHARS, SHORTEST = 40, 10
+#: Lines to meet that make a crowd, and how many of these a segment meets at first. Pairs looked at together.
+CROWD, FEW, TOGETHER = 64, 8, 1 << 20
+#: Lines of half a cell of the second round.
+CELL = 1000
+#: Lines that a task remembers so as to emit each once.
+RECENT = 500_000
 #: Characters hashed at once, keys held before they go out, and characters of all texts for a bucket.
-CHARS, HELD, BUCKET = 1 << 18, 1 << 20, 1 << 20
-#: A key's hash within its bucket; of its line the name, the first and last place of the key, the length,
-#: how many of its own segments the key is, and counts of characters by 16 groups, up to 255 each.
-_KEY = np.dtype([("key", "<u4"), ("line", "<i8"), ("first", "<u4"), ("last", "<u4"), ("size", "<u4"), ("own", "<u4"), ("bag", "u1", (16,))])
+CHARS, HELD, BUCKET = 1 << 16, 1 << 20, 1 << 23
+#: Bits of a place within the characters hashed at once, and the longest piece of a line among them.
+PLACE_BITS, PIECE = 20, 1 << 19
+#: Groups of grams that are counted, and bits of the map of lines whose texts are asked for.
+GROUPS, MAP_BITS = 1 << 16, 1 << 24
+#: Rows of the distance matrix that are kept: distances up to BAND - 1.
+BAND = 32
+#: Of a key its hash within its bucket; of its line the name, the first place of the key and how far on its
+#: last one is, the length, and whether the key is of one of its own segments.
+_KEY = {"key": np.uint32, "line": np.int64, "first": np.uint32, "span": np.uint32, "size": np.uint32, "own": np.uint8}
+Keys = dict[str, np.ndarray]
+_STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: Least lengths of the classes of lines whose segments are cut to one width, and characters of their grams.
+_STARTS = (10, 20, 40, 80, 120, 160, 200, 240, 280, 320)
+_GRAM = (5, 5, 8, 10, 12, 12, 12, 12, 12, 12)
 
 
-def edits_of(length: int) -> int:
-    return length // CHARS_PER_EDIT
+def edits_of(length):
+    """Edits that a line of that length (or lengths) may have."""
+    return np.minimum(length // SHORTEST, 2 + length // EDIT_CHARS)
 
 
-def _parts(length):
-    """Segments of a line of that length (or lengths): one more than it may have edits, or as many as
-    have LONGEST characters if those are more. All but the edits stay as they are."""
-    return np.maximum(edits_of(length) + 1, length // LONGEST)
+def _class_of(length: int) -> int:
+    return bisect_right(_STARTS, length) - 1
 
 
-def _width(length: int) -> int:
-    """Characters of the shortest segment of a line of that length: 5 to LONGEST."""
-    return min(LONGEST, length // int(_parts(length)))
+def _shape(kind: int) -> tuple[int, int]:
+    """Characters of a gram, and of a segment at least, for lines of that class."""
+    return _GRAM[kind], _STARTS[kind] // int(edits_of(_STARTS[kind]) + 1)
 
 
-def _segments(length: int) -> np.ndarray:
-    """Start of each segment of a line of that length."""
-    n = int(_parts(length))
-    return np.arange(n) * (length // n) + np.maximum(0, np.arange(n) - (n - length % n))
+@lru_cache(1 << 16)
+def _kind(length: int) -> tuple[int, bool]:
+    """The class of a line, and whether it may have a near line of the class below."""
+    kind = _class_of(length)
+    most = _STARTS[kind] - 1
+    return kind, bool(length - most <= edits_of(most))
 
 
-@lru_cache(1 << 12)
-def _keys_of(length: int) -> np.ndarray:
-    """Start, end and width of the substrings that a line has keys of; first its own segments, cut
-    to one width, then all others of the widths that a partner no longer than it may have."""
-    edits, width = edits_of(length), _width(length)
-    if not edits:
-        return np.empty((0, 3), dtype=np.int64)
-    own = _segments(length)
-    rows = [np.stack([own, own + width, np.full(len(own), width)], axis=1)]
-    for w in sorted({_width(n) for n in range(max(CHARS_PER_EDIT, length - edits), length + 1) if length - n <= edits_of(n)}):
-        at = np.arange(length - w + 1)
-        at = np.setdiff1d(at, own) if w == width else at
-        rows.append(np.stack([at, at + w, np.full(len(at), w)], axis=1))
-    return np.concatenate(rows)
+# Distances ----------------------------------------------------------------------------------------
 
 
 def within(a: str, b: str, edits: int) -> bool:
@@ -117,190 +124,557 @@ def within(a: str, b: str, edits: int) -> bool:
     return score <= edits
 
 
-def _keys(lines: list[str], names: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (64 bits) and keys of the lines, each key once for a line."""
-    codes = np.frombuffer("".join(lines).encode("utf-32-le"), dtype="<u4").astype(np.uint64) + np.uint64(1)
-    wide = {}
-    rolled = np.zeros(len(codes), dtype=np.uint64)
-    for w in range(1, LONGEST + 1):
-        rolled = rolled[: len(codes) - w + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[w - 1 :]
-        wide[w] = rolled
-    hashes, out, base = [], [], 0
-    for line, name in zip(lines, names, strict=True):
-        wanted = _keys_of(len(line))
-        h = np.empty(len(wanted), dtype=np.uint64)
-        for w in np.unique(wanted[:, 2]).tolist():
-            these = wanted[:, 2] == w
-            h[these] = wide[w][base + wanted[these, 0]] + np.uint64(w)
-        order = np.argsort(h, kind="stable")
-        starts = np.nonzero(np.diff(h[order], prepend=h[order[:1]] + np.uint64(1)))[0]
-        rows = np.empty(len(starts), dtype=_KEY)
-        rows["line"], rows["size"] = name, len(line)
-        if len(starts):
-            rows["first"], rows["last"] = np.minimum.reduceat(wanted[order, 0], starts), np.maximum.reduceat(wanted[order, 0], starts)
-            rows["own"] = np.add.reduceat(order < _parts(len(line)), starts, dtype=np.int64)
-            rows["bag"] = np.minimum(np.bincount(codes[base : base + len(line)].astype(np.int64) & 15, minlength=16), 255)
-        hashes.append(h[order[starts]])
-        out.append(rows)
-        base += len(line)
-    h = np.concatenate(hashes)
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
-    return h, np.concatenate(out)
-
-
-def _signatures(buckets: int):
+def _matrix(texts: list[str], before: int, width: int, fill: int) -> np.ndarray:
+    """Character codes, a row for each text, with ``before`` places in front."""
+    sizes = np.array([len(t) for t in texts])
+    out = np.full((len(texts), width), fill, dtype=np.uint32)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4")
+    row = np.repeat(np.arange(len(texts)), sizes)
+    out[row, np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + before] = codes
+    return out
+
+
+def banded(pairs: list[tuple[str, str]], limits: np.ndarray) -> np.ndarray:
+    """Edit distances of (shorter, longer) pairs, or of those above their limits (all below BAND) some
+    number above it. For each column of the matrix 2 * BAND rows about its diagonal are kept, as bits
+    of two numbers for each pair (steps up and down from row to row); the distance is followed along
+    the diagonal that ends in the last cell, where it never falls, so pairs above the limit leave."""
+    short, long_ = [a for a, _ in pairs], [b for _, b in pairs]
+    sizes = np.array([len(b) for b in long_])
+    most = int(sizes.max(initial=0))
+    rows = _matrix(short, BAND, most + 3 * BAND, 0xFFFFFFFF)
+    columns = _matrix(long_, 0, most, 0xFFFFFFFE)
+    gap = sizes - np.array([len(a) for a in short])
+    out, score = gap.copy(), gap.copy()
+    now = np.arange(len(pairs))
+    end = (BAND - np.minimum(gap, BAND)).astype(np.uint64)  # the bit of the last cell's diagonal
+    one = np.uint64(1)
+    up = np.full(len(pairs), ~((1 << BAND) - 1) & (1 << 64) - 1, dtype=np.uint64)  # rows above the first have no steps
+    down = np.zeros(len(pairs), dtype=np.uint64)
+    for j in range(most):
+        if j % 16 == 15:
+            stays = (score <= limits) & (sizes > j)
+            if stays.sum() * 4 < len(now) * 3:
+                out[now] = score
+                now, rows, columns, sizes, gap, end, up, down, score, limits = (x[stays] for x in (now, rows, columns, sizes, gap, end, up, down, score, limits))
+                if not len(now):
+                    break
+        same = np.packbits(rows[:, j : j + 2 * BAND] == columns[:, j, None], axis=1, bitorder="little").view("<u8")[:, 0]
+        flat = (((same & up) + up) ^ up) | same | down
+        plus, minus = down | ~(flat | up), flat & up
+        score += (j >= gap) & (j < sizes) & ((flat >> end & one) == 0)
+        flat >>= one
+        up, down = minus | ~(flat | plus), flat & plus
+    out[now] = score
+    return out
+
+
+# Keys ---------------------------------------------------------------------------------------------
+
+
+def _joined(parts: list[Keys]) -> Keys:
+    return {c: np.concatenate([np.empty(0, t), *(p[c] for p in parts)]) for c, t in _KEY.items()}
+
+
+def _some(rows: Keys, at: np.ndarray) -> Keys:
+    return {c: x[at] for c, x in rows.items()}
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of each range, and all numbers of the ranges."""
+    nth = np.repeat(np.arange(len(counts)), counts)
+    return nth, np.arange(len(nth)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
+
+
+def _rolled(codes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all grams of ``k`` characters: those of half the length make up those of the whole."""
+    h, n, steps = codes, 1, bin(k)[3:]
+    for bit in steps:
+        shift = np.uint64(pow(int(_STEP), n, 1 << 64))
+        h, n = h[: len(h) - n] * shift + h[n:], 2 * n
+        if bit == "1":
+            h, n = h[:-1] * _STEP + codes[n : n + len(h) - 1], n + 1
+    h = (h ^ (h >> np.uint64(31))) * _SPREAD
+    return h ^ (h >> np.uint64(29))
+
+
+def _codes(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4").astype(np.uint64) + np.uint64(1)
+
+
+def _group_of(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(48)).astype(np.intp)
+
+
+def _chosen(h: np.ndarray, k: int, width: int, ranks: np.ndarray) -> np.ndarray:
+    """For each substring of ``width`` characters the place of its gram, by (rank of the group, hash, place)."""
+    v = ranks[_group_of(h)] << np.uint64(48) | h << np.uint64(16) >> np.uint64(16 + PLACE_BITS) << np.uint64(PLACE_BITS) | np.arange(len(h), dtype=np.uint64)
+    n, wanted = 1, width - k + 1
+    while n < wanted:
+        step = min(n, wanted - n)
+        v = np.minimum(v[:-step], v[step:])
+        n += step
+    return (v & np.uint64((1 << PLACE_BITS) - 1)).astype(np.intp)
+
+
+def _pieces(line: str) -> list[tuple[int, str]]:
+    """A line, or parts of a very long one that overlap by more than a segment, with their starts."""
+    if len(line) <= PIECE:
+        return [(0, line)]
+    return [(at, line[at : at + PIECE + EDIT_CHARS]) for at in range(0, len(line) - EDIT_CHARS, PIECE)]
+
+
+def _keys(lines: list[tuple[int, int, int, str]], kind: int, lower: bool, ranks: np.ndarray) -> tuple[np.ndarray, Keys]:
+    """Hashes (64 bits) and keys of pieces (name, length of the line, start, text) of one class's lines."""
+    names, sizes, starts = (np.array(x, dtype=np.int64) for x in ([p[i] for p in lines] for i in range(3)))
+    texts = [p[3] for p in lines]
+    lengths = np.array([len(t) for t in texts])
+    base = np.cumsum(lengths) - lengths
+    codes = _codes(texts)
+    k, width = _shape(kind)
+    shapes = [(k, width)]
+    if lower:
+        below = _shape(kind - 1)
+        shapes = [below] if below[0] == k else [*shapes, below]  # narrower substrings have all grams of wider ones
+    parts = edits_of(sizes) + 1
+    of, nth = _ranges(np.zeros(len(parts), dtype=np.int64), parts)
+    segment = nth * sizes[of] // parts[of] - starts[of]
+    inside = (segment >= 0) & (segment + width <= lengths[of])
+    segment = segment[inside] + base[of[inside]]
+    hashes, out = [], []
+    for k_, width_ in shapes:
+        h = _rolled(codes, k_)
+        place = _chosen(h, k_, width_, ranks)
+        sound = np.ones(len(place), dtype=bool)  # substrings that don't run into the next piece
+        _, over = _ranges(base + np.maximum(lengths - width_ + 1, 0), np.minimum(lengths, width_ - 1))
+        sound[over[over < len(sound)]] = False
+        new = sound.copy()
+        new[1:] &= (place[1:] != place[:-1]) | ~sound[:-1]
+        at = place[new]
+        own = np.zeros(len(codes), dtype=bool)
+        if k_ == k:
+            own[(place if width_ == width else _chosen(h, k, width, ranks))[segment]] = True
+        piece = np.searchsorted(base, at, side="right") - 1
+        key = h[at] * _STEP + np.uint64(k_)
+        key = (key ^ (key >> np.uint64(32))) * _SPREAD
+        follows = np.zeros(len(at), dtype=bool)  # a run of one gram is one key
+        follows[1:] = (key[1:] == key[:-1]) & (piece[1:] == piece[:-1])
+        first = np.nonzero(~follows)[0]
+        last = np.append(first[1:], len(at))[: len(first)] - 1
+        of = piece[first]
+        rows = {"key": np.zeros(len(first)), "line": names[of], "first": at[first] + (starts - base)[of], "span": at[last] - at[first], "size": sizes[of]}
+        rows["own"] = np.logical_or.reduceat(own[at], first) if len(first) else np.zeros(0)
+        hashes.append(key[first])
+        out.append({c: rows[c].astype(t) for c, t in _KEY.items()})
+    return np.concatenate(hashes), _joined(out)
+
+
+def _name(line: str) -> int:
+    h = xxhash.xxh64_intdigest(line)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _worded(line: str) -> bool:
+    return bool(line.strip(SPACE))
+
+
+def _signatures(buckets: int, ranks: np.ndarray):
     """bucket, keys: the keys of all lines, many to a row; each line once for a task while it is remembered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: set[int] = set()
-        lines, names, chars = [], [], 0
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def take() -> None:
-            nonlocal chars
-            if lines:
-                held.append(_keys(lines, names))
-            lines.clear()
-            names.clear()
-            chars = 0
+        waiting: dict[tuple[int, bool], list] = {}
+        chars: dict[tuple[int, bool], int] = {}
+        held: list[tuple[np.ndarray, Keys]] = []
 
         def flush() -> pa.RecordBatch:
-            h, rows = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.empty(0, np.uint64), np.empty(0, _KEY))
+            h, rows = np.concatenate([np.empty(0, np.uint64), *(x for x, _ in held)]), _joined([x for _, x in held])
             held.clear()
-            rows["key"] = h >> np.uint64(32)
-            bucket = ((h & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            rows, bucket = rows[order], bucket[order]
-            edges = [*np.nonzero(np.diff(bucket, prepend=-1))[0].tolist(), len(rows)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int32()), pa.array([rows[i:j].tobytes() for i, j in zip(edges, edges[1:])], pa.binary())], names=["bucket", "keys"])  # noqa: RUF007
+            order = np.argsort(h)
+            h, rows = h[order], _some(rows, order)
+            bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            rows["key"] = (h * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)  # what the bucket leaves of the hash
+            edges = [*np.nonzero(np.diff(bucket, prepend=-1))[0].tolist(), len(h)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int32()), pa.array(_packed(rows, edges), pa.binary())], names=["bucket", "keys"])
 
         for batch in batches:
             for text in batch.column("text"):
                 for line in (text.as_py() or "").split("\n"):
-                    if len(line) < CHARS_PER_EDIT or not line.strip(SPACE):
+                    if len(line) < SHORTEST or not _worded(line):
                         continue
-                    name = xxhash.xxh64_intdigest(line, NAME_SEED)
+                    name = _name(line)
                     if name in recent:
                         continue
                     if len(recent) >= RECENT:
                         recent.clear()
                     recent.add(name)
-                    lines.append(line)
-                    names.append(name - (1 << 64) if name >> 63 else name)
-                    chars += len(line)
-                    if chars >= CHARS:
-                        take()
-                        if sum(len(h) for h, _ in held) >= HELD:
-                            yield flush()
-        take()
-        yield flush()
+                    group = _kind(len(line))
+                    for start, piece in _pieces(line):
+                        waiting.setdefault(group, []).append((name, len(line), start, piece))
+                        chars[group] = chars.get(group, 0) + len(piece)
+                        if chars[group] >= CHARS:
+                            held.append(_keys(waiting.pop(group), *group, ranks))
+                            chars[group] = 0
+                            if sum(len(h) for h, _ in held) >= HELD:
+                                yield flush()
+        held += [_keys(pieces, *group, ranks) for group, pieces in waiting.items()]
+        if sum(len(h) for h, _ in held):
+            yield flush()
 
     return run
 
 
-def _met(rows: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """a, b: names of unlike lines that share a key which ``a``, the shorter, has of its own, with
-    places, lengths and characters that so many edits allow; how many segments of ``a`` the key is,
-    and how many must be shared in all. With s edits before a shared segment that shift it, and those
-    behind it that make up the rest of the lengths' difference d, abs(s) + abs(d - s) are in the budget."""
-    rows = rows[np.lexsort((rows["first"], rows["line"], rows["size"], rows["key"]))]
-    same = np.zeros(len(rows), dtype=bool)
-    same[1:] = np.logical_and.reduce([rows[c][1:] == rows[c][:-1] for c in ("key", "size", "line", "first")])
-    rows = rows[~same]  # a line that several tasks had
+def _packed(rows: Keys, edges: list[int]) -> list[bytes]:
+    """Parts of rows, each in order of its keys, those as differences; field by field, and compressed."""
+    steps = np.diff(rows["key"], prepend=np.uint32(0))
+    steps[edges[:-1]] = rows["key"][edges[:-1]]
+    rows = rows | {"key": steps}
+    halves = [np.ascontiguousarray(rows[c].view(np.uint16).reshape(-1, 2)[:, i]) for c in ("key", "first", "span", "size") for i in range(2)]  # the higher ones are mostly zeros
+    columns = [*halves, rows["line"], rows["own"]]
+    parts = [b"".join(x[i:j].tobytes() for x in columns) for i, j in zip(edges, edges[1:])]  # noqa: RUF007
+    return [(j - i).to_bytes(4, "little") + pa.compress(x, codec="zstd", asbytes=True) for x, i, j in zip(parts, edges, edges[1:])]
+
+
+def _unpacked(data: bytes) -> Keys:
+    n = int.from_bytes(data[:4], "little")
+    columns, rows, at = pa.decompress(data[4:], 25 * n, codec="zstd", asbytes=True), {}, 0
+    for c in ("key", "first", "span", "size"):
+        low, high = (np.frombuffer(columns, dtype=np.uint16, count=n, offset=at + 2 * n * i).astype(np.uint32) for i in range(2))
+        rows[c], at = low | high << np.uint32(16), at + 4 * n
+    rows["key"] = np.cumsum(rows["key"], dtype=np.uint32)
+    return rows | {"line": np.frombuffer(columns, dtype=np.int64, count=n, offset=at), "own": np.frombuffer(columns, dtype=np.uint8, offset=at + 8 * n)}
+
+
+# Pairs --------------------------------------------------------------------------------------------
+
+
+def _shared(rows: Keys) -> Keys:
+    """The rows of keys that several lines have, one of them of its own; in order of key, size and
+    line, each line once for a key."""
+    n = len(rows["key"])
+    v = np.sort(rows["key"].astype(np.uint64) << np.uint64(32) | np.arange(n, dtype=np.uint64))
+    key = (v >> np.uint64(32)).astype(np.uint32)
+    starts = np.nonzero(np.append(True, key[1:] != key[:-1])[:n])[0]
+    sizes = np.diff(starts, append=n)
+    order = (v & np.uint64(0xFFFFFFFF)).astype(np.intp)[np.repeat(sizes > 1, sizes)]
+    sizes = sizes[sizes > 1]
+    if not len(sizes):
+        return _some(rows, order)
+    starts, line = np.cumsum(sizes) - sizes, rows["line"][order]
+    several = np.maximum.reduceat(rows["own"][order], starts) > 0
+    several &= np.minimum.reduceat(line, starts) != np.maximum.reduceat(line, starts)
+    rows = _some(rows, order[np.repeat(several, sizes)])
+    place = rows["key"].astype(np.uint64) << np.uint64(32) | rows["size"]
+    order = np.lexsort((rows["line"], place))
+    rows, place = _some(rows, order), place[order]
+    at = np.nonzero(np.append(True, (place[1:] != place[:-1]) | (rows["line"][1:] != rows["line"][:-1]))[: len(place)])[0]
+    if len(at) == len(place):
+        return rows
+    last = np.maximum.reduceat(rows["first"] + rows["span"], at)
+    first, own = np.minimum.reduceat(rows["first"], at), np.maximum.reduceat(rows["own"], at)
+    return _some(rows, at) | {"first": first, "span": last - first, "own": own}
+
+
+def _compatible(rows: Keys, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the key's places and the lengths of lines ``a``, which has it of its own, and ``b``,
+    no shorter, are those of lines within the edits: with s edits before a shared segment that shift
+    it, and those behind it that make up the rest of the lengths' difference d, abs(s) + abs(d - s)
+    are in the budget."""
+    size, first, span = (rows[c].astype(np.int64) for c in ("size", "first", "span"))
+    edits, longer, shift = edits_of(size[a]), size[b] - size[a], first[b] - first[a]
+    ok = (2 * (shift + span[b]) >= longer - edits) & (2 * (shift - span[a]) <= longer + edits)
+    line, own = rows["line"], rows["own"]
+    return ok & (a != b) & ((longer > 0) | (line[a] < line[b]) | (own[b] == 0))
+
+
+def _met(rows: Keys, crowd: int = CROWD) -> Iterator[tuple[np.ndarray, np.ndarray, Keys]]:
+    """Names of pairs that meet, all of a segment or a few if it has a crowd to meet; and the rows of
+    keys with a crowd."""
+    most = min(crowd, FEW)
+    rows = _shared(rows)
     at = rows["key"].astype(np.uint64) << np.uint64(32) | rows["size"]
     own = np.nonzero(rows["own"])[0]
-    sizes = rows["size"].astype(np.int64)
-    first, last, line, bag = rows["first"].astype(np.int64), rows["last"].astype(np.int64), rows["line"], rows["bag"]
-    edits = edits_of(sizes)
+    sizes = rows["size"][own].astype(np.int64)
     low = np.searchsorted(at, at[own])
-    n = np.searchsorted(at, at[own] + edits[own].astype(np.uint64), side="right") - low
-    ends = np.cumsum(n)
-    i = 0
+    n = np.searchsorted(at, at[own] + edits_of(sizes).astype(np.uint64), side="right") - low
+    # of a crowd each line meets those that follow it in order, so that links run through all of it
+    crowded, few = n > 16 * crowd, np.minimum(n, 4 * most)
+    low = np.where(crowded, np.minimum(own, low + n - few), low)
+    n = np.where(crowded, few, n)
+    ends, i = np.cumsum(n), 0
     while i < len(own):
         done = ends[i - 1] if i else 0
-        j = max(i + 1, int(np.searchsorted(ends, done + CELL * CELL, side="right")))
-        nth = np.repeat(np.arange(i, j), n[i:j])
-        a, b = own[nth], np.arange(len(nth)) + done - (ends - n)[nth] + low[nth]
-        k, longer = edits[a], sizes[b] - sizes[a]
-        ok = (last[b] - first[a] >= (longer - k) / 2) & (first[b] - last[a] <= (longer + k) / 2)
-        ok = np.nonzero(ok & ((longer > 0) | (line[a] < line[b])))[0]
-        gap = np.abs(bag[a[ok]].astype(np.int16) - bag[b[ok]]).sum(axis=1)
-        a, b = (x[ok[gap <= 2 * k[ok]]] for x in (a, b))
-        yield line[a], line[b], rows["own"][a].astype(np.int64), _parts(sizes[a]) - edits[a]
+        j = max(i + 1, int(np.searchsorted(ends, done + TOGETHER, side="right")))
+        nth, b = _ranges(low[i:j], n[i:j])
+        a = own[i:j][nth]
+        ok = _compatible(rows, a, b)
+        a, b, nth = a[ok], b[ok], nth[ok]
+        crowded[i:j] |= np.bincount(nth, minlength=j - i) > crowd
+        meets = ~crowded[i + nth] | (np.arange(len(nth)) - np.searchsorted(nth, nth) < most)
+        a, b = a[meets], b[meets]
+        yield rows["line"][a], rows["line"][b], _some(rows, a[:0])
+        i = j
+    if crowded.any():
+        yield rows["line"][:0], rows["line"][:0], _some(rows, np.isin(rows["key"], rows["key"][own[crowded]]))
+
+
+def _pairs(crowd: int):
+    """a, b: pairs of lines that meet; or a and key, without b: a line of a crowded key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def solve() -> Iterator[pa.RecordBatch]:
+            rows = _joined(held)
+            held.clear()
+            for a, b, more in _met(rows, crowd):
+                if len(a):
+                    a, b = np.minimum(a, b), np.maximum(a, b)
+                    order = np.lexsort((b, a))
+                    a, b = a[order], b[order]
+                    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+                    yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.nulls(int(new.sum()), pa.int64())], names=["a", "b", "key"])
+                if len(more["key"]):
+                    yield pa.RecordBatch.from_arrays([pa.array(more["line"]), pa.nulls(len(more["key"]), pa.int64()), pa.array((np.int64(now or 0) << 32) + more["key"].astype(np.int64))], names=["a", "b", "key"])
+
+        for batch in batches:
+            for bucket, keys in zip(batch.column("bucket").to_pylist(), batch.column("keys"), strict=True):
+                if bucket != now:
+                    yield from solve()
+                    now = bucket
+                held.append(_unpacked(keys.as_py()))
+        yield from solve()
+
+    return run
+
+
+def crossed(lines: np.ndarray, component: np.ndarray, texts: list[str], earlier: list[list[int]], sides: np.ndarray) -> list[tuple[int, int]]:
+    """Links between lines of unlike components (and of unlike sides, if there are two), as many as
+    join these. Lines that share an ``earlier`` key meet there."""
+    order = np.argsort([len(t) for t in texts], kind="stable")
+    lines, component, sides, texts, earlier = lines[order], component[order], sides[order], [texts[i] for i in order], [earlier[i] for i in order]
+    sizes = np.array([len(t) for t in texts])
+    _, root = np.unique(component, return_inverse=True)
+    two = len(np.unique(sides)) > 1
+    known, n = np.unique(np.concatenate([np.array(k, dtype=np.int64) for k in earlier]), return_counts=True)
+    known = known[n > 1]
+    masks = np.zeros((len(lines), len(known) // 64 + 1), dtype=np.uint64)
+    for i, keys in enumerate(earlier):
+        for at in np.nonzero(np.isin(known, keys))[0].tolist():
+            masks[i, at // 64] |= np.uint64(1 << at % 64)
+    edits = edits_of(sizes)
+    first = np.arange(len(lines)) + 1
+    ends = np.cumsum(np.maximum(0, np.searchsorted(sizes, sizes + edits, side="right") - first))
+    counts = np.diff(ends, prepend=0)
+    out, i = [], 0
+    while i < len(lines):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (1 << 16), side="right")))
+        nth, b = _ranges(first[i:j], counts[i:j])
+        a = nth + i
+        ok = root[a] != root[b]
+        if two:
+            ok &= sides[a] != sides[b]
+        a, b = a[ok], b[ok]
+        ok = ~(masks[a] & masks[b]).any(axis=1)
+        a, b = a[ok], b[ok]
+        near = near_pairs([texts[x] for x in a.tolist()], [texts[x] for x in b.tolist()])
+        for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
+            if root[x] != root[y]:
+                root[root == root[y]] = root[x]
+                out.append((int(lines[x]), int(lines[y])))
         i = j
+    return out
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b, shared, needed: pairs of lines and how many segments they share, by key."""
+def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b: links within cells of crowded keys; the rows of a cell come together."""
     now, held = None, []
 
     def solve() -> Iterator[pa.RecordBatch]:
-        rows = np.concatenate(held) if held else np.empty(0, _KEY)
+        if len(held) > 1:
+            found = crossed(np.array([r["a"] for r in held]), np.array([r["component"] for r in held]), [r["text"] for r in held], [[k for k in r["keys"] if k < r["key"]] for r in held], np.array([r["side"] for r in held]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], names=["a", "b"])
         held.clear()
-        for found in _met(rows):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "shared", "needed"])
 
     for batch in batches:
-        for bucket, keys in zip(batch.column("bucket").to_pylist(), batch.column("keys"), strict=True):
-            if bucket != now:
+        for row in batch.to_pylist():
+            if (cell := (row["key"], row["low"], row["high"])) != now:
                 yield from solve()
-                now = bucket
-            held.append(np.frombuffer(keys.as_py(), dtype=_KEY))
+                now = cell
+            held.append(row)
     yield from solve()
 
 
-def _bag(line: str) -> np.ndarray:
-    """Counts of characters by 32 groups: an edit changes a line's counts by 2 at most."""
-    return np.bincount(np.frombuffer(line.encode("utf-32-le"), dtype="<u4") & 31, minlength=32)
+def _bags(lines: list[str]) -> np.ndarray:
+    """Counts of pairs of characters by 128 groups: an edit changes a line's counts by 4 at most."""
+    codes = np.frombuffer("".join(lines).encode("utf-32-le"), dtype="<u4")
+    sizes = np.array([len(x) for x in lines])
+    two = (codes[:-1] * np.uint32(37) + codes[1:] & np.uint32(127)).astype(np.int64) + np.repeat(np.arange(len(lines)) * 128, sizes)[:-1]
+    inside = np.ones(len(two), dtype=bool)
+    inside[np.cumsum(sizes)[:-1] - 1] = False
+    return np.bincount(two[inside], minlength=128 * len(lines)).reshape(-1, 128).astype(np.int16)
+
+
+def near_pairs(left: list[str], right: list[str]) -> np.ndarray:
+    """Which pairs of lines are near."""
+    near = np.zeros(len(left), dtype=bool)
+    sizes = np.array([(len(a), len(b)) for a, b in zip(left, right, strict=True)], dtype=np.int64).reshape(-1, 2)
+    least, most = sizes.min(axis=1), sizes.max(axis=1)
+    edits = edits_of(least)
+    some = np.nonzero(most - least <= edits)[0]
+    some = some[np.argsort(most[some], kind="stable")]
+    for at in range(0, len(some), 2048):
+        part = some[at : at + 2048]
+        part = part[np.abs(_bags([left[i] for i in part]) - _bags([right[i] for i in part])).sum(axis=1) <= 4 * edits[part]]
+        few = part[edits[part] < BAND]
+        if len(few):
+            near[few] = banded([tuple(sorted((left[i], right[i]), key=len)) for i in few.tolist()], edits[few]) <= edits[few]
+        for i in part[edits[part] >= BAND].tolist():
+            near[i] = within(left[i], right[i], int(edits[i]))
+    return near
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bag = lru_cache(1 << 14)(_bag)
     for batch in batches:
-        keep = []
-        for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-            edits = edits_of(min(len(a), len(b)))
-            keep.append(int(np.abs(bag(a) - bag(b)).sum()) <= 2 * edits and within(a, b, edits))
+        keep = near_pairs(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _worded(line: Column) -> Column:
-    return F.length(F.translate(line, SPACE, "")) > 0
+# Lines of documents -------------------------------------------------------------------------------
 
+_NAMED = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("text_md5", pa.binary()), ("chars", pa.int64()), ("lines", pa.list_(pa.struct([("nth", pa.int32()), ("line", pa.int64()), ("check", pa.int64())]))), ("grams", pa.list_(pa.int64()))])
+_NAMED_DDL = "doc_id long, uid long, text_md5 binary, chars long, lines array<struct<nth:int,line:long,check:long>>, grams array<long>"
 
-def _hashed(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, text_md5 and hashes (line, name, check) of the lines with a word."""
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.cast("int").alias("nth"), F.xxhash64(x).alias("line"), F.xxhash64(F.lit(1), x).alias("check"), _worded(x).alias("worded")))
-    kept = F.coalesce(F.transform(F.filter(lines, lambda x: x["worded"]), lambda x: F.struct(x["nth"], x["line"], x["check"])), F.array().cast("array<struct<nth:int,line:bigint,check:bigint>>"))
-    return cut(docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5("text")).alias("text_md5"), F.monotonically_increasing_id().alias("uid"), kept.alias("lines")), "lines-names", docs.count(), TEXT_ROWS)
 
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document, and at the end one with a task's counts of grams by group."""
+    grams = np.zeros(GROUPS, dtype=np.int64)
+    waiting: dict[int, list[str]] = {}
+    chars: dict[int, int] = {}
 
-def near_lines(docs: DataFrame, n: int | None = None) -> DataFrame:
-    """line, component: names of lines with a near-duplicate, and the smallest name of their class.
-    ``n``: about how many lines there are."""
-    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    buckets = chars // BUCKET + 1
-    keys = docs.select("text").mapInArrow(_signatures(buckets), "bucket int, keys binary")
-    keys = keys.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    pairs = keys.mapInArrow(_pairs, "a long, b long, shared long, needed long").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed"))
-    pairs = cut(pairs.where("shared >= needed").select("a", "b"), "lines-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-    texts = docs.select(F.explode(F.split("text", "\n")).alias("text")).select(F.xxhash64("text").alias("line"), "text")
-    texts = cut(texts.join(wanted.hint("shuffle_hash"), "line", "left_semi").dropDuplicates(["line"]), "lines-texts", n, TEXT_ROWS)
+    def count(k: int) -> None:
+        h = _rolled(_codes(waiting.pop(k)), k)
+        grams[:] += np.bincount(_group_of(h), minlength=GROUPS)
+        chars[k] = 0
+
+    for batch in batches:
+        md5s, chars_, nths, names, checks, ends = [], [], [], [], [], [0]
+        for text in batch.column("text"):
+            text = text.as_py()
+            md5s.append(None if text is None else hashlib.md5(text.encode()).digest())
+            chars_.append(len(text or ""))
+            for nth, line in enumerate((text or "").split("\n")):
+                if not _worded(line):
+                    continue
+                nths.append(nth)
+                names.append(xxhash.xxh64_intdigest(line))
+                checks.append(xxhash.xxh64_intdigest(line, 1))
+                if len(line) >= SHORTEST:
+                    k = _GRAM[_kind(len(line))[0]]
+                    for _, piece in _pieces(line):
+                        waiting.setdefault(k, []).append(piece)
+                        chars[k] = chars.get(k, 0) + len(piece)
+                        if chars[k] >= CHARS:
+                            count(k)
+            ends.append(len(nths))
+        one = pa.StructArray.from_arrays([pa.array(nths, pa.int32()), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (names, checks))], fields=list(_NAMED.field("lines").type.value_type))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), one, type=_NAMED.field("lines").type)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), pa.array(md5s, pa.binary()), pa.array(chars_, pa.int64()), lists, pa.nulls(len(md5s), pa.list_(pa.int64()))], schema=_NAMED)
+    for k in list(waiting):
+        count(k)
+    if grams.any():
+        yield pa.RecordBatch.from_pylist([{"grams": grams.tolist()}], schema=_NAMED)
+
+
+def _hashed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """uid, doc_id, text_md5 and hashes (nth, line, check) of the lines with a word; and the rank of
+    each group of grams by its count, the rarest first."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("uid"), "text")
+    both = cut(rows.mapInArrow(_describe, _NAMED_DDL), "lines-names", docs.count(), TEXT_ROWS)
+    counts = np.zeros(GROUPS, dtype=np.int64)
+    for r in both.where("grams is not null").select(F.posexplode("grams").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
+        counts[r["k"]] = r["n"]
+    ranks = np.empty(GROUPS, dtype=np.uint64)
+    ranks[np.argsort(counts, kind="stable")] = np.arange(GROUPS, dtype=np.uint64)
+    return both.where("uid is not null").drop("grams"), ranks
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """line, text of the wanted lines. A map of their names, of a fixed size, keeps most others from
+    leaving their task; the join keeps the rest out."""
+    cells = np.zeros(MAP_BITS // 64, dtype=np.int64)
+    bit = F.expr(f"pmod(line, {MAP_BITS})")
+    for r in wanted.groupBy(F.floor(bit / 64).cast("int").alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(line, {MAP_BITS}) % 64 as int))")).alias("bits")).collect():
+        cells[r["cell"]] = r["bits"]
+    shared = docs.sparkSession.sparkContext.broadcast(cells.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8), bitorder="little")
+        recent: set[int] = set()
+        for batch in batches:
+            names, texts = [], []
+            for text in batch.column("text"):
+                for line in (text.as_py() or "").split("\n"):
+                    if len(line) >= SHORTEST and asked[(name := _name(line)) % MAP_BITS] and name not in recent:
+                        if len(recent) >= RECENT:
+                            recent.clear()
+                        recent.add(name)
+                        names.append(name)
+                        texts.append(line)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(texts, pa.string())], names=["line", "text"])
+
+    found = docs.select("text").mapInArrow(run, "line long, text string")
+    return found.join(wanted.hint("shuffle_hash"), "line", "left_semi").dropDuplicates(["line"])
+
+
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     rows = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("line").alias("b"), F.col("text").alias("text_b")), "b")
-    return components(rows.select("a", "b", "text_a", "text_b").mapInArrow(_near, "a long, b long"), "lines-links", n).withColumnRenamed("node", "line")
+    return rows.select("a", "b", "text_a", "text_b").mapInArrow(_near, "a long, b long")
+
 
+def _crowd_links(crowds: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between lines of crowded keys that are in different classes so far; keys of more than
+    CELL lines in cells."""
+    rows = crowds.join(classes.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    rows = cut(rows, "lines-crowds")
+    several = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+    rows = cut(rows.join(several.where("least <> most").select("key", "parts"), "key"), "lines-crossed")
+    keys = rows.groupBy("a").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    rows = rows.join(keys, "a").join(texts.withColumnRenamed("line", "a"), "a").withColumn("side", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = cells.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "a", "component", "keys", "text")
+    cells = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return cut(cells.mapInArrow(_crossed, "a long, b long"), "lines-more")
 
-def _removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+
+def near_lines(docs: DataFrame, ranks: np.ndarray, chars: int, n: int | None = None, crowd: int = CROWD) -> DataFrame:
+    """line, component: names of lines with a near-duplicate, and the smallest name of their class.
+    ``chars``: of all texts; ``n``: about how many lines there are; ``crowd``: of lines that a segment meets."""
+    buckets = chars // BUCKET + 1
+    keys = docs.select("text").mapInArrow(_signatures(buckets, ranks), "bucket int, keys binary")
+    keys = keys.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    met = cut(keys.mapInArrow(_pairs(crowd), "a long, b long, key long"), "lines-met")
+    pairs = cut(met.where("b is not null").select("a", "b").distinct(), "lines-pairs")
+    crowds = met.where("b is null").select("key", "a")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("line")).union(crowds.select("a")).distinct()
+    texts = cut(_texts(docs, wanted), "lines-texts", n, TEXT_ROWS)
+    classes = cut(components(_links(pairs, texts), "lines-links", n), "lines-linked", n)
+    if not crowds.isEmpty():
+        more = _crowd_links(crowds, classes, texts)
+        if not more.isEmpty():
+            classes = components(more.union(classes), "lines-links", n)
+    return classes.withColumnRenamed("node", "line")
+
+
+def _removed(docs: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
     """The named lines of all rows, and uid with the lines that go: nth, and where the first of
     its class is."""
-    named = _hashed(docs)
-    n, n_lines = named.agg(F.count("*"), F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()
+    named, ranks = _hashed(docs)
+    n, n_lines, chars = named.agg(F.count("*"), *(F.coalesce(F.sum(x), F.lit(0)) for x in (F.size("lines"), "chars"))).first()
     lines = named.select("uid", "doc_id", F.explode("lines").alias("x")).select("uid", "doc_id", "x.nth", "x.line", "x.check")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid", "nth")
     firsts = lines.groupBy("line").agg(F.min(place).alias("at"), F.count("*").alias("n"), F.min("check").alias("c1"), F.max("check").alias("c2")).where("c1 = c2").select("line", "at", "n")
-    classes = firsts.join(cut(near_lines(docs, n_lines), "lines-classes", n_lines), "line", "left").withColumn("component", F.coalesce("component", "line"))
+    classes = firsts.join(cut(near_lines(docs, ranks, chars, n_lines, crowd), "lines-classes", n_lines), "line", "left").withColumn("component", F.coalesce("component", "line"))
     near = classes.where("component <> line").select("component").distinct().withColumn("near", F.lit(True))
     classes = classes.join(near, "component", "left").where("n > 1 or near")
     classes = cut(classes.select("line", "component", "at"), "lines-repeated", n_lines)
@@ -314,18 +688,18 @@ def _removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 _NONE = "array<struct<nth:int,first_doc_id:bigint,first_line:int>>"
 
 
-def line_report(docs: DataFrame) -> DataFrame:
+def line_report(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_lines (with a word), n_removed, and for each
     line removed its place from 0 and the place of the first line of its class."""
-    named, gone = _removed(docs)
+    named, gone = _removed(docs, crowd)
     rows = named.select("uid", "doc_id", F.size("lines").cast("long").alias("n_lines")).join(gone, "uid", "left")
     removed = F.coalesce("removed", F.array().cast(_NONE))
     return rows.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
-def drop_lines(docs: DataFrame) -> DataFrame:
+def drop_lines(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """``docs`` without the lines that go."""
-    named, gone = _removed(docs)
+    named, gone = _removed(docs, crowd)
     marked = named.select("uid", "doc_id", "text_md5").join(gone.select("uid", F.col("removed.nth").alias("removed")), "uid", "left")
     of_first = marked.groupBy("doc_id", "text_md5").agg(F.count("*").alias("times"), F.min_by("removed", "uid").alias("removed")).where("removed is not null or times > 1")
     of_first = cut(of_first.withColumnRenamed("doc_id", "id").withColumnRenamed("text_md5", "md5"), "lines-of-rows", named.count())
@@ -337,7 +711,7 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     if not of_first.where("times > 1").isEmpty():  # every later row of the same id and text repeats all lines
         again = rows.where("times > 1").withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "text_md5").orderBy("doc_id")))
         first = F.when(F.col("removed").isNull(), F.col("text")).otherwise(text(lambda x, i: ~F.array_contains("removed", i)))
-        again = again.withColumn("new", F.when(F.col("nth") == 1, first).otherwise(text(lambda x, i: ~_worded(x)))).drop("nth")
+        again = again.withColumn("new", F.when(F.col("nth") == 1, first).otherwise(text(lambda x, i: ~x.rlike(r"[^\x20\x09-\x0D]")))).drop("nth")
         cleaned = cleaned.where("times = 1").unionByName(again)
     follow = {"text": F.col("new")} | ({"n_chars": F.length("new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return files_for(cleaned.select(*(follow.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns)), docs.count(), TEXT_ROWS)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from folioscope.llm import lines as L
@@ -37,19 +38,48 @@ def test_banded_distance():
             assert L.within(a, b, k) == (distance(a, b) <= k), (a, b, k)
 
 
-def test_near_lines_always_share_a_key():
+def test_distances_of_many_pairs():
+    r = random.Random(4)
+    pairs = []
+    for _ in range(3000):
+        a = "".join(r.choice("abé ") for _ in range(r.randint(0, 90)))
+        pairs.append(tuple(sorted((a, changed(r, a, r.randint(0, 30))), key=len)))
+    limits = np.array([r.randint(0, L.BAND - 1) for _ in pairs])
+    for (a, b), k, d in zip(pairs, limits.tolist(), L.banded(pairs, limits).tolist(), strict=True):
+        want = distance(a, b)
+        assert d == want if want <= k else d > k, (a, b, k)
+
+
+def test_copies_meet_in_a_second_round(spark):
+    r = random.Random(8)
+    base = ["".join(r.choice("abcdefgh é") for _ in range(200)) for _ in range(2)]
+    base.append(base[0][:40] + base[1][40:])  # shares segments with both, near neither
+    rows = [(i, changed(r, base[i % 3], r.randint(0, 5))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: [tuple(y) for y in x["removed"]] for x in L.line_report(docs, 1).collect()}
+    assert {i: v for i, v in got.items() if v} == brute(rows)
+
+
+@pytest.mark.parametrize("piece", [1 << 19, 100])
+def test_near_lines_always_meet(monkeypatch, piece):
+    monkeypatch.setattr(L, "PIECE", piece)
     r = random.Random(5)
-    for _ in range(5000):
-        a = "".join(r.choice("abé ") for _ in range(r.randint(10, 50)))
-        b = changed(r, a, r.randint(0, 2))
-        if len(b) < 10 or distance(a, b) > L.edits_of(min(len(a), len(b))):
+    ranks = np.random.default_rng(5).permutation(L.GROUPS).astype(np.uint64)
+    for n in range(1500):
+        a = "".join(r.choice("abcdefé ") for _ in range(r.choice((r.randint(10, 50), r.randint(10, 400)))))
+        b = changed(r, a, r.randint(0, int(L.edits_of(len(a)))))
+        if a == b or distance(a, b) > L.edits_of(min(len(a), len(b))):
             continue
-        own, all_ = [], []
-        for s in (a, b):
-            keys = [(s[p:q], seed) for p, q, seed in L._keys_of(len(s))]
-            own.append(set(keys[: L.edits_of(len(s)) + 1]))
-            all_.append(set(keys))
-        assert own[0] & all_[1] or own[1] & all_[0], (a, b)
+        rows = []
+        for name, x in enumerate((a, b)):
+            h, keys = L._keys([(name, len(x), at, part) for at, part in L._pieces(x)], *L._kind(len(x)), ranks)
+            keys["key"] = (h >> np.uint64(32)).astype(np.uint32)
+            keys = L._some(keys, np.argsort(h))
+            half = len(h) // 2
+            again = L._joined([L._unpacked(x) for x in L._packed(keys, [0, half, len(h)] if half else [0, len(h)])])
+            assert all((again[c] == keys[c]).all() for c in keys)
+            rows.append(keys)
+        assert any(len(x) for x, _, _ in L._met(L._joined(rows))), (n, a, b)
 
 
 def brute(rows):
@@ -88,16 +118,15 @@ def sample():
     return rows
 
 
-@pytest.mark.parametrize("cell", [512, 3])
-def test_report_and_texts_equal_brute_force(spark, monkeypatch, cell):
-    monkeypatch.setattr(L, "CELL", cell)  # 3: the hot keys are split into cells
+@pytest.mark.parametrize("crowd", [64, 1])
+def test_report_and_texts_equal_brute_force(spark, crowd):  # 1: many keys need the second round
     rows = sample()
     docs = spark.createDataFrame([(i, t, "z", len(t)) for i, t in rows], "doc_id long, text string, line string, n_chars int").repartition(3)
     want = brute(rows)
-    got = {r["doc_id"]: [tuple(x) for x in r["removed"]] for r in L.line_report(docs).collect()}
+    got = {r["doc_id"]: [tuple(x) for x in r["removed"]] for r in L.line_report(docs, crowd).collect()}
     assert len(got) == len(rows)
     assert {i: v for i, v in got.items() if v} == want
-    cleaned = L.drop_lines(docs)
+    cleaned = L.drop_lines(docs, crowd)
     assert cleaned.columns == docs.columns
     for r in cleaned.collect():
         gone = {k for k, *_ in want.get(r["doc_id"], [])}
@@ -116,15 +145,15 @@ def test_edges(spark):
     assert L.line_report(docs.limit(0)).count() == 0 and L.drop_lines(docs.limit(0)).count() == 0
 
 
-def test_long_lines_may_have_a_tenth_of_edits(spark):
+def test_long_lines_may_have_edits_in_proportion(spark):
     r = random.Random(9)
     rows = []
     for i, n in enumerate((30, 99, 166, 338, 700, 1500)):
         line = "".join(r.choice("abcdefgh é") for _ in range(n))
-        near, word = changed(r, line, n // 10 - n // 100), line[:20] + "replaced" * (n // 100) + line[20 + 8 * (n // 100) :]
-        far = line[: n // 2] + "Z" * (n // 10 + 1) + line[n // 2 + n // 10 + 1 :]
+        near, word = changed(r, line, int(L.edits_of(n - n // 10))), line[:20] + "replaced" * (n // 400) + line[20 + 8 * (n // 400) :]
+        far = line[: n // 2] + "Z" * (n // 40 + 3) + line[n // 2 + n // 40 + 3 :]
         rows += [(10 * i, line), (10 * i + 1, near), (10 * i + 2, word), (10 * i + 3, far)]
-    rows += [(100, "ab " * 60), (101, "ab " * 40 + "cd " * 5 + "ab " * 16)]  # repeated segments
+    rows += [(100, "ab " * 60), (101, "ab " * 40 + "cd" + "ab " * 19)]  # repeated segments
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = brute(rows)
     assert {i % 10 for i in want if i < 100} >= {1, 2} and 3 not in {i % 10 for i in want} and 101 in want

@@ -234,7 +234,7 @@ def read_archives(spark, folder: str, archives: DataFrame, payloads: bool = True
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema=kinds)
 
-    return archives.repartition("archive").mapInArrow(read, schema)
+    return archives.repartition(max(1, archives.count()), "archive").mapInArrow(read, schema)  # a task for each, or nearly
 
 
 def archive_report(pages: DataFrame) -> DataFrame:

@@ -18,8 +18,8 @@ def main(args: list[str] | None = None) -> None:
     from folioscope.plans.report import build_report
 
     spark = SparkSession.builder.appName("folioscope").getOrCreate()
-    manifest = build_report(spark, found.data, found.output, found.min_reviewed_pages, found.manuscript)
-    print(f"{len(manifest['files'])} files, {len(manifest['pages'])} pages")
+    done = build_report(spark, found.data, found.output, found.min_reviewed_pages, found.manuscript)
+    print(", ".join(f"{n} {what}" for what, n in done.items()))
 
 
 if __name__ == "__main__":

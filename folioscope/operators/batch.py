@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Models of a batch at most.
+MODELS = 1000
 JOB_KEY = ["page_id", "region_id", "model", "prompt_version"]
 WHOLE_PAGE = {"id": "whole-page", "region_type": "main_text", "x1": 0.0, "y1": 0.0, "x2": 1000.0, "y2": 1000.0}
 
@@ -36,9 +38,13 @@ def plan_regions(images: DataFrame, frozen: DataFrame, annotated: DataFrame, lay
 
 
 def plan_jobs(regions: DataFrame, models: DataFrame, prompt: str, prompt_version: str) -> DataFrame:
-    """A job for each model and region. Models are a handful of rows; the join is by constant."""
-    named = regions.withColumnRenamed("id", "region_id").withColumn("one", F.lit(1))
-    return named.join(models.withColumn("one", F.lit(1)), "one").drop("one").withColumns({"prompt": F.lit(prompt), "prompt_version": F.lit(prompt_version)})
+    """A job for each model and region. Models are part of the plan: more than MODELS are refused."""
+    rows = models.limit(MODELS + 1).collect()
+    if len(rows) > MODELS:
+        raise ValueError(f"more than {MODELS} models")
+    each = F.array(*(F.struct(*(F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in models.schema)) for r in rows)) if rows else F.lit(None).cast(f"array<{models.schema.simpleString()}>")
+    named = regions.withColumnRenamed("id", "region_id").withColumn("of_model", F.explode(each))
+    return named.select(*(c for c in named.columns if c != "of_model"), "of_model.*").withColumns({"prompt": F.lit(prompt), "prompt_version": F.lit(prompt_version)})
 
 
 def pending(jobs: DataFrame, done: DataFrame, same: tuple[str, ...] = ("image_sha256", "prompt")) -> tuple[DataFrame, DataFrame]:

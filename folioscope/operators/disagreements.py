@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.geometry import Box, area, iou, union_box
 from folioscope.functions.labels import PAIRED_FAMILY
 from folioscope.operators.matching import best_overlaps, match_regions, unmatched
+from folioscope.sources.store import settle
 
 PAIR = ("page_id", "l_sys", "r_sys")
 NMS_IOU = 0.4
@@ -36,9 +37,9 @@ def disagreements(regions: DataFrame, systems: DataFrame, threshold: float = 0.5
     """All label conflicts and unmatched regions of all pairs, with ``rank`` from 1 within the page.
 
     page_id, rank, l_name, r_name, kind, owner_sys, other_sys, owner_ord, other_ord, iou, box."""
-    pairs = system_pairs(systems)
+    regions, pairs = settle(regions, "disagreement-regions"), settle(system_pairs(systems), "disagreement-pairs")
     left, right = _side(regions, pairs, "l"), _side(regions, pairs, "r")
-    matches = match_regions(left, right, threshold, False, PAIR)
+    matches = settle(match_regions(left, right, threshold, False, PAIR), "disagreement-matches")
     lone = "cast(null as int)"
     boxed = lambda df, ord_, prefix: df.select(*PAIR, F.col("ord").alias(ord_), *Box.of().columns(prefix))
     order = Window.partitionBy(*PAIR).orderBy(F.desc("iou"), F.desc("t_ord"), F.desc("p_ord"))

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.operators import disagreements, linkage, overview
 from folioscope.sources.corpus import Corpus, load_corpus
-from folioscope.sources.sinks import html_page, html_table, page_file, publish_files
+from folioscope.sources.publish import FILES, publish
+from folioscope.sources.sinks import html_page, html_table, page_file
 from folioscope.sources.store import settle
 
+#: Rows of a table that the overview shows.
+SHOWN = 500
+
 
 def overview_tables(corpus: Corpus, spark: SparkSession, min_pages: int = 5) -> dict[str, DataFrame]:
     """The corpus roll-ups, each a small table."""
@@ -30,25 +37,41 @@ def overview_tables(corpus: Corpus, spark: SparkSession, min_pages: int = 5) ->
     return tables | overview.evaluations(corpus.systems, corpus.regions, corpus.manifest, min_pages) | {"issues": corpus.issues.unionByName(compared["issues"].withColumn("stage", F.lit("htr")), allowMissingColumns=True)}
 
 
-def build_report(spark: SparkSession, data: str, output: str, min_pages: int = 5, only: str | None = None) -> dict:
-    """Builds and publishes. ``only``: one page's id; the other pages of the last build are kept."""
+def _shown(tables: dict[str, DataFrame]) -> list[str]:
+    """The overview's tables as HTML; of a table that grows with the corpus the first rows, and how many there are."""
+    sections = []
+    for title, df in tables.items():
+        rows = df.orderBy(*(F.col(c) for c in df.columns)).limit(SHOWN + 1).collect()  # in an order of their own, so that an unchanged corpus gives the same bytes
+        title = title if len(rows) <= SHOWN else f"{title} (the first {SHOWN} of {df.count()})"
+        sections.append(html_table(title, df.columns, rows[:SHOWN]))
+    return sections
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """page_id, file and content of each page: its type counts and its few disagreements."""
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            counts, ranked = ([list(x.values()) for x in r[k] or []] for k in ("counts", "ranked"))
+            sections = [html_table("Regions", ["system", "type", "regions"], counts), html_table("Disagreements", ["rank", "kind", "first", "second", "x1", "y1", "x2", "y2"], ranked)]
+            out.append({"page_id": r["page_id"], "file": f"pages/{r['file']}", "content": html_page(r["page_id"], sections)})
+        yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("page_id", pa.string()), ("file", pa.string()), ("content", pa.binary())]))
+
+
+def build_report(spark: SparkSession, data: str, output: str, min_pages: int = 5, only: str | None = None) -> dict[str, int]:
+    """Builds and publishes. ``only``: one page's id; the other pages of the last build are kept.
+
+    Pages are made and written by the executors; the driver sees the overview's tables only."""
     corpus = load_corpus(spark, data)
     pages = corpus.pages if only is None else corpus.pages.where(F.col("page_id") == only)
     if only is not None and pages.isEmpty():
         raise ValueError(f"no such page: {only}")
-    shared = {}
-    # In an order of their own, so that an unchanged corpus gives the same bytes.
-    tables = {k: (df.columns, sorted((tuple(r) for r in df.collect()), key=str)) for k, df in overview_tables(corpus, spark, min_pages).items()}
-    shared["overview.html"] = html_page("Corpus overview", [html_table(k, c, rows) for k, (c, rows) in tables.items()])
     regions, systems = corpus.regions.join(pages, "page_id", "left_semi"), corpus.systems.join(pages, "page_id", "left_semi")
     ranked = disagreements.select_varied(disagreements.disagreements(regions, systems))
     counts = regions.groupBy("page_id", "system", "region_type").agg(F.count("*").alias("n"))
-    # What is shown of a page is bounded: its type counts and four disagreements.
     shown = pages.select("page_id", page_file(F.col("page_id")).alias("file"))
     shown = shown.join(counts.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("system", "region_type", "n"))).alias("counts")), "page_id", "left")
     shown = shown.join(ranked.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("rank", "kind", "l_name", "r_name", "x1", "y1", "x2", "y2"))).alias("ranked")), "page_id", "left")
-    own = {}
-    for r in shown.toLocalIterator():
-        sections = [html_table("Regions", ["system", "type", "regions"], r["counts"] or []), html_table("Disagreements", ["rank", "kind", "first", "second", "x1", "y1", "x2", "y2"], r["ranked"] or [])]
-        own[r["page_id"]] = {f"pages/{r['file']}": html_page(r["page_id"], sections)}
-    return publish_files(output, shared, own, [data], only)
+    whole = html_page("Corpus overview", _shown(overview_tables(corpus, spark, min_pages)))
+    shared = spark.createDataFrame([(None, "overview.html", bytearray(whole))], FILES)
+    return publish(shown.mapInArrow(_pages, FILES).unionByName(shared), output, [data], only)

@@ -7,7 +7,7 @@ turns the whole file into an issue and leaves the others alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.geometry import Box, normalize_box, normalize_polygon
@@ -107,7 +107,7 @@ def read_layout(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     blocks = F.flatten(F.transform(spaces, lambda s: F.coalesce(s["TextBlock"], F.array().cast(f"array<{_BLOCK}>"))))
     tags = F.flatten(F.transform(F.coalesce(F.col("d.Tags"), F.array().cast(f"array<{_TAGS}>")), lambda t: F.concat(*(F.coalesce(t[k], F.array().cast("array<struct<_ID: string, _LABEL: string>>")) for k in TAG_KINDS))))
     tags = F.filter(tags, lambda t: (t["_ID"] != "") & (t["_LABEL"] != ""))
-    size = lambda k: F.coalesce(page[k].try_cast("double"), F.lit(0.0)).cast("int")
+    size = lambda k: F.coalesce(page[k].try_cast("double").try_cast("int"), F.lit(0))
     rows = parsed.select("path", stem(F.col("path")).alias("page_id"), F.col("d._corrupt_record").isNotNull().alias("corrupt"), (page.isNotNull() & F.col("v4")).alias("paged"), F.col("d.Description.sourceImageInformation.fileName").alias("image"), size("_WIDTH").alias("width"), size("_HEIGHT").alias("height"), page["_PHYSICAL_IMG_NR"].try_cast("int").alias("image_number"), blocks.alias("blocks"), tags.alias("tags"))
     flat = (F.col("width") == 0) | (F.col("height") == 0)
     message = F.when(F.col("corrupt"), "malformed XML").when(~F.coalesce("paged", F.lit(False)), "no page").when(~F.forall("blocks", _sound), "malformed numbers").when(flat & F.exists("blocks", lambda b: attribute_box(b).isNotNull()), "page without extent")
@@ -128,7 +128,11 @@ def layout_regions(blocks: DataFrame, blank_lines: bool = False) -> DataFrame:
     """Blocks with a box as normalised regions: path, page_id, ord (within the file), id, region_type,
     x1..y2 (0 to 1000), polygon, confidence, text, alto_type.
 
-    Text joins the lines that have any; with ``blank_lines`` all lines, if any has text."""
+    Text joins the lines that have any; with ``blank_lines`` all lines, if any has text, and of the
+    blocks of a file that share an id the last one counts."""
+    if blank_lines:
+        last = F.max("block_ord").over(Window.partitionBy("path", "id"))
+        blocks = blocks.withColumn("last", last).where("id = '' or block_ord = last").drop("last")
     texts = F.transform("lines", lambda x: x["text"])
     some = F.filter(texts, lambda x: x != "")
     box = normalize_box(Box.struct(F.col("bbox")), F.col("width"), F.col("height"))

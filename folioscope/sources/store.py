@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 
 def settle(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """``df`` written below spark.checkpoint.dir and read back, so that it is computed once and its
-    lineage ends. Without that setting (on a laptop) a temporary folder is made and set."""
+    lineage ends. Without that setting a temporary folder is made and set, in local mode only."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         base = "file://" + tempfile.mkdtemp(prefix="folioscope-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.plans.report import build_report, overview_tables
-from folioscope.sources import images, layout, records, sinks
+from folioscope.sources import images, layout, publish, records, sinks
 from folioscope.sources.corpus import load_corpus
 from folioscope.streaming import results as stream
 
@@ -95,40 +95,50 @@ def test_manifest_must_be_an_object(spark):
 
 def test_report_builds_again_without_touching_files(spark, corpus_dir, tmp_path):
     out = tmp_path / "report"
-    manifest = build_report(spark, str(corpus_dir), str(out), 1)
-    assert len(manifest["pages"]) == 11 and (out / "overview.html").is_file()
-    before = {p: (p.read_bytes(), p.stat().st_mtime_ns) for p in out.rglob("*") if p.is_file()}
-    build_report(spark, str(corpus_dir), str(out), 1)
-    assert before == {p: (p.read_bytes(), p.stat().st_mtime_ns) for p in out.rglob("*") if p.is_file()}
+    files = lambda: {p: (p.read_bytes(), p.stat().st_mtime_ns) for p in out.rglob("*.html")}
+    assert build_report(spark, str(corpus_dir), str(out), 1)["files"] == 12 and (out / "overview.html").is_file()
+    before = files()
+    assert build_report(spark, str(corpus_dir), str(out), 1) == {"written": 0, "removed": 0, "files": 12} and before == files()
     (corpus_dir / "results/p1/m1/seg.json").unlink()
     build_report(spark, str(corpus_dir), str(out), 1, only="p10")
-    page = next(iter(manifest["pages"]["p1"]))
+    page = publish.published(spark, str(out)).where("page_id = 'p1'").first()["file"]
     assert (out / page).read_bytes() == before[out / page][0]
     with pytest.raises(ValueError, match="no such page"):
         build_report(spark, str(corpus_dir), str(out), 1, only="p99")
-    with pytest.raises(ValueError, match="overlaps"):
+    with pytest.raises(ValueError, match="within one another"):
         build_report(spark, str(corpus_dir), str(corpus_dir / "report"), 1)
 
 
-def test_publishing(tmp_path):
-    out = tmp_path / "out"
-    sinks.publish_files(str(out), {"a.html": b"1"}, {"p": {"pages/p.html": b"2"}, "q": {"pages/q.html": b"3"}})
-    (out / "mine.txt").write_text("keep")
-    sinks.publish_files(str(out), {"a.html": b"1"}, {"q": {"pages/q.html": b"4"}})
-    assert not (out / "pages/p.html").exists() and (out / "pages/q.html").read_bytes() == b"4" and (out / "mine.txt").read_text() == "keep"
-    with pytest.raises(ValueError, match="not ours"):
-        sinks.publish_files(str(out), {"mine.txt": b"x"}, {})
-    with pytest.raises(ValueError, match="unsafe"):
-        sinks.publish_files(str(out), {"../x": b"x"}, {})
-    assert (out / "pages/q.html").read_bytes() == b"4"
-    other = tmp_path / "other"
-    other.mkdir()
-    (other / "x").write_text("x")
-    with pytest.raises(ValueError, match="no report of ours"):
-        sinks.publish_files(str(other), {"a": b"1"}, {})
-    (out / sinks.MARKER).write_text('{"version": 2, "files": ["/etc/x"], "pages": {}}')
-    with pytest.raises(ValueError, match="unusable manifest"):
-        sinks.publish_files(str(out), {}, {})
+def test_publishing(spark, tmp_path):
+    out, data = tmp_path / "out", tmp_path / "data"
+    data.mkdir()
+    put = lambda *rows, **more: publish.publish(spark.createDataFrame([(p, f, bytearray(c)) for p, f, c in rows], publish.FILES), str(out), [str(data)], **more)
+    there = lambda: {str(p.relative_to(out)): p.read_bytes() for p in out.rglob("*") if p.is_file() and publish.LISTS not in str(p)}
+    assert put((None, "a.html", b"1"), ("p", "pages/p.html", b"2"), ("q", "pages/q.html", b"3")) == {"written": 3, "removed": 0, "files": 3}
+    seen = (out / "a.html").stat().st_mtime_ns
+    assert put((None, "a.html", b"1"), ("q", "pages/q.html", b"4")) == {"written": 1, "removed": 1, "files": 2}
+    assert there() == {"a.html": b"1", "pages/q.html": b"4"} and (out / "a.html").stat().st_mtime_ns == seen
+    assert put((None, "a.html", b"5"), ("p", "pages/p.html", b"6"), only="p")["files"] == 3
+    assert there() == {"a.html": b"5", "pages/p.html": b"6", "pages/q.html": b"4"}
+    (out / "mine.txt").write_text("mine")
+    (out / "pages/link.html").symlink_to(out / "mine.txt")
+    for rows in ([(None, "mine.txt", b"x")], [("l", "pages/link.html", b"x")], [(None, "../x", b"x")], [(None, "/x", b"x")], [(None, ".builds/x", b"x")], [("a", "b", b"x"), ("c", "b", b"y")]):
+        with pytest.raises(publish.Refused):
+            put(*rows)
+    assert (out / "mine.txt").read_text() == "mine" and (out / "a.html").read_bytes() == b"5"
+    one = spark.createDataFrame([(None, "a", bytearray(b"1"))], publish.FILES)
+    for folder, inputs in ((data, [str(data)]), (data / "x", [str(data)]), (tmp_path, [str(data)])):
+        with pytest.raises(publish.Refused, match="within one another"):
+            publish.publish(one, str(folder), inputs)
+    (tmp_path / "ln").symlink_to(out)
+    with pytest.raises(publish.Refused, match="a link"):
+        publish.publish(one, str(tmp_path / "ln"))
+    (data / "x").write_text("x")
+    with pytest.raises(publish.Refused, match="no list"):
+        publish.publish(one, str(data))
+    (out / publish.LISTS / publish.POINTER).write_text("[]")
+    with pytest.raises(publish.Refused, match="pointer"):
+        put((None, "a.html", b"1"))
 
 
 def test_annotations_round_trip(spark, tmp_path):

@@ -1,23 +1,23 @@
 """Language-model scoring with a log-bilinear neural model, trained by noise-contrastive estimation.
 
-Counts of all words of all training documents are taken first. The most frequent words are
-classes of their own; every other word belongs to the class of its last two letters, and is drawn
-within it by its smoothed count. The model predicts a word's class from the classes of the two
-words before it: their vectors, each times the matrix of its place, sum to a prediction, whose
-products with the class vectors, plus a bias, are the scores.
+Counts of all words of all training documents are taken first. The OWN most frequent words have
+output vectors of their own; every other word belongs to the class of its last two letters, which
+has one, and is drawn within it by its smoothed count. The vectors of the two words before (those of
+the CONTEXT most frequent, and of classes of last letters), each times the matrix of its place, sum
+to a prediction, whose products with the output vectors, plus a bias, are the scores.
 
-The model learns from the counts of all class triples of all training documents: at most CLASSES^3
-cells however long the corpus is, summed over the partitions, so the estimation can use the exact
-expectation over the noise instead of samples of it. Its parameters are of fixed size. For scoring,
-batched matrix products over all contexts give normalised log-probabilities.
+The model is fitted first on a sample of about WARM training tokens, then by one pass over all
+training documents: each task goes on from there over its own, in batches, each with NOISE samples
+drawn from the counts, and the results are averaged by tokens, in steps of FAN. For scoring, batched
+matrix products over all contexts give what normalises them; they are as many as parameters say.
 
 A document's words outside the TOP most frequent ones meet their counts in a join; none of those
-can be frequent. Broadcast are the TOP words with counts, and figures by class: bounded by
-parameters.
+can be frequent, but for words of more than WORD_BYTES bytes. Broadcast are the TOP words with
+counts, the model, and what normalises each context: bounded by parameters, bytes of words included.
 
 Defined results: A-Z count as lower case; a null or empty text has the end token only; a null id
 counts as the empty text for the held-out rule; rows that repeat stay apart; without any training
-document all counts are 0. Other columns are ignored.
+document all counts are 0, and the model is the one it starts from. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,19 +28,21 @@ from collections.abc import Iterator
 from itertools import compress, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import cut
 
-#: Classes: the end token, OWN words, and the rest by suffix.
-CLASSES, OWN = 256, 127
-SUFFIXES = CLASSES - OWN - 1
-TOP = 200_000
-SIZE, NOISE, SEED = 32, 25.0, 3
-ROUNDS, CONTEXTS, RATE = 12, 2048, 0.02
+#: Words with output vectors of their own at most, and classes of the others; words with context vectors of
+#: their own. Outputs, and contexts too, are first the end, then the classes, then the words.
+OWN, SUFFIXES, CONTEXT = 8192, 256, 255
+CONTEXTS = 1 + SUFFIXES + CONTEXT
+#: Most frequent words that are sent to all tasks, and bytes of each at most.
+TOP, WORD_BYTES = 200_000, 64
+SIZE, NOISE, BATCH, SEED = 32, 32, 2048, 3
+#: Tokens of the first fit, how often it sees them, and the step of all fits; models averaged at once.
+WARM, TURNS, RATE, FAN = 1_000_000, 3, 0.1, 16
 _FLUSH, _REMEMBERED = 400_000, 300_000
 LN10 = float(np.log(10.0))
 
@@ -53,8 +55,8 @@ def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 1
 
 
-def _suffix_class(word: bytes) -> int:
-    return 1 + OWN + zlib.crc32(word.decode()[-2:].encode()) % SUFFIXES
+def _suffix(word: bytes) -> int:
+    return zlib.crc32(word.decode()[-2:].encode())
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,120 +79,224 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-class _Classes(dict):
-    """Word -> class, filled as words come."""
+class _Items(dict):
+    """Word -> its output times CONTEXTS, plus its context; filled as words come."""
 
     def __init__(self, own: list[bytes]):
         super().__init__()
-        self.own = {w: i for i, w in enumerate(own, 1)}
+        self.own = {w: i for i, w in enumerate(own, 1 + SUFFIXES)}
 
     def __missing__(self, word: bytes) -> int:
-        found = self.own.get(word) or _suffix_class(word)
+        output = self.own.get(word) or 1 + _suffix(word) % SUFFIXES
+        found = output * CONTEXTS + (output if output < CONTEXTS else 1 + _suffix(word) % SUFFIXES)
         if len(self) < _REMEMBERED:
             self[word] = found
         return found
 
 
-def _codes(classes: np.ndarray) -> np.ndarray:
-    """For each token its context (class before last, last) and class, as one number."""
-    two = np.concatenate([[0, 0], classes])
-    return (two[:-2] * CLASSES + two[1:-1]) * CLASSES + classes
+def _contexts(items: np.ndarray) -> np.ndarray:
+    """For each token (the last one is the end) the contexts of the two before it, as one number."""
+    two = np.concatenate([[0, 0], items[:-1] % CONTEXTS])
+    return two[:-1] * CONTEXTS + two[1:]
 
 
-def _triples(own: list[bytes]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = _Classes(own)
-        counts = np.zeros(CLASSES**3, dtype=np.int64)
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                if not is_held_out(doc_id):
-                    words = words_of(text.as_py())
-                    classes = np.zeros(len(words) + 1, dtype=np.int64)
-                    classes[:-1] = np.fromiter(map(lookup.__getitem__, words), dtype=np.int64, count=len(words))
-                    np.add.at(counts, _codes(classes), 1)
-        found = np.nonzero(counts)[0]
-        for at in range(0, len(found), 1 << 17):
-            some = found[at : at + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["code", "n"])
-
-    return run
+def _items_of(words: list[bytes], lookup: _Items) -> np.ndarray:
+    out = np.zeros(len(words) + 1, dtype=np.int64)
+    out[:-1] = np.fromiter(map(lookup.__getitem__, words), dtype=np.int64, count=len(words))
+    return out
 
 
 class LogBilinear:
-    NAMES = ("before", "last", "context", "word", "bias")
+    """before, last: matrices of the places; context, out: vectors; bias; and the squares of the steps so far."""
 
-    def __init__(self, parameters: dict[str, np.ndarray]):
-        self.p = parameters
+    def __init__(self, parameters: dict[str, np.ndarray], unigram: np.ndarray, squares: dict[str, np.ndarray] | None = None):
+        self.p, self.unigram = parameters, unigram
+        self.squares = squares or {k: np.full(x, 0.1, dtype=np.float32) for k, x in self.shapes(unigram).items()}
+        self.log_noise = np.log(NOISE * unigram).astype(np.float32)
+        self.upto = np.cumsum(unigram)
+
+    @staticmethod
+    def shapes(unigram: np.ndarray) -> dict[str, tuple[int, ...]]:
+        return {"before": (SIZE, SIZE), "last": (SIZE, SIZE), "context": (CONTEXTS, SIZE), "out": (len(unigram), SIZE), "bias": (len(unigram),)}
 
     @classmethod
     def start(cls, unigram: np.ndarray) -> LogBilinear:
         rng = np.random.default_rng(SEED)
         small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
         eye = np.eye(SIZE, dtype=np.float32)
-        return cls({"before": eye * 0.3, "last": eye.copy(), "context": small(CLASSES, SIZE), "word": small(CLASSES, SIZE), "bias": np.log(unigram).astype(np.float32)})
-
-    def predict(self, contexts: np.ndarray) -> np.ndarray:
-        """Scores of all classes after each context (class before last * CLASSES + last)."""
-        r = self.p["context"][contexts // CLASSES] @ self.p["before"] + self.p["context"][contexts % CLASSES] @ self.p["last"]
-        return r @ self.p["word"].T + self.p["bias"]
-
-    def log10_probabilities(self) -> np.ndarray:
-        """[context, class], normalised, in batches of matrix products."""
-        out = np.empty((CLASSES**2, CLASSES), dtype=np.float32)
-        for at in range(0, CLASSES**2, 4096):
-            s = self.predict(np.arange(at, at + 4096))
-            s -= s.max(axis=1, keepdims=True)
-            s -= np.log(np.exp(s).sum(axis=1, keepdims=True))
-            out[at : at + 4096] = s / LN10
+        return cls({"before": eye * 0.5, "last": eye.copy(), "context": small(CONTEXTS, SIZE), "out": small(len(unigram), SIZE) * 0.1, "bias": np.log(unigram).astype(np.float32)}, unigram)
+
+    def predictions(self) -> tuple[np.ndarray, np.ndarray]:
+        """What each context adds in each place."""
+        return self.p["context"] @ self.p["before"], self.p["context"] @ self.p["last"]
+
+    def scores(self, contexts: np.ndarray) -> np.ndarray:
+        """Scores of all outputs after each context."""
+        before, last = self.predictions()
+        return (before[contexts // CONTEXTS] + last[contexts % CONTEXTS]) @ self.p["out"].T + self.p["bias"]
+
+    def log_totals(self, first: int, last: int) -> np.ndarray:
+        """Logarithms of the totals over all outputs, for a range of contexts."""
+        out = np.empty(last - first)
+        for at in range(first, last, 512):
+            s = self.scores(np.arange(at, min(last, at + 512)))
+            most = s.max(axis=1, keepdims=True)
+            s -= most
+            np.exp(s, out=s)
+            out[at - first : at - first + len(s)] = np.log(s.sum(axis=1)) + most[:, 0]
         return out
 
-    def train(self, counts: np.ndarray, unigram: np.ndarray) -> LogBilinear:
-        """``counts``: [context, class]. Noise is the class unigram, NOISE draws for each token in
-        expectation; gradients by Adam over shuffled blocks of contexts."""
-        seen = np.nonzero(counts.sum(axis=1))[0]
-        if not len(seen):
-            return self
-        p, rng = self.p, np.random.default_rng(SEED)
-        m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-        noise = (NOISE * unigram).astype(np.float32)
-        per_block = counts.sum() / max(1, len(seen) / CONTEXTS)
-        for turn in range(ROUNDS):
-            order = rng.permutation(seen)
-            for at in range(0, len(order), CONTEXTS):
-                block = order[at : at + CONTEXTS]
-                n = counts[block].astype(np.float32)
-                c1, c2 = p["context"][block // CLASSES], p["context"][block % CLASSES]
-                r = c1 @ p["before"] + c2 @ p["last"]
-                delta = r @ p["word"].T + p["bias"] - np.log(noise)
-                true = 1 / (1 + np.exp(-np.clip(delta, -30, 30)))  # that a class comes from the data
-                g = (n * (1 - true) - n.sum(axis=1, keepdims=True) * noise * true) / np.float32(per_block)
-                back = g @ p["word"]
-                context = np.zeros_like(p["context"])
-                np.add.at(context, block // CLASSES, back @ p["before"].T)
-                np.add.at(context, block % CLASSES, back @ p["last"].T)
-                step += 1
-                for k, x in (("before", c1.T @ back), ("last", c2.T @ back), ("context", context), ("word", g.T @ r), ("bias", g.sum(axis=0))):
-                    m[k] = 0.9 * m[k] + 0.1 * x
-                    v[k] = 0.98 * v[k] + 0.02 * x * x
-                    rate = RATE * (1 - turn / ROUNDS)
-                    p[k] = (p[k] + rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.98**step)) + 1e-8)).astype(np.float32)
-        return self
-
-
-def _class_unigram(counts: np.ndarray) -> np.ndarray:
-    by_class = counts.sum(axis=0) + 0.5
-    return by_class / by_class.sum()
-
-
-def _fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All triples in, the parameters out. What comes in has at most CLASSES^3 rows."""
-    counts = np.zeros(CLASSES**3, dtype=np.float32)
+    def _step(self, name: str, at: np.ndarray | slice, gradient: np.ndarray, rate: float) -> None:
+        self.squares[name][at] += gradient * gradient
+        self.p[name][at] += rate * gradient / np.sqrt(self.squares[name][at])
+
+    def learn(self, contexts: np.ndarray, outputs: np.ndarray, rate: float, rng: np.random.Generator) -> None:
+        """One batch: its tokens against noise that they share."""
+        p = self.p
+        noise = np.searchsorted(self.upto[:-1], rng.random(NOISE) * self.upto[-1], side="right")
+        c1, c2 = contexts // CONTEXTS, contexts % CONTEXTS
+        before, last = self.predictions()
+        r = before[c1] + last[c2]
+        mine, theirs = p["out"][outputs], p["out"][noise]
+        real = (r * mine).sum(axis=1) + p["bias"][outputs] - self.log_noise[outputs]
+        made = r @ theirs.T + (p["bias"][noise] - self.log_noise[noise])
+        g = 1 / (1 + np.exp(np.clip(real, -30, 30)))
+        h = -1 / (1 + np.exp(-np.clip(made, -30, 30)))
+        back = g[:, None] * mine + h @ theirs
+        rows = np.empty((len(outputs) + NOISE, SIZE + 1), dtype=np.float32)
+        np.multiply(g[:, None], r, out=rows[: len(outputs), :-1])
+        rows[: len(outputs), -1] = g
+        rows[len(outputs) :, :-1], rows[len(outputs) :, -1] = h.T @ r, h.sum(axis=0)
+        ids, sums = _sum_by(np.concatenate([outputs, noise]), rows)
+        of1, sums1 = _sum_by(c1, back)
+        of2, sums2 = _sum_by(c2, back)
+        context = np.zeros_like(p["context"])
+        context[of1] += sums1 @ p["before"].T
+        context[of2] += sums2 @ p["last"].T
+        matrices = p["context"][of1].T @ sums1, p["context"][of2].T @ sums2
+        scale = np.float32(1 / np.sqrt(len(outputs)))
+        self._step("out", ids, sums[:, :-1] * scale, rate)
+        self._step("bias", ids, sums[:, -1] * scale, rate)
+        both = np.union1d(of1, of2)
+        self._step("context", both, context[both] * scale, rate)
+        for name, gradient in zip(("before", "last"), matrices, strict=True):
+            self._step(name, slice(None), gradient * scale, rate * 0.1)
+
+    def pack(self) -> bytes:
+        return b"".join(x[k].astype("<f4").tobytes() for x in (self.p, self.squares) for k in self.shapes(self.unigram))
+
+    @classmethod
+    def unpack(cls, data: bytes, unigram: np.ndarray) -> LogBilinear:
+        flat, at, found = np.frombuffer(data, dtype="<f4").copy(), 0, []
+        for _ in range(2):
+            found.append({})
+            for k, shape in cls.shapes(unigram).items():
+                n = int(np.prod(shape))
+                found[-1][k], at = flat[at : at + n].reshape(shape), at + n
+        return cls(found[0], unigram, found[1])
+
+
+def _sum_by(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the rows of each id."""
+    ids = ids.astype(np.uint16 if ids.max() < 1 << 16 else np.int64)  # short numbers are sorted by digits
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    first = np.nonzero(np.append(True, ids[1:] != ids[:-1]))[0]
+    return ids[first], np.add.reduceat(rows[order], first, axis=0)
+
+
+def _fit(start, turns: int):
+    """n, model: the tokens of a task's training documents, and the model after them. ``start``: a
+    broadcast of words, unigram and model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, unigram, data = start.value
+        lookup, model, rng = _Items(own), LogBilinear.unpack(data, unigram), np.random.default_rng(SEED)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n, waiting = 0, 0
+
+        def learn(all_: bool) -> None:
+            nonlocal waiting
+            contexts, outputs = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = rng.permutation(len(outputs))
+            for at in range(0, len(order) if all_ else len(order) // BATCH * BATCH, BATCH):
+                some = order[at : at + BATCH]
+                model.learn(contexts[some], outputs[some], RATE, rng)
+            waiting = 0 if all_ else len(order) % BATCH
+            if waiting:
+                held.append((contexts[order[-waiting:]], outputs[order[-waiting:]]))
+
+        whole = []
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                if not is_held_out(doc_id):
+                    items = _items_of(words_of(text.as_py()), lookup)
+                    held.append((_contexts(items), items // CONTEXTS))
+                    n += len(items)
+                    waiting += len(items)
+                    if turns > 1:
+                        whole.append(held.pop())
+                    elif waiting >= 256 * BATCH:
+                        learn(False)
+        for _ in range(turns if whole else 0):
+            held += whole
+            learn(True)
+        if held:
+            learn(True)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([model.pack()], pa.binary())], names=["n", "model"])
+
+    return run
+
+
+def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean of a group's models by their tokens; a group's rows are all those of a partition."""
+    total, n = None, 0
     for batch in batches:
-        counts[batch["code"].to_numpy()] += batch["n"].to_numpy()
-    counts = counts.reshape(CLASSES**2, CLASSES)
-    unigram = _class_unigram(counts)
-    model = LogBilinear.start(unigram).train(counts, unigram)
-    yield pd.DataFrame({"name": LogBilinear.NAMES, "shape": [list(model.p[k].shape) for k in LogBilinear.NAMES], "data": [model.p[k].astype("<f4").tobytes() for k in LogBilinear.NAMES]})
+        for k, data in zip(batch.column("n").to_pylist(), batch.column("model"), strict=True):
+            one = np.frombuffer(data.as_buffer(), dtype="<f4").astype(np.float64) * k
+            total, n = one if total is None else total + one, n + k
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).astype("<f4").tobytes()], pa.binary())], names=["n", "model"])
+
+
+_MODEL = "n long, model binary"
+
+
+def fit(docs: DataFrame, own: list[bytes], unigram: np.ndarray, tokens: int) -> LogBilinear:
+    """The model after the first fit and the pass over all."""
+    spark = docs.sparkSession
+    model = LogBilinear.start(unigram)
+    if not tokens:
+        return model
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    some = rows.sample(min(1.0, WARM / tokens), SEED) if tokens > WARM else rows
+    share = spark.sparkContext.broadcast((own, unigram, model.pack()))
+    warm = some.coalesce(1).mapInArrow(_fit(share, TURNS), _MODEL).collect()
+    share = spark.sparkContext.broadcast((own, unigram, warm[0]["model"] if warm else model.pack()))
+    models = cut(rows.mapInArrow(_fit(share, 1), _MODEL), "lm-models")
+    while (n := models.count()) > 1:
+        models = cut(models.repartition(-(-n // FAN)).mapInArrow(_average, _MODEL), "lm-models")
+    return LogBilinear.unpack(models.first()["model"], unigram)
+
+
+def _log_totals(docs: DataFrame, model: LogBilinear) -> np.ndarray:
+    """For each context what normalises its scores; as many numbers as there are contexts."""
+    spark = docs.sparkSession
+    share, step = spark.sparkContext.broadcast((model.unigram, model.pack())), CONTEXTS * 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unigram, data = share.value
+        model = LogBilinear.unpack(data, unigram)
+        for batch in batches:
+            for at in batch.column("id").to_pylist():
+                found = model.log_totals(at, min(CONTEXTS**2, at + step))
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([found.astype("<f8").tobytes()], pa.binary())], names=["at", "logs"])
+
+    blocks = spark.range(0, CONTEXTS**2, step).repartition(32)
+    found = sorted((r["at"], r["logs"]) for r in blocks.mapInArrow(run, "at long, logs binary").collect())
+    return np.concatenate([np.frombuffer(x, dtype="<f8") for _, x in found])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -202,15 +308,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
 class Scorer:
     """What a worker needs to score texts; made once from the broadcast pieces."""
 
-    def __init__(self, words: bytes, counts: np.ndarray, own: list[bytes], class_logs: np.ndarray, end: tuple[bool, float], base_log: float, parameters: dict):
+    def __init__(self, words: bytes, counts: np.ndarray, own: list[bytes], class_logs: np.ndarray, end: tuple[bool, float], base_log: float, model: bytes, unigram: np.ndarray, log_totals: np.ndarray):
         frequent = words.split(b" ") if words else []
-        self.classes = _Classes(own)
+        self.items = _Items(own)
         self.place = {w: i for i, w in enumerate(frequent)}
-        self.class_of = np.array([self.classes.own.get(w) or _suffix_class(w) for w in frequent] + [0])
+        self.item_of = np.array([self.items[w] for w in frequent] + [0])
         self.log_of = np.append(np.log10(counts + 0.5), 0.0)  # the last of each is for words that aren't there
         self.seen = np.append(counts > 0, False)
         self.class_logs, self.end, self.base_log = class_logs, end, base_log
-        self.table = LogBilinear(parameters).log10_probabilities().reshape(-1)
+        m = LogBilinear.unpack(model, unigram)
+        self.before, self.last = m.predictions()
+        self.out, self.bias, self.log_totals = m.p["out"], m.p["bias"], log_totals
 
     def score(self, text: str | None) -> tuple[int, int, float, float, Counter]:
         """n_tokens, and of the words among the most frequent and the end token: how many are known,
@@ -219,16 +327,22 @@ class Scorer:
         words = words_of(text)
         n = len(words) + 1
         at = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=n - 1)
-        classes = np.zeros(n, dtype=np.int64)
-        classes[:-1] = self.class_of[at]
+        items = np.zeros(n, dtype=np.int64)
+        items[:-1] = self.item_of[at]
         missing = at < 0
         rest = list(compress(words, missing.tolist())) if missing.any() else []
-        classes[:-1][missing] = np.fromiter(map(self.classes.__getitem__, rest), dtype=np.int64, count=len(rest))
+        items[:-1][missing] = np.fromiter(map(self.items.__getitem__, rest), dtype=np.int64, count=len(rest))
         logs = self.log_of[at]
         base = logs.sum() + self.end[1] - n * self.base_log
-        within = logs[classes[:-1] > OWN].sum() - self.class_logs[classes].sum()
-        model = float(self.table[_codes(classes)].astype(np.float64).sum()) + within
-        return n, int(self.seen[at].sum()) + self.end[0], float(base), float(model), Counter(rest)
+        outputs = items // CONTEXTS
+        within = logs[outputs[:-1] <= SUFFIXES].sum() - self.class_logs[outputs].sum()
+        model = 0.0
+        contexts = _contexts(items)
+        for i in range(0, n, 1 << 16):
+            c, o = contexts[i : i + (1 << 16)], outputs[i : i + (1 << 16)]
+            r = self.before[c // CONTEXTS] + self.last[c % CONTEXTS]
+            model += float((np.einsum("ij,ij->i", r, self.out[o]) + self.bias[o] - self.log_totals[c]).sum(dtype=np.float64)) / LN10
+        return n, int(self.seen[at].sum()) + self.end[0], float(base), model + within, Counter(rest)
 
 
 _scorers: dict[str, Scorer] = {}
@@ -269,35 +383,55 @@ def _score(shared, key: str):
     return run
 
 
+def _frequent(counts: DataFrame, c: str, most: int) -> DataFrame:
+    """word, c of the words with the highest counts ``c``, all that share one or none, at most so many."""
+    sizes = counts.where(F.col(c) > 0).groupBy(c).agg(F.count("*").alias("words")).orderBy(F.desc(c)).collect()  # far fewer than words: about the root of all tokens
+    total, least = 0, None
+    for r in sizes:
+        total += r["words"]
+        if total > most:
+            break
+        least = r[c]
+    return counts.where(F.lit(False) if least is None else F.col(c) >= least).select("word", "c")
+
+
+def learn(docs: DataFrame, counts: DataFrame) -> dict:
+    """All that scoring takes, by name; ``tokens``: of the training documents."""
+    ends = docs.select(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5)).alias("r")).where("r <> 1").count()
+    seen = counts.where("c > 0")
+    n_words, v_words = seen.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    n, v = n_words + ends, v_words + (ends > 0)
+    short = counts.where(F.octet_length("word") <= WORD_BYTES)
+    own = sorted((-r["c"], r["word"].encode()) for r in _frequent(short, "c", OWN).collect())
+    top = dict(zip(*(x.to_pylist() for x in _frequent(short, "c_all", TOP).toArrow().columns), strict=True))
+    top = {w.encode(): c for w, c in top.items()} | {w: -c for c, w in own}
+    # occurrences and words by output; those of classes without the words that have one of their own
+    inside, spread = np.zeros(1 + SUFFIXES + len(own)), np.zeros(1 + SUFFIXES)
+    inside[0] = ends
+    for r in seen.groupBy(F.pmod(F.crc32(F.right("word", F.lit(2))), F.lit(SUFFIXES)).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
+        inside[1 + r["k"]], spread[1 + r["k"]] = r["n"], r["v"]
+    for i, (c, w) in enumerate(own, 1 + SUFFIXES):
+        at = 1 + _suffix(w) % SUFFIXES
+        inside[i], inside[at], spread[at] = -c, inside[at] + c, spread[at] - 1
+    class_logs = np.zeros(len(inside))
+    class_logs[1 : 1 + SUFFIXES] = np.log10(inside[1 : 1 + SUFFIXES] + 0.5 * (spread[1:] + 1))
+    unigram = (inside + 0.5) / (inside + 0.5).sum()
+    words = [w for _, w in own]
+    model = fit(docs, words, unigram, n)
+    return {
+        "words": b" ".join(top), "counts": np.array(list(top.values()), dtype=np.int64), "own": words, "class_logs": class_logs, "end": (ends > 0, float(np.log10(ends + 0.5))),
+        "base_log": float(np.log10(n + 0.5 * (v + 1))), "model": model.pack(), "unigram": unigram, "log_totals": _log_totals(docs, model), "tokens": n,
+    }
+
+
 def score(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score and score (log10)."""
     spark = docs.sparkSession
     counts = word_counts(docs)
-    ends = docs.select(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5)).alias("r")).where("r <> 1").count()
-    seen = counts.where("c > 0")
-    n_words, v_words = seen.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    n, v = n_words + ends, v_words + (ends > 0)
-    own = [r["word"].encode() for r in seen.orderBy(F.desc("c"), "word").limit(OWN).collect()]
-    frequent = counts.orderBy(F.desc("c_all"), "word").limit(TOP).select("word", "c")
-    top = frequent.union(seen.orderBy(F.desc("c"), "word").limit(OWN).select("word", "c")).distinct().toArrow()
-    rest = seen.where(~F.col("word").isin([w.decode() for w in own])) if own else seen
-    by_class = rest.groupBy((F.pmod(F.crc32(F.right("word", F.lit(2))), F.lit(SUFFIXES)) + 1 + OWN).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
-    inside = np.full(CLASSES, 1.0)
-    inside[1 + OWN :] = 0.5
-    for r in by_class:
-        inside[r["k"]] = r["n"] + 0.5 * (r["v"] + 1)
-    triples = docs.select("doc_id", "text").mapInArrow(_triples(own), "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    fitted = triples.coalesce(1).mapInPandas(_fit, "name string, shape array<int>, data binary").collect()
-    parameters = {r["name"]: np.frombuffer(r["data"], dtype="<f4").reshape(r["shape"]) for r in fitted}
-    if not parameters:  # no training document at all
-        parameters = LogBilinear.start(np.full(CLASSES, 1 / CLASSES)).p
-    shared = spark.sparkContext.broadcast(
-        {
-            "words": b" ".join(w.encode() for w in top.column("word").to_pylist()), "counts": top.column("c").to_numpy(), "own": own, "class_logs": np.log10(inside),
-            "end": (ends > 0, float(np.log10(ends + 0.5))), "base_log": float(np.log10(n + 0.5 * (v + 1))), "parameters": parameters,
-        }
-    )
+    learned = learn(docs, counts)
+    n = learned.pop("tokens")
+    shared = spark.sparkContext.broadcast(learned)
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("uid"))
     scored = rows.mapInArrow(_score(shared, str(shared._jbroadcast.id())), "uid long, word string, times long, doc_id long, held_out int, n_tokens long, n_known long, base double, model double")
     counted = scored.join(counts.select("word", "c"), "word", "left")

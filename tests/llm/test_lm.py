@@ -53,12 +53,67 @@ def test_rare_words_go_through_the_join(spark, scored, monkeypatch):
     assert order(lm.score(docs).collect()) == order(scored[1])
 
 
-def test_probabilities_sum_to_one():
-    counts = np.random.default_rng(0).poisson(0.05, (lm.CLASSES**2, lm.CLASSES)).astype(np.float32)
-    unigram = lm._class_unigram(counts)
-    model = lm.LogBilinear.start(unigram)
-    table = model.log10_probabilities()
-    assert np.allclose((10.0 ** table[:2000]).sum(axis=1), 1, atol=1e-3)
+@pytest.fixture(scope="module")
+def learned(spark):
+    docs = spark.createDataFrame(make(), "doc_id long, text string")
+    counts = lm.word_counts(docs)
+    return lm.learn(docs, counts), {r["word"].encode(): r["c"] for r in counts.collect()}
+
+
+def probability(learned, counts, before, last, word):
+    """Of a word (None: the end) after two others, straight from the parameters."""
+    p, items = lm.LogBilinear.unpack(learned["model"], learned["unigram"]).p, lm._Items(learned["own"])
+    item = lambda w: 0 if w is None else items[w]
+    r = p["context"][item(before) % lm.CONTEXTS] @ p["before"] + p["context"][item(last) % lm.CONTEXTS] @ p["last"]
+    s = np.exp((p["out"] @ r + p["bias"]).astype(np.float64))
+    output = item(word) // lm.CONTEXTS
+    share = s[output] / s.sum()
+    return share * (counts.get(word, 0) + 0.5) / 10 ** learned["class_logs"][output] if 0 < output <= lm.SUFFIXES else share
+
+
+def test_probabilities_sum_to_one(learned):
+    learned, counts = learned
+    unseen = {}  # an unseen word of each class stands for all that are unseen
+    for i in range(20_000):
+        unseen.setdefault(lm._suffix(b"%05dz" % i if i % 2 else b"q%d" % i) % lm.SUFFIXES, b"%05dz" % i if i % 2 else b"q%d" % i)
+    for a in range(33, 127):
+        for b in range(33, 127):
+            word = b"!?" + bytes([a, b]).lower()
+            unseen.setdefault(lm._suffix(word) % lm.SUFFIXES, word)
+    unseen = {k: w for k, w in unseen.items() if w not in counts}
+    assert len(unseen) == lm.SUFFIXES
+    words = [None, *(w for w, c in counts.items() if c), *unseen.values()]
+    for context in ((None, None), (b"the", b"of"), (b"u7", b"la"), (b"new", None)):
+        assert sum(probability(learned, counts, *context, w) for w in words) == pytest.approx(1, abs=1e-4)
+
+
+def test_scores_are_sums_of_log_probabilities(learned, scored):
+    learned, counts = learned
+    for (_, text), r in zip(sorted(scored[0], key=str), sorted(scored[1], key=lambda r: str((r["doc_id"], {i: t for i, t in scored[0]}[r["doc_id"]]))), strict=True):
+        words = [None, None, *lm.words_of(text), None]
+        if r["n_tokens"] < 12:
+            want = sum(math.log10(probability(learned, counts, *words[i - 2 : i + 1])) for i in range(2, len(words)))
+            assert r["score"] == pytest.approx(want, abs=2e-3 * len(words)), text
+
+
+def test_training_makes_the_model_better(learned):
+    learned, _ = learned
+    docs = [lm.words_of(t) for i, t in make(600) if i is not None and 300 <= i < 600]
+    items = [lm._items_of(w, lm._Items(learned["own"])) for w in docs]
+    contexts, outputs = np.concatenate([lm._contexts(x) for x in items]), np.concatenate(items) // lm.CONTEXTS
+
+    def mean(model):
+        s = model.scores(contexts)
+        s = s - s.max(axis=1, keepdims=True)
+        return float((s[np.arange(len(s)), outputs] - np.log(np.exp(s).sum(axis=1))).mean())
+
+    assert mean(lm.LogBilinear.unpack(learned["model"], learned["unigram"])) > mean(lm.LogBilinear.start(learned["unigram"])) + 0.3
+
+
+def test_very_long_words_and_texts(spark):
+    docs = spark.createDataFrame([(i, "w" * 100_000 + f" {i} end") for i in range(5)] + [(9, "some words " * 50_000)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in lm.score(docs).collect()}
+    assert found[9]["n_tokens"] == 100_001 and found[0]["n_tokens"] == 4 and all(math.isfinite(r["score"]) for r in found.values())
 
 
 def test_nothing_to_learn_from(spark):

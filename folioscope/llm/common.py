@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +21,13 @@ FILE_ROWS, TEXT_ROWS = 100_000, 2_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a temporary folder is made and set.
+    Only where the session names none, and in local mode (tests, a laptop), a temporary folder is
+    made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         found = "file://" + tempfile.mkdtemp(prefix="folioscope-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -56,3 +60,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_bytes(column: str):
     """UTF-8 bytes of a text; null counts as none."""
     return F.coalesce(F.octet_length(column), F.lit(0)).cast("long")
+
+
+#: Bits of a map of names.
+MAP_BITS = 1 << 24
+
+
+def name_map(names: DataFrame, column: str):
+    """A broadcast map of the names (64-bit hashes) in a column, of a fixed size: most names that aren't
+    there aren't on it either, as long as there are not many more of them than bits."""
+    cell = F.expr(f"cast(floor(pmod({column}, {MAP_BITS}) / 64) as int)")
+    bits = F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({column}, {MAP_BITS}) % 64 as int))"))
+    cells = np.zeros(MAP_BITS // 64, dtype=np.int64)
+    for r in names.groupBy(cell.alias("cell")).agg(bits.alias("bits")).collect():
+        cells[r["cell"]] = r["bits"]
+    return names.sparkSession.sparkContext.broadcast(cells.tobytes())
+
+
+def on_map(shared) -> np.ndarray:
+    """For each name modulo MAP_BITS whether it is on the map."""
+    return np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8), bitorder="little")

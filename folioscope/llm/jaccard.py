@@ -1,17 +1,22 @@
 """N-gram Jaccard join: documents whose sets of 5-word shingles have a similarity of 0.75 or more.
 
-Documents with the same words are one node. Nodes go into blocks by min-hash bands (each band of
-three minima is a key, a key's nodes are tied to its smallest node, and ties chain into blocks).
-Within a block, shingles are hashed into groups and the group counts indexed as points of an
-R-tree; a pair of tree nodes is entered only if the summed minima of their largest coordinates
-reach the overlap that the similarity asks for, the same bound holds for pairs of points, and the
-pairs left are verified on the shingle sets. A pair in one component already is not verified again,
-so a group of copies costs about one verification for each. Blocks of more than ``CELL`` nodes are
-split into cells, each of two parts of the block, so no task holds more than 2 * CELL nodes of one.
-
-Over all documents the tree alone prunes by little else than length (group counts of unlike texts
-are much alike), which makes the join quadratic; hence the blocks. Two linked nodes share no band
-with a chance of at most (1 - 0.75^3)^40 = 3e-10; shingles are compared by 64-bit hashes.
+Documents with the same words are one node. Shingles are hashed into groups, and a document's group
+counts are a point; the overlap of two documents is at most the sum of the smaller counts. That bound
+is used twice, and no pair that it admits is lost.
+
+Over all documents, with as many groups as there are hashes: a document of n shingles needs three
+quarters of them in common with a partner, so by the bound the two share one of their n / 4 + 1 first
+coordinates in any order that holds for all. The order is by how rare the coordinate's coarse group is
+in the corpus. Documents that share such a coordinate, and whose sizes allow it, are compared by the
+counts of GROUPS groups: pairs if a coordinate has up to CROWD documents, else by an R-tree of these,
+of which as many pairs go on as connect them. What passes the bound chains into blocks.
+
+Within a block the counts are the points of a packed R-tree; a pair of tree nodes is entered only if the summed minima of their largest coordinates reach the overlap that the similarity
+asks for, the same bound holds for pairs of points, and the pairs left are verified on the shingle
+sets. A pair in one component already is not verified again, so a group of copies costs about one
+verification for each. Blocks of more than ``CELL`` nodes or ``CELL_SHINGLES`` shingles are split into
+cells, each of two parts of the block, so no task holds more than two parts. Shingles are compared by
+64-bit hashes.
 
 Defined results: words are taken with A-Z in lower case; with fewer than five words the whole
 sequence is the one shingle; a null text, or one without words, has an empty set and is linked with
@@ -30,17 +35,20 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import TEXT_ROWS, cut, files_for
+from folioscope.llm.common import MAP_BITS, TEXT_ROWS, cut, files_for, name_map, on_map
 from folioscope.llm.graph import components
 
 SHINGLE, PERCENT = 5, 75
-BANDS, ROWS = 40, 3
-#: Groups of tokens (coordinates of a point), entries of a tree node, nodes of half a cell.
-GROUPS, FANOUT, CELL = 64, 32, 2000
+#: Groups of shingles (coordinates of a point; a power of two), entries of a tree node, nodes and shingles of half a cell.
+GROUPS, FANOUT, CELL, CELL_SHINGLES = 2048, 16, 2000, 4_000_000
+#: Documents with one key that make a crowd.
+CROWD = 64
+#: Rows of cells that a task should have at least.
+CELL_ROWS = 1000
+#: Coarse groups that are counted over the corpus; names that a task remembers; keys held before they go out, and for a bucket.
+COARSE, RECENT, HELD, BUCKET = 1 << 16, 500_000, 1 << 20, 1 << 19
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xBF58476D1CE4E5B9)
-_ODD = np.random.default_rng(75).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FOLD = np.random.default_rng(76).integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _REMEMBERED = 400_000
 
 
@@ -72,25 +80,234 @@ def shingles(words: list[bytes]) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(29)))
 
 
-def band_keys(s: np.ndarray) -> np.ndarray:
-    low = np.full(len(_ODD), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(s), 4096):
-        low = np.minimum(low, np.multiply.outer(_ODD, s[at : at + 4096]).min(axis=1))
-    keys = (low.reshape(BANDS, ROWS) * _FOLD).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
-    return ((keys ^ (keys >> np.uint64(32))) * _SPREAD).view(np.int64)
+def first_keys(s: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Of a set's shingles the first in the common order, as many as must hold one that it shares with
+    any similar set."""
+    n = len(s) - -(-PERCENT * len(s) // 100) + 1
+    order = ranks[(s >> np.uint64(48)).astype(np.intp)] << np.uint64(48) | s & np.uint64((1 << 48) - 1)
+    return order if n >= len(s) else np.partition(order, n - 1)[:n]
+
+
+_SETS = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("text_md5", pa.binary()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("name", pa.int64()), ("groups", pa.list_(pa.int64()))])
+_SETS_DDL = "doc_id long, uid long, text_md5 binary, n_shingles long, digest binary, name long, groups array<long>"
+
+
+def _name(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document, and at the end one with a task's counts of shingles by coarse group."""
+    counts, held, n = np.zeros(COARSE, dtype=np.int64), [], 0
+
+    def count() -> None:
+        nonlocal n
+        if held:
+            counts[:] += np.bincount((np.concatenate(held) >> np.uint64(48)).astype(np.intp), minlength=COARSE)
+        held.clear()
+        n = 0
+
     for batch in batches:
-        sizes, digests, bands = [], [], []
+        sizes, digests = [], []
         for text in batch.column("text"):
             words = words_of(text.as_py())
             s = shingles(words)
             sizes.append(len(s))
             digests.append(hashlib.md5(b" ".join(words)).digest() if words else None)
-            bands.append(band_keys(s) if words else np.zeros(0, dtype=np.int64))
-        lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, bands)]).astype(np.int32), pa.array(np.concatenate(bands) if bands else [], type=pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), batch.column("text_md5"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], names=["doc_id", "uid", "text_md5", "n_shingles", "digest", "bands"])
+            held.append(s)
+            n += len(s)
+            if n >= HELD:
+                count()
+        names = [None if d is None else _name(d) for d in digests]
+        own = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(names, pa.int64()), pa.nulls(len(sizes), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), batch.column("text_md5"), *own], schema=_SETS)
+    count()
+    if counts.any():
+        yield pa.RecordBatch.from_pylist([{"groups": counts.tolist()}], schema=_SETS)
+
+
+def _packed(h: np.ndarray, names: np.ndarray, sizes: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """bucket, keys: hashes by bucket, many to a row, in order and as differences, with names and sizes."""
+    order = np.argsort(h)
+    h, names, sizes = h[order], names[order], sizes[order].astype(np.uint32)
+    bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    key = (h * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)  # what the bucket leaves of the hash
+    edges = [*np.nonzero(np.diff(bucket, prepend=-1))[0].tolist(), len(h)]
+    steps = np.diff(key, prepend=np.uint32(0))
+    steps[edges[:-1]] = key[edges[:-1]]
+    blobs = [(j - i).to_bytes(4, "little") + pa.compress(steps[i:j].tobytes() + sizes[i:j].tobytes() + names[i:j].tobytes(), codec="zstd", asbytes=True) for i, j in zip(edges, edges[1:])]  # noqa: RUF007
+    return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "keys"])
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int.from_bytes(data[:4], "little")
+    flat = pa.decompress(data[4:], 16 * n, codec="zstd", asbytes=True)
+    steps, sizes = (np.frombuffer(flat, dtype=np.uint32, count=n, offset=4 * n * i) for i in range(2))
+    return np.cumsum(steps, dtype=np.uint32), sizes, np.frombuffer(flat, dtype=np.int64, count=n, offset=8 * n)
+
+
+def _first_keys(buckets: int, ranks: np.ndarray):
+    """The first keys of all documents; those of one word sequence once for a task while it is remembered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent: set[int] = set()
+        held: list[tuple[np.ndarray, int, int]] = []
+        n = 0
+
+        def flush() -> pa.RecordBatch:
+            each = [len(k) for k, *_ in held]
+            h = np.concatenate([k for k, *_ in held]) * _STEP
+            h = (h ^ (h >> np.uint64(32))) * _SPREAD
+            out = _packed(h, np.repeat(np.array([x[1] for x in held], dtype=np.int64), each), np.repeat(np.array([x[2] for x in held]), each), buckets)
+            held.clear()
+            return out
+
+        for batch in batches:
+            for text in batch.column("text"):
+                words = words_of(text.as_py())
+                if not words or (name := _name(hashlib.md5(b" ".join(words)).digest())) in recent:
+                    continue
+                if len(recent) >= RECENT:
+                    recent.clear()
+                recent.add(name)
+                s = shingles(words)
+                held.append((first_keys(s, ranks), name, len(s)))
+                n += len(held[-1][0])
+                if n >= HELD:
+                    yield flush()
+                    n = 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def meet(key: np.ndarray, size: np.ndarray, name: np.ndarray, crowd: int) -> tuple[np.ndarray, ...]:
+    """Names of pairs of documents that share a key and whose sizes allow a link; and key and name of
+    the documents of keys that more than ``crowd`` have."""
+    v = np.sort(key.astype(np.uint64) << np.uint64(32) | np.arange(len(key), dtype=np.uint64))
+    same = (v[1:] >> np.uint64(32)) == (v[:-1] >> np.uint64(32))
+    some = np.append(same, False) | np.append(False, same)
+    at = (v & np.uint64(0xFFFFFFFF)).astype(np.intp)[some[: len(v)]]
+    key, size, name = key[at], size[at].astype(np.int64), name[at]
+    order = np.lexsort((name, key.astype(np.uint64) << np.uint64(32) | size.astype(np.uint64)))
+    order = order[np.append(True, (key[order][1:] != key[order][:-1]) | (name[order][1:] != name[order][:-1]))[: len(order)]]
+    key, size, name = key[order], size[order], name[order]
+    starts = np.nonzero(np.append(True, key[1:] != key[:-1])[: len(key)])[0]
+    n = np.diff(starts, append=len(key))
+    a, b = [], []
+    for k in np.unique(n[(n > 1) & (n <= crowd)]).tolist():  # all keys with so many documents together
+        group = starts[n == k][:, None] + np.arange(k)
+        i, j = np.triu_indices(k, 1)
+        x, y = group[:, i].ravel(), group[:, j].ravel()
+        ok = 100 * size[x] >= PERCENT * size[y]
+        a.append(np.minimum(name[x[ok]], name[y[ok]]))
+        b.append(np.maximum(name[x[ok]], name[y[ok]]))
+    a, b = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (a, b))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    crowded = np.repeat(n > crowd, n)
+    return a[new], b[new], key[crowded].astype(np.int64), name[crowded]
+
+
+def _meet(crowd: int):
+    """a, b: pairs that meet; or a and key, without b: a document of a crowded key. The rows of a bucket come together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def solve() -> Iterator[pa.RecordBatch]:
+            if held:
+                a, b, key, name = meet(*(np.concatenate(x) for x in zip(*held, strict=True)), crowd)
+                held.clear()
+                columns = [np.append(a, name), pa.concat_arrays([pa.array(b), pa.nulls(len(key), pa.int64())]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array((np.int64(now) << 32) + key)])]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "key"])
+
+        for batch in batches:
+            for bucket, keys in zip(batch.column("bucket").to_pylist(), batch.column("keys"), strict=True):
+                if bucket != now:
+                    yield from solve()
+                    now = bucket
+                held.append(_unpacked(keys.as_py()))
+        yield from solve()
+
+    return run
+
+
+def point(s: np.ndarray) -> bytes:
+    """A set's counts by group, compressed; a count that is as high as it can be stands for any."""
+    counts = np.minimum(np.bincount((s % np.uint64(GROUPS)).astype(np.intp), minlength=GROUPS), 0xFF)
+    return pa.compress(counts.astype(np.uint8).tobytes(), codec="zstd", asbytes=True)
+
+
+def _points_in(column: pa.Array) -> np.ndarray:
+    flat = b"".join(pa.decompress(x, GROUPS, codec="zstd", asbytes=True) for x in column.to_pylist())
+    found = np.frombuffer(flat, dtype=np.uint8).reshape(-1, GROUPS).astype(np.int32)
+    found[found == 0xFF] = 1 << 24
+    return found
+
+
+def _points(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """a, size, point of the documents of the wanted names."""
+    shared = name_map(wanted, "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, recent = on_map(shared), set()
+        for batch in batches:
+            found: list[tuple[int, int, bytes]] = []
+            for text in batch.column("text"):
+                words = words_of(text.as_py())
+                if words and asked[(name := _name(hashlib.md5(b" ".join(words)).digest())) % MAP_BITS] and name not in recent:
+                    if len(recent) >= RECENT:
+                        recent.clear()
+                    recent.add(name)
+                    s = shingles(words)
+                    found.append((name, len(s), point(s)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["a", "size", "point"])
+
+    return docs.select("text").mapInArrow(run, "a long, size long, point binary").join(wanted.hint("shuffle_hash"), "a", "left_semi").dropDuplicates(["a"])
+
+
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that the bound admits."""
+    for batch in batches:
+        keep = []
+        for at in range(0, batch.num_rows, 1024):
+            some = batch.slice(at, 1024)
+            overlap = np.minimum(_points_in(some.column("point")), _points_in(some.column("point_b"))).sum(axis=1, dtype=np.int64)
+            keep.append(_enough(overlap, some.column("size").to_numpy() + some.column("size_b").to_numpy()))
+        yield batch.select(["a", "b"]).filter(pa.array(np.concatenate([np.zeros(0, dtype=bool), *keep])))
+
+
+def _crowd_ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the documents of a crowded key (or of a cell of them) as many pairs that the bound admits as
+    connect them; the rows of a cell come together."""
+    now, held = None, []
+
+    def solve() -> Iterator[pa.RecordBatch]:
+        if held:
+            rows = pa.Table.from_batches(held)
+            held.clear()
+            names, sizes = rows["a"].to_numpy(), rows["size"].to_numpy()
+            root, out = np.arange(len(names)), []
+            for i, j in CountTree(_points_in(rows["point"].combine_chunks()), sizes).pairs(root):
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    if root[x] != root[y]:
+                        root[root == root[y]] = root[x]
+                        out.append(sorted((int(names[x]), int(names[y]))))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], names=["a", "b"])
+
+    for batch in batches:
+        cells = np.stack([batch.column(c).to_numpy() for c in ("key", "low", "high")])
+        edges = [0, *(np.nonzero((cells[:, 1:] != cells[:, :-1]).any(axis=0))[0] + 1).tolist(), batch.num_rows]
+        for i, j in zip(edges, edges[1:]):  # noqa: RUF007
+            if j > i:
+                if (cell := tuple(cells[:, i].tolist())) != now:
+                    yield from solve()
+                    now = cell
+                held.append(batch.slice(i, j - i).select(["a", "size", "point"]))
+    yield from solve()
 
 
 def _enough(overlap, sizes):
@@ -106,23 +323,32 @@ class CountTree:
         self.points, self.sizes = points[self.order], sizes[self.order]
         self.levels = [(self.points, self.sizes, self.sizes)]  # largest coordinates, smallest and largest size
         while len(self.levels[-1][0]) > FANOUT:
-            most, low, _ = self.levels[-1]
+            most, low, high = self.levels[-1]
             at = np.arange(0, len(most), FANOUT)
-            self.levels.append((np.maximum.reduceat(most, at), np.minimum.reduceat(low, at), low))
+            self.levels.append((np.maximum.reduceat(most, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
 
     def _children(self, level: int, box: int) -> slice:
         return slice(box * FANOUT, min(len(self.levels[level][0]), (box + 1) * FANOUT))
 
-    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Index arrays (into the input) of pairs whose bound passes, leaf pair by leaf pair."""
+    def pairs(self, root: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Index arrays (into the input) of pairs whose bound passes, leaf pair by leaf pair. ``root``:
+        which points are connected, kept up to date by the caller; such pairs are left out."""
         top = len(self.levels) - 1
         stack = [(top, slice(0, len(self.levels[top][0])), slice(0, len(self.levels[top][0])))]
         while stack:
             level, a, b = stack.pop()
-            most, low, _ = self.levels[level]
-            bound = np.minimum(most[a, None, :], most[None, b, :]).sum(axis=2)
-            i, j = np.nonzero(_enough(bound, low[a, None] + low[None, b]))
+            most, low, high = self.levels[level]
+            fits = (100 * high[a, None] >= PERCENT * low[None, b]) & (100 * high[None, b] >= PERCENT * low[a, None])
+            i, j = np.nonzero(fits)
             i, j = i + a.start, j + b.start
+            if a == b:
+                i, j = i[i <= j], j[i <= j]
+            if level == 0 and root is not None:
+                apart = root[self.order[i]] != root[self.order[j]]
+                i, j = i[apart], j[apart]
+            bound = np.minimum(most[i], most[j]).sum(axis=1, dtype=np.int64)
+            ok = _enough(bound, low[i] + low[j])
+            i, j = i[ok], j[ok]
             if level == 0:
                 i, j = i[i < j], j[i < j]
                 if len(i):
@@ -138,9 +364,10 @@ def spanning_links(sets: list[np.ndarray], sides: np.ndarray) -> list[int]:
     if len(sets) < 2:
         return root.tolist()
     sizes = np.array([len(s) for s in sets])
-    points = np.stack([np.bincount((s >> np.uint64(58)).astype(np.intp), minlength=GROUPS) for s in sets]).astype(np.int32)
+    of = np.repeat(np.arange(len(sets)), sizes) * GROUPS + (np.concatenate(sets) % np.uint64(GROUPS)).astype(np.int64)
+    points = np.bincount(of, minlength=GROUPS * len(sets)).reshape(len(sets), GROUPS).astype(np.int32)
     two = len(set(sides.tolist())) > 1
-    for i, j in CountTree(points, sizes).pairs():
+    for i, j in CountTree(points, sizes).pairs(root):
         keep = root[i] != root[j]
         if two:
             keep &= sides[i] != sides[j]
@@ -179,16 +406,38 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _nodes(info: DataFrame, n: int) -> DataFrame:
     some = info.where("n_shingles > 0").groupBy("digest")
-    return cut(some.agg(F.min("uid").alias("node"), F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"), F.min(F.struct("uid", "doc_id", "text_md5")).alias("at")), "join-nodes", n, 10 * TEXT_ROWS)
+    return cut(some.agg(F.min("uid").alias("node"), F.min("doc_id").alias("least_id"), F.min("name").alias("name"), F.min("n_shingles").alias("n_shingles"), F.min(F.struct("uid", "doc_id", "text_md5")).alias("at")), "join-nodes", n, 10 * TEXT_ROWS)
 
 
-def _links(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+def _ties_of(crowds: DataFrame, points: DataFrame) -> DataFrame:
+    """The ties of crowded keys; keys of more than CELL documents in cells."""
+    parts = crowds.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+    rows = crowds.join(parts, "key").join(points, "a").withColumn("side", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = cells.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "a", "size", "point")
+    cells = cells.repartition(crowds.count() // CELL_ROWS + 1, "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return cells.mapInArrow(_crowd_ties, "a long, b long")
+
+
+def _links(docs: DataFrame, nodes: DataFrame, n: int, ranks: np.ndarray, crowd: int) -> DataFrame:
     """node, component, for all nodes with a link."""
-    keys = nodes.select("node", F.explode("bands").alias("key"))
-    firsts = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    ties = keys.join(firsts, "key").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    blocks = cut(components(ties, "join-ties", n).withColumnRenamed("component", "block"), "join-blocks", n)
-    parts = blocks.groupBy("block").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+    keys = nodes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0] * (100 - PERCENT) // 100
+    buckets = keys // BUCKET + 1
+    packed = docs.select("text").mapInArrow(_first_keys(buckets, ranks), "bucket int, keys binary")
+    packed = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    met = cut(packed.mapInArrow(_meet(crowd), "a long, b long, key long"), "join-met")
+    pairs = cut(met.where("b is not null").select("a", "b").distinct(), "join-pairs")
+    crowds = met.where("b is null").select("key", "a")
+    points = cut(_points(docs, pairs.select(F.explode(F.array("a", "b")).alias("a")).union(crowds.select("a")).distinct()), "join-points")
+    others = points.withColumnsRenamed({"a": "b", "size": "size_b", "point": "point_b"})
+    admitted = pairs.join(points, "a").join(others, "b").mapInArrow(_bounded, "a long, b long")
+    if not crowds.isEmpty():
+        admitted = admitted.union(_ties_of(crowds, points))
+    named = components(admitted, "join-ties").withColumnRenamed("node", "name").withColumnRenamed("component", "block")
+    blocks = cut(named.join(nodes.select("name", "node", "n_shingles"), "name").select("node", "block", "n_shingles"), "join-blocks", n)
+    size = blocks.count()
+    parts = blocks.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / CELL, F.sum("n_shingles") / CELL_SHINGLES)).cast("int").alias("parts"))
+    blocks = blocks.drop("n_shingles")
     member = blocks.join(parts, "block").join(nodes.select("node", "digest", "at"), "node")
     side = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     member = member.select("block", "parts", "node", "digest", F.col("at.doc_id").alias("id"), F.col("at.text_md5").alias("md5"), side.alias("side"))
@@ -196,7 +445,7 @@ def _links(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     texts = texts.join(member, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_md5") == F.col("md5")))
     cells = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = cells.select("block", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "parts", "node", "digest", "text")
-    cells = cells.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high")
+    cells = cells.repartition(size // CELL_ROWS + 1, "block", "low", "high").sortWithinPartitions("block", "low", "high")
     links = cut(cells.mapInArrow(_solve, "a long, b long, split boolean"), "join-links", n, TEXT_ROWS)
     whole = links.where("not split").select(F.col("a").alias("node"), F.col("b").alias("component"))
     whole = whole.union(whole.select("component", "component").distinct())
@@ -204,35 +453,42 @@ def _links(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     return whole if split.isEmpty() else whole.union(components(split.select("a", "b"), "join-split", n))
 
 
-def _describe_all(docs: DataFrame, n: int) -> DataFrame:
+def _described(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """All rows described, and the rank of each coarse group by its count, the rarest first."""
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.unhex(F.md5("text")).alias("text_md5"), F.monotonically_increasing_id().alias("uid"))
-    return cut(rows.mapInArrow(_describe, "doc_id long, uid long, text_md5 binary, n_shingles long, digest binary, bands array<long>"), "join-sets", n, TEXT_ROWS)
+    both = cut(rows.mapInArrow(_describe, _SETS_DDL), "join-sets", docs.count(), TEXT_ROWS)
+    counts = np.zeros(COARSE, dtype=np.int64)
+    for r in both.where("groups is not null").select(F.posexplode("groups").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
+        counts[r["k"]] = r["n"]
+    ranks = np.empty(COARSE, dtype=np.uint64)
+    ranks[np.argsort(counts, kind="stable")] = np.arange(COARSE, dtype=np.uint64)
+    return both.where("uid is not null").drop("groups"), ranks
 
 
-def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
     """All rows described, and digest, component, least_id for all nodes."""
-    n = docs.count()
-    info = _describe_all(docs, n)
+    info, ranks = _described(docs)
+    n = info.count()
     nodes = _nodes(info, n)
     own = nodes.select("digest", "node", "least_id", "at")
-    labels = _links(docs, nodes, n)
+    labels = _links(docs, nodes, n, ranks, crowd)
     labelled = own.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return info, cut(labelled, "join-labels", n)
 
 
-def link(docs: DataFrame) -> DataFrame:
+def link(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id."""
-    info, labelled = _grouped(docs)
+    info, labelled = _grouped(docs, crowd)
     least = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
     ids = labelled.join(least, "component").select("digest", "component_id")
     out = info.select("doc_id", "n_shingles", "digest").join(ids, "digest", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """The rows of ``docs`` with one document of each component: the first of those with its
     smallest id. Rows without words all stay."""
-    info, labelled = _grouped(docs)
+    info, labelled = _grouped(docs, crowd)
     n = info.count()
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_md5")
     best = info.where("n_shingles > 0").join(labelled.select("digest", "component"), "digest").groupBy("component").agg(F.min(order).alias("best"))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import SPACE, TEXT_ROWS, cut, files_for
+from folioscope.llm.common import MAP_BITS, SPACE, TEXT_ROWS, cut, files_for, name_map, on_map
 from folioscope.llm.graph import components
 
 EDIT_CHARS, SHORTEST = 40, 10
@@ -51,8 +51,8 @@ RECENT = 500_000
 CHARS, HELD, BUCKET = 1 << 16, 1 << 20, 1 << 23
 #: Bits of a place within the characters hashed at once, and the longest piece of a line among them.
 PLACE_BITS, PIECE = 20, 1 << 19
-#: Groups of grams that are counted, and bits of the map of lines whose texts are asked for.
-GROUPS, MAP_BITS = 1 << 16, 1 << 24
+#: Groups of grams that are counted.
+GROUPS = 1 << 16
 #: Rows of the distance matrix that are kept: distances up to BAND - 1.
 BAND = 32
 #: Of a key its hash within its bucket; of its line the name, the first place of the key and how far on its
@@ -602,14 +602,10 @@ def _hashed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """line, text of the wanted lines. A map of their names, of a fixed size, keeps most others from
     leaving their task; the join keeps the rest out."""
-    cells = np.zeros(MAP_BITS // 64, dtype=np.int64)
-    bit = F.expr(f"pmod(line, {MAP_BITS})")
-    for r in wanted.groupBy(F.floor(bit / 64).cast("int").alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(line, {MAP_BITS}) % 64 as int))")).alias("bits")).collect():
-        cells[r["cell"]] = r["bits"]
-    shared = docs.sparkSession.sparkContext.broadcast(cells.tobytes())
+    shared = name_map(wanted, "line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8), bitorder="little")
+        asked = on_map(shared)
         recent: set[int] = set()
         for batch in batches:
             names, texts = [], []

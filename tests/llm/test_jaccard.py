@@ -52,12 +52,12 @@ def sample(n=250):
     return rows
 
 
-@pytest.mark.parametrize("cell", [2000, 4])
-def test_links_equal_brute_force(spark, monkeypatch, cell):
-    monkeypatch.setattr(jaccard, "CELL", cell)  # 4: blocks are split into cells
+@pytest.mark.parametrize(("cell", "crowd"), [(2000, 64), (4, 1)])
+def test_links_equal_brute_force(spark, monkeypatch, cell, crowd):
+    monkeypatch.setattr(jaccard, "CELL", cell)  # 4: blocks and crowds are split into cells
     rows = sample()
     docs = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, component_id int").repartition(3)
-    found = jaccard.link(docs).collect()
+    found = jaccard.link(docs, crowd).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == brute(rows)
 
 
@@ -83,3 +83,26 @@ def test_tree_finds_every_pair_within_the_bound():
     want = {(i, j) for i in range(400) for j in range(i) if 175 * np.minimum(points[i], points[j]).sum() >= 75 * (sizes[i] + sizes[j])}
     got = {(max(a, b), min(a, b)) for i, j in jaccard.CountTree(points, sizes).pairs() for a, b in zip(i.tolist(), j.tolist(), strict=True)}
     assert got == want
+
+
+def test_similar_documents_always_meet():
+    r = random.Random(2)
+    ranks = np.random.default_rng(2).permutation(jaccard.COARSE).astype(np.uint64)
+    met = 0
+    for _ in range(400):
+        words = [f"w{r.randrange(500)}".encode() for _ in range(r.choice((5, 9, 30, 200)))]
+        other = list(words)
+        for _ in range(r.randint(0, 1 + len(words) // 30)):
+            other[r.randrange(len(other))] = b"new%d" % r.randrange(9)
+        other += [b"more"] * r.randint(0, len(words) // 4)
+        a, b = jaccard.shingles(words), jaccard.shingles(other)
+        both = len(np.intersect1d(a, b))
+        if both == len(a) == len(b) or 100 * both < 75 * (len(a) + len(b) - both):
+            continue
+        met += 1
+        keys = [jaccard.first_keys(s, ranks) for s in (a, b)]
+        h, name, size = np.concatenate(keys), np.repeat([0, 1], [len(k) for k in keys]), np.repeat([len(a), len(b)], [len(k) for k in keys])
+        packed = jaccard._packed(h, name, size, 3).to_pylist()
+        assert any(len(jaccard.meet(*jaccard._unpacked(x["keys"]), 64)[0]) for x in packed)
+        assert any(len(jaccard.meet(*jaccard._unpacked(x["keys"]), 1)[2]) for x in packed)
+    assert met > 50

@@ -46,10 +46,10 @@ CROWD = 64
 #: Rows of cells that a task should have at least.
 CELL_ROWS = 1000
 #: Coarse groups that are counted over the corpus; names that a task remembers; keys held before they go out, and for a bucket.
-COARSE, RECENT, HELD, BUCKET = 1 << 16, 500_000, 1 << 20, 1 << 19
+COARSE, RECENT, HELD, BUCKET = 1 << 16, 200_000, 1 << 19, 1 << 19
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xBF58476D1CE4E5B9)
-_REMEMBERED = 400_000
+_REMEMBERED = 200_000
 
 
 class _WordHashes(dict):

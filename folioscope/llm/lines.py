@@ -42,13 +42,13 @@ from folioscope.llm.graph import components
 
 EDIT_CHARS, SHORTEST = 40, 10
 #: Lines to meet that make a crowd, and how many of these a segment meets at first. Pairs looked at together.
-CROWD, FEW, TOGETHER = 64, 8, 1 << 20
+CROWD, FEW, TOGETHER = 64, 8, 1 << 18
 #: Lines of half a cell of the second round.
 CELL = 1000
 #: Lines that a task remembers so as to emit each once.
-RECENT = 500_000
+RECENT = 200_000
 #: Characters hashed at once, keys held before they go out, and characters of all texts for a bucket.
-CHARS, HELD, BUCKET = 1 << 16, 1 << 20, 1 << 23
+CHARS, HELD, BUCKET = 1 << 16, 1 << 19, 1 << 23
 #: Bits of a place within the characters hashed at once, and the longest piece of a line among them.
 PLACE_BITS, PIECE = 20, 1 << 19
 #: Groups of grams that are counted.
@@ -635,9 +635,10 @@ def _crowd_links(crowds: DataFrame, classes: DataFrame, texts: DataFrame) -> Dat
     rows = cut(rows, "lines-crowds")
     several = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
     rows = cut(rows.join(several.where("least <> most").select("key", "parts"), "key"), "lines-crossed")
-    keys = rows.groupBy("a").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    rows = rows.join(keys, "a").join(texts.withColumnRenamed("line", "a"), "a").withColumn("side", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
-    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    each = rows.groupBy("a").agg(F.min("component").alias("component"), F.sort_array(F.collect_list(F.struct("key", "parts"))).alias("of"))
+    each = each.join(texts.withColumnRenamed("line", "a"), "a").select("a", "component", "text", F.col("of.key").alias("keys"), F.explode("of").alias("k"))
+    each = each.select("a", "component", "text", "keys", "k.*").withColumn("side", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    cells = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = cells.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "a", "component", "keys", "text")
     cells = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     return cut(cells.mapInArrow(_crossed, "a long, b long"), "lines-more")

@@ -631,7 +631,8 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _crowd_links(crowds: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between lines of crowded keys that are in different classes so far; keys of more than
     CELL lines in cells."""
-    rows = crowds.join(classes.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    lines = crowds.groupBy("a").agg(F.collect_list("key").alias("of"))  # no more keys than a line has characters
+    rows = lines.join(classes.withColumnRenamed("node", "a"), "a", "left").select("a", F.coalesce("component", "a").alias("component"), F.explode("of").alias("key"))
     rows = cut(rows, "lines-crowds")
     several = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
     rows = cut(rows.join(several.where("least <> most").select("key", "parts"), "key"), "lines-crossed")

@@ -15,6 +15,7 @@ from folioscope.functions import geometry as G
 from folioscope.functions import ids, labels
 from folioscope.functions import text as T
 from folioscope.operators import batch, disagreements, linkage, matching, metrics, overview
+from folioscope.plans import corpora
 from folioscope.plans.synthetic import REGION_SQL, TYPES, page_systems, regions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -534,5 +535,9 @@ def path_and_data_url(spark, sf_dir):
     return rows.select("page_id", F.regexp_extract("url", "([^/]*)$", 1).alias("name"), ids.data_url(F.lit("page.png"), F.col("url").cast("binary")).alias("data_url"))
 
 
+QUERIES |= corpora.QUERIES
+SQL |= corpora.SQL
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics_by_type(spark, sf_dir)

@@ -123,6 +123,13 @@ def _write(folder: str):
     return run
 
 
+def put_files(files: DataFrame, folder: str) -> int:
+    """Writes ``files`` (file, content) to a new folder, from the executors and without a list; how many."""
+    fs, base = _place(folder)
+    fs.create_dir(f"{base}/{LISTS}", recursive=True)
+    return files.select("file", "content").mapInArrow(_write(folder), "file string").count()
+
+
 def _remove(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _place(folder)

@@ -5,13 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
-    """``df`` written below spark.checkpoint.dir and read back, so that it is computed once and its
-    lineage ends. Without that setting a temporary folder is made and set, in local mode only."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder below spark.checkpoint.dir. Without that setting a temporary folder is made and set,
+    in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
@@ -19,6 +18,12 @@ def settle(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
         base = "file://" + tempfile.mkdtemp(prefix="folioscope-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def settle(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that it is computed once and its lineage
+    ends."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     (df if files is None else df.coalesce(files)).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

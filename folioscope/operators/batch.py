@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.sources.store import settle
+
 #: Models of a batch at most.
 MODELS = 1000
 JOB_KEY = ["page_id", "region_id", "model", "prompt_version"]
@@ -99,3 +101,15 @@ def run_batch(jobs: DataFrame, client: Callable[[dict], dict], columns: list[str
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     return kept.mapInPandas(run, f"{schema}, {OUTCOME}")
+
+
+def run_in_waves(jobs: DataFrame, client: Callable[[dict], dict], save: Callable[[DataFrame], None], wave: int = 10_000, columns: list[str] | None = None) -> int:
+    """Runs the jobs, about ``wave`` at a time, and saves each wave's outcomes before the next begins, so
+    a failed Spark job costs one wave's replies. How many jobs failed."""
+    waves, failed = -(-jobs.count() // wave), 0
+    for i in range(waves):
+        part = jobs.where(F.pmod(F.xxhash64(*JOB_KEY), F.lit(waves)) == i)
+        outcomes = settle(run_batch(part, client, columns), "wave")
+        save(outcomes)
+        failed += outcomes.where("not ok").count()
+    return failed

@@ -59,6 +59,12 @@ def run_counts(systems: DataFrame, regions: DataFrame) -> DataFrame:
     )
 
 
+def run_type_counts(systems: DataFrame, regions: DataFrame) -> DataFrame:
+    """Regions by run and display label; a run without regions has no row."""
+    runs = systems.where(~F.col("reviewed")).select("page_id", "source", run_name(F.col("system"), F.col("prompt_version")).alias("run"))
+    return type_counts(runs.join(regions.select("page_id", "source", "region_type"), ["page_id", "source"]), "run")
+
+
 def manuscript_count(manifest: DataFrame, pages: DataFrame) -> DataFrame:
     """manuscripts (null if none is mapped), mapped_pages and mapping_complete, over known pages."""
     named = F.col("manuscript_id").isNotNull() & (strip(F.col("manuscript_id")) != "")

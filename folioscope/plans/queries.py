@@ -17,6 +17,7 @@ from folioscope.functions import text as T
 from folioscope.operators import batch, disagreements, linkage, matching, metrics, overview
 from folioscope.plans import corpora
 from folioscope.plans.synthetic import REGION_SQL, TYPES, page_systems, regions
+from folioscope.sources import layout
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -114,7 +115,7 @@ def normalize_type(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", labels.region_type(F.col("raw")).alias("region_type"))
 
 
-@query(REGION_SQL + "SELECT page_id, least(min(x1), min(x1)) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM (SELECT a.page_id, a.ord, least(a.x1, b.x1) AS x1, least(a.y1, b.y1) AS y1, greatest(a.x2, b.x2) AS x2, greatest(a.y2, b.y2) AS y2 FROM a JOIN b ON a.page_id = b.page_id AND a.ord = b.ord) GROUP BY page_id")
+@query(REGION_SQL + "SELECT page_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM (SELECT a.page_id, a.ord, least(a.x1, b.x1) AS x1, least(a.y1, b.y1) AS y1, greatest(a.x2, b.x2) AS x2, greatest(a.y2, b.y2) AS y2 FROM a JOIN b ON a.page_id = b.page_id AND a.ord = b.ord) GROUP BY page_id")
 def union_bbox(spark, sf_dir):
     a, b = regions(spark, sf_dir, "a"), regions(spark, sf_dir, "b")
     other = b.select("page_id", "ord", *G.Box.of().columns("o_"))
@@ -122,15 +123,22 @@ def union_bbox(spark, sf_dir):
     return both.groupBy("page_id").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
 
 
+def _block_of(rows: DataFrame, nth) -> DataFrame:
+    """A block for each order, its lines those of ``nth`` (a struct that ends in line), in its order."""
+    lines = rows.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.transform(F.sort_array(F.collect_list(nth)), lambda x: x["line"]).alias("lines"))
+    whole = G.Box(*(F.lit(float(v)) for v in (0, 0, 10, 10))).as_struct()
+    return lines.select("page_id", F.col("page_id").cast("string").alias("path"), F.lit(0).alias("block_ord"), F.lit("b").alias("id"), F.lit(None).cast("string").alias("block_type"), F.lit(10).alias("width"), F.lit(10).alias("height"), whole.alias("bbox"), F.array().cast("array<struct<x:double,y:double>>").alias("polygon"), "lines")
+
+
 # Nested records -----------------------------------------------------------------------------------
 
 
 @query("SELECT l_orderkey AS page_id, count(*) AS lines, string_agg(l_returnflag || CAST(l_linenumber AS VARCHAR), chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS text FROM lineitem GROUP BY 1")
 def flatten_blocks(spark, sf_dir):
-    """Blocks with nested lines, built, flattened by position and their texts joined."""
-    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("text"))
-    blocks = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page_id")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
-    return blocks.select("page_id", F.size("lines").cast("long").alias("lines"), F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("text"))
+    """Blocks with nested lines, flattened by position and their texts joined."""
+    nth = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.struct(F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("text"), F.lit(None).cast("double").alias("confidence")).alias("line"))
+    blocks = _block_of(_t(spark, sf_dir, "lineitem"), nth)
+    return layout.layout_regions(blocks).select("page_id", F.size(F.split("text", "\n")).cast("long").alias("lines"), "text")
 
 
 @query(REGION_SQL + ", flagged AS (SELECT page_id, max(CASE WHEN x2 > 850 THEN 1 ELSE 0 END) AS bad FROM a GROUP BY page_id) SELECT CAST(a.page_id AS VARCHAR) AS path, CAST(ord AS INTEGER) AS ord, CAST(a.page_id AS VARCHAR) || '-' || lpad(CAST(ord AS VARCHAR), 4, '0') AS id, region_type, x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2, 0.5::DOUBLE AS confidence FROM a JOIN flagged ON a.page_id = flagged.page_id WHERE bad = 0 AND region_type <> 'illustration'")
@@ -456,6 +464,12 @@ def run_counts(spark, sf_dir):
     return overview.run_counts(_run_systems(spark, sf_dir), r)
 
 
+@query(_RUNS + ", n AS (SELECT page_id, system, region_type FROM regions) SELECT run, CASE region_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.REGION_LABELS.items()) + " END AS label, count(*) AS n FROM rec JOIN n ON n.page_id = rec.page_id AND n.system = rec.system AND rec.copy = 0 WHERE NOT reviewed GROUP BY ALL")
+def run_type_counts(spark, sf_dir):
+    r = regions(spark, sf_dir).withColumn("source", F.concat_ws("/", "system", F.lit("0")))
+    return overview.run_type_counts(_run_systems(spark, sf_dir), r)
+
+
 def _manifest(spark, sf_dir):
     """A manifest of all orders as pages, saved as JSON and read as variants."""
     from folioscope.sources.records import parse_manifest
@@ -495,7 +509,8 @@ def htr_coverage(spark, sf_dir):
 @query("SELECT l_orderkey AS page_id, round(avg(c), 9) AS confidence FROM (SELECT l_orderkey, l_linenumber, avg(l_discount) AS c FROM lineitem GROUP BY 1, 2) GROUP BY 1")
 def confidence_mean(spark, sf_dir):
     lines = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.avg("l_discount").alias("c"))
-    return lines.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.round(F.avg("c"), R9).alias("confidence"))
+    nth = F.struct("l_linenumber", F.struct(F.lit("").alias("text"), F.col("c").cast("double").alias("confidence")).alias("line"))
+    return _rounded(layout.layout_regions(_block_of(lines, nth)).select("page_id", "confidence"), "confidence")
 
 
 # Batches and identifiers --------------------------------------------------------------------------
@@ -532,7 +547,7 @@ def sha_ids(spark, sf_dir):
 @query("SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS name, 'data:image/png;base64,' || to_base64(encode(url)) AS data_url FROM pages")
 def path_and_data_url(spark, sf_dir):
     rows = _t(spark, sf_dir, "pages").select("page_id", "url")
-    return rows.select("page_id", F.regexp_extract("url", "([^/]*)$", 1).alias("name"), ids.data_url(F.lit("page.png"), F.col("url").cast("binary")).alias("data_url"))
+    return rows.select("page_id", F.when(F.endswith("url", F.lit("/")), F.lit("")).otherwise(ids.file_name(F.col("url"))).alias("name"), ids.data_url(F.lit("page.png"), F.col("url").cast("binary")).alias("data_url"))
 
 
 QUERIES |= corpora.QUERIES

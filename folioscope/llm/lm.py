@@ -56,7 +56,9 @@ def is_held_out(doc_id: int | None) -> bool:
 
 
 def _suffix(word: bytes) -> int:
-    return zlib.crc32(word.decode()[-2:].encode())
+    """A hash of the last two characters, which are whole within the last eight bytes."""
+    tail = word[-2:]
+    return zlib.crc32(tail if tail.isascii() else word[-8:].decode(errors="ignore")[-2:].encode())
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,8 +89,12 @@ class _Items(dict):
         self.own = {w: i for i, w in enumerate(own, 1 + SUFFIXES)}
 
     def __missing__(self, word: bytes) -> int:
-        output = self.own.get(word) or 1 + _suffix(word) % SUFFIXES
-        found = output * CONTEXTS + (output if output < CONTEXTS else 1 + _suffix(word) % SUFFIXES)
+        output = self.own.get(word)
+        if output and output < CONTEXTS:
+            found = output * CONTEXTS + output
+        else:
+            of_class = 1 + _suffix(word) % SUFFIXES
+            found = (output or of_class) * CONTEXTS + of_class
         if len(self) < _REMEMBERED:
             self[word] = found
         return found
@@ -154,31 +160,33 @@ class LogBilinear:
         """One batch: its tokens against noise that they share."""
         p = self.p
         noise = np.searchsorted(self.upto[:-1], rng.random(NOISE) * self.upto[-1], side="right")
-        c1, c2 = contexts // CONTEXTS, contexts % CONTEXTS
+        c1, c2 = np.divmod(contexts, CONTEXTS)
         before, last = self.predictions()
-        r = before[c1] + last[c2]
-        mine, theirs = p["out"][outputs], p["out"][noise]
-        real = (r * mine).sum(axis=1) + p["bias"][outputs] - self.log_noise[outputs]
+        r = before.take(c1, axis=0)
+        r += last.take(c2, axis=0)
+        mine, theirs = p["out"].take(outputs, axis=0), p["out"][noise]
+        real = np.einsum("ij,ij->i", r, mine) + (p["bias"] - self.log_noise).take(outputs)
         made = r @ theirs.T + (p["bias"][noise] - self.log_noise[noise])
         g = 1 / (1 + np.exp(np.clip(real, -30, 30)))
         h = -1 / (1 + np.exp(-np.clip(made, -30, 30)))
-        back = g[:, None] * mine + h @ theirs
+        mine *= g[:, None]
+        back = h @ theirs
+        back += mine
         rows = np.empty((len(outputs) + NOISE, SIZE + 1), dtype=np.float32)
         np.multiply(g[:, None], r, out=rows[: len(outputs), :-1])
         rows[: len(outputs), -1] = g
         rows[len(outputs) :, :-1], rows[len(outputs) :, -1] = h.T @ r, h.sum(axis=0)
         ids, sums = _sum_by(np.concatenate([outputs, noise]), rows)
-        of1, sums1 = _sum_by(c1, back)
-        of2, sums2 = _sum_by(c2, back)
-        context = np.zeros_like(p["context"])
-        context[of1] += sums1 @ p["before"].T
-        context[of2] += sums2 @ p["last"].T
-        matrices = p["context"][of1].T @ sums1, p["context"][of2].T @ sums2
+        of_context = np.zeros((2, CONTEXTS, SIZE), dtype=np.float32)
+        for sums_, c in zip(of_context, (c1, c2), strict=True):
+            of, some = _sum_by(c, back)
+            sums_[of] = some
+        context = of_context[0] @ p["before"].T + of_context[1] @ p["last"].T
+        matrices = p["context"].T @ of_context[0], p["context"].T @ of_context[1]
         scale = np.float32(1 / np.sqrt(len(outputs)))
         self._step("out", ids, sums[:, :-1] * scale, rate)
         self._step("bias", ids, sums[:, -1] * scale, rate)
-        both = np.union1d(of1, of2)
-        self._step("context", both, context[both] * scale, rate)
+        self._step("context", slice(None), context * scale, rate)  # contexts that aren't there have no gradient
         for name, gradient in zip(("before", "last"), matrices, strict=True):
             self._step(name, slice(None), gradient * scale, rate * 0.1)
 
@@ -202,7 +210,7 @@ def _sum_by(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
     first = np.nonzero(np.append(True, ids[1:] != ids[:-1]))[0]
-    return ids[first], np.add.reduceat(rows[order], first, axis=0)
+    return ids[first], np.add.reduceat(rows.take(order, axis=0), first, axis=0)
 
 
 def _fit(start, turns: int):
@@ -340,8 +348,8 @@ class Scorer:
         contexts = _contexts(items)
         for i in range(0, n, 1 << 16):
             c, o = contexts[i : i + (1 << 16)], outputs[i : i + (1 << 16)]
-            r = self.before[c // CONTEXTS] + self.last[c % CONTEXTS]
-            model += float((np.einsum("ij,ij->i", r, self.out[o]) + self.bias[o] - self.log_totals[c]).sum(dtype=np.float64)) / LN10
+            r = self.before.take(c // CONTEXTS, axis=0) + self.last.take(c % CONTEXTS, axis=0)
+            model += float((np.einsum("ij,ij->i", r, self.out.take(o, axis=0)) + self.bias[o] - self.log_totals[c]).sum(dtype=np.float64)) / LN10
         return n, int(self.seen[at].sum()) + self.end[0], float(base), model + within, Counter(rest)
 
 

@@ -9,15 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder below spark.checkpoint.dir. Without that setting a temporary folder is made and set,
-    in local mode only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir, or the checkpoint folder of the running context. Without
+    either a temporary folder is made and set, in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-        base = "file://" + tempfile.mkdtemp(prefix="folioscope-")
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="folioscope-"))
+        base = spark.sparkContext.getCheckpointDir()  # the setting itself can't be changed in a running session
     return base.rstrip("/")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.plans.report import build_report, overview_tables
 from folioscope.sources import images, layout, publish, records, sinks
 from folioscope.sources.corpus import load_corpus
+from folioscope.sources.store import shared_folder
 from folioscope.streaming import results as stream
 
 NS = "http://www.loc.gov/standards/alto/ns-v4#"
@@ -219,3 +220,32 @@ def test_outcomes_are_saved_apart(spark, tmp_path):
     assert sorted((r["page_id"], r["n"]) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [("a", 9), ("b", 2)]
     (tmp_path / "prompt.txt").write_text("read\nthis", encoding="utf-8")
     assert load_prompt(spark, str(tmp_path / "prompt.txt")) == "read\nthis"
+
+
+class _Context:
+    """A context without a setting, as far as the shared folder asks for it."""
+
+    def __init__(self, master):
+        self.master, self.folder = master, None
+
+    def getCheckpointDir(self):  # noqa: N802
+        return self.folder
+
+    def setCheckpointDir(self, folder):  # noqa: N802
+        self.folder = f"{folder}/of-this-context"
+
+
+class _Session:
+    def __init__(self, master):
+        self.sparkContext, self.conf = _Context(master), {}
+
+
+def test_the_shared_folder_without_a_setting():
+    local = _Session("local[2]")
+    made = shared_folder(local)
+    assert made.endswith("/of-this-context") and shared_folder(local) == made
+    cluster = _Session("spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(cluster)
+    cluster.sparkContext.folder = "hdfs://host/shared"
+    assert shared_folder(cluster) == "hdfs://host/shared"

@@ -19,18 +19,18 @@ FILE_ROWS, TEXT_ROWS = 100_000, 2_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from ``spark.checkpoint.dir``.
+    """The folder that the cluster shares, from ``spark.checkpoint.dir``, or the checkpoint folder of
+    the running context.
 
-    Only where the session names none, and in local mode (tests, a laptop), a temporary folder is
-    made and set.
+    Only where there is neither, and in local mode (tests, a laptop), a temporary folder is made and
+    set.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-        found = "file://" + tempfile.mkdtemp(prefix="folioscope-")
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="folioscope-"))
+        found = spark.sparkContext.getCheckpointDir()  # the setting itself can't be changed in a running session
     return found.rstrip("/")
 
 

@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline
 from folioscope.llm import registry
+from folioscope.llm.common import shared_dir
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="the bench tables are not here")
@@ -47,3 +48,32 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+class _Context:
+    """A context without a setting, as far as the shared folder asks for it."""
+
+    def __init__(self, master):
+        self.master, self.folder = master, None
+
+    def getCheckpointDir(self):  # noqa: N802
+        return self.folder
+
+    def setCheckpointDir(self, folder):  # noqa: N802
+        self.folder = f"{folder}/of-this-context"
+
+
+class _Session:
+    def __init__(self, master):
+        self.sparkContext, self.conf = _Context(master), {}
+
+
+def test_the_shared_folder_without_a_setting():
+    local = _Session("local[2]")
+    made = shared_dir(local)
+    assert made.endswith("/of-this-context") and shared_dir(local) == made
+    cluster = _Session("spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(cluster)
+    cluster.sparkContext.folder = "hdfs://host/shared"
+    assert shared_dir(cluster) == "hdfs://host/shared"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import bpe, jaccard, lines, lm, mixing, quality, secrets, sharding, vectors, warc
+from folioscope.llm import bpe, jaccard, lines, lm, mixing, neardup, negatives, quality, secrets, sharding, vectors, warc, whitening
 from folioscope.llm.common import table
 
 
@@ -52,10 +52,25 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_rotation_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_byte_bpe, op2_repetition_rules, op3_log_bilinear, op4_line_dedup, op5_histogram_shards, op6_secret_scan, op7_jaccard_join, op8_warc_normaliser, op9_prefix_forest, op10_source_mixing)
+    found = (
+        op1_byte_bpe, op2_repetition_rules, op3_log_bilinear, op4_line_dedup, op5_histogram_shards, op6_secret_scan, op7_jaccard_join, op8_warc_normaliser, op9_prefix_forest,
+        op10_source_mixing, op11_hard_negatives, op12_lanczos_whitening, op13_rotation_neardup,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_source_mixing": mixing.MIX_SQL}
+    return {"op10_source_mixing": mixing.MIX_SQL, "op11_hard_negatives": negatives.NEGATIVES_SQL}

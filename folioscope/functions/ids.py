@@ -30,11 +30,6 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(file_name(path), r"^.+\.([^.]*)$", 1))
 
 
-def relative_to(path: Column, root: str) -> Column:
-    """What follows ``root`` in a path or URI."""
-    return F.element_at(F.split(path, F.lit(r"\Q" + root.rstrip("/") + r"\E/"), 2), -1)
-
-
 def within_root(recorded: Column) -> Column:
     """A recorded input's path below the data root, or null if it leads out of it. A leading
     ../data/ is where notebooks stood."""

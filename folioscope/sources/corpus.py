@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.geometry import Box
-from folioscope.functions.ids import relative_to, stem
+from folioscope.functions.ids import stem
 from folioscope.functions.labels import system_name, system_rank
 from folioscope.sources import images, layout, records
+from folioscope.sources.paths import placed
 from folioscope.sources.store import settle
 
 LAYOUT_FOLDERS = {"alto": False, "predictions/escriptorium": False, "ground-truth/alto": True}
@@ -61,10 +62,9 @@ def load_corpus(spark: SparkSession, root: str) -> Corpus:
     for folder, reviewed in LAYOUT_FOLDERS.items():
         if not exists(spark, f"{root}/{folder}"):
             continue
-        blocks, bad = layout.read_layout(spark, f"{root}/{folder}")
-        blocks, bad = settle(blocks.withColumn("path", relative_to(F.col("path"), root)), "corpus-blocks"), settle(bad, "corpus-bad")
-        seen = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(f"{root}/{folder}").select(relative_to(F.col("path"), root).alias("path"), stem(F.col("path")).alias("page_id"))
-        bad = bad.withColumn("path", relative_to(F.col("path"), root))
+        blocks, bad = layout.read_layout(spark, f"{root}/{folder}", root)
+        blocks, bad = settle(blocks, "corpus-blocks"), settle(bad, "corpus-bad")
+        seen = placed(spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(f"{root}/{folder}").drop("path", "content"), root).select("path", stem(F.col("path")).alias("page_id"))
         issues, pages = issues.unionByName(bad), pages.unionByName(seen.select("page_id"))
         files = seen.join(bad.select("path"), "path", "left_anti")
         per_file = blocks.groupBy("path").agg(F.count_if(F.col("bbox").isNull()).alias("skipped"), F.max(F.exists("lines", lambda x: x["text"] != "")).alias("has_text"))
@@ -113,8 +113,8 @@ def load_corpus(spark: SparkSession, root: str) -> Corpus:
     systems = systems.withColumn("sys_ord", F.row_number().over(order) - 1)
     regions = regions.join(systems.select("page_id", "source", "system", "sys_ord", "reviewed"), ["page_id", "source"])
     # Regions of a page's corrected layout in document order, over its files.
-    placed = layout_text.withColumn("ord", F.row_number().over(Window.partitionBy("page_id", "source").orderBy("ord")) - 1)
-    tables = {"pages": pages.distinct(), "systems": systems, "regions": regions, "artifacts": artifacts, "results": results, "annotated": annotated, "frozen": frozen, "failures": failures, "layout": placed, "manifest": manifest, "issues": issues}
+    text = layout_text.withColumn("ord", F.row_number().over(Window.partitionBy("page_id", "source").orderBy("ord")) - 1)
+    tables = {"pages": pages.distinct(), "systems": systems, "regions": regions, "artifacts": artifacts, "results": results, "annotated": annotated, "frozen": frozen, "failures": failures, "layout": text, "manifest": manifest, "issues": issues}
     # Files are parsed once; everything else reads these tables.
     tables = {k: settle(df, f"corpus-{k}") for k, df in tables.items()}
     text = tables.pop("layout")

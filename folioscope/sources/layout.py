@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from folioscope.functions.geometry import Box, normalize_box, normalize_polygon
 from folioscope.functions.ids import stem
 from folioscope.functions.labels import region_type
+from folioscope.sources.paths import placed
+from folioscope.sources.records import OUTSIDE
 
-# The format's namespace and its kinds of tags.
+# Fixed value: the format's namespace.
 NAMESPACE = "http://www.loc.gov/standards/alto/ns-v4#"
-TAG_KINDS = ("LayoutTag", "StructureTag", "RoleTag", "NamedEntityTag", "OtherTag")
 
 _BOX = "_HPOS string, _VPOS string, _WIDTH string, _HEIGHT string"
 _SHAPE = "Shape struct<Polygon: struct<_POINTS: string>>"
@@ -28,13 +29,16 @@ def _fields(flat: str) -> str:
 
 _LINE = f"struct<_ID: string, _BASELINE: string, _TAGREFS: string, {_fields(_BOX)}, {_SHAPE.replace(' ', ': ', 1)}, String: array<struct<_CONTENT: string, _WC: string>>>"
 _BLOCK = f"struct<_ID: string, _TAGREFS: string, {_fields(_BOX)}, {_SHAPE.replace(' ', ': ', 1)}, TextLine: array<{_LINE}>>"
-_TAGS = "struct<" + ", ".join(f"{k}: array<struct<_ID: string, _LABEL: string>>" for k in TAG_KINDS) + ">"
+_TAGS = "Tag array<struct<_ID: string, _LABEL: string>>"
 SCHEMA = (
     "Description struct<sourceImageInformation: struct<fileName: string>>, "
-    f"Tags array<{_TAGS}>, "
     f"Layout struct<Page: array<struct<_WIDTH: string, _HEIGHT: string, _PHYSICAL_IMG_NR: string, PrintSpace: array<struct<TextBlock: array<{_BLOCK}>>>>>>, "
     "_corrupt_record string"
 )
+#: Comments; the declaration of the format's namespace, by whatever prefix; and the parts of a file that hold tags.
+_COMMENT = r"(?s)<!--.*?-->"
+_DECLARED = rf"xmlns(?::[\w.-]+)?\s*=\s*[\"']\Q{NAMESPACE}\E[\"']"
+_TAG_PARTS = r"(?s)<(?:[\w.-]+:)?Tags(?:\s+[^\s=<>/]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*\s*>.*?</(?:[\w.-]+:)?Tags\s*>"
 _OPTIONS = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE", "nullValue": "\u0000"}
 
 
@@ -95,22 +99,30 @@ def _sound(block: Column) -> Column:
     return shapes(block) & F.forall(lines, lambda e: shapes(e) & points_sound(e["_BASELINE"]))
 
 
-def read_layout(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(blocks, issues) of the XML files at ``path``.
+def tags_of(xml: Column) -> Column:
+    """ID and LABEL of every element in the tags of a file, whatever its name, in the file's order.
+
+    The elements are given one name first, so that the parser keeps them in one list."""
+    named = lambda part: F.regexp_replace(part, r"<(/?)[A-Za-z_:][^\s/>]*", "<$1Tag")
+    lists = F.transform(F.regexp_extract_all(xml, F.lit(_TAG_PARTS), F.lit(0)), lambda part: F.from_xml(named(part), _TAGS, _OPTIONS)["Tag"])
+    found = F.flatten(F.filter(lists, lambda x: x.isNotNull()))
+    return F.filter(found, lambda t: (t["_ID"] != "") & (t["_LABEL"] != ""))
+
+
+def read_layout(spark: SparkSession, path: str, root: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(blocks, issues) of the XML files at ``path``; their paths are below ``root``, or ``path``.
 
     blocks: path, page_id, image, width, height, image_number, block_ord, id, block_type, tagrefs,
     bbox (nullable), polygon, lines. A file without blocks has no row."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.xml").select("value", F.col("_metadata.file_path").alias("path"))
-    parsed = files.select("path", F.from_xml("value", SCHEMA, _OPTIONS).alias("d"), F.contains("value", F.lit(NAMESPACE)).alias("v4"))
+    files = placed(spark.read.text(path, wholetext=True, pathGlobFilter="*.xml"), root or path).withColumn("plain", F.regexp_replace("value", _COMMENT, ""))
+    parsed = files.select("path", "outside", F.from_xml("value", SCHEMA, _OPTIONS).alias("d"), F.col("plain").rlike(_DECLARED).alias("v4"), tags_of(F.col("plain")).alias("tags"))
     page = F.get(F.col("d.Layout.Page"), F.lit(0))
     spaces = F.coalesce(page["PrintSpace"], F.array().cast(f"array<struct<TextBlock: array<{_BLOCK}>>>"))
     blocks = F.flatten(F.transform(spaces, lambda s: F.coalesce(s["TextBlock"], F.array().cast(f"array<{_BLOCK}>"))))
-    tags = F.flatten(F.transform(F.coalesce(F.col("d.Tags"), F.array().cast(f"array<{_TAGS}>")), lambda t: F.concat(*(F.coalesce(t[k], F.array().cast("array<struct<_ID: string, _LABEL: string>>")) for k in TAG_KINDS))))
-    tags = F.filter(tags, lambda t: (t["_ID"] != "") & (t["_LABEL"] != ""))
     size = lambda k: F.coalesce(page[k].try_cast("double").try_cast("int"), F.lit(0))
-    rows = parsed.select("path", stem(F.col("path")).alias("page_id"), F.col("d._corrupt_record").isNotNull().alias("corrupt"), (page.isNotNull() & F.col("v4")).alias("paged"), F.col("d.Description.sourceImageInformation.fileName").alias("image"), size("_WIDTH").alias("width"), size("_HEIGHT").alias("height"), page["_PHYSICAL_IMG_NR"].try_cast("int").alias("image_number"), blocks.alias("blocks"), tags.alias("tags"))
+    rows = parsed.select("path", "outside", stem(F.col("path")).alias("page_id"), F.col("d._corrupt_record").isNotNull().alias("corrupt"), (page.isNotNull() & F.col("v4")).alias("paged"), F.col("d.Description.sourceImageInformation.fileName").alias("image"), size("_WIDTH").alias("width"), size("_HEIGHT").alias("height"), page["_PHYSICAL_IMG_NR"].try_cast("int").alias("image_number"), blocks.alias("blocks"), "tags")
     flat = (F.col("width") == 0) | (F.col("height") == 0)
-    message = F.when(F.col("corrupt"), "malformed XML").when(~F.coalesce("paged", F.lit(False)), "no page").when(~F.forall("blocks", _sound), "malformed numbers").when(flat & F.exists("blocks", lambda b: attribute_box(b).isNotNull()), "page without extent")
+    message = F.when(F.col("outside"), OUTSIDE).when(F.col("corrupt"), "malformed XML").when(~F.coalesce("paged", F.lit(False)), "no page").when(~F.forall("blocks", _sound), "malformed numbers").when(flat & F.exists("blocks", lambda b: attribute_box(b).isNotNull()), "page without extent")
     rows = rows.withColumn("message", message)
     issues = rows.where("message is not null").select("path", F.lit("layout").alias("stage"), "message")
     good = rows.where("message is null").select("path", "page_id", "image", "width", "height", "image_number", "tags", F.posexplode("blocks").alias("block_ord", "b"))

@@ -17,12 +17,12 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterable, Iterator
-from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.sources.paths import store_of, uri_of
 from folioscope.sources.store import settle
 
 LISTS, POINTER = ".builds", "current.json"
@@ -36,20 +36,6 @@ class Refused(ValueError):
     """The folder can't take this build."""
 
 
-def _place(folder: str):
-    """A file system and a path on it."""
-    from pyarrow import fs
-
-    if "://" not in folder and not folder.startswith("file:"):
-        import os
-
-        folder = "file://" + os.path.abspath(folder)
-    if folder.startswith("file:"):
-        return fs.LocalFileSystem(), unquote(urlparse(folder).path).rstrip("/")
-    found, path = fs.FileSystem.from_uri(folder)
-    return found, path.rstrip("/")
-
-
 def _through_link(fs, path: str) -> bool:
     import os
 
@@ -63,7 +49,7 @@ def _within(a: str, b: str) -> bool:
 def _overlaps(one: str, other: str) -> bool:
     import os
 
-    (fs, a), (fs2, b) = _place(one), _place(other)
+    (fs, a), (fs2, b) = store_of(one), store_of(other)
     if fs.type_name != fs2.type_name:
         return False
     a, b = (os.path.realpath(x) if fs.type_name == "local" else x for x in (a, b))
@@ -72,14 +58,14 @@ def _overlaps(one: str, other: str) -> bool:
 
 def published(spark: SparkSession, folder: str) -> DataFrame:
     """The list that holds for a folder; an empty one for a folder without a report."""
-    fs, base = _place(folder)
+    fs, base = store_of(folder)
     pointer = f"{base}/{LISTS}/{POINTER}"
     if not fs.get_file_info(pointer).is_file:
         return spark.createDataFrame([], LIST)
     with fs.open_input_stream(pointer) as f:
         try:
             version = json.loads(f.read())["version"]
-            rows = spark.read.schema(LIST).parquet(f"{_uri(fs, base)}/{LISTS}/{version}")
+            rows = spark.read.schema(LIST).parquet(f"{uri_of(fs, base)}/{LISTS}/{version}")
         except (ValueError, KeyError, TypeError) as e:
             raise Refused(f"the pointer of {folder} can't be read: {e}") from e
     if not rows.where(~F.col("file").rlike(NAME)).isEmpty():
@@ -87,15 +73,11 @@ def published(spark: SparkSession, folder: str) -> DataFrame:
     return rows
 
 
-def _uri(fs, base: str) -> str:
-    return {"local": "file", "hdfs": "hdfs", "s3": "s3a", "gcs": "gs"}.get(fs.type_name, fs.type_name) + "://" + base
-
-
 def _foreign(folder: str):
     """Names of files that stand where a build, which doesn't own them, would write."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _place(folder)
+        fs, base = store_of(folder)
         for batch in batches:
             bad = []
             for name, owned in zip(batch.column("file").to_pylist(), batch.column("owned").to_pylist(), strict=True):
@@ -110,7 +92,7 @@ def _foreign(folder: str):
 
 def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _place(folder)
+        fs, base = store_of(folder)
         for batch in batches:
             for name, content in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 target, passing = f"{base}/{name}", f"{base}/{LISTS}/{uuid.uuid4().hex}"
@@ -125,14 +107,14 @@ def _write(folder: str):
 
 def put_files(files: DataFrame, folder: str) -> int:
     """Writes ``files`` (file, content) to a new folder, from the executors and without a list; how many."""
-    fs, base = _place(folder)
+    fs, base = store_of(folder)
     fs.create_dir(f"{base}/{LISTS}", recursive=True)
     return files.select("file", "content").mapInArrow(_write(folder), "file string").count()
 
 
 def _remove(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _place(folder)
+        fs, base = store_of(folder)
         for batch in batches:
             for name in batch.column("file").to_pylist():
                 if fs.get_file_info(f"{base}/{name}").is_file:
@@ -149,7 +131,7 @@ def publish(files: DataFrame, folder: str, inputs: Iterable[str] = (), only: str
     spark = files.sparkSession
     if clash := [x for x in inputs if _overlaps(folder, x)]:
         raise Refused(f"the folder and an input lie within one another: {clash[0]}")
-    fs, base = _place(folder)
+    fs, base = store_of(folder)
     if _through_link(fs, base):
         raise Refused(f"the folder is a link: {folder}")
     before = settle(published(spark, folder), "publish-before")
@@ -171,7 +153,7 @@ def publish(files: DataFrame, folder: str, inputs: Iterable[str] = (), only: str
     fs.create_dir(f"{base}/{LISTS}", recursive=True)
     written = changed.select("file", "content").mapInArrow(_write(folder), "file string").count()
     version = uuid.uuid4().hex
-    now.write.parquet(f"{_uri(fs, base)}/{LISTS}/{version}")
+    now.write.parquet(f"{uri_of(fs, base)}/{LISTS}/{version}")
     passing = f"{base}/{LISTS}/{uuid.uuid4().hex}"
     with fs.open_output_stream(passing, compression=None) as f:
         f.write(json.dumps({"version": version}).encode())

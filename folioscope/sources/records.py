@@ -10,18 +10,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.geometry import Box, valid_box
-from folioscope.functions.ids import relative_to, stem
+from folioscope.functions.ids import stem
 from folioscope.functions.labels import region_type
+from folioscope.sources.paths import file_path, placed
 
 COORDINATES = "normalized-1000"
+OUTSIDE = "outside the data folder"
 KNOWN_KEYS = ("id", "type", "bbox", "confidence", "text", "language", "script")
 _VARIANTS = "array<variant>"
 
 
 def read_json(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
-    """path (relative to ``root``) and v (null if the file is no JSON), for all files below ``path``."""
+    """path (below ``root``), outside (it isn't below it) and v (null if the file is no JSON), for all files below ``path``."""
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True)
-    return files.select(relative_to(F.col("_metadata.file_path"), root or path).alias("path"), F.try_parse_json("value").alias("v"))
+    return placed(files, root or path).select("path", "outside", F.try_parse_json("value").alias("v"))
 
 
 def kind(v: Column) -> Column:
@@ -87,7 +89,8 @@ def read_results(spark: SparkSession, root: str, folder: str = "results") -> tup
     v = F.col("v")
     rows = rows.withColumn("task", F.coalesce(F.nullif(shown(v, "$.task"), F.lit("")), F.lit("Unspecified task")))
     message = (
-        F.when(F.size("parts") < 3, "expected page/model/name")
+        F.when(F.col("outside"), OUTSIDE)
+        .when(F.size("parts") < 3, "expected page/model/name")
         .when(v.isNull() | (kind(v) != "OBJECT"), "not a JSON object")
         .when(F.coalesce(kind(F.try_variant_get(v, "$.response", "variant")), F.lit("")) != "OBJECT", "response is not an object")
         .when((F.col("task") == "segmentation") & _list(v, "$.response.regions").isNull(), "no region list")
@@ -107,12 +110,12 @@ def read_results(spark: SparkSession, root: str, folder: str = "results") -> tup
 
 def read_annotations(spark: SparkSession, root: str, folder: str = "ground-truth") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, regions, issues) of annotation files directly in ``folder``."""
-    rows = read_json(spark, f"{root.rstrip('/')}/{folder}", root).where(F.col("path").rlike(f"^{folder}/[^/]+$"))
+    rows = read_json(spark, f"{root.rstrip('/')}/{folder}", root).where(F.col("outside") | F.col("path").rlike(f"^{folder}/[^/]+$"))
     v, items = F.col("v"), _list(F.col("v"), "$.regions")
     have = lambda x, k: F.try_variant_get(x, f"$.{k}", "variant").isNotNull()
     whole = have(v, "image") & have(v, "image_width") & have(v, "image_height") & F.forall(F.coalesce(items, F.array().cast(_VARIANTS)), lambda x: have(x, "id") & have(x, "type") & item_box(x).isNotNull())
     system = F.coalesce(shown(v, "$.coordinate_system"), F.lit(COORDINATES))
-    rows = rows.withColumn("message", F.when(v.isNull(), "not JSON").when(~F.coalesce(whole, F.lit(False)), "required fields are missing").when(system != COORDINATES, "unsupported coordinates"))
+    rows = rows.withColumn("message", F.when(F.col("outside"), OUTSIDE).when(v.isNull(), "not JSON").when(~F.coalesce(whole, F.lit(False)), "required fields are missing").when(system != COORDINATES, "unsupported coordinates"))
     issues = rows.where("message is not null").select("path", F.lit("annotations").alias("stage"), "message")
     good = rows.where("message is null").withColumn("page_id", stem(F.col("path")))
     documents = good.select("path", "page_id", shown(v, "$.image").alias("image"), F.try_variant_get(v, "$.image_width", "int").alias("image_width"), F.try_variant_get(v, "$.image_height", "int").alias("image_height"), F.coalesce(shown(v, "$.schema_version"), F.lit("0.1")).alias("schema_version"))
@@ -129,7 +132,7 @@ def read_frozen_inputs(spark: SparkSession, root: str, folder: str = "htr-inputs
     """(regions, issues) of the frozen inputs."""
     v, items = F.col("v"), _list(F.col("v"), "$.regions")
     rows = read_json(spark, f"{root.rstrip('/')}/{folder}", root)
-    rows = rows.withColumn("message", F.when(v.isNull() | items.isNull(), "no region list").when(F.coalesce(shown(v, "$.coordinate_system"), F.lit("")) != COORDINATES, "unsupported coordinates"))
+    rows = rows.withColumn("message", F.when(F.col("outside"), OUTSIDE).when(v.isNull() | items.isNull(), "no region list").when(F.coalesce(shown(v, "$.coordinate_system"), F.lit("")) != COORDINATES, "unsupported coordinates"))
     issues = rows.where("message is not null").select("path", F.lit("frozen inputs").alias("stage"), "message")
     item = F.col("item")
     regions = rows.where("message is null").select("path", stem(F.col("path")).alias("page_id"), shown(v, "$.region_source").alias("region_source"), F.posexplode(items).alias("ord", "item"))
@@ -138,7 +141,7 @@ def read_frozen_inputs(spark: SparkSession, root: str, folder: str = "htr-inputs
 
 def read_failures(spark: SparkSession, root: str, folder: str = "htr-errors") -> DataFrame:
     v = F.col("v")
-    rows = read_json(spark, f"{root.rstrip('/')}/{folder}", root).where("v is not null")
+    rows = read_json(spark, f"{root.rstrip('/')}/{folder}", root).where("v is not null and not outside")
     return rows.select("path", F.get(F.split("path", "/"), F.lit(1)).alias("page_id"), *(shown(v, f"$.{c}").alias(c) for c in ("model", "region_id", "image_sha256", "prompt", "error", "raw_content", "finish_reason")))
 
 
@@ -157,4 +160,4 @@ def parse_manifest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     files = spark.read.text(path, wholetext=True)
-    return parse_manifest(files.select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("v")))
+    return parse_manifest(files.select(file_path().alias("path"), F.try_parse_json("value").alias("v")))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from folioscope.functions.ids import relative_to
+from folioscope.sources.paths import placed
 from folioscope.sources.records import kind, shown, text_of
 
 KEY = ["page_id", "region_id", "model", "prompt_version"]
@@ -16,10 +16,9 @@ KEY = ["page_id", "region_id", "model", "prompt_version"]
 def read_result_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
     """path, modified and the fields of each new HTR result below ``folder``."""
     lines = spark.readStream.format("text").schema("value string").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("maxFilesPerTrigger", files_per_trigger).load(folder)
-    v = F.try_parse_json("value")
-    rows = lines.select(relative_to(F.col("_metadata.file_path"), folder).alias("path"), F.col("_metadata.file_modification_time").alias("modified"), v.alias("v"))
+    rows = placed(lines.withColumn("modified", F.col("_metadata.file_modification_time")), folder).select("path", "outside", "modified", F.try_parse_json("value").alias("v"))
     v = F.col("v")
-    rows = rows.where((kind(v) == "OBJECT") & (F.size(F.split("path", "/")) >= 3))
+    rows = rows.where(~F.col("outside") & (kind(v) == "OBJECT") & (F.size(F.split("path", "/")) >= 3))
     return rows.select(
         "path", "modified", F.get(F.split("path", "/"), F.lit(0)).alias("page_id"), shown(v, "$.region_id").alias("region_id"), shown(v, "$.model").alias("model"),
         shown(v, "$.prompt_version").alias("prompt_version"), text_of(v, "$.response.transcription").alias("transcription"),

@@ -1,4 +1,5 @@
 import json
+import os
 import struct
 import zlib
 
@@ -249,3 +250,50 @@ def test_the_shared_folder_without_a_setting():
         shared_folder(cluster)
     cluster.sparkContext.folder = "hdfs://host/shared"
     assert shared_folder(cluster) == "hdfs://host/shared"
+
+
+@pytest.mark.parametrize("spelling", ["{}", "{}/", "file:{}", "file://{}", "file://{}//", "relative"])
+def test_any_spelling_of_a_folder(spark, tmp_path, spelling, monkeypatch):
+    """Names with blanks and escaped characters keep their regions, in every reader and however the folder is named."""
+    names = ["p 1", "a%b", "a+b", "a#b", "a%20b", "ص 1", "a&c=d;e"]
+    root = tmp_path / "da ta%20x"
+    for n in names:
+        files = {f"alto/{n}.xml": alto(block("b1", lines=LINES) + block("b2", box=False)), f"ground-truth/{n}.json": json.dumps({"image": "x", "image_width": 1, "image_height": 1, "regions": [{"id": "r", "type": "main_text", "bbox": [1, 2, 3, 4]}]}),
+                 f"results/{n}/m 1/a b.json": json.dumps({"task": "htr", "response": {"transcription": "t"}}), f"htr-inputs/{n}.json": json.dumps({"coordinate_system": "normalized-1000", "regions": [{"id": "b1", "type": "main_text", "bbox": [1, 1, 6, 3]}]}),
+                 f"htr-errors/{n}/m 1/b1.json": json.dumps({"model": "m", "region_id": "b1"}), f"images/{n}.png": "x"}
+        for name, content in files.items():
+            (root / name).parent.mkdir(parents=True, exist_ok=True)
+            (root / name).write_text(content, encoding="utf-8")
+    if spelling == "relative":
+        spelling = os.path.relpath(root, spark._jvm.java.lang.System.getProperty("user.dir"))
+    c = load_corpus(spark, spelling.format(root))
+    assert sorted(r[0] for r in c.pages.collect()) == sorted(names) and c.issues.count() == 0
+    assert sorted(map(tuple, c.systems.select("page_id", "system", "source", "skipped_blocks").collect())) == sorted((n, "eScriptorium", f"alto/{n}.xml", 1) for n in names)
+    for table in (c.regions, c.annotated, c.frozen, c.failures, c.results):
+        assert sorted(r["page_id"] for r in table.collect()) == sorted(names)
+    assert {(r["path"], r["model"]) for r in c.results.collect()} == {(f"results/{n}/m 1/a b.json", "m 1") for n in names}
+
+
+def test_files_outside_the_folder_are_issues(spark, corpus_dir, tmp_path):
+    _, issues = layout.read_layout(spark, str(corpus_dir / "alto"), str(tmp_path / "elsewhere"))
+    assert {r["message"] for r in issues.collect()} == {"outside the data folder"} and all(r["path"].startswith("/") for r in issues.collect())
+    (tmp_path / "elsewhere").mkdir()
+    (tmp_path / "elsewhere/results").symlink_to(corpus_dir / "results")
+    found, issues = records.read_results(spark, str(tmp_path / "elsewhere"))
+    assert found.count() == 5 and {r["path"].split("/")[0] for r in issues.collect()} == {"results"}
+
+
+def test_tags_of_any_name(spark):
+    xml = """<?xml version="1.0"?><a:alto xmlns:a='http://www.loc.gov/standards/alto/ns-v4#'><!-- <Tags><X ID="c" LABEL="comment"/></Tags> --><a:Tags note="a>b"><a:OtherTag ID="T1" LABEL="Main &amp; more"/>
+      <MyTag LABEL="Stamp" ID="T2"><inner ID="T9" LABEL="deep"/></MyTag><q:Tag ID="T1" LABEL="Note"></q:Tag><Z/>text<LayoutTag ID="T4"/><LayoutTag ID="" LABEL="x"/></a:Tags><Tags/><Tags ></Tags><Tags><B ID='T5' LABEL='last'/></Tags></a:alto>"""
+    rows = spark.createDataFrame([(xml,), ("<alto/>",), ("no XML <Tags><A ID='1'</Tags>",)], "x string").select(layout.tags_of(F.regexp_replace("x", layout._COMMENT, "")).alias("t")).collect()
+    assert [[tuple(t) for t in r["t"]] for r in rows] == [[("T1", "Main & more"), ("T2", "Stamp"), ("T1", "Note"), ("T5", "last")], [], []]
+
+
+def test_last_tag_wins_across_kinds(spark, tmp_path):
+    tags = '<Tags><OtherTag ID="T1" LABEL="Main"/><MyTag ID="T1" LABEL="Stamp"/></Tags>'
+    page = f'<Layout><Page WIDTH="10" HEIGHT="10"><PrintSpace>{block(tags="T1")}</PrintSpace></Page></Layout>'
+    (tmp_path / "p.xml").write_text(f'<alto xmlns="{NS}">{tags}{page}</alto>')
+    (tmp_path / "q.xml").write_text(f'<alto><Description note="{NS}"/>{tags}{page}</alto>')
+    blocks, issues = layout.read_layout(spark, str(tmp_path))
+    assert [r["block_type"] for r in blocks.collect()] == ["Stamp"] and [(r["path"], r["message"]) for r in issues.collect()] == [("q.xml", "no page")]

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a longest run of anything but ASCII white space (space and \x09 to \x0D).
@@ -53,6 +53,17 @@ def cut(df: DataFrame, name: str, rows: int | None = None, per_file: int = FILE_
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Shares into which the rows of one key are dealt where a small table is joined to them.
+SHARES = 1024
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, by: list[str], salt: Column) -> DataFrame:
+    """``rows`` with what ``facts`` (one row for each key) knows of their keys. One key may have any part
+    of the rows, so that Spark, if it shuffles them, does so by key and share (``salt``: a hash)."""
+    shared = facts.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    return rows.withColumn("share", F.pmod(salt, F.lit(SHARES)).cast("int")).join(shared, [*by, "share"]).drop("share")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

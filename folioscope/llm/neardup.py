@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.arrays import by_length, finite, matrix
-from folioscope.llm.common import cut
+from folioscope.llm.common import cut, with_facts
 from folioscope.llm.graph import components
 
 COSINE = 0.93
@@ -146,8 +146,8 @@ def _links(nodes: DataFrame, cosine: float) -> DataFrame:
     """node, links (other vectors) and root (another node that it is tied to, or itself), by cell."""
     sizes = nodes.groupBy("dims", "label").agg(F.count("*").alias("n"))
     rows = F.greatest(F.lit(256), F.least(F.lit(BLOCK), F.expr(f"{NUMBERS} div dims")))
-    placed = nodes.join(sizes, ["dims", "label"]).withColumn("blocks", F.ceil(F.col("n") / rows).cast("int"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    placed = with_facts(nodes, sizes, ["dims", "label"], F.xxhash64("node")).withColumn("blocks", F.ceil(F.col("n") / rows).cast("int"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")}).drop("n", "blocks", "other")
     return met.groupBy("dims", "label", "first", "second").applyInArrow(_cell_links(cosine), _FOUND)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.arrays import finite, matrix
-from folioscope.llm.common import cut
+from folioscope.llm.common import cut, with_facts
 
 SCALE = 256
 ANCHOR_EVERY, SHIFT_EVERY, LABELS = 100, 7, 10
@@ -190,10 +190,11 @@ def _cells(rows: DataFrame, anchors: DataFrame, by: list[str]) -> DataFrame:
     asked = anchors.groupBy(*by).agg(F.count("*").alias("m"))
     at_most = F.greatest(F.lit(256), F.least(F.lit(BLOCK), F.expr(f"{NUMBERS} div greatest(1, dims)")))
     cells = sizes.join(asked, by).select(*by, F.ceil(F.col("n") / at_most).cast("int").alias("blocks"), F.ceil(F.col("m") / F.lit(GROUP)).cast("int").alias("groups"))
-    salt = lambda of: F.pmod(F.xxhash64("node"), of).cast("int")
+    salt = lambda of: F.pmod(F.xxhash64("node", F.lit(1)), of).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    left = rows.withColumn("windows", F.lit(None).cast("array<long>")).join(cells, by).withColumns({"role": F.lit(0), "block": salt("blocks")}).withColumn("group", every("groups"))
-    right = anchors.join(cells, by).withColumns({"role": F.lit(1), "group": salt("groups")}).withColumn("block", every("blocks"))
+    met = lambda df: with_facts(df, cells, by, F.xxhash64("node"))
+    left = met(rows.withColumn("windows", F.lit(None).cast("array<long>"))).withColumns({"role": F.lit(0), "block": salt("blocks")}).withColumn("group", every("groups"))
+    right = met(anchors).withColumns({"role": F.lit(1), "group": salt("groups")}).withColumn("block", every("blocks"))
     columns = [*dict.fromkeys([*by, "block", "group", "role", "node", "vec_id", "label", "copies", "vector", "windows"])]
     return left.select(*columns).unionByName(right.select(*columns))
 

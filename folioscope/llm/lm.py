@@ -281,7 +281,8 @@ def fit(docs: DataFrame, own: list[bytes], unigram: np.ndarray, tokens: int) ->
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     some = rows.sample(min(1.0, WARM / tokens), SEED) if tokens > WARM else rows
     share = spark.sparkContext.broadcast((own, unigram, model.pack()))
-    warm = some.coalesce(1).mapInArrow(_fit(share, TURNS), _MODEL).collect()
+    # A table first, so that all tasks read the corpus and one reads the sample, in an order that stays.
+    warm = cut(some, "lm-warm").coalesce(1).mapInArrow(_fit(share, TURNS), _MODEL).collect()
     share = spark.sparkContext.broadcast((own, unigram, warm[0]["model"] if warm else model.pack()))
     models = cut(rows.mapInArrow(_fit(share, 1), _MODEL), "lm-models")
     while (n := models.count()) > 1:

@@ -35,19 +35,24 @@ LABELLED, DICTIONARY = 20_000, 0.6
 TREES, DEPTH, BINS, LEAST = 48, 8, 32, 4
 CUTOFF, SEED, NEAR, CONTEXT = 0.5, 6, 3, 120
 _FLUSH = 400_000
+#: Characters of a value at least.
+SHORTEST = 4
 
 KINDS = ("aws_key", "token_prefix", "private_key", "assignment", "mixed_string")
 #: Patterns of candidates, the special before the general; the named group is the secret itself. None
-#: has an upper bound, and none scans a run twice. A private key goes to its END line, or without one
+#: has an upper bound. A value in quotes goes to the quote that closes it, another to the next blank, without
+#: the punctuation at its end. A private key goes to its END line, or without one
 #: over the rows of base64 that follow.
 PATTERN = re.compile(
-    r"(?P<aws_key>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9]))"
+    r"(?P<aws_key>(?<![A-Za-z0-9])(?-i:(?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9]))"
     r"|(?P<token_prefix>(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}))"
     r"|(?P<private_key>-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:[^-]|-(?!----))*+-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:\s++[A-Za-z0-9+/]{32,}+={0,2})++(?:\s++[A-Za-z0-9+/=]++\s*+\Z)?)?)"
-    r"|(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?(?P<assignment>[^\s\"'<>,;]{6,}+)"
-    r"|(?P<mixed_string>(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_-]))",
+    r"|(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)(?:[_-][A-Za-z0-9]+)*+[\"']?[ \t]*+[:=][ \t]*+"
+    r"(?:\"(?P<double_quoted>(?:[^\"\\\n]|\\.)*+)\"|'(?P<single_quoted>(?:[^'\\\n]|\\.)*+)'|[\"']?+(?P<assignment>\S{3,}[^\s.,;:!?)\]}>\"']))",
     re.IGNORECASE,
 )
+#: What is left between these: long runs with letters and digits.
+MIXED = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_-])")
 #: Words near a candidate: seven that ask for a secret, then those that speak against one.
 SUSPECT_WORDS = ("password", "passwd", "pwd", "secret", "token", "key", "auth", "example", "sample", "test", "dummy", "placeholder", "changeme", "commit", "sha", "sha1", "sha256", "md5", "checksum", "hash", "uuid", "guid", "id", "digest", "revision", "image", "base64")
 ASKING, BENIGN = frozenset(SUSPECT_WORDS[:7]), frozenset(SUSPECT_WORDS[7:])
@@ -154,13 +159,15 @@ def features(corpus: Corpus, kind: str, value: str, before: str, after: str, pat
 
 def candidates(text: str | None) -> Iterator[tuple[str, int, int, str, str, str]]:
     """kind, start, end, value, and what stands before and after."""
-    text = text or ""
-    for m in PATTERN.finditer(text):
-        kind = m.lastgroup
-        a, b = m.span(kind)
-        if kind == "aws_key" and not m[kind].isupper():
-            continue  # the pattern ignores case for the names of values only
-        yield kind, a, b, text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]
+    text, at = text or "", 0
+    found = [(a, b, k) for a, b, k in ((*m.span(m.lastgroup), m.lastgroup) for m in PATTERN.finditer(text)) if b - a >= SHORTEST]  # shorter: an empty value
+    for start, stop, kind in [*found, (len(text), len(text), None)]:
+        for m in MIXED.finditer(text, at, start):
+            yield "mixed_string", *m.span(), m[0], text[max(0, m.start() - CONTEXT) : m.start()], text[m.end() : m.end() + CONTEXT]
+        if kind:
+            kind = "assignment" if kind in ("double_quoted", "single_quoted") else kind
+            yield kind, start, stop, text[start:stop], text[max(0, start - CONTEXT) : start], text[stop : stop + CONTEXT]
+        at = stop
 
 
 class Forest:

@@ -96,10 +96,12 @@ def expand_box(a: Box, padding: Column | float, width: Column, height: Column) -
     return clamp_box(Box(a.x1 - pad, a.y1 - pad, a.x2 + pad, a.y2 + pad), width, height)
 
 
-def crop_box(a: Box, width: Column, height: Column, padding: Column | float = 0, normalized: bool = True) -> Box:
-    """The pixel rectangle that a crop of the region takes."""
+def crop_box(a: Box, width: Column, height: Column, padding: Column | float = 0, normalized: bool = True, within: tuple[Column, Column] | None = None) -> Box:
+    """The pixel rectangle that a crop of the region takes. ``within``: the size of the image it is cut
+    from, where that isn't the one by which the box is scaled (an image that is turned)."""
     pixels = box_to_pixels(a, width, height) if normalized else a
-    return expand_box(clamp_box(pixels, width, height), padding, width, height)
+    w, h = within or (width, height)
+    return expand_box(clamp_box(pixels, w, h), padding, w, h)
 
 
 def has_extent(a: Box) -> Column:

@@ -25,8 +25,9 @@ TYPE_ALIASES = {
     "archive_mark": "archival_mark", "catalog_mark": "archival_mark", "cataloguing_mark": "archival_mark",
     "image": "illustration", "figure": "illustration",
 }
-# Models by their display names, and the order in which systems are shown.
+# Models by their display names and by their folders, and the order in which systems are shown.
 SYSTEM_NAMES = {"qwen3-vl-8b-instruct-mlx": "Qwen3-VL 8B", "qwen3-vl-30b-a3b-instruct-mlx": "Qwen3-VL 30B"}
+MODEL_FOLDERS = {"qwen3-vl-8b": "qwen3-vl-8b-instruct-mlx", "qwen3-vl-30b": "qwen3-vl-30b-a3b-instruct-mlx"}
 SYSTEM_ORDER = ("eScriptorium", "Qwen3-VL 8B", "Qwen3-VL 30B")
 PAIRED_FAMILY = "Qwen3-VL"
 

@@ -1,4 +1,4 @@
-"""Resumable batch inference: the job table, what of it is still to do, and the run.
+"""Resumable batch inference: the job table, what of it is still to do, and what comes of a job.
 
 The client is pluggable: a function from a job (a dict) to a reply with content, finish_reason and
 elapsed_seconds. It is called on the executors, a connection for each task.
@@ -15,8 +15,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.sources.store import settle
-
 #: Models of a batch at most.
 MODELS = 1000
 JOB_KEY = ["page_id", "region_id", "model", "prompt_version"]
@@ -75,41 +73,34 @@ def reply_fields(content: str) -> dict:
 OUTCOME = "ok boolean, transcription string, script string, language string, raw_content string, finish_reason string, error string, elapsed_seconds double"
 
 
+def answer(client: Callable[[dict], dict], job: dict) -> dict:
+    """What came of a job: ok, response (the whole object) and its texts, or the error. A reply counts if it is a
+    complete object with a transcription string."""
+    out = dict.fromkeys(("transcription", "script", "language", "raw_content", "finish_reason", "error", "response", "elapsed_seconds")) | {"ok": False}
+    began = time.monotonic()
+    try:
+        reply = client(job)
+        out |= {"raw_content": reply["content"], "finish_reason": reply.get("finish_reason"), "elapsed_seconds": reply.get("elapsed_seconds", time.monotonic() - began)}
+        found = reply_fields(reply["content"])
+        if not isinstance(found.get("transcription"), str):
+            raise ValueError("no transcription string")
+        if out["finish_reason"] != "stop":
+            raise ValueError(f"incomplete: {out['finish_reason']}")
+        out |= {"ok": True, "response": found} | {k: v if isinstance(v := found.get(k), str) else None for k in ("transcription", "script", "language")}
+    except Exception as e:  # an outcome of its own, written beside the results
+        out["error"] = f"{type(e).__name__}: {e}"
+    return out
+
+
 def run_batch(jobs: DataFrame, client: Callable[[dict], dict], columns: list[str] | None = None) -> DataFrame:
-    """Jobs with their outcomes. A reply counts if it is a complete object with a transcription string."""
+    """Jobs with their outcomes, as a table that is computed wherever it is read (``runs`` saves them instead)."""
     kept = jobs.select(*(columns or jobs.columns))
+    fields = [f.split()[0] for f in OUTCOME.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for job in batch.to_dict("records"):
-                out = dict.fromkeys(("transcription", "script", "language", "raw_content", "finish_reason", "error")) | {"ok": False, "elapsed_seconds": None}
-                began = time.monotonic()
-                try:
-                    reply = client(job)
-                    out |= {"raw_content": reply["content"], "finish_reason": reply.get("finish_reason"), "elapsed_seconds": reply.get("elapsed_seconds", time.monotonic() - began)}
-                    found = reply_fields(reply["content"])
-                    if not isinstance(found.get("transcription"), str):
-                        raise ValueError("no transcription string")
-                    if out["finish_reason"] != "stop":
-                        raise ValueError(f"incomplete: {out['finish_reason']}")
-                    out |= {"ok": True} | {k: v if isinstance(v := found.get(k), str) else None for k in ("transcription", "script", "language")}
-                except Exception as e:  # an outcome of its own, written beside the results
-                    out["error"] = f"{type(e).__name__}: {e}"
-                rows.append(job | out)
-            yield pd.DataFrame(rows, columns=[*batch.columns, *(f.split()[0] for f in OUTCOME.split(", "))])
+            rows = [job | answer(client, job) for job in batch.to_dict("records")]
+            yield pd.DataFrame(rows, columns=[*batch.columns, *fields])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     return kept.mapInPandas(run, f"{schema}, {OUTCOME}")
-
-
-def run_in_waves(jobs: DataFrame, client: Callable[[dict], dict], save: Callable[[DataFrame], None], wave: int = 10_000, columns: list[str] | None = None) -> int:
-    """Runs the jobs, about ``wave`` at a time, and saves each wave's outcomes before the next begins, so
-    a failed Spark job costs one wave's replies. How many jobs failed."""
-    waves, failed = -(-jobs.count() // wave), 0
-    for i in range(waves):
-        part = jobs.where(F.pmod(F.xxhash64(*JOB_KEY), F.lit(waves)) == i)
-        outcomes = settle(run_batch(part, client, columns), "wave")
-        save(outcomes)
-        failed += outcomes.where("not ok").count()
-    return failed

@@ -7,7 +7,7 @@ page known; a bad one is an issue and nothing more.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,20 +23,30 @@ LAYOUT_FOLDERS = {"alto": False, "predictions/escriptorium": False, "ground-trut
 _BOXES = ", ".join(f"{c} double" for c in Box._fields)
 
 
-@dataclass
 class Corpus:
-    pages: DataFrame
-    systems: DataFrame
-    regions: DataFrame
-    artifacts: DataFrame
-    results: DataFrame
-    annotated: DataFrame
-    frozen: DataFrame
-    failures: DataFrame
-    machine: DataFrame
-    corrected: DataFrame
-    manifest: DataFrame
-    issues: DataFrame
+    """The tables of a corpus: pages, systems, regions, artifacts, results, annotated, frozen, failures,
+    layout (with machine and corrected, its two parts), manifest and issues.
+
+    A table is written to the shared folder when it is first asked for, and read from there from then on;
+    tables that nothing asks for are never made."""
+
+    def __init__(self, tables: dict[str, Callable[[Corpus], DataFrame]]):
+        self._tables = tables
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._tables:
+            raise AttributeError(name)
+        found = settle(self._tables[name](self), f"corpus-{name}")
+        setattr(self, name, found)
+        return found
+
+    @property
+    def machine(self) -> DataFrame:
+        return self.layout.where("not reviewed")
+
+    @property
+    def corrected(self) -> DataFrame:
+        return self.layout.where("reviewed")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -97,7 +107,7 @@ def load_corpus(spark: SparkSession, root: str) -> Corpus:
         systems, issues = systems.unionByName(record), issues.unionByName(bad).unionByName(rejected)
         regions = regions.unionByName(boxes.withColumn("page_id", page_of).withColumnRenamed("path", "source").select(*columns))
         results = found.select(*(c.split()[0] for c in ddl.split(", ")))
-    frozen = _empty(spark, f"source string, page_id string, region_source string, ord int, id string, region_type string, {_BOXES}")
+    frozen = _empty(spark, f"source string, page_id string, region_source string, ord int, id string, region_type string, {_BOXES}, image string, padding int")
     if exists(spark, f"{root}/htr-inputs"):
         frozen, bad = records.read_frozen_inputs(spark, root)
         issues = issues.unionByName(bad)
@@ -108,14 +118,10 @@ def load_corpus(spark: SparkSession, root: str) -> Corpus:
     if exists(spark, f"{root}/corpus.json"):
         manifest, bad = records.read_manifest(spark, f"{root}/corpus.json")
         issues = issues.unionByName(bad)
-    systems = settle(systems, "corpus-systems")
     order = Window.partitionBy("page_id").orderBy("reviewed", system_rank(F.col("system")), "source")
     systems = systems.withColumn("sys_ord", F.row_number().over(order) - 1)
-    regions = regions.join(systems.select("page_id", "source", "system", "sys_ord", "reviewed"), ["page_id", "source"])
+    with_system = lambda c: regions.join(c.systems.select("page_id", "source", "system", "sys_ord", "reviewed"), ["page_id", "source"])
     # Regions of a page's corrected layout in document order, over its files.
     text = layout_text.withColumn("ord", F.row_number().over(Window.partitionBy("page_id", "source").orderBy("ord")) - 1)
-    tables = {"pages": pages.distinct(), "systems": systems, "regions": regions, "artifacts": artifacts, "results": results, "annotated": annotated, "frozen": frozen, "failures": failures, "layout": text, "manifest": manifest, "issues": issues}
-    # Files are parsed once; everything else reads these tables.
-    tables = {k: settle(df, f"corpus-{k}") for k, df in tables.items()}
-    text = tables.pop("layout")
-    return Corpus(machine=text.where("not reviewed"), corrected=text.where("reviewed"), **tables)
+    plain = {"pages": pages.distinct(), "systems": systems, "artifacts": artifacts, "results": results, "annotated": annotated, "frozen": frozen, "failures": failures, "layout": text, "manifest": manifest, "issues": issues}
+    return Corpus({k: lambda _, df=df: df for k, df in plain.items()} | {"regions": with_system})

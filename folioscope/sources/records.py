@@ -129,14 +129,14 @@ def read_annotations(spark: SparkSession, root: str, folder: str = "ground-truth
 
 
 def read_frozen_inputs(spark: SparkSession, root: str, folder: str = "htr-inputs") -> tuple[DataFrame, DataFrame]:
-    """(regions, issues) of the frozen inputs."""
+    """(regions, issues) of the frozen inputs; each region with its page's image and padding."""
     v, items = F.col("v"), _list(F.col("v"), "$.regions")
     rows = read_json(spark, f"{root.rstrip('/')}/{folder}", root)
     rows = rows.withColumn("message", F.when(F.col("outside"), OUTSIDE).when(v.isNull() | items.isNull(), "no region list").when(F.coalesce(shown(v, "$.coordinate_system"), F.lit("")) != COORDINATES, "unsupported coordinates"))
     issues = rows.where("message is not null").select("path", F.lit("frozen inputs").alias("stage"), "message")
     item = F.col("item")
-    regions = rows.where("message is null").select("path", stem(F.col("path")).alias("page_id"), shown(v, "$.region_source").alias("region_source"), F.posexplode(items).alias("ord", "item"))
-    return regions.select(F.col("path").alias("source"), "page_id", "region_source", "ord", shown(item, "$.id").alias("id"), shown(item, "$.type").alias("region_type"), *_box(item_box(item)).columns()), issues
+    regions = rows.where("message is null").select("path", stem(F.col("path")).alias("page_id"), shown(v, "$.region_source").alias("region_source"), shown(v, "$.image").alias("image"), F.try_variant_get(v, "$.padding", "int").alias("padding"), F.posexplode(items).alias("ord", "item"))
+    return regions.select(F.col("path").alias("source"), "page_id", "region_source", "ord", shown(item, "$.id").alias("id"), shown(item, "$.type").alias("region_type"), *_box(item_box(item)).columns(), "image", "padding"), issues
 
 
 def read_failures(spark: SparkSession, root: str, folder: str = "htr-errors") -> DataFrame:

@@ -210,13 +210,6 @@ def test_batches_resume(spark):
     assert batch.pending(jobs, other)[1].count() == 1
 
 
-def test_waves_save_as_they_go(spark):
-    jobs = spark.createDataFrame([("p", r, "m", "v1", "read", "sha") for r in ("ok", "bad", "cut", "down")], "page_id string, region_id string, model string, prompt_version string, prompt string, image_sha256 string")
-    saved = []
-    assert batch.run_in_waves(jobs, make_client(), lambda o: saved.append([r["region_id"] for r in o.collect()]), wave=2) == 3
-    assert len(saved) == 2 and sorted(sum(saved, [])) == ["bad", "cut", "down", "ok"]
-
-
 def test_region_sources_in_order(spark):
     ddl = "page_id string, ord int, id string, region_type string, x1 double, y1 double, x2 double, y2 double, region_source string"
     rows = lambda pages, name, kind="main_text": spark.createDataFrame([(p, 0, name, kind, 0.0, 0.0, 1.0, 1.0, name) for p in pages], ddl)

@@ -15,7 +15,7 @@ from folioscope.functions import geometry as G
 from folioscope.functions import ids, labels
 from folioscope.functions import text as T
 from folioscope.operators import batch, disagreements, linkage, matching, metrics, overview
-from folioscope.plans import corpora, pictures
+from folioscope.plans import batches, corpora, pictures
 from folioscope.plans.synthetic import REGION_SQL, TYPES, page_systems, regions
 from folioscope.sources import layout
 
@@ -550,7 +550,7 @@ def path_and_data_url(spark, sf_dir):
     return rows.select("page_id", F.when(F.endswith("url", F.lit("/")), F.lit("")).otherwise(ids.file_name(F.col("url"))).alias("name"), ids.data_url(F.lit("page.png"), F.col("url").cast("binary")).alias("data_url"))
 
 
-for _more in (corpora, pictures):
+for _more in (corpora, pictures, batches):
     QUERIES |= _more.QUERIES
     SQL |= _more.SQL
 

@@ -104,4 +104,13 @@ def observations(ranked: DataFrame, regions: DataFrame, systems: DataFrame, thre
 
 def identifier(page_id: Column, l_name: Column, r_name: Column, kind: Column, box: Box, observed: Column) -> Column:
     """A short id, unique for a pair, kind, place and what was observed."""
-    return F.substring(F.sha2(F.to_json(F.struct(page_id, l_name, r_name, kind, box.as_struct(), observed)), 256), 1, 16)
+    parts = [c.cast("string") for c in (page_id, l_name, r_name, kind, *box, observed)]
+    return F.substring(F.sha2(F.concat_ws("\u001f", *parts), 256), 1, 16)
+
+
+def identified(ranked: DataFrame, seen: DataFrame) -> DataFrame:
+    """``ranked`` with the identifier of each row, by the regions that its systems were seen to have."""
+    said = F.concat_ws("=", "system", F.coalesce("region_id", F.lit("")))
+    observed = seen.groupBy("page_id", "rank").agg(F.array_join(F.sort_array(F.collect_list(F.struct("system", said.alias("said"))))["said"], ";").alias("observed"))
+    named = identifier(F.col("page_id"), F.col("l_name"), F.col("r_name"), F.col("kind"), Box.of(), F.col("observed"))
+    return ranked.join(observed, ["page_id", "rank"]).withColumn("identifier", named).drop("observed")

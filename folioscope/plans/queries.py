@@ -15,7 +15,8 @@ from folioscope.functions import geometry as G
 from folioscope.functions import ids, labels
 from folioscope.functions import text as T
 from folioscope.operators import batch, disagreements, linkage, matching, metrics, overview
-from folioscope.plans import batches, corpora, pictures
+from folioscope.plans import batches, comparisons, corpora, pictures
+from folioscope.plans.pieces import DISAGREEMENTS_SQL, NAMED_SQL, SYSTEMS_SQL, equivalent_sql, fold_sql, iou_sql, named_b
 from folioscope.plans.synthetic import REGION_SQL, TYPES, page_systems, regions
 from folioscope.sources import layout
 
@@ -45,24 +46,10 @@ def _box(*names: str) -> list[str]:
 # SQL pieces ---------------------------------------------------------------------------------------
 
 
-def _iou(a: str, b: str) -> str:
-    inter = f"(greatest(0, least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1)) * greatest(0, least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1)))"
-    union = f"(({a}.x2 - {a}.x1) * ({a}.y2 - {a}.y1) + ({b}.x2 - {b}.x1) * ({b}.y2 - {b}.y1) - {inter})"
-    return f"(CASE WHEN {union} = 0 THEN 0.0::DOUBLE ELSE {inter}::DOUBLE / {union}::DOUBLE END)"
-
-
-def _fold(cand: str, out: str, keys: str = "page_id") -> str:
-    """CTEs for the greedy assignment of candidates (keys, t, p, iou)."""
-    return f"""
- {out}_s AS (SELECT {keys}, list_reverse_sort(list({{'iou': iou, 't': t, 'p': p}})) AS cs FROM {cand} GROUP BY {keys}),
- {out}_f AS (SELECT {keys}, unnest(list_reduce(list_transform(cs, lambda k: [k]), lambda acc, k: CASE WHEN len(list_filter(acc, lambda z: z.t = k[1].t OR z.p = k[1].p)) > 0 THEN acc ELSE list_concat(acc, k) END)) AS m FROM {out}_s),
- {out} AS (SELECT {keys}, m.iou AS iou, m.t AS t, m.p AS p FROM {out}_f)"""
-
-
-_CAND = f", cand AS (SELECT a.page_id, a.ord AS t, b.ord AS p, {_iou('a', 'b')} AS iou FROM a JOIN b ON a.page_id = b.page_id WHERE {_iou('a', 'b')} >= 0.5)"
-_CAND_TYPE = f", cand AS (SELECT a.page_id, a.region_type, a.ord AS t, b.ord AS p, {_iou('a', 'b')} AS iou FROM a JOIN b ON a.page_id = b.page_id AND a.region_type = b.region_type WHERE {_iou('a', 'b')} >= 0.5)"
-_MATCH = REGION_SQL + _CAND + "," + _fold("cand", "m")
-_MATCH_TYPE = REGION_SQL + _CAND_TYPE + "," + _fold("(SELECT page_id, t, p, iou FROM cand)", "m")
+_CAND = f", cand AS (SELECT a.page_id, a.ord AS t, b.ord AS p, {iou_sql('a', 'b')} AS iou FROM a JOIN b ON a.page_id = b.page_id WHERE {iou_sql('a', 'b')} >= 0.5)"
+_CAND_TYPE = f", cand AS (SELECT a.page_id, a.region_type, a.ord AS t, b.ord AS p, {iou_sql('a', 'b')} AS iou FROM a JOIN b ON a.page_id = b.page_id AND a.region_type = b.region_type WHERE {iou_sql('a', 'b')} >= 0.5)"
+_MATCH = REGION_SQL + _CAND + "," + fold_sql("cand", "m")
+_MATCH_TYPE = REGION_SQL + _CAND_TYPE + "," + fold_sql("(SELECT page_id, t, p, iou FROM cand)", "m")
 _RATES = "round(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0.0), 9) AS precision, round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0.0), 9) AS recall, round(coalesce(2.0::DOUBLE * (coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0.0)) * (coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0.0)) / nullif(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0.0) + coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0.0), 0.0), 0.0), 9) AS f1"
 
 
@@ -314,7 +301,7 @@ def bidi_direction(spark, sf_dir):
 
 
 @query()
-def polygon_iou(spark, sf_dir):
+def polygoniou_sql(spark, sf_dir):
     """IoU of six-pointed polygons cut from the boxes of two systems."""
     a, b = regions(spark, sf_dir, "a"), regions(spark, sf_dir, "b").select("page_id", "ord", *G.Box.of().columns("o_"))
 
@@ -324,29 +311,16 @@ def polygon_iou(spark, sf_dir):
         return F.array(point(x.x1 + third, x.y1), point(x.x2, x.y1), point(x.x2, x.y2 - third), point(x.x2 - third, x.y2), point(x.x1, x.y2), point(x.x1, x.y1 + third))
 
     x, y = G.Box.of(), G.Box.of("o_")
-    return a.join(b, ["page_id", "ord"]).select("page_id", "ord", F.round(G.region_iou(cut_corners(x), x, cut_corners(y), y), R9).alias("iou"))
+    return a.join(b, ["page_id", "ord"]).select("page_id", "ord", F.round(G.regioniou_sql(cut_corners(x), x, cut_corners(y), y), R9).alias("iou"))
 
 
 # Disagreements ------------------------------------------------------------------------------------
 
-_SYS = ", s AS (SELECT DISTINCT page_id, system, sys_ord, reviewed FROM regions)"
-
-
-@query(REGION_SQL + _SYS + " SELECT l.page_id, l.system AS l_name, r.system AS r_name FROM s l JOIN s r ON l.page_id = r.page_id AND l.sys_ord < r.sys_ord WHERE NOT l.reviewed AND NOT r.reviewed")
+@query(REGION_SQL + SYSTEMS_SQL + " SELECT l.page_id, l.system AS l_name, r.system AS r_name FROM s l JOIN s r ON l.page_id = r.page_id AND l.sys_ord < r.sys_ord WHERE NOT l.reviewed AND NOT r.reviewed")
 def system_pairs(spark, sf_dir):
     return disagreements.system_pairs(page_systems(regions(spark, sf_dir))).select("page_id", "l_name", "r_name")
 
 
-_DIS = REGION_SQL + _SYS + f""",
- pairs AS (SELECT l.page_id, l.sys_ord AS ls, r.sys_ord AS rs, l.system AS l_name, r.system AS r_name FROM s l JOIN s r ON l.page_id = r.page_id AND l.sys_ord < r.sys_ord WHERE NOT l.reviewed AND NOT r.reviewed),
- pc AS (SELECT a.page_id, pairs.ls, pairs.rs, a.ord AS t, b.ord AS p, {_iou('a', 'b')} AS iou FROM pairs JOIN regions a ON a.page_id = pairs.page_id AND a.sys_ord = ls JOIN regions b ON b.page_id = pairs.page_id AND b.sys_ord = rs WHERE {_iou('a', 'b')} >= 0.5),
- {_fold('pc', 'pm', 'page_id, ls, rs')},
- elem AS (SELECT *, row_number() OVER (PARTITION BY page_id, ls, rs ORDER BY iou DESC, t DESC, p DESC) AS elem FROM pm),
- d AS (SELECT e.page_id, e.ls, e.rs, 'different_types' AS kind, 0 AS ko, -e.iou AS score, 0 AS so, e.elem, least(a.x1, b.x1) AS x1, least(a.y1, b.y1) AS y1, greatest(a.x2, b.x2) AS x2, greatest(a.y2, b.y2) AS y2
-       FROM elem e JOIN regions a ON a.page_id = e.page_id AND a.sys_ord = e.ls AND a.ord = e.t JOIN regions b ON b.page_id = e.page_id AND b.sys_ord = e.rs AND b.ord = e.p WHERE a.region_type <> b.region_type
-       UNION ALL SELECT pairs.page_id, ls, rs, 'unmatched', 1, -((x2 - x1) * (y2 - y1))::DOUBLE, 1, ord, x1, y1, x2, y2 FROM pairs JOIN regions a ON a.page_id = pairs.page_id AND a.sys_ord = ls WHERE NOT EXISTS (SELECT 1 FROM pm WHERE pm.page_id = pairs.page_id AND pm.ls = pairs.ls AND pm.rs = pairs.rs AND pm.t = a.ord)
-       UNION ALL SELECT pairs.page_id, ls, rs, 'unmatched', 1, -((x2 - x1) * (y2 - y1))::DOUBLE, 2, ord, x1, y1, x2, y2 FROM pairs JOIN regions b ON b.page_id = pairs.page_id AND b.sys_ord = rs WHERE NOT EXISTS (SELECT 1 FROM pm WHERE pm.page_id = pairs.page_id AND pm.ls = pairs.ls AND pm.rs = pairs.rs AND pm.p = b.ord)),
- ranked AS (SELECT d.page_id, row_number() OVER (PARTITION BY d.page_id ORDER BY CASE WHEN l_name LIKE 'Qwen3-VL%' AND r_name LIKE 'Qwen3-VL%' THEN 0 ELSE 1 END, ko, score, d.ls, d.rs, so, elem) AS rank, l_name, r_name, kind, x1, y1, x2, y2 FROM d JOIN pairs ON pairs.page_id = d.page_id AND pairs.ls = d.ls AND pairs.rs = d.rs)"""
 _SHOW = ("page_id", "rank", "l_name", "r_name", "kind", "x1", "y1", "x2", "y2")
 
 
@@ -355,19 +329,19 @@ def _ranked(spark, sf_dir):
     return _longs(disagreements.disagreements(rows, page_systems(rows)), "rank")
 
 
-@query(_DIS + f" SELECT {', '.join(_SHOW)} FROM ranked")
+@query(DISAGREEMENTS_SQL + f" SELECT {', '.join(_SHOW)} FROM ranked")
 def disagreements_ranked(spark, sf_dir):
     return _ranked(spark, sf_dir).select(*_SHOW)
 
 
-@query(_DIS + f""", lists AS (SELECT page_id, list_sort(list({{{', '.join(f"'{c}': {c}" for c in _SHOW[1:])}}})) AS ds FROM ranked GROUP BY page_id),
- picked AS (SELECT page_id, unnest(list_reduce(list_transform(ds, lambda k: [k]), lambda acc, k: CASE WHEN len(acc) >= 4 OR len(list_filter(acc, lambda z: {_iou('z', 'k[1]')} >= 0.4)) > 0 THEN acc ELSE list_concat(acc, k) END)) AS d FROM lists)
+@query(DISAGREEMENTS_SQL + f""", lists AS (SELECT page_id, list_sort(list({{{', '.join(f"'{c}': {c}" for c in _SHOW[1:])}}})) AS ds FROM ranked GROUP BY page_id),
+ picked AS (SELECT page_id, unnest(list_reduce(list_transform(ds, lambda k: [k]), lambda acc, k: CASE WHEN len(acc) >= 4 OR len(list_filter(acc, lambda z: {iou_sql('z', 'k[1]')} >= 0.4)) > 0 THEN acc ELSE list_concat(acc, k) END)) AS d FROM lists)
  SELECT page_id, {', '.join(f'd.{c} AS {c}' for c in _SHOW[1:])} FROM picked""")
 def disagreements_nms(spark, sf_dir):
     return disagreements.select_varied(_ranked(spark, sf_dir).select(*_SHOW))
 
 
-@query(REGION_SQL + f", o AS (SELECT r.page_id, r.ord AS anchor, x.system, {_iou('r', 'x')} AS overlap, x.ord, x.id, row_number() OVER (PARTITION BY r.page_id, r.ord, x.system ORDER BY {_iou('r', 'x')} DESC, x.ord) AS n FROM r JOIN regions x ON x.page_id = r.page_id WHERE NOT x.reviewed) SELECT page_id, anchor, system, overlap, overlap >= 0.5 AS matched, id AS nearest_id FROM o WHERE n = 1")
+@query(REGION_SQL + f", o AS (SELECT r.page_id, r.ord AS anchor, x.system, {iou_sql('r', 'x')} AS overlap, x.ord, x.id, row_number() OVER (PARTITION BY r.page_id, r.ord, x.system ORDER BY {iou_sql('r', 'x')} DESC, x.ord) AS n FROM r JOIN regions x ON x.page_id = r.page_id WHERE NOT x.reviewed) SELECT page_id, anchor, system, overlap, overlap >= 0.5 AS matched, id AS nearest_id FROM o WHERE n = 1")
 def best_overlap(spark, sf_dir):
     anchors = regions(spark, sf_dir, "r").select("page_id", F.col("ord").alias("anchor"), *G.Box._fields)
     found = matching.best_overlaps(anchors, regions(spark, sf_dir, "a", "b", "c"), ("anchor",))
@@ -376,31 +350,17 @@ def best_overlap(spark, sf_dir):
 
 # Linkage ------------------------------------------------------------------------------------------
 
-# b's regions are named by half their place, so ids repeat and links fall back to overlap.
-_NAMED = ", bn AS (SELECT * REPLACE ('r' || CAST(ord // 2 * 2 AS VARCHAR) AS id) FROM b)"
-
-
-def _equiv_sql(left: str, right: str, name: str, close: float = 0.8) -> str:
-    return f""", {name}_p AS (SELECT l.page_id, l.ord AS l_ord, r.ord AS r_ord, l.id = r.id AS same, {_iou('l', 'r')} >= {close} AS near FROM {left} l JOIN {right} r ON l.page_id = r.page_id),
- {name}_c AS (SELECT *, count(*) FILTER (WHERE same) OVER (PARTITION BY page_id, l_ord) AS ns, count(*) FILTER (WHERE near) OVER (PARTITION BY page_id, l_ord) AS nn FROM {name}_p),
- {name} AS (SELECT page_id, l_ord, r_ord FROM {name}_c WHERE (ns = 1 AND same) OR (ns <> 1 AND nn = 1 AND near))"""
-
-
-def _named_b(spark, sf_dir):
-    return regions(spark, sf_dir, "b").withColumn("id", F.concat(F.lit("r"), F.expr("ord div 2 * 2")))
-
-
-@query(REGION_SQL + _NAMED + _equiv_sql("a", "bn", "e") + " SELECT * FROM e")
+@query(REGION_SQL + NAMED_SQL + equivalent_sql("a", "bn", "e") + " SELECT * FROM e")
 def equiv_link(spark, sf_dir):
-    return linkage.link_equivalent(regions(spark, sf_dir, "a"), _named_b(spark, sf_dir), 0.8)
+    return linkage.link_equivalent(regions(spark, sf_dir, "a"), named_b(spark, sf_dir), 0.8)
 
 
-@query(REGION_SQL + _NAMED + _equiv_sql("a", "bn", "e") + _equiv_sql("bn", "a", "f") + " SELECT e.* FROM e JOIN f ON e.page_id = f.page_id AND e.l_ord = f.r_ord AND e.r_ord = f.l_ord")
+@query(REGION_SQL + NAMED_SQL + equivalent_sql("a", "bn", "e") + equivalent_sql("bn", "a", "f") + " SELECT e.* FROM e JOIN f ON e.page_id = f.page_id AND e.l_ord = f.r_ord AND e.r_ord = f.l_ord")
 def reciprocal_link(spark, sf_dir):
-    return linkage.link_reciprocal(regions(spark, sf_dir, "a"), _named_b(spark, sf_dir), 0.8)
+    return linkage.link_reciprocal(regions(spark, sf_dir, "a"), named_b(spark, sf_dir), 0.8)
 
 
-_ONCE = REGION_SQL + _NAMED + ", once AS (SELECT page_id, id, min(ord) AS group_ord FROM bn GROUP BY 1, 2 HAVING count(*) = 1)"
+_ONCE = REGION_SQL + NAMED_SQL + ", once AS (SELECT page_id, id, min(ord) AS group_ord FROM bn GROUP BY 1, 2 HAVING count(*) = 1)"
 
 
 def _records(spark, sf_dir):
@@ -409,12 +369,12 @@ def _records(spark, sf_dir):
 
 @query(_ONCE + " SELECT a.page_id, a.id AS region_id, a.ord, group_ord FROM a JOIN once ON once.page_id = a.page_id AND once.id = a.id")
 def unique_link(spark, sf_dir):
-    return linkage.link_unique(_records(spark, sf_dir), _named_b(spark, sf_dir))[0]
+    return linkage.link_unique(_records(spark, sf_dir), named_b(spark, sf_dir))[0]
 
 
 @query(_ONCE + " SELECT a.page_id, a.id AS region_id, a.ord FROM a LEFT JOIN once ON once.page_id = a.page_id AND once.id = a.id WHERE once.id IS NULL")
 def orphan_issues(spark, sf_dir):
-    return linkage.link_unique(_records(spark, sf_dir), _named_b(spark, sf_dir))[1]
+    return linkage.link_unique(_records(spark, sf_dir), named_b(spark, sf_dir))[1]
 
 
 @query(REGION_SQL + " SELECT a.page_id, a.ord AS group_ord, CASE WHEN a.ord % 2 = 0 THEN 'x' ELSE 'y' END AS system FROM a WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.page_id = a.page_id AND c.ord = a.ord AND CASE WHEN c.ord % 3 = 0 THEN 'x' ELSE 'y' END = CASE WHEN a.ord % 2 = 0 THEN 'x' ELSE 'y' END)")
@@ -423,10 +383,10 @@ def failure_antijoin(spark, sf_dir):
     return linkage.open_failures(named(regions(spark, sf_dir, "a"), 2), named(regions(spark, sf_dir, "c"), 3))
 
 
-@query(REGION_SQL + _NAMED + """, f AS (SELECT page_id, id, min(ord) AS ord FROM bn WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.page_id = bn.page_id AND c.id = bn.id) GROUP BY 1, 2),
+@query(REGION_SQL + NAMED_SQL + """, f AS (SELECT page_id, id, min(ord) AS ord FROM bn WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.page_id = bn.page_id AND c.id = bn.id) GROUP BY 1, 2),
  last AS (SELECT page_id, max(ord) + 1 AS after FROM c GROUP BY page_id) SELECT page_id, ord, id FROM c UNION ALL SELECT f.page_id, coalesce(after, 0) + f.ord, f.id FROM f LEFT JOIN last ON last.page_id = f.page_id""")
 def frozen_merge(spark, sf_dir):
-    return linkage.merge_frozen(regions(spark, sf_dir, "c").select("page_id", "ord", "id"), _named_b(spark, sf_dir).select("page_id", "ord", "id"))
+    return linkage.merge_frozen(regions(spark, sf_dir, "c").select("page_id", "ord", "id"), named_b(spark, sf_dir).select("page_id", "ord", "id"))
 
 
 @query("SELECT d.doc_id, coalesce(CASE WHEN l.quality = 1 THEN d.source END, d.lang) AS human FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
@@ -550,7 +510,7 @@ def path_and_data_url(spark, sf_dir):
     return rows.select("page_id", F.when(F.endswith("url", F.lit("/")), F.lit("")).otherwise(ids.file_name(F.col("url"))).alias("name"), ids.data_url(F.lit("page.png"), F.col("url").cast("binary")).alias("data_url"))
 
 
-for _more in (corpora, pictures, batches):
+for _more in (corpora, pictures, batches, comparisons):
     QUERIES |= _more.QUERIES
     SQL |= _more.SQL
 

@@ -3,13 +3,12 @@ code point, words split at Unicode white space."""
 
 from __future__ import annotations
 
+import sys
 import unicodedata
-from collections.abc import Iterator
+from functools import cache
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: What separates words: Unicode white space and the four separators \x1C to \x1F.
 SPACES = r"(?U)[\s\x1C-\x1F]+"
@@ -66,21 +65,27 @@ def htr_metrics(reference: Column, hypothesis: Column) -> Column:
     )
 
 
-def direction_of(text: str | None) -> str | None:
-    if text is None:
-        return None
-    strong = next((d for d in map(unicodedata.bidirectional, text) if d in ("L", "R", "AL")), None)
-    return {"L": "ltr", "R": "rtl", "AL": "rtl"}.get(strong, "auto")
+@cache
+def characters_of(*classes: str) -> str:
+    """A pattern for one character of the given bidirectional classes, as ranges of code points; Java's and
+    RE2's patterns both read it."""
+    ranges: list[list[int]] = []
+    for code in range(sys.maxunicode + 1):
+        if unicodedata.bidirectional(chr(code)) in classes:
+            if ranges and ranges[-1][1] == code - 1:
+                ranges[-1][1] = code
+            else:
+                ranges.append([code, code])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
 
 
-def _directions(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in texts:
-        yield pa.array([direction_of(x) for x in batch.to_pylist()], type=pa.string())
+RIGHT_TO_LEFT, STRONG = ("R", "AL"), ("L", "R", "AL")
 
 
 def direction(text: Column | str) -> Column:
     """ltr, rtl or auto, by the first character with a strong direction."""
-    return F.arrow_udf(_directions, StringType())(text)
+    first = F.regexp_extract(text, characters_of(*STRONG), 0)
+    return F.when(first == "", "auto").when(first.rlike(characters_of(*RIGHT_TO_LEFT)), "rtl").when(first != "", "ltr")
 
 
 def percent(rate: Column, missing: str = "Undefined") -> Column:

@@ -18,6 +18,8 @@ from folioscope.sources.store import settle
 
 PAIR = ("page_id", "l_sys", "r_sys")
 NMS_IOU = 0.4
+#: Disagreements of a page from which on they are selected in rounds.
+LARGE = 10_000
 
 
 def system_pairs(systems: DataFrame) -> DataFrame:
@@ -66,10 +68,38 @@ def disagreements(regions: DataFrame, systems: DataFrame, threshold: float = 0.5
     return out.select("page_id", "rank", "l_name", "r_name", "kind", "owner_sys", "other_sys", "owner_ord", "other_ord", "iou", *Box._fields)
 
 
-def select_varied(ranked: DataFrame, limit: int = 4, nms_iou: float = NMS_IOU) -> DataFrame:
-    """The first ``limit`` of a page by rank that overlap none taken before by ``nms_iou`` or more."""
+def select_varied(ranked: DataFrame, limit: int = 4, nms_iou: float = NMS_IOU, large: int | None = LARGE) -> DataFrame:
+    """The first ``limit`` of a page by rank that overlap none taken before by ``nms_iou`` or more.
+
+    Pages of more than ``large`` disagreements never lie in one row: they take one of them in each of
+    ``limit`` rounds, as many as a page can keep."""
     if limit < 0:
         raise ValueError("limit must not be negative")
+    if large is None:
+        return _folded(ranked, limit, nms_iou)
+    ranked = settle(ranked, "ranked")
+    crowded = settle(ranked.groupBy("page_id").agg(F.count("*").alias("n")).where(F.col("n") > large).select("page_id"), "crowded-disagreements")
+    if crowded.isEmpty():
+        return _folded(ranked, limit, nms_iou)
+    rounds = _in_rounds(ranked.join(crowded, "page_id", "left_semi"), limit, nms_iou)
+    return _folded(ranked.join(crowded, "page_id", "left_anti"), limit, nms_iou).unionByName(rounds)
+
+
+def _in_rounds(ranked: DataFrame, limit: int, nms_iou: float) -> DataFrame:
+    """Each round takes the first of every page that overlaps none of its few taken before."""
+    row = F.struct("rank", F.struct(*(F.col(c) for c in ranked.columns if c not in ("page_id", "rank"))).alias("d"))
+    taken = ranked.select("page_id").distinct().withColumn("taken", F.filter(F.array(F.lit(None).cast(ranked.select(row.alias("r")).schema["r"].dataType)), lambda x: x.isNotNull()))
+    for _ in range(limit):
+        near = F.exists("taken", lambda z: iou(Box.struct(z["d"]), Box.of()) >= nms_iou)
+        later = F.size("taken") == 0
+        rest = ranked.join(taken, "page_id").where(~near & (later | (F.col("rank") > F.element_at("taken", -1)["rank"])))
+        first = rest.groupBy("page_id").agg(F.min_by(row, "rank").alias("next"))
+        taken = taken.join(first, "page_id", "left").select("page_id", F.when(F.col("next").isNotNull(), F.array_append("taken", F.col("next"))).otherwise(F.col("taken")).alias("taken"))
+        taken = settle(taken, "taken")
+    return taken.select("page_id", F.explode("taken").alias("p")).select("page_id", "p.rank", "p.d.*")
+
+
+def _folded(ranked: DataFrame, limit: int, nms_iou: float) -> DataFrame:
     whole = F.sort_array(F.collect_list(F.struct("rank", F.struct(*(F.col(c) for c in ranked.columns if c not in ("page_id", "rank"))).alias("d"))))
     pages = ranked.groupBy("page_id").agg(whole.alias("all"))
     close = lambda k: lambda z: iou(Box.struct(z["d"]), Box.struct(k["d"])) >= nms_iou

@@ -14,24 +14,29 @@ from folioscope.functions.geometry import Box, iou
 from folioscope.functions.ids import region_of_crop
 from folioscope.functions.labels import system_name, system_rank
 from folioscope.functions.text import htr_metrics
+from folioscope.operators.matching import overlap_join
 
 CLOSE = 0.95
 
 
-def link_equivalent(left: DataFrame, right: DataFrame, close: float = CLOSE) -> DataFrame:
-    """page_id, l_ord, r_ord: for each left region its one equivalent on the right, if there is one."""
+def link_equivalent(left: DataFrame, right: DataFrame, close: float = CLOSE, large: int | None = None) -> DataFrame:
+    """page_id, l_ord, r_ord: for each left region its one equivalent on the right, if there is one.
+
+    Ids meet in an equi-join of their own, boxes by their overlap (``large``: see ``overlap_join``)."""
     a = left.select("page_id", F.col("ord").alias("l_ord"), F.col("id").alias("l_id"), *Box.of().columns("l_"))
     b = right.select("page_id", F.col("ord").alias("r_ord"), F.col("id").alias("r_id"), *Box.of().columns("r_"))
-    pairs = a.join(b, "page_id").withColumn("same", F.col("l_id") == F.col("r_id")).withColumn("near", iou(Box.of("l_"), Box.of("r_")) >= close)
-    mine = Window.partitionBy("page_id", "l_ord")
-    pairs = pairs.where("same or near").withColumn("n_same", F.count_if("same").over(mine)).withColumn("n_near", F.count_if("near").over(mine))
-    return pairs.where("(n_same = 1 and same) or (n_same <> 1 and n_near = 1 and near)").select("page_id", "l_ord", "r_ord")
+    same = a.join(b, (a["page_id"] == b["page_id"]) & (F.col("l_id") == F.col("r_id"))).select(a["page_id"], "l_ord", "r_ord", F.lit(True).alias("same"))
+    near = overlap_join(a, b, sides=("l_", "r_"), large=large).where(iou(Box.of("l_"), Box.of("r_")) >= close).select("page_id", "l_ord", "r_ord", F.lit(False).alias("same"))
+    once = lambda which: (F.count_if(which), F.max(F.when(which, F.col("r_ord"))))
+    (n_same, r_same), (n_near, r_near) = once(F.col("same")), once(~F.col("same"))
+    found = same.unionByName(near).groupBy("page_id", "l_ord").agg(F.when(n_same == 1, r_same).when(n_near == 1, r_near).alias("r_ord"))
+    return found.where("r_ord is not null")
 
 
-def link_reciprocal(left: DataFrame, right: DataFrame, close: float = CLOSE) -> DataFrame:
+def link_reciprocal(left: DataFrame, right: DataFrame, close: float = CLOSE, large: int | None = None) -> DataFrame:
     """The links that hold from both sides."""
-    back = link_equivalent(right, left, close).select("page_id", F.col("l_ord").alias("r_ord"), F.col("r_ord").alias("l_ord"))
-    return link_equivalent(left, right, close).join(back, ["page_id", "l_ord", "r_ord"], "left_semi")
+    back = link_equivalent(right, left, close, large).select("page_id", F.col("l_ord").alias("r_ord"), F.col("r_ord").alias("l_ord"))
+    return link_equivalent(left, right, close, large).join(back, ["page_id", "l_ord", "r_ord"], "left_semi")
 
 
 def link_unique(records: DataFrame, groups: DataFrame, key: str = "region_id") -> tuple[DataFrame, DataFrame]:

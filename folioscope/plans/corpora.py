@@ -159,6 +159,18 @@ def results_read(spark, sf_dir):
     return found.select("page_id", "model_dir", "task", "model", "transcription", "language", "elapsed_seconds")
 
 
+@query("SELECT 'd' || CAST(doc_id AS VARCHAR) || '.html' AS file, sha256(CASE WHEN doc_id % 3 = 1 THEN 'changed' ELSE coalesce(text, '') END) AS sha256, (SELECT count(*) FILTER (WHERE doc_id % 3 = 1) FROM documents) AS written, (SELECT count(*) FILTER (WHERE doc_id % 3 = 0) FROM documents) AS removed FROM documents WHERE doc_id % 3 <> 0")
+def published_again(spark, sf_dir):
+    """A report published twice: the files that the folder has after some changed and some went."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    base = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
+    files = lambda df, text: df.select(F.col("doc_id").cast("string").alias("page_id"), F.concat(F.lit("d"), "doc_id", F.lit(".html")).alias("file"), text.cast("binary").alias("content"))
+    publish.publish(files(rows, F.col("text")), base)
+    done = publish.publish(files(rows.where("doc_id % 3 <> 0"), F.when(F.col("doc_id") % 3 == 1, F.lit("changed")).otherwise(F.col("text"))), base)
+    there = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(base)
+    return there.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"), F.lit(done["written"]).cast("long").alias("written"), F.lit(done["removed"]).cast("long").alias("removed"))
+
+
 @query(f"{_PAGES} SELECT 'eScriptorium' AS system, count(*) FILTER (WHERE {_GOOD}) AS pages FROM pg UNION ALL SELECT 'Qwen3-VL 8B', 0 UNION ALL SELECT 'Qwen3-VL 30B', 0")
 def corpus_coverage(spark, sf_dir):
     return overview.coverage(corpus.load_corpus(spark, folder(spark, sf_dir)).artifacts, spark)

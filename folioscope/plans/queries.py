@@ -175,6 +175,19 @@ def match_greedy(spark, sf_dir):
     return matching.match_regions(regions(spark, sf_dir, "a"), regions(spark, sf_dir, "b")).select("page_id", "t_ord", "p_ord", "iou", "type_match")
 
 
+def _wide(spark, sf_dir, letter):
+    """Twenty pages of all regions, those of an order side by side with those of others."""
+    nth = F.expr("page_id div 20")
+    return regions(spark, sf_dir, letter).withColumns({"x1": F.col("x1") + nth * 1000, "x2": F.col("x2") + nth * 1000, "ord": nth * 100 + F.col("ord"), "page_id": F.col("page_id") % 20})
+
+
+@query(_MATCH + " SELECT m.page_id % 20 AS page_id, m.page_id // 20 * 100 + t AS t_ord, m.page_id // 20 * 100 + p AS p_ord, iou FROM m")
+def match_large_pages(spark, sf_dir):
+    """Matching on pages of thousands of regions, by a grid and in rounds."""
+    found = matching.match_regions(_wide(spark, sf_dir, "a"), _wide(spark, sf_dir, "b"), large=matching.LARGE, many=1000)
+    return found.select("page_id", "t_ord", "p_ord", "iou")
+
+
 @query(_MATCH + " SELECT a.page_id, a.ord, a.region_type FROM a WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.page_id = a.page_id AND m.t = a.ord)")
 def unmatched_truth(spark, sf_dir):
     a, b = regions(spark, sf_dir, "a"), regions(spark, sf_dir, "b")
@@ -295,13 +308,28 @@ def htr_metrics(spark, sf_dir):
     return _rounded(rows, "cer", "wer")
 
 
-@query()
+_FIRST = f"regexp_extract(text, '{T.characters_of(*T.STRONG)}')"
+
+
+@query(f"SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN {_FIRST} = '' THEN 'auto' WHEN regexp_matches({_FIRST}, '{T.characters_of(*T.RIGHT_TO_LEFT)}') THEN 'rtl' ELSE 'ltr' END AS direction FROM documents")
 def bidi_direction(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", T.direction("text").alias("direction"))
 
 
-@query()
-def polygoniou_sql(spark, sf_dir):
+def _cut_sql(*names: str) -> str:
+    """The area of what boxes share between two slanting lines: with corners cut, a box is what of it lies
+    between x + y of its cuts. Of one box, or of two."""
+    most, least = ("greatest", "least") if len(names) > 1 else ("", "")
+    of = lambda f, v: f"{f}({', '.join(v.format(n) for n in names)})"
+    x1, y1, x2, y2 = of(most, "{0}.x1"), of(most, "{0}.y1"), of(least, "{0}.x2"), of(least, "{0}.y2")
+    low, high = of(most, "({0}.x1 + {0}.y1 + ({0}.x2 - {0}.x1)::DOUBLE / 3)"), of(least, "({0}.x2 + {0}.y2 - ({0}.x2 - {0}.x1)::DOUBLE / 3)")
+    square = lambda k, x, y: f"power(greatest(0.0::DOUBLE, {k} - {x} - {y}), 2)"
+    below = lambda k: f"({square(k, x1, y1)} - {square(k, x2, y1)} - {square(k, x1, y2)} + {square(k, x2, y2)}) / 2"
+    return f"(CASE WHEN {x2} > {x1} AND {y2} > {y1} AND {high} > {low} THEN {below(high)} - {below(low)} ELSE 0.0::DOUBLE END)"
+
+
+@query(REGION_SQL + f", shapes AS (SELECT a.page_id, a.ord, {_cut_sql('a', 'b')} AS shared, {_cut_sql('a')} AS one, {_cut_sql('b')} AS other FROM a JOIN b ON a.page_id = b.page_id AND a.ord = b.ord) SELECT page_id, ord, round(shared / (one + other - shared), 9) AS iou FROM shapes")
+def polygon_iou(spark, sf_dir):
     """IoU of six-pointed polygons cut from the boxes of two systems."""
     a, b = regions(spark, sf_dir, "a"), regions(spark, sf_dir, "b").select("page_id", "ord", *G.Box.of().columns("o_"))
 
@@ -311,7 +339,7 @@ def polygoniou_sql(spark, sf_dir):
         return F.array(point(x.x1 + third, x.y1), point(x.x2, x.y1), point(x.x2, x.y2 - third), point(x.x2 - third, x.y2), point(x.x1, x.y2), point(x.x1, x.y1 + third))
 
     x, y = G.Box.of(), G.Box.of("o_")
-    return a.join(b, ["page_id", "ord"]).select("page_id", "ord", F.round(G.regioniou_sql(cut_corners(x), x, cut_corners(y), y), R9).alias("iou"))
+    return a.join(b, ["page_id", "ord"]).select("page_id", "ord", F.round(G.region_iou(cut_corners(x), x, cut_corners(y), y), R9).alias("iou"))
 
 
 # Disagreements ------------------------------------------------------------------------------------

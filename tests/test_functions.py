@@ -102,3 +102,14 @@ def test_replies(spark):
     rows = spark.createDataFrame([(c,) for c in cases], "c string").select("c", F.to_json(ids.reply_object(F.col("c")))).collect()
     assert dict(map(tuple, rows)) == cases
     assert one(spark, ids.data_url(F.lit("x.JPG"), F.lit(b"ab")), ids.data_url(F.lit("x.gif"), F.lit(b"ab")))[0] == "data:image/jpeg;base64,YWI="
+
+
+def test_directions_of_all_characters(spark):
+    """The pattern and Unicode's own table agree on every code point."""
+    import unicodedata
+
+    codes = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    rows = spark.createDataFrame([(c, chr(c)) for c in codes if c < 0x30000 or c % 97 == 0], "c int, t string")
+    want = {"L": "ltr", "R": "rtl", "AL": "rtl"}
+    found = {r["c"]: r["d"] for r in rows.select("c", T.direction("t").alias("d")).collect()}
+    assert all(d == want.get(unicodedata.bidirectional(chr(c)), "auto") for c, d in found.items()) and len(found) > 190_000

@@ -216,3 +216,51 @@ def test_region_sources_in_order(spark):
     images = spark.createDataFrame([(p,) for p in "abcde"], "page_id string")
     found = batch.plan_regions(images, rows("a", "frozen", "illustration"), rows("abz", "annotated"), rows("abc", "layout").unionByName(rows("d", "layout", "illustration")))
     assert sorted((r["page_id"], r["id"]) for r in found.collect()) == [("a", "frozen"), ("b", "annotated"), ("c", "layout"), ("e", "whole-page")]
+
+
+def spread_boxes(seed, n, width):
+    """Boxes of many sizes over a wide page, ties and touching edges included."""
+    r = random.Random(seed)
+    out = []
+    for o in range(n):
+        x, y = r.randint(0, width), r.randint(0, 60)
+        w, h = (r.randint(1, 8), r.randint(1, 8)) if o % 40 else (r.randint(1, width), 40)
+        out.append(("big", o, r.choice("ab"), (x, y, x + w, y + h)))
+    return out
+
+
+def test_a_grid_gives_the_same_pairs(spark):
+    t, p = spread_boxes(3, 700, 400) + random_pages(5, 20)[0], spread_boxes(4, 600, 400) + random_pages(5, 20)[1]
+    truth, predictions = boxes(spark, t), boxes(spark, p)
+    for threshold, same in ((0.5, False), (0.05, True)):
+        rows = lambda large: sorted(tuple(r) for r in matching.iou_candidates(truth, predictions, threshold, same, large=large).collect())  # noqa: E731, B023
+        assert rows(None) == rows(100) == rows(1) and len(rows(None)) > 50
+    fold = matching.match_regions(truth, predictions, 0.2)
+    assert sorted(map(tuple, fold.collect())) == sorted(map(tuple, matching.match_regions(truth, predictions, 0.2, large=100, many=50).select(*fold.columns).collect()))
+    named = lambda df: df.withColumn("id", F.concat(F.lit("r"), F.col("ord") % 400))
+    for close in (0.4, 0.95):
+        links = [sorted(map(tuple, linkage.link_reciprocal(named(truth), named(predictions), close, large).collect())) for large in (None, 50)]
+        assert links[0] == links[1]
+    anchors = truth.select("page_id", F.col("ord").alias("anchor"), "x1", "y1", "x2", "y2")
+    systems = predictions.withColumn("id", F.col("ord").cast("string")).withColumn("system", F.concat(F.lit("s"), F.col("ord") % 3)).unionByName(predictions.select("page_id").distinct().withColumn("system", F.lit("none")), allowMissingColumns=True)
+    found = [sorted(map(tuple, matching.best_overlaps(anchors, systems, ("anchor",), large=large).collect())) for large in (None, 50)]
+    plain = {}
+    for a in t:
+        for s in ("s0", "s1", "s2", "none"):
+            mine = [b for b in p if b[0] == a[0] and f"s{b[1] % 3}" == s]
+            best = max(mine, key=lambda b: (plain_iou(a[3], b[3]), -b[1]), default=None)
+            if any(b[0] == a[0] for b in p) and (best or s == "none"):
+                plain[a[0], a[1], s] = str(best[1]) if best else None
+    assert found[0] == found[1] and {(r[0], r[1], r[2]): r[5] for r in found[0]} == plain
+
+
+def test_rounds_select_as_the_fold_does(spark):
+    r, rows = random.Random(6), []
+    for page, n in (("big", 3000), ("small", 30), ("one", 1)):
+        for rank in range(1, n + 1):
+            x, y = (0, 0) if rank % 3 else (r.randint(0, 90), r.randint(0, 90))
+            rows.append((page, rank, f"k{rank % 2}", float(x), float(y), float(x + r.randint(5, 9)), float(y + r.randint(5, 9))))
+    ranked = spark.createDataFrame(rows, "page_id string, rank long, kind string, x1 double, y1 double, x2 double, y2 double")
+    for limit in (0, 1, 4, 7):
+        some = [sorted(map(tuple, disagreements.select_varied(ranked, limit, large=large).collect())) for large in (None, 100, 1)]
+        assert some[0] == some[1] == some[2] and len(some[0]) == (2 * limit + min(limit, 1))

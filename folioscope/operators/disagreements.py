@@ -35,13 +35,14 @@ def _side(regions: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
     return pairs.join(keyed, ["page_id", f"{side}_sys"])
 
 
-def disagreements(regions: DataFrame, systems: DataFrame, threshold: float = 0.5) -> DataFrame:
+def disagreements(regions: DataFrame, systems: DataFrame, threshold: float = 0.5, large: int | None = None) -> DataFrame:
     """All label conflicts and unmatched regions of all pairs, with ``rank`` from 1 within the page.
+    ``large``: for pages of many regions (see ``matching``).
 
     page_id, rank, l_name, r_name, kind, owner_sys, other_sys, owner_ord, other_ord, iou, box."""
     regions, pairs = settle(regions, "disagreement-regions"), settle(system_pairs(systems), "disagreement-pairs")
     left, right = _side(regions, pairs, "l"), _side(regions, pairs, "r")
-    matches = settle(match_regions(left, right, threshold, False, PAIR), "disagreement-matches")
+    matches = settle(match_regions(left, right, threshold, False, PAIR, large), "disagreement-matches")
     lone = "cast(null as int)"
     boxed = lambda df, ord_, prefix: df.select(*PAIR, F.col("ord").alias(ord_), *Box.of().columns(prefix))
     order = Window.partitionBy(*PAIR).orderBy(F.desc("iou"), F.desc("t_ord"), F.desc("p_ord"))
@@ -108,13 +109,13 @@ def _folded(ranked: DataFrame, limit: int, nms_iou: float) -> DataFrame:
     return picked.select("page_id", "p.rank", "p.d.*")
 
 
-def observations(ranked: DataFrame, regions: DataFrame, systems: DataFrame, threshold: float = 0.5) -> DataFrame:
+def observations(ranked: DataFrame, regions: DataFrame, systems: DataFrame, threshold: float = 0.5, large: int | None = None) -> DataFrame:
     """What each system of the page has where a disagreement lies: page_id, rank, system, reviewed,
     relationship (in_pair, overlapping, no_counterpart or none), region_id, region_type, overlap,
     and nearby_id and nearby_type for a box that touches without matching."""
     anchors = ranked.select("page_id", "rank", "owner_sys", "other_sys", "owner_ord", "other_ord", "kind", *Box._fields)
     have = systems.select("page_id", "system", "sys_ord", "reviewed").join(regions.drop("system", "reviewed"), ["page_id", "sys_ord"], "left")
-    best = best_overlaps(anchors.select("page_id", "rank", *Box._fields), have, ("rank",), threshold)
+    best = best_overlaps(anchors.select("page_id", "rank", *Box._fields), have, ("rank",), threshold, large)
     rows = anchors.join(best, ["page_id", "rank"]).join(systems.select("page_id", "system", "sys_ord", "reviewed"), ["page_id", "system"])
     in_pair = F.when(F.col("sys_ord") == F.col("owner_sys"), F.col("owner_ord")).when(F.col("sys_ord") == F.col("other_sys"), F.col("other_ord"))
     exact = regions.select("page_id", "sys_ord", F.col("ord").alias("e_ord"), F.col("id").alias("e_id"), F.col("region_type").alias("e_type"), *Box.of().columns("e_"))

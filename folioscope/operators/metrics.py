@@ -37,9 +37,9 @@ def detection_metrics(truth: DataFrame, predictions: DataFrame, threshold: float
     return with_rates(_counted(truth, predictions, match_regions(truth, predictions, threshold, same_type), ["page_id"]))
 
 
-def metrics_by_type(truth: DataFrame, predictions: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """By page and type, matched within the type; types of either side have a row."""
-    matches = match_regions(truth, predictions, threshold, True).withColumn("region_type", F.col("t_type"))
+def metrics_by_type(truth: DataFrame, predictions: DataFrame, threshold: float = 0.5, large: int | None = None) -> DataFrame:
+    """By page and type, matched within the type; types of either side have a row. ``large``: see ``matching``."""
+    matches = match_regions(truth, predictions, threshold, True, large=large).withColumn("region_type", F.col("t_type"))
     return with_rates(_counted(truth, predictions, matches, ["page_id", "region_type"]))
 
 

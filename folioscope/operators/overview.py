@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.labels import SYSTEM_NAMES, SYSTEM_ORDER, display_label, system_name
 from folioscope.functions.text import strip
+from folioscope.operators.matching import LARGE
 from folioscope.operators.metrics import metrics_by_type, pooled_metrics
 
 
@@ -99,7 +100,7 @@ def evaluations(systems: DataFrame, regions: DataFrame, manifest: DataFrame, min
     part = lambda source: records.select(F.concat_ws("\u0001", "run", "page_id").alias("k"), F.col("page_id").alias("page"), F.col(source).alias("source")).join(
         regions.withColumnRenamed("page_id", "page"), ["page", "source"]
     ).select(F.col("k").alias("page_id"), "ord", "region_type", "x1", "y1", "x2", "y2")
-    by_type = metrics_by_type(part("reference"), part("source"), threshold)
+    by_type = metrics_by_type(part("reference"), part("source"), threshold, LARGE)
     by_type = by_type.select(F.split("page_id", "\u0001").alias("k"), "region_type", "tp", "fp", "fn").select(F.col("k")[0].alias("run"), F.col("k")[1].alias("page_id"), "region_type", "tp", "fp", "fn")
     empty = records.select("run", "page_id", *(F.lit(None).cast(t).alias(c) for c, t in (("region_type", "string"), ("tp", "long"), ("fp", "long"), ("fn", "long"))))
     return {

@@ -9,22 +9,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.operators import disagreements, linkage, overview
+from folioscope.operators.matching import LARGE
 from folioscope.sources.corpus import Corpus, load_corpus
 from folioscope.sources.publish import FILES, publish
 from folioscope.sources.sinks import html_page, html_table, page_file
 from folioscope.sources.store import settle
 
-#: Rows of a table that the overview shows.
-SHOWN = 500
+#: Rows of a table that the overview shows; issues of a file.
+SHOWN, ISSUES = 500, 10_000
 
+METHOD = (
+    ("Matching", "Regions of two systems match one to one: of all pairs of a page whose boxes overlap by at least half of their union, the best is taken, then the best of what is left."),
+    ("Metrics", "Precision, recall and F1 count matches of one type; corpus metrics pool all pages of a run that has one complete, corrected layout for each, and are undefined where nothing was counted."),
+    ("Disagreements", "Where two systems describe one place differently, or only one of them has a region. Neither is taken to be right."),
+    ("Readings", "Character and word errors are counted only against texts that a human has marked as corrected."),
+)
 
-def overview_tables(corpus: Corpus, spark: SparkSession, min_pages: int = 5) -> dict[str, DataFrame]:
-    """The corpus roll-ups, each a small table."""
-    if min_pages < 1:
-        raise ValueError("min_pages must be positive")
+
+def compare(corpus: Corpus) -> dict[str, DataFrame]:
+    """Groups, readings, failures and issues of text recognition."""
     groups = settle(linkage.build_groups(corpus.annotated, corpus.frozen, corpus.corrected), "report-groups")
     compared = linkage.htr_comparisons(groups, corpus.results.where("task = 'htr'"), corpus.machine, corpus.failures)
-    compared["readings"] = settle(compared["readings"], "report-readings")
+    return compared | {"readings": settle(compared["readings"], "report-readings"), "failures": settle(compared["failures"], "report-failures")}
+
+
+def overview_tables(corpus: Corpus, spark: SparkSession, min_pages: int = 5, compared: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The corpus roll-ups, each a small table, but for the issues."""
+    if min_pages < 1:
+        raise ValueError("min_pages must be positive")
+    compared = compared or compare(corpus)
     predicted = corpus.regions.where("not reviewed")
     reviewed_text = corpus.artifacts.where("reviewed_text")
     tables = {
@@ -47,17 +60,38 @@ def _shown(tables: dict[str, DataFrame]) -> list[str]:
     return sections
 
 
+#: Tables of a page: the column that holds its rows, title, and the names of what each row has.
+SECTIONS = {
+    "counts": ("Regions", ["system", "type", "regions"]), "ranked": ("Disagreements", ["rank", "kind", "first", "second", "x1", "y1", "x2", "y2"]),
+    "seen": ("What each system has there", ["rank", "system", "reviewed", "relationship", "region", "type", "overlap", "nearby"]),
+    "readings": ("Readings", ["group", "region", "system", "text", "human text", "character errors", "CER", "word errors", "WER", "source"]), "failures": ("Readings that failed", ["group", "region", "system", "source"]),
+}
+
+
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """page_id, file and content of each page: its type counts and its few disagreements."""
+    """page_id, file and content of each page: what it has in each of its tables."""
     for batch in batches:
         out = []
         for r in batch.to_pylist():
-            counts, ranked = ([list(x.values()) for x in r[k] or []] for k in ("counts", "ranked"))
-            sections = [html_table("Regions", ["system", "type", "regions"], counts), html_table("Disagreements", ["rank", "kind", "first", "second", "x1", "y1", "x2", "y2"], ranked)]
+            sections = [html_table(title, names, [list(x.values()) for x in r[k] or []]) for k, (title, names) in SECTIONS.items()]
             out.append({"page_id": r["page_id"], "file": f"pages/{r['file']}", "content": html_page(r["page_id"], sections)})
         yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("page_id", pa.string()), ("file", pa.string()), ("content", pa.binary())]))
 
 
+def _issue_files(issues: DataFrame) -> DataFrame:
+    """All issues as files of JSON lines, in the form of a build's files."""
+    issues = settle(issues.select("path", "stage", "message"), "report-issues")
+    parts = max(1, -(-issues.count() // ISSUES))
+    part = F.pmod(F.xxhash64("path"), F.lit(parts))
+    lines = F.array_join(F.sort_array(F.collect_list(F.to_json(F.struct("path", "stage", "message")))), "\n")
+    files = issues.groupBy(part.alias("part")).agg(F.concat(lines, F.lit("\n")).cast("binary").alias("content"))
+    return files.select(F.lit(None).cast("string").alias("page_id"), F.format_string("issues/%06d.jsonl", "part").alias("file"), "content")
+
+
+def _by_page(rows: DataFrame, name: str, *columns) -> DataFrame:
+    return rows.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+
+
 def build_report(spark: SparkSession, data: str, output: str, min_pages: int = 5, only: str | None = None) -> dict[str, int]:
     """Builds and publishes. ``only``: one page's id; the other pages of the last build are kept.
 
@@ -67,11 +101,24 @@ def build_report(spark: SparkSession, data: str, output: str, min_pages: int = 5
     if only is not None and pages.isEmpty():
         raise ValueError(f"no such page: {only}")
     regions, systems = corpus.regions.join(pages, "page_id", "left_semi"), corpus.systems.join(pages, "page_id", "left_semi")
-    ranked = disagreements.select_varied(disagreements.disagreements(regions, systems))
-    counts = regions.groupBy("page_id", "system", "region_type").agg(F.count("*").alias("n"))
+    regions = settle(regions, "report-regions")
+    ranked = settle(disagreements.select_varied(disagreements.disagreements(regions, systems, large=LARGE)), "report-ranked")
+    seen = disagreements.observations(ranked, regions, systems, large=LARGE)
+    compared = compare(corpus)
+    groups = compared["groups"].select("page_id", F.col("ord").alias("group_ord"), "id", "human_text")
+    m = lambda c: F.col(f"metrics.{c}").alias(c)
+    tables = (
+        _by_page(regions.groupBy("page_id", "system", "region_type").agg(F.count("*").alias("n")), "counts", "system", "region_type", "n"),
+        _by_page(ranked, "ranked", "rank", "kind", "l_name", "r_name", "x1", "y1", "x2", "y2"),
+        _by_page(seen, "seen", "rank", "system", "reviewed", "relationship", "region_id", "region_type", "overlap", "nearby_id"),
+        _by_page(compared["readings"].join(groups, ["page_id", "group_ord"]), "readings", "group_ord", "id", "system", "text", "human_text", m("char_errors"), m("cer"), m("word_errors"), m("wer"), "source"),
+        _by_page(compared["failures"].join(groups, ["page_id", "group_ord"]), "failures", "group_ord", "id", "system", "source"),
+    )
     shown = pages.select("page_id", page_file(F.col("page_id")).alias("file"))
-    shown = shown.join(counts.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("system", "region_type", "n"))).alias("counts")), "page_id", "left")
-    shown = shown.join(ranked.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("rank", "kind", "l_name", "r_name", "x1", "y1", "x2", "y2"))).alias("ranked")), "page_id", "left")
-    whole = html_page("Corpus overview", _shown(overview_tables(corpus, spark, min_pages)))
-    shared = spark.createDataFrame([(None, "overview.html", bytearray(whole))], FILES)
-    return publish(shown.mapInArrow(_pages, FILES).unionByName(shared), output, [data], only)
+    for table in tables:
+        shown = shown.join(table, "page_id", "left")
+    found = overview_tables(corpus, spark, min_pages, compared)
+    whole = html_page("Corpus overview", _shown(found))
+    method = html_page("Method", [html_table(title, ["how it is done"], [[text]]) for title, text in METHOD])
+    shared = spark.createDataFrame([(None, "overview.html", bytearray(whole)), (None, "method.html", bytearray(method))], FILES)
+    return publish(shown.mapInArrow(_pages, FILES).unionByName(shared).unionByName(_issue_files(found["issues"])), output, [data], only)

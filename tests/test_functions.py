@@ -113,3 +113,16 @@ def test_directions_of_all_characters(spark):
     want = {"L": "ltr", "R": "rtl", "AL": "rtl"}
     found = {r["c"]: r["d"] for r in rows.select("c", T.direction("t").alias("d")).collect()}
     assert all(d == want.get(unicodedata.bidirectional(chr(c)), "auto") for c, d in found.items()) and len(found) > 190_000
+
+
+def test_distances_equal_the_built_in(spark):
+    r = random.Random(2)
+    texts = ["".join(r.choice("abé😀 س"[: r.randint(1, 7)]) for _ in range(r.choice((0, 1, 5, 63, 64, 65, 200, 700)))) for _ in range(160)]
+    pairs = [(a, b) for a, b in zip(texts, texts[1:] + texts[:1], strict=True)] + [(a, a[:40] + "x" + a[41:]) for a in texts] + [(None, "x"), ("x", None)]
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    found = rows.select(T.char_distance(F.col("a"), F.col("b")).alias("mine"), F.levenshtein("a", "b").alias("built_in"), T.word_distance(F.split("a", "é"), F.split("b", "é")).alias("words"), "a", "b").collect()
+    assert all(x["mine"] == x["built_in"] for x in found)
+    code = {}
+    for x in found[:160]:
+        one, other = ("".join(chr(0x4E00 + code.setdefault(w, len(code))) for w in x[c].split("é")) for c in ("a", "b"))
+        assert x["words"] == T.distance(one, other)

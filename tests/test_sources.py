@@ -98,9 +98,15 @@ def test_manifest_must_be_an_object(spark):
 def test_report_builds_again_without_touching_files(spark, corpus_dir, tmp_path):
     out = tmp_path / "report"
     files = lambda: {p: (p.read_bytes(), p.stat().st_mtime_ns) for p in out.rglob("*.html")}
-    assert build_report(spark, str(corpus_dir), str(out), 1)["files"] == 12 and (out / "overview.html").is_file()
+    assert build_report(spark, str(corpus_dir), str(out), 1)["files"] == 14 and (out / "overview.html").is_file()
     before = files()
-    assert build_report(spark, str(corpus_dir), str(out), 1) == {"written": 0, "removed": 0, "files": 12} and before == files()
+    page = publish.published(spark, str(out)).where("page_id = 'p1'").first()["file"]
+    text = (out / page).read_text()
+    assert "<td> a  b\n\nc</td>" in text and "What each system has there" in text and "no_counterpart" in text and "htr-errors/p1/m2/b1.json" in text
+    assert "Method" in (out / "method.html").read_text()
+    listed = [json.loads(x) for x in (out / "issues/000000.jsonl").read_text().splitlines()]
+    assert {x["path"] for x in listed} >= {"alto/p2.xml", "results/short.json"} and len(listed) == len({(x["path"], x["message"]) for x in listed})
+    assert build_report(spark, str(corpus_dir), str(out), 1) == {"written": 0, "removed": 0, "files": 14} and before == files()
     (corpus_dir / "results/p1/m1/seg.json").unlink()
     build_report(spark, str(corpus_dir), str(out), 1, only="p10")
     page = publish.published(spark, str(out)).where("page_id = 'p1'").first()["file"]

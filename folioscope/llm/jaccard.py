@@ -500,3 +500,13 @@ def keep_one(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
         nth = F.row_number().over(Window.partitionBy("doc_id", "text_md5").orderBy("doc_id"))
         kept = kept.withColumn("nth", nth).where("nth = 1")
     return files_for(kept.select("row.*").unionByName(rows.where("not worded").select("row.*")), n, TEXT_ROWS)
+
+
+LINK_SQL = """WITH RECURSIVE w AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+ sh AS (SELECT DISTINCT doc_id, hash(s) AS s FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w)),
+ n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+ inter AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ links AS (SELECT a, b FROM inter JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+ both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+ reach AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.other)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least(w.doc_id, m.least), w.doc_id) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT node, min(other) AS least FROM reach GROUP BY node) m ON m.node = w.doc_id"""

@@ -174,3 +174,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     linked = rows.where("sound").join(both, ["label", "vector"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+NEAR_SQL = """WITH RECURSIVE e AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, label, CASE WHEN label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN CAST(embedding AS DOUBLE[]) END AS v FROM embeddings),
+ links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.93),
+ reach AS (SELECT a AS node, a AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other),
+ found AS (SELECT e.vec_id, coalesce(k.n, 0) AS n_links, coalesce(m.least, e.vec_id) AS component_id FROM e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) k ON k.a = e.vec_id LEFT JOIN (SELECT node, min(other) AS least FROM reach GROUP BY node) m ON m.node = e.vec_id)
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM found"""

@@ -73,4 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_source_mixing": mixing.MIX_SQL, "op11_hard_negatives": negatives.NEGATIVES_SQL}
+    return {
+        "op7_jaccard_join": jaccard.LINK_SQL, "op8_warc_normaliser": warc.REPORT_SQL, "op10_source_mixing": mixing.MIX_SQL,
+        "op11_hard_negatives": negatives.NEGATIVES_SQL, "op13_rotation_neardup": neardup.NEAR_SQL,
+    }

@@ -243,3 +243,10 @@ def archive_report(pages: DataFrame) -> DataFrame:
     folder = scratch(spark, "warc")
     found = read_archives(spark, folder, write_archives(pages, folder), payloads=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
+
+
+#: For pages with an id and a url.
+REPORT_SQL = """WITH p AS (SELECT CAST(page_id AS BIGINT) AS page_id, encode(coalesce(html, '')) AS payload, url FROM pages),
+ d AS (SELECT page_id, url AS target_uri, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < max(page_id) OVER (PARTITION BY payload_digest) THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN payload_bytes >= 1000 AND page_id < max(page_id) OVER (PARTITION BY payload_digest) THEN max(page_id) OVER (PARTITION BY payload_digest) END AS refers_to, target_uri FROM d"""

@@ -42,7 +42,7 @@ from folioscope.llm.graph import components
 
 EDIT_CHARS, SHORTEST = 40, 10
 #: Lines to meet that make a crowd, and how many of these a segment meets at first. Pairs looked at together.
-CROWD, FEW, TOGETHER = 64, 8, 1 << 18
+CROWD, FEW, TOGETHER = 128, 8, 1 << 18
 #: Lines of half a cell of the second round.
 CELL = 1000
 #: Lines that a task remembers so as to emit each once.

@@ -15,28 +15,39 @@ from folioscope.functions.ids import region_of_crop
 from folioscope.functions.labels import system_name, system_rank
 from folioscope.functions.text import htr_metrics
 from folioscope.operators.matching import overlap_join
+from folioscope.sources.store import settle
 
 CLOSE = 0.95
 
 
-def link_equivalent(left: DataFrame, right: DataFrame, close: float = CLOSE, large: int | None = None) -> DataFrame:
-    """page_id, l_ord, r_ord: for each left region its one equivalent on the right, if there is one.
-
-    Ids meet in an equi-join of their own, boxes by their overlap (``large``: see ``overlap_join``)."""
+def _alike(left: DataFrame, right: DataFrame, close: float, large: int | None) -> DataFrame:
+    """page_id, l_ord, r_ord and same: pairs with one id (same), and pairs that are close. Ids meet in an
+    equi-join of their own, boxes by their overlap."""
     a = left.select("page_id", F.col("ord").alias("l_ord"), F.col("id").alias("l_id"), *Box.of().columns("l_"))
     b = right.select("page_id", F.col("ord").alias("r_ord"), F.col("id").alias("r_id"), *Box.of().columns("r_"))
     same = a.join(b, (a["page_id"] == b["page_id"]) & (F.col("l_id") == F.col("r_id"))).select(a["page_id"], "l_ord", "r_ord", F.lit(True).alias("same"))
     near = overlap_join(a, b, sides=("l_", "r_"), large=large).where(iou(Box.of("l_"), Box.of("r_")) >= close).select("page_id", "l_ord", "r_ord", F.lit(False).alias("same"))
-    once = lambda which: (F.count_if(which), F.max(F.when(which, F.col("r_ord"))))
-    (n_same, r_same), (n_near, r_near) = once(F.col("same")), once(~F.col("same"))
-    found = same.unionByName(near).groupBy("page_id", "l_ord").agg(F.when(n_same == 1, r_same).when(n_near == 1, r_near).alias("r_ord"))
-    return found.where("r_ord is not null")
+    return same.unionByName(near)
+
+
+def _only(pairs: DataFrame, mine: str, other: str) -> DataFrame:
+    """For each region of a side its one equivalent: by id, or else by overlap."""
+    once = lambda which: (F.count_if(which), F.max(F.when(which, F.col(other))))
+    (n_same, by_id), (n_near, by_box) = once(F.col("same")), once(~F.col("same"))
+    found = pairs.groupBy("page_id", mine).agg(F.when(n_same == 1, by_id).when(n_near == 1, by_box).alias(other))
+    return found.where(F.col(other).isNotNull()).select("page_id", "l_ord", "r_ord")
+
+
+def link_equivalent(left: DataFrame, right: DataFrame, close: float = CLOSE, large: int | None = None) -> DataFrame:
+    """page_id, l_ord, r_ord: for each left region its one equivalent on the right, if there is one.
+    ``large``: see ``overlap_join``."""
+    return _only(_alike(left, right, close, large), "l_ord", "r_ord")
 
 
 def link_reciprocal(left: DataFrame, right: DataFrame, close: float = CLOSE, large: int | None = None) -> DataFrame:
-    """The links that hold from both sides."""
-    back = link_equivalent(right, left, close, large).select("page_id", F.col("l_ord").alias("r_ord"), F.col("r_ord").alias("l_ord"))
-    return link_equivalent(left, right, close, large).join(back, ["page_id", "l_ord", "r_ord"], "left_semi")
+    """The links that hold from both sides, out of the same pairs."""
+    pairs = settle(_alike(left, right, close, large), "alike")
+    return _only(pairs, "l_ord", "r_ord").join(_only(pairs, "r_ord", "l_ord"), ["page_id", "l_ord", "r_ord"], "left_semi")
 
 
 def link_unique(records: DataFrame, groups: DataFrame, key: str = "region_id") -> tuple[DataFrame, DataFrame]:
@@ -75,8 +86,8 @@ def build_groups(annotations: DataFrame, frozen: DataFrame, corrected: DataFrame
     equivalent to none of these both ways."""
     box = list(Box._fields)
     base = annotations.select("page_id", "ord", "id", "region_type", *box, F.col("source").alias("region_source"), F.when(F.col("review_status") == "human_corrected", F.col("transcription")).alias("human_text"), F.when((F.col("review_status") == "human_corrected") & F.col("transcription").isNotNull(), F.col("source")).alias("human_source"))
-    base = merge_frozen(base, frozen.select("page_id", "ord", "id", "region_type", *box, F.col("source").alias("region_source")))
-    links = link_reciprocal(corrected, base).select("page_id", F.col("l_ord").alias("c_ord"), F.col("r_ord").alias("ord"))
+    base = settle(merge_frozen(base, frozen.select("page_id", "ord", "id", "region_type", *box, F.col("source").alias("region_source"))), "groups-base")
+    links = settle(link_reciprocal(corrected, base).select("page_id", F.col("l_ord").alias("c_ord"), F.col("r_ord").alias("ord")), "groups-links")
     read = corrected.select("page_id", F.col("ord").alias("c_ord"), F.col("text").alias("c_text"), F.col("source").alias("c_source"))
     linked = base.join(links.join(read, ["page_id", "c_ord"]), ["page_id", "ord"], "left")
     source = F.coalesce("human_source", F.when(F.col("c_text").isNotNull(), F.col("c_source")))
@@ -93,6 +104,7 @@ def htr_comparisons(groups: DataFrame, results: DataFrame, machine: DataFrame, f
 
     ``results``: page_id, path, region_id, image, model, transcription, script, language of HTR results;
     ``machine``: machine layout with text; ``failures``: page_id, path, region_id, model."""
+    groups = settle(groups, "groups")
     named = results.withColumn("region_id", F.coalesce(F.nullif("region_id", F.lit("")), region_of_crop(F.col("image"), F.col("page_id"))))
     linked, orphans = link_unique(named, groups)
     silent = linked.where("transcription is null")
@@ -108,7 +120,7 @@ def htr_comparisons(groups: DataFrame, results: DataFrame, machine: DataFrame, f
     human = groups.select("page_id", F.col("ord").alias("group_ord"), "human_text")
     readings = readings.join(human, ["page_id", "group_ord"]).withColumn("metrics", F.when(F.col("human_text").isNotNull(), htr_metrics(F.col("human_text"), F.col("text"))))
     order = Window.partitionBy("page_id", "group_ord").orderBy(system_rank(F.col("system")), "source")
-    readings = readings.drop("human_text").withColumn("reading_ord", F.row_number().over(order) - 1)
+    readings = settle(readings.drop("human_text").withColumn("reading_ord", F.row_number().over(order) - 1), "readings")
     failed, _ = link_unique(failures, groups)
     failed = open_failures(failed.select("page_id", "group_ord", system_name(F.col("model")).alias("system"), F.col("path").alias("source")), readings)
     used = readings.select("page_id", F.col("group_ord").alias("ord")).unionByName(failed.select("page_id", F.col("group_ord").alias("ord"))).distinct()

@@ -104,8 +104,7 @@ def _compared(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     results = b.select("page_id", F.concat(F.lit("results/"), "ord").alias("path"), F.col("id").alias("region_id"), none.alias("image"), F.lit("m1").alias("model"), F.when(F.col("ord") % 5 != 4, F.concat(F.lit("human "), "ord")).alias("transcription"), none.alias("script"), none.alias("language"))
     machine = regions(spark, sf_dir, "c").select("page_id", "ord", "id", "region_type", *_BOX, F.lit("machine").alias("source"), F.concat(F.lit("layout "), F.expr("ord div 2")).alias("text"))
     failures = regions(spark, sf_dir, "c").select("page_id", F.concat(F.lit("errors/"), "ord").alias("path"), F.col("id").alias("region_id"), F.lit("m1").alias("model"))
-    groups = settle(_groups(spark, sf_dir), "compared-groups")
-    return linkage.htr_comparisons(groups, results, machine, failures)
+    return linkage.htr_comparisons(_groups(spark, sf_dir), results, machine, failures)
 
 
 @query(_READINGS + """ SELECT said.page_id, group_ord, system, text, source, CASE WHEN human_text IS NOT NULL THEN levenshtein(human_text, text) END AS char_errors, round(CASE WHEN human_text IS NOT NULL THEN levenshtein(human_text, text)::DOUBLE / length(human_text) END, 9) AS cer,

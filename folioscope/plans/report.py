@@ -28,9 +28,9 @@ METHOD = (
 
 def compare(corpus: Corpus) -> dict[str, DataFrame]:
     """Groups, readings, failures and issues of text recognition."""
-    groups = settle(linkage.build_groups(corpus.annotated, corpus.frozen, corpus.corrected), "report-groups")
+    groups = linkage.build_groups(corpus.annotated, corpus.frozen, corpus.corrected)
     compared = linkage.htr_comparisons(groups, corpus.results.where("task = 'htr'"), corpus.machine, corpus.failures)
-    return compared | {"readings": settle(compared["readings"], "report-readings"), "failures": settle(compared["failures"], "report-failures")}
+    return compared | {"failures": settle(compared["failures"], "report-failures"), "groups": settle(compared["groups"], "report-groups")}
 
 
 def overview_tables(corpus: Corpus, spark: SparkSession, min_pages: int = 5, compared: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:

@@ -104,6 +104,15 @@ def test_replies(spark):
     assert one(spark, ids.data_url(F.lit("x.JPG"), F.lit(b"ab")), ids.data_url(F.lit("x.gif"), F.lit(b"ab")))[0] == "data:image/jpeg;base64,YWI="
 
 
+def test_data_urls_and_file_names_of_odd_paths(spark):
+    """A long content stays one line of base64, and a line feed at the end belongs to the name."""
+    import base64
+
+    long = bytes(range(256)) * 20
+    assert one(spark, ids.data_url(F.lit("x.png"), F.lit(long)))[0] == "data:image/png;base64," + base64.b64encode(long).decode()
+    assert list(one(spark, *(ids.file_name(F.lit(p)) for p in ("a/b", "a/b//", "a/\n", "a/b\n", "///", "")))) == ["b", "b", "\n", "b\n", "", ""]
+
+
 def test_directions_of_all_characters(spark):
     """The pattern and Unicode's own table agree on every code point."""
     import unicodedata

@@ -264,3 +264,33 @@ def test_rounds_select_as_the_fold_does(spark):
     for limit in (0, 1, 4, 7):
         some = [sorted(map(tuple, disagreements.select_varied(ranked, limit, large=large).collect())) for large in (None, 100, 1)]
         assert some[0] == some[1] == some[2] and len(some[0]) == (2 * limit + min(limit, 1))
+
+
+def test_disagreements_of_a_page_in_one_row(spark):
+    """The way by whole pages gives the rows of the way by joins, and shuffles each page's regions once."""
+    from folioscope.plans import queries
+
+    rng = random.Random(3)
+    names = [("one", False), ("two", False), ("three", False), ("checked", True)]
+    boxes, systems = [], []
+    for page in ("p", "q", "r"):
+        for place, (name, reviewed) in enumerate(names):
+            systems.append((page, name, place, reviewed))
+            for i in range(0 if page == "q" and place == 1 else 12):
+                x, y = rng.randrange(0, 60, 5), rng.randrange(0, 60, 5)
+                boxes.append((page, name, place, reviewed, i, f"r{i}", rng.choice("ab"), x, y, x + rng.randrange(10, 40, 5), y + rng.randrange(10, 40, 5)))
+    regions = spark.createDataFrame(boxes, "page_id string, system string, sys_ord int, reviewed boolean, ord long, id string, region_type string, x1 long, y1 long, x2 long, y2 long")
+    have = spark.createDataFrame(systems, "page_id string, system string, sys_ord int, reviewed boolean")
+    ways = []
+    for large in (None, 1000):
+        ranked = disagreements.disagreements(regions, have, 0.3, large)
+        seen = disagreements.observations(ranked, regions, have, 0.3, large)
+        carried = disagreements.observations(ranked, regions, have, 0.3, large, carry=("l_name", "r_name", "kind", "x1", "y1", "x2", "y2"))
+        short = ranked.select("page_id", "rank", "l_name", "r_name", "kind", "x1", "y1", "x2", "y2")
+        ids = [sorted((r["page_id"], r["rank"], r["identifier"]) for r in disagreements.identified(short, s).collect()) for s in (seen, carried)]
+        assert ids[0] == ids[1]
+        ways.append([sorted(map(repr, map(tuple, df.collect()))) for df in (ranked, seen)] + [ids[0]])
+    assert ways[0] == ways[1] and len(ways[0][0]) > 20
+    for name in ("disagreements_ranked", "observations", "disagreement_ids"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == plan.count("Exchange hashpartitioning(page_id") and "observed-" not in plan, name

@@ -303,3 +303,19 @@ def test_last_tag_wins_across_kinds(spark, tmp_path):
     (tmp_path / "q.xml").write_text(f'<alto><Description note="{NS}"/>{tags}{page}</alto>')
     blocks, issues = layout.read_layout(spark, str(tmp_path))
     assert [r["block_type"] for r in blocks.collect()] == ["Stamp"] and [(r["path"], r["message"]) for r in issues.collect()] == [("q.xml", "no page")]
+
+
+def test_files_of_a_corpus_are_made_where_their_lines_are(spark):
+    """One shuffle for a page's files, and only the kinds that a query reads."""
+    import os
+
+    from folioscope.plans import corpora
+
+    rows = corpora._rows(spark, "/root/testdata/sf0.001")
+    for files in (corpora._layout_files(rows), corpora._record_files(rows, {"htr-inputs"})):
+        assert files._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    corpora._FOLDERS.clear()
+    base = corpora.folder(spark, "/root/testdata/sf0.001", "htr-inputs")
+    made = lambda: sorted(x for x in os.listdir(base.removeprefix("file://")) if not x.startswith("."))
+    assert made() == ["htr-inputs"]
+    assert corpora.folder(spark, "/root/testdata/sf0.001") == base and made() == sorted(corpora.KINDS)

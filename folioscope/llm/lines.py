@@ -8,15 +8,17 @@ probed for among all substrings of the longer line, by one gram each: of the gra
 that whose group is rarest in the corpus (then that of the smallest hash, then the first). Equal
 substrings have the same such gram, so a line needs no key for each of its substrings: those of one
 width have few grams among them. Pairs that share a gram at places and lengths that the edits allow
-are verified by a banded bit-parallel edit distance, many pairs at once. Near lines chain into
+and beside which the same characters stand, where the shared segment has them, are verified by a
+banded bit-parallel edit distance, many pairs at once. Near lines chain into
 classes; of each class, and of each line that just repeats, the first occurrence (smallest id, then
 line) stays.
 
 Keys travel without texts, many to a row, by buckets of their hashes. A segment with more than
 ``CROWD`` lines to meet meets a few at first; what these links leave in different classes is
-compared in a second round, so a group of copies doesn't make all its pairs and no pair is lost.
+compared in a second round, so a group of copies doesn't make all its pairs and no pair is lost. Lines
+of its key that none of a crowd could meet stay out of that round.
 
-Lines are named by a 64-bit hash; should two lines have the same, which a second hash shows, both
+Lines are named by 54 bits of a hash and ten of their length; should two lines have the same, which a second hash shows, both
 are left alone. Lines without a word are no lines here and always stay.
 
 Defined results: a null or empty text has no lines; a null id comes after all others; of rows that
@@ -42,7 +44,9 @@ from folioscope.llm.graph import components
 
 EDIT_CHARS, SHORTEST = 40, 10
 #: Lines to meet that make a crowd, and how many of these a segment meets at first. Pairs looked at together.
-CROWD, FEW, TOGETHER = 128, 8, 1 << 18
+CROWD, FEW, TOGETHER = 32, 8, 1 << 18
+#: So many times a crowd of lines of one key and of fitting lengths are a crowd, whether they could meet or not.
+UNSIFTED = 64
 #: Lines of half a cell of the second round.
 CELL = 1000
 #: Lines that a task remembers so as to emit each once.
@@ -56,13 +60,19 @@ GROUPS = 1 << 16
 #: Rows of the distance matrix that are kept: distances up to BAND - 1.
 BAND = 32
 #: Of a key its hash within its bucket; of its line the name, the first place of the key and how far on its
-#: last one is, the length, and whether the key is of one of its own segments.
-_KEY = {"key": np.uint32, "line": np.int64, "first": np.uint32, "span": np.uint32, "size": np.uint32, "own": np.uint8}
+#: last one is, the length, whether the key is of one of its own segments (1) that has _BESIDE characters before
+#: the gram (2) and behind it (4), and what stands there: four bits each of a hash from 1 on, 0 for unknown.
+_KEY = {"key": np.uint32, "line": np.int64, "first": np.uint32, "span": np.uint32, "size": np.uint32, "own": np.uint8, "beside": np.uint8}
+#: Bits of a name that are of a hash; those above are of the length.
+HASH_BITS = 54
 Keys = dict[str, np.ndarray]
 _STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Least lengths of the classes of lines whose segments are cut to one width, and characters of their grams.
 _STARTS = (10, 20, 40, 80, 120, 160, 200, 240, 280, 320)
 _GRAM = (5, 5, 8, 10, 12, 12, 12, 12, 12, 12)
+#: Characters on either side of a gram that are compared, by its length; a segment has as many on one side at least,
+#: but for the shortest lines.
+_BESIDE = {5: 1, 8: 1, 10: 3, 12: 4}
 
 
 def edits_of(length):
@@ -251,9 +261,10 @@ def _keys(lines: list[tuple[int, int, int, str]], kind: int, lower: bool, ranks:
         new = sound.copy()
         new[1:] &= (place[1:] != place[:-1]) | ~sound[:-1]
         at = place[new]
-        own = np.zeros(len(codes), dtype=bool)
+        own, near = np.zeros(len(codes), dtype=np.uint8), _BESIDE[k_]
         if k_ == k:
-            own[(place if width_ == width else _chosen(h, k, width, ranks))[segment]] = True
+            gram = (place if width_ == width else _chosen(h, k, width, ranks))[segment]
+            own[gram] = 1 | (gram - segment >= near) << 1 | (segment + width - gram - k >= near) << 2
         piece = np.searchsorted(base, at, side="right") - 1
         key = h[at] * _STEP + np.uint64(k_)
         key = (key ^ (key >> np.uint64(32))) * _SPREAD
@@ -263,14 +274,18 @@ def _keys(lines: list[tuple[int, int, int, str]], kind: int, lower: bool, ranks:
         last = np.append(first[1:], len(at))[: len(first)] - 1
         of = piece[first]
         rows = {"key": np.zeros(len(first)), "line": names[of], "first": at[first] + (starts - base)[of], "span": at[last] - at[first], "size": sizes[of]}
-        rows["own"] = np.logical_or.reduceat(own[at], first) if len(first) else np.zeros(0)
+        rows["own"] = np.maximum.reduceat(own[at], first) if len(first) else np.zeros(0)
+        # beyond the line's ends something else stands here, which no segment reaches; pieces of a line don't tell
+        stands = _rolled(codes, near) >> np.uint64(40)
+        nibble = lambda i: stands[np.clip(i, 0, len(stands) - 1)] % np.uint64(15) + np.uint64(1)  # noqa: E731, B023
+        rows["beside"] = np.where(sizes[of] > PIECE, np.uint64(0), nibble(at[first] - near) | nibble(at[first] + k_) << np.uint64(4))
         hashes.append(key[first])
         out.append({c: rows[c].astype(t) for c, t in _KEY.items()})
     return np.concatenate(hashes), _joined(out)
 
 
 def _name(line: str) -> int:
-    h = xxhash.xxh64_intdigest(line)
+    h = xxhash.xxh64_intdigest(line) & (1 << HASH_BITS) - 1 | (len(line) & 1023) << HASH_BITS
     return h - (1 << 64) if h >> 63 else h
 
 
@@ -324,25 +339,46 @@ def _signatures(buckets: int, ranks: np.ndarray):
     return run
 
 
+#: Bytes of a key: as they are, compressed one by one, and compressed together since they are nearly always 0.
+_RAW = (("key", 0), ("key", 1), ("first", 0), ("beside", 0), *(("line", i) for i in range(8)))
+_ALONE = (("key", 2), ("first", 1), ("own", 0))
+_REST = (("key", 3), ("first", 2), ("first", 3), *((c, i) for c in ("span", "size") for i in range(4)))
+
+
+def _told(line: np.ndarray) -> np.ndarray:
+    """What names tell of lengths."""
+    return (line >> np.int64(HASH_BITS) & np.int64(1023)).astype(np.uint32)
+
+
 def _packed(rows: Keys, edges: list[int]) -> list[bytes]:
-    """Parts of rows, each in order of its keys, those as differences; field by field, and compressed."""
+    """Parts of rows, each in order of its keys, those as differences; byte by byte, and compressed. Of a length
+    only what the name doesn't have."""
     steps = np.diff(rows["key"], prepend=np.uint32(0))
     steps[edges[:-1]] = rows["key"][edges[:-1]]
-    rows = rows | {"key": steps}
-    halves = [np.ascontiguousarray(rows[c].view(np.uint16).reshape(-1, 2)[:, i]) for c in ("key", "first", "span", "size") for i in range(2)]  # the higher ones are mostly zeros
-    columns = [*halves, rows["line"], rows["own"]]
-    parts = [b"".join(x[i:j].tobytes() for x in columns) for i, j in zip(edges, edges[1:])]  # noqa: RUF007
-    return [(j - i).to_bytes(4, "little") + pa.compress(x, codec="zstd", asbytes=True) for x, i, j in zip(parts, edges, edges[1:])]
+    rows = rows | {"key": steps, "size": rows["size"] ^ _told(rows["line"])}
+    of = {c: np.ascontiguousarray(rows[c]).view(np.uint8).reshape(len(steps), -1).T.copy() for c in _KEY}
+    out = []
+    for i, j in zip(edges, edges[1:]):  # noqa: RUF007
+        parts = [b"".join(of[c][k, i:j].tobytes() for c, k in group) for group in (_RAW, *((x,) for x in _ALONE), _REST)]
+        parts[1:] = [pa.compress(x, codec="zstd", asbytes=True) for x in parts[1:]]
+        out.append(b"".join([(j - i).to_bytes(4, "little"), *(len(x).to_bytes(4, "little") for x in parts[1:]), *parts]))
+    return out
 
 
 def _unpacked(data: bytes) -> Keys:
-    n = int.from_bytes(data[:4], "little")
-    columns, rows, at = pa.decompress(data[4:], 25 * n, codec="zstd", asbytes=True), {}, 0
-    for c in ("key", "first", "span", "size"):
-        low, high = (np.frombuffer(columns, dtype=np.uint16, count=n, offset=at + 2 * n * i).astype(np.uint32) for i in range(2))
-        rows[c], at = low | high << np.uint32(16), at + 4 * n
+    n, *sizes = np.frombuffer(data, dtype="<u4", count=2 + len(_ALONE)).tolist()
+    at = 4 * (2 + len(_ALONE))
+    of = {c: np.zeros((n, np.dtype(t).itemsize), dtype=np.uint8) for c, t in _KEY.items()}
+    for group, size in zip((_RAW, *((x,) for x in _ALONE), _REST), (None, *sizes), strict=True):
+        end = at + (n * len(group) if size is None else size)
+        part = data[at:end] if size is None else pa.decompress(data[at:end], n * len(group), codec="zstd", asbytes=True)
+        at = end
+        for i, (c, k) in enumerate(group):
+            of[c][:, k] = np.frombuffer(part, dtype=np.uint8, count=n, offset=i * n)
+    rows = {c: of[c].reshape(-1).view(t) for c, t in _KEY.items()}
     rows["key"] = np.cumsum(rows["key"], dtype=np.uint32)
-    return rows | {"line": np.frombuffer(columns, dtype=np.int64, count=n, offset=at), "own": np.frombuffer(columns, dtype=np.uint8, offset=at + 8 * n)}
+    rows["size"] ^= _told(rows["line"])
+    return rows
 
 
 # Pairs --------------------------------------------------------------------------------------------
@@ -371,8 +407,8 @@ def _shared(rows: Keys) -> Keys:
     if len(at) == len(place):
         return rows
     last = np.maximum.reduceat(rows["first"] + rows["span"], at)
-    first, own = np.minimum.reduceat(rows["first"], at), np.maximum.reduceat(rows["own"], at)
-    return _some(rows, at) | {"first": first, "span": last - first, "own": own}
+    first, own, beside = np.minimum.reduceat(rows["first"], at), np.maximum.reduceat(rows["own"], at), np.maximum.reduceat(rows["beside"], at)
+    return _some(rows, at) | {"first": first, "span": last - first, "own": own, "beside": beside}
 
 
 def _compatible(rows: Keys, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -380,16 +416,24 @@ def _compatible(rows: Keys, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     no shorter, are those of lines within the edits: with s edits before a shared segment that shift
     it, and those behind it that make up the rest of the lengths' difference d, abs(s) + abs(d - s)
     are in the budget."""
-    size, first, span = (rows[c].astype(np.int64) for c in ("size", "first", "span"))
-    edits, longer, shift = edits_of(size[a]), size[b] - size[a], first[b] - first[a]
-    ok = (2 * (shift + span[b]) >= longer - edits) & (2 * (shift - span[a]) <= longer + edits)
-    line, own = rows["line"], rows["own"]
-    return ok & (a != b) & ((longer > 0) | (line[a] < line[b]) | (own[b] == 0))
+    (size, first, span), (size_b, first_b, span_b) = ([rows[c][x].astype(np.int64) for c in ("size", "first", "span")] for x in (a, b))
+    edits, longer, shift = edits_of(size), size_b - size, first_b - first
+    ok = (2 * (shift + span_b) >= longer - edits) & (2 * (shift - span) <= longer + edits) & (a != b)
+    # a segment brings along what stands beside its gram, where both have the gram in one known place
+    (own, beside), (own_b, beside_b) = ([rows[c][x] for c in ("own", "beside")] for x in (a, b))
+    unlike = np.where((span == 0) & (span_b == 0) & (beside > 0) & (beside_b > 0), beside ^ beside_b, np.uint8(0))
+    fits = lambda own: (unlike & _OF_SEGMENT[own]) == 0
+    other = (longer == 0) & (rows["line"][a] > rows["line"][b]) & (own_b > 0) & fits(own_b)  # the pair is found from b
+    return ok & fits(own) & ~other
+
+
+#: By what a key is of, the bits of what stands beside it that are of the segment.
+_OF_SEGMENT = np.array([(15 if own & 2 else 0) | (240 if own & 4 else 0) for own in range(8)], dtype=np.uint8)
 
 
 def _met(rows: Keys, crowd: int = CROWD) -> Iterator[tuple[np.ndarray, np.ndarray, Keys]]:
     """Names of pairs that meet, all of a segment or a few if it has a crowd to meet; and the rows of
-    keys with a crowd."""
+    crowds: segments that have one, with all that they could meet."""
     most = min(crowd, FEW)
     rows = _shared(rows)
     at = rows["key"].astype(np.uint64) << np.uint64(32) | rows["size"]
@@ -398,9 +442,11 @@ def _met(rows: Keys, crowd: int = CROWD) -> Iterator[tuple[np.ndarray, np.ndarra
     low = np.searchsorted(at, at[own])
     n = np.searchsorted(at, at[own] + edits_of(sizes).astype(np.uint64), side="right") - low
     # of a crowd each line meets those that follow it in order, so that links run through all of it
-    crowded, few = n > 16 * crowd, np.minimum(n, 4 * most)
-    low = np.where(crowded, np.minimum(own, low + n - few), low)
-    n = np.where(crowded, few, n)
+    unsifted, few = n > UNSIFTED * crowd, np.minimum(n, 4 * most)
+    steps = np.bincount(low[unsifted], minlength=len(at) + 1) - np.bincount((low + n)[unsifted], minlength=len(at) + 1)
+    in_crowd = np.cumsum(steps)[: len(at)] > 0
+    low = np.where(unsifted, np.minimum(own, low + n - few), low)
+    n = np.where(unsifted, few, n)
     ends, i = np.cumsum(n), 0
     while i < len(own):
         done = ends[i - 1] if i else 0
@@ -409,13 +455,15 @@ def _met(rows: Keys, crowd: int = CROWD) -> Iterator[tuple[np.ndarray, np.ndarra
         a = own[i:j][nth]
         ok = _compatible(rows, a, b)
         a, b, nth = a[ok], b[ok], nth[ok]
-        crowded[i:j] |= np.bincount(nth, minlength=j - i) > crowd
-        meets = ~crowded[i + nth] | (np.arange(len(nth)) - np.searchsorted(nth, nth) < most)
+        crowded = np.bincount(nth, minlength=j - i) > crowd
+        for x in (a, b):
+            in_crowd[x[crowded[nth]]] = True
+        meets = ~(crowded | unsifted[i:j])[nth] | (np.arange(len(nth)) - np.searchsorted(nth, nth) < most)
         a, b = a[meets], b[meets]
         yield rows["line"][a], rows["line"][b], _some(rows, a[:0])
         i = j
-    if crowded.any():
-        yield rows["line"][:0], rows["line"][:0], _some(rows, np.isin(rows["key"], rows["key"][own[crowded]]))
+    if in_crowd.any():
+        yield rows["line"][:0], rows["line"][:0], _some(rows, in_crowd)
 
 
 def _pairs(crowd: int):
@@ -567,7 +615,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not _worded(line):
                     continue
                 nths.append(nth)
-                names.append(xxhash.xxh64_intdigest(line))
+                names.append(_name(line))
                 checks.append(xxhash.xxh64_intdigest(line, 1))
                 if len(line) >= SHORTEST:
                     k = _GRAM[_kind(len(line))[0]]
@@ -577,7 +625,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         if chars[k] >= CHARS:
                             count(k)
             ends.append(len(nths))
-        one = pa.StructArray.from_arrays([pa.array(nths, pa.int32()), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (names, checks))], fields=list(_NAMED.field("lines").type.value_type))
+        one = pa.StructArray.from_arrays([pa.array(nths, pa.int32()), pa.array(names, pa.int64()), pa.array(np.array(checks, dtype=np.uint64).view(np.int64))], fields=list(_NAMED.field("lines").type.value_type))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), one, type=_NAMED.field("lines").type)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), pa.array(md5s, pa.binary()), pa.array(chars_, pa.int64()), lists, pa.nulls(len(md5s), pa.list_(pa.int64()))], schema=_NAMED)
     for k in list(waiting):

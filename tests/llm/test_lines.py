@@ -159,3 +159,22 @@ def test_long_lines_may_have_edits_in_proportion(spark):
     assert {i % 10 for i in want if i < 100} >= {1, 2} and 3 not in {i % 10 for i in want} and 101 in want
     got = {x["doc_id"]: [tuple(y) for y in x["removed"]] for x in L.line_report(docs).collect()}
     assert {i: v for i, v in got.items() if v} == want
+
+
+def test_what_stands_beside_a_gram_keeps_unlike_lines_apart():
+    r = random.Random(7)
+    ranks = np.arange(L.GROUPS, dtype=np.uint64)
+    shared, rows = "qzxwvkjyqzxw", []
+    for name in range(40):  # one gram of twelve characters in the same place, and nothing else
+        x = "".join(r.choice("abcdefgh") for _ in range(150))
+        x = x[:70] + shared + x[82:]
+        h, keys = L._keys([(name, len(x), 0, x)], *L._kind(len(x)), ranks)
+        rows.append(keys | {"key": (h >> np.uint64(32)).astype(np.uint32)})
+    assert sum(len(a) for a, _, _ in L._met(L._joined(rows), crowd=128)) < 80  # of 780 pairs
+    # and none of them is in the second round of a crowd of others
+    near = "".join(r.choice("abcdefgh") for _ in range(70)) + shared + "".join(r.choice("abcdefgh") for _ in range(68))
+    for name in range(100, 120):
+        h, keys = L._keys([(name, len(near), 0, near)], *L._kind(len(near)), ranks)
+        rows.append(keys | {"key": (h >> np.uint64(32)).astype(np.uint32)})
+    crowds = [more for _, _, more in L._met(L._joined(rows), crowd=4) if len(more["key"])]
+    assert crowds and len({x for more in crowds for x in more["line"].tolist()}) < 40

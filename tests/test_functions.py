@@ -135,3 +135,52 @@ def test_distances_equal_the_built_in(spark):
     for x in found[:160]:
         one, other = ("".join(chr(0x4E00 + code.setdefault(w, len(code))) for w in x[c].split("é")) for c in ("a", "b"))
         assert x["words"] == T.distance(one, other)
+
+
+def test_convex_polygons_are_clipped_together(monkeypatch):
+    import random
+
+    import pyarrow as pa
+    from folioscope.functions import geometry
+
+    r = random.Random(3)
+
+    def cut(x, y, w, h):
+        return [(x + w / 3, y), (x + w, y), (x + w, y + h - w / 3), (x + 2 * w / 3, y + h), (x, y + h), (x, y + w / 3)]
+
+    def shape(k):
+        if k == 0:
+            return None
+        return cut(*(r.randint(30, 90) for _ in range(4))) if k < 4 else [(r.randint(0, 99), r.randint(0, 99)) for _ in range(r.randint(0, 6))]
+
+    points = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+    boxes = pa.struct([(c, pa.float64()) for c in geometry.Box._fields])
+    shapes = [[(s := shape(r.randint(0, 6))) and [{"x": float(x), "y": float(y)} for x, y in s] for _ in range(400)] for _ in range(2)]
+    around = [[dict(zip(geometry.Box._fields, (float(r.randint(0, 40)), float(r.randint(0, 40)), float(r.randint(50, 90)), float(r.randint(50, 90))))) for _ in range(400)] for _ in range(2)]
+    columns = lambda n: tuple(pa.array(v[:n], t) for i in range(2) for v, t in ((shapes[i], points), (around[i], boxes)))
+    got = next(geometry._polygon_iou(iter([columns(400)]))).to_pylist()
+    for a, b, c, d, found in zip(shapes[0], around[0], shapes[1], around[1], got, strict=True):
+        one, other, shared = geometry.areas(geometry._shape(a, b), geometry._shape(c, d))
+        assert abs(found - (shared / (one + other - shared) if one + other - shared else 0.0)) < 1e-12
+    monkeypatch.setattr(geometry, "areas", None)  # none of these goes one by one
+    shapes = [[[{"x": float(x), "y": float(y)} for x, y in cut(i, 2 * i, 60, 90)] for i in range(50)], [[{"x": float(x), "y": float(y)} for x, y in cut(i + 5, i, 90, 60)] for i in range(50)]]
+    assert len(next(geometry._polygon_iou(iter([columns(50)])))) == 50
+
+
+def test_distances_hold_few_objects_at_once():
+    import pyarrow as pa
+
+    class Part:
+        def __init__(self, of):
+            self.of = of
+
+        def __len__(self):
+            return len(self.of)
+
+        def slice(self, at, n):
+            assert n <= 256
+            return self.of.slice(at, n)
+
+    texts = [f"text {i % 7}" for i in range(600)] + [None]
+    got = next(T._distances(iter([(Part(pa.array(texts)), Part(pa.array(texts[1:] + ["x"])))]))).to_pylist()
+    assert got == [None if a is None or b is None else T.distance(a, b) for a, b in zip(texts, texts[1:] + ["x"], strict=True)]

@@ -28,8 +28,8 @@ METHOD = (
 
 def compare(corpus: Corpus) -> dict[str, DataFrame]:
     """Groups, readings, failures and issues of text recognition."""
-    groups = linkage.build_groups(corpus.annotated, corpus.frozen, corpus.corrected)
-    compared = linkage.htr_comparisons(groups, corpus.results.where("task = 'htr'"), corpus.machine, corpus.failures)
+    groups = linkage.build_groups(corpus.annotated, corpus.frozen, corpus.corrected, LARGE)
+    compared = linkage.htr_comparisons(groups, corpus.results.where("task = 'htr'"), corpus.machine, corpus.failures, LARGE)
     return compared | {"failures": settle(compared["failures"], "report-failures"), "groups": settle(compared["groups"], "report-groups")}
 
 

@@ -294,3 +294,40 @@ def test_disagreements_of_a_page_in_one_row(spark):
     for name in ("disagreements_ranked", "observations", "disagreement_ids"):
         plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan parquet") == plan.count("Exchange hashpartitioning(page_id") and "observed-" not in plan, name
+
+
+def test_groups_and_readings_of_a_page_in_one_row_are_those_of_joins(spark):
+    import random
+
+    r = random.Random(11)
+
+    def rows(source, n, more):
+        out = []
+        for page in "pqr":
+            for ord_ in range(r.randint(0, n)):
+                x, y = r.choice((0, 1, 50)), r.choice((0, 1, 60))
+                out.append((page, ord_, r.choice(("a", "b", "c", "d", None)), "main_text", float(x), float(y), float(x + 40), float(y + 40), source, *more(ord_)))
+        return out
+
+    frame = "page_id string, ord long, id string, region_type string, x1 double, y1 double, x2 double, y2 double, source string"
+    for _ in range(3):
+        annotated = spark.createDataFrame(rows("drawn", 4, lambda o: ("human_corrected" if o % 2 else None, "said" if o % 3 else None)), frame + ", review_status string, transcription string")
+        frozen = spark.createDataFrame(rows("frozen", 5, lambda o: ()), frame)
+        corrected = spark.createDataFrame(rows("corrected", 5, lambda o: ("text" if o % 3 else None,)), frame + ", text string")
+        machine = spark.createDataFrame(rows("m1", 4, lambda o: ("read",)) + rows("m2", 4, lambda o: (None if o == 1 else "red",)), frame + ", text string")
+        results = spark.createDataFrame([(p, f"results/{p}/{i}", r.choice(("a", "b", "c", "z", None)), None, "m", r.choice(("sad", None)), None, None) for p in "pqrs" for i in range(5)], "page_id string, path string, region_id string, image string, model string, transcription string, script string, language string")
+        failures = spark.createDataFrame([(p, f"errors/{p}/{i}", r.choice(("a", "b", "c", "z", None)), "m") for p in "pqrs" for i in range(5)], "page_id string, path string, region_id string, model string")
+        groups = [linkage.build_groups(annotated, frozen, corrected, large) for large in (None, 1)]
+        order = lambda df: sorted((tuple(x) for x in df.select(*sorted(df.columns)).collect()), key=repr)
+        assert order(groups[0]) == order(groups[1])
+        small, large = (linkage.htr_comparisons(g, results, machine, failures, n) for g, n in zip(groups, (None, 1), strict=True))
+        for name in ("groups", "readings", "failures", "issues"):
+            assert order(small[name]) == order(large[name]), name
+
+
+def test_grid_of_a_long_narrow_page_has_few_boxes_in_a_cell(spark, monkeypatch):
+    seen, cells = [], matching._cells
+    monkeypatch.setattr(matching, "_cells", lambda *a: seen.append(cells(*a)) or seen[-1])
+    strip = lambda s: spark.range(2000).select(F.lit("p").alias("page_id"), F.col("id").alias(f"{s}ord"), *(F.expr(e).alias(f"{s}{c}") for c, e in zip(("x1", "y1", "x2", "y2"), ("id * 1000", "0", "id * 1000 + 300", "100"), strict=True)))
+    assert matching.overlap_join(strip("t_"), strip("p_"), large=500).count() == 2000
+    assert max(r["count"] for r in seen[0].groupBy("cx", "cy").count().collect()) <= 4

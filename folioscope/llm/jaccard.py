@@ -7,7 +7,8 @@ is used twice, and no pair that it admits is lost.
 Over all documents, with as many groups as there are hashes: a document of n shingles needs three
 quarters of them in common with a partner, so by the bound the two share one of their n / 4 + 1 first
 coordinates in any order that holds for all. The order is by how rare the coordinate's coarse group is
-in the corpus. Documents that share such a coordinate, and whose sizes allow it, are compared by the
+in the corpus. Each goes along with the one before it in that order, and documents that share both have met at the
+first: a pair meets once for each run of coordinates that it shares. Documents that meet, and whose sizes allow it, are compared by the
 counts of GROUPS groups: pairs if a coordinate has up to CROWD documents, else by an R-tree of these,
 of which as many pairs go on as connect them. What passes the bound chains into blocks.
 
@@ -82,10 +83,10 @@ def shingles(words: list[bytes]) -> np.ndarray:
 
 def first_keys(s: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """Of a set's shingles the first in the common order, as many as must hold one that it shares with
-    any similar set."""
+    any similar set, in that order."""
     n = len(s) - -(-PERCENT * len(s) // 100) + 1
     order = ranks[(s >> np.uint64(48)).astype(np.intp)] << np.uint64(48) | s & np.uint64((1 << 48) - 1)
-    return order if n >= len(s) else np.partition(order, n - 1)[:n]
+    return np.sort(order if n >= len(s) else np.partition(order, n - 1)[:n])
 
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("text_md5", pa.binary()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("name", pa.int64()), ("groups", pa.list_(pa.int64()))])
@@ -126,24 +127,33 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([{"groups": counts.tolist()}], schema=_SETS)
 
 
-def _packed(h: np.ndarray, names: np.ndarray, sizes: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """bucket, keys: hashes by bucket, many to a row, in order and as differences, with names and sizes."""
+def _before(h: np.ndarray, each: list[int]) -> np.ndarray:
+    """For each key of documents with so many each the one before it; 0 for a document's first."""
+    before = np.concatenate([np.zeros(1, dtype=np.uint64), h])[: len(h)]
+    before[np.concatenate([[0], np.cumsum(each)])[:-1].astype(np.intp)] = 0
+    return before
+
+
+def _packed(h: np.ndarray, names: np.ndarray, sizes: np.ndarray, buckets: int, before: np.ndarray | None = None) -> pa.RecordBatch:
+    """bucket, keys: hashes by bucket, many to a row, in order and as differences, with names, sizes and the
+    hash before each in its document's order (0: none)."""
     order = np.argsort(h)
+    before = np.zeros(len(h), dtype=np.uint64) if before is None else before[order]
     h, names, sizes = h[order], names[order], sizes[order].astype(np.uint32)
     bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
     key = (h * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)  # what the bucket leaves of the hash
     edges = [*np.nonzero(np.diff(bucket, prepend=-1))[0].tolist(), len(h)]
     steps = np.diff(key, prepend=np.uint32(0))
     steps[edges[:-1]] = key[edges[:-1]]
-    blobs = [(j - i).to_bytes(4, "little") + pa.compress(steps[i:j].tobytes() + sizes[i:j].tobytes() + names[i:j].tobytes(), codec="zstd", asbytes=True) for i, j in zip(edges, edges[1:])]  # noqa: RUF007
+    blobs = [(j - i).to_bytes(4, "little") + pa.compress(steps[i:j].tobytes() + sizes[i:j].tobytes() + names[i:j].tobytes() + before[i:j].tobytes(), codec="zstd", asbytes=True) for i, j in zip(edges, edges[1:])]  # noqa: RUF007
     return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "keys"])
 
 
-def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = int.from_bytes(data[:4], "little")
-    flat = pa.decompress(data[4:], 16 * n, codec="zstd", asbytes=True)
+    flat = pa.decompress(data[4:], 24 * n, codec="zstd", asbytes=True)
     steps, sizes = (np.frombuffer(flat, dtype=np.uint32, count=n, offset=4 * n * i) for i in range(2))
-    return np.cumsum(steps, dtype=np.uint32), sizes, np.frombuffer(flat, dtype=np.int64, count=n, offset=8 * n)
+    return np.cumsum(steps, dtype=np.uint32), sizes, np.frombuffer(flat, dtype=np.int64, count=n, offset=8 * n), np.frombuffer(flat, dtype=np.uint64, count=n, offset=16 * n)
 
 
 def _first_keys(buckets: int, ranks: np.ndarray):
@@ -158,7 +168,7 @@ def _first_keys(buckets: int, ranks: np.ndarray):
             each = [len(k) for k, *_ in held]
             h = np.concatenate([k for k, *_ in held]) * _STEP
             h = (h ^ (h >> np.uint64(32))) * _SPREAD
-            out = _packed(h, np.repeat(np.array([x[1] for x in held], dtype=np.int64), each), np.repeat(np.array([x[2] for x in held]), each), buckets)
+            out = _packed(h, np.repeat(np.array([x[1] for x in held], dtype=np.int64), each), np.repeat(np.array([x[2] for x in held]), each), buckets, _before(h, each))
             held.clear()
             return out
 
@@ -182,17 +192,18 @@ def _first_keys(buckets: int, ranks: np.ndarray):
     return run
 
 
-def meet(key: np.ndarray, size: np.ndarray, name: np.ndarray, crowd: int) -> tuple[np.ndarray, ...]:
+def meet(key: np.ndarray, size: np.ndarray, name: np.ndarray, before: np.ndarray, crowd: int) -> tuple[np.ndarray, ...]:
     """Names of pairs of documents that share a key and whose sizes allow a link; and key and name of
-    the documents of keys that more than ``crowd`` have."""
+    the documents of keys that more than ``crowd`` have. Documents that share the key before, too, meet
+    there and not again: so the pairs of near copies don't grow with the number of keys and buckets."""
     v = np.sort(key.astype(np.uint64) << np.uint64(32) | np.arange(len(key), dtype=np.uint64))
     same = (v[1:] >> np.uint64(32)) == (v[:-1] >> np.uint64(32))
     some = np.append(same, False) | np.append(False, same)
     at = (v & np.uint64(0xFFFFFFFF)).astype(np.intp)[some[: len(v)]]
-    key, size, name = key[at], size[at].astype(np.int64), name[at]
+    key, size, name, before = key[at], size[at].astype(np.int64), name[at], before[at]
     order = np.lexsort((name, key.astype(np.uint64) << np.uint64(32) | size.astype(np.uint64)))
     order = order[np.append(True, (key[order][1:] != key[order][:-1]) | (name[order][1:] != name[order][:-1]))[: len(order)]]
-    key, size, name = key[order], size[order], name[order]
+    key, size, name, before = key[order], size[order], name[order], before[order]
     starts = np.nonzero(np.append(True, key[1:] != key[:-1])[: len(key)])[0]
     n = np.diff(starts, append=len(key))
     a, b = [], []
@@ -200,7 +211,7 @@ def meet(key: np.ndarray, size: np.ndarray, name: np.ndarray, crowd: int) -> tup
         group = starts[n == k][:, None] + np.arange(k)
         i, j = np.triu_indices(k, 1)
         x, y = group[:, i].ravel(), group[:, j].ravel()
-        ok = 100 * size[x] >= PERCENT * size[y]
+        ok = (100 * size[x] >= PERCENT * size[y]) & ((before[x] != before[y]) | (before[x] == 0))
         a.append(np.minimum(name[x[ok]], name[y[ok]]))
         b.append(np.maximum(name[x[ok]], name[y[ok]]))
     a, b = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (a, b))

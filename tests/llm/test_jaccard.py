@@ -106,3 +106,17 @@ def test_similar_documents_always_meet():
         assert any(len(jaccard.meet(*jaccard._unpacked(x["keys"]), 64)[0]) for x in packed)
         assert any(len(jaccard.meet(*jaccard._unpacked(x["keys"]), 1)[2]) for x in packed)
     assert met > 50
+
+
+def test_near_copies_meet_once_for_a_run_of_keys():
+    rng = np.random.default_rng(5)
+    ranks = rng.permutation(jaccard.COARSE).astype(np.uint64)
+    shared = rng.integers(0, 1 << 64, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([shared, rng.integers(0, 1 << 64, 20, dtype=np.uint64)])) for _ in range(10)]
+    keys = [jaccard.first_keys(s, ranks) for s in sets]
+    h, each = np.concatenate(keys), [len(k) for k in keys]
+    name, size = np.repeat(np.arange(10), each), np.repeat([len(s) for s in sets], each)
+    packed = jaccard._packed(h, name, size, 64, jaccard._before(h, each)).to_pylist()
+    pairs = [p for x in packed for p in zip(*(v.tolist() for v in jaccard.meet(*jaccard._unpacked(x["keys"]), 64)[:2]), strict=True)]
+    assert set(pairs) == {(a, b) for a in range(10) for b in range(a + 1, 10)}
+    assert len(pairs) < 20 * 45  # about 50 for each pair of documents, one for each bucket, if all shared keys counted

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.operators import overview
-from folioscope.plans import queries, synthetic
+from folioscope.plans import pictures, queries, synthetic
+from folioscope.sources import frozen, images, publish
 
 DATA = "/root/testdata/sf0.001"
 
@@ -43,3 +44,18 @@ def test_coverage_counts_where_the_page_is(spark):
     assert [tuple(r) for r in out.collect()] == [(3, 2, 3, 1)]
     assert [tuple(r) for r in overview.htr_coverage(readings.limit(0), groups).collect()] == [(0, 0, 0, 0)]
     assert "Expand" not in plan(out) and "Join" not in plan(out)
+
+
+def test_files_are_made_by_many_tasks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(publish, "TOGETHER", 5)
+    names = spark.range(50).select(F.col("id").alias("s")).coalesce(1)
+    assert publish.dealt(names, "s").groupBy(F.spark_partition_id()).count().count() > 5
+    publish.put_files(publish.dealt(names, "s").mapInArrow(pictures._files, "file string, content binary"), str(tmp_path))
+    inputs, _ = frozen.prepare(spark, str(tmp_path))
+    rows = {r["page_id"]: r["frozen_from"] for r in inputs.collect()}
+    assert rows == {f"i{s}": "whole image" for s in range(50) if s % 3 < 2}
+    seen = images.read_images(spark, f"{tmp_path}/images").where("format <> 'JPEG'")
+    boxes = seen.select("page_id", *(F.lit(v).alias(c) for c, v in (("x1", 0), ("y1", 0), ("x2", 5), ("y2", 5))))
+    crops = [images.crop_images(seen, boxes, parts) for parts in (None, 8)]
+    assert crops[1].groupBy(F.spark_partition_id()).count().count() > 4
+    assert sorted(map(tuple, crops[0].collect())) == sorted(map(tuple, crops[1].collect()))

@@ -35,6 +35,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,10 +56,10 @@ RECENT = 200_000
 CHARS, HELD, BUCKET = 1 << 16, 1 << 19, 1 << 23
 #: Bits of a place within the characters hashed at once, and the longest piece of a line among them.
 PLACE_BITS, PIECE = 20, 1 << 19
-#: Groups of grams that are counted.
-GROUPS = 1 << 16
-#: Rows of the distance matrix that are kept: distances up to BAND - 1.
-BAND = 32
+#: Groups of grams that are counted, and of these in a block.
+GROUPS, BLOCK = 1 << 16, 1 << 11
+#: Rows of the distance matrix that are kept as bits of one number: distances up to BAND - 1.
+BAND = 64
 #: Of a key its hash within its bucket; of its line the name, the first place of the key and how far on its
 #: last one is, the length, whether the key is of one of its own segments (1) that has _BESIDE characters before
 #: the gram (2) and behind it (4), and what stands there: four bits each of a hash from 1 on, 0 for unknown.
@@ -101,8 +102,8 @@ def _kind(length: int) -> tuple[int, bool]:
 
 
 def within(a: str, b: str, edits: int) -> bool:
-    """Whether the edit distance is at most ``edits``: a column of the matrix at a time, its steps up
-    and down as bits of two numbers."""
+    """Whether the edit distance is at most ``edits``: a column of the matrix at a time, of it the rows
+    about the diagonals that so few edits reach, their steps up and down as bits of two numbers."""
     if abs(len(a) - len(b)) > edits:
         return False
     low, high = 0, min(len(a), len(b))
@@ -114,62 +115,76 @@ def within(a: str, b: str, edits: int) -> bool:
     while low < high:
         mid = (low + high + 1) // 2
         low, high = (mid, high) if a[len(a) - mid :] == b[len(b) - mid :] else (low, mid - 1)
-    a, b = a[: len(a) - low], b[: len(b) - low]
-    if not a or not b:
-        return max(len(a), len(b)) <= edits
+    a, b = sorted((a[: len(a) - low], b[: len(b) - low]), key=len)
+    if len(b) <= edits:
+        return True
+    gap = score = len(b) - len(a)
+    end = (edits - gap) // 2  # the bit of the last cell's diagonal; as many are below it as above the first cell's
+    before = gap + end
     places: dict[str, int] = {}
-    for i, ch in enumerate(a):
+    for i, ch in enumerate(a, before):
         places[ch] = places.get(ch, 0) | 1 << i
-    mask, last, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
-    up, down = mask, 0
-    for left, ch in zip(range(len(b) - 1, -1, -1), b, strict=True):
-        same = places.get(ch, 0)
-        flat = (((same & up) + up) ^ up) | same
+    mask = (1 << before + end + 1) - 1
+    up, down = mask >> before << before, 0
+    for j, ch in enumerate(b):
+        same = places.get(ch, 0) >> j & mask
+        flat = ((((same & up) + up) ^ up) | same | down) & mask
         plus, minus = down | (mask & ~(flat | up)), up & flat
-        score += 1 if plus & last else -1 if minus & last else 0
-        if score - left > edits:
-            return False
-        plus, minus, same = (plus << 1 | 1) & mask, minus << 1 & mask, same | down
-        up, down = minus | (mask & ~(same | plus)), plus & same
-    return score <= edits
+        if j >= gap and not flat >> end & 1:
+            score += 1
+            if score > edits:
+                return False
+        flat >>= 1
+        up, down = minus | (mask & ~(flat | plus)), flat & plus
+    return True
 
 
-def _matrix(texts: list[str], before: int, width: int, fill: int) -> np.ndarray:
-    """Character codes, a row for each text, with ``before`` places in front."""
+def _matrix(texts: list[str], before: np.ndarray, width: int, fill: int, kind: type) -> np.ndarray:
+    """Character codes, a row for each text, with ``before`` places in front; elsewhere a ``fill`` below the highest number."""
     sizes = np.array([len(t) for t in texts])
-    out = np.full((len(texts), width), fill, dtype=np.uint32)
+    out = np.full((len(texts), width), np.iinfo(kind).max - fill, dtype=kind)
     codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4")
-    row = np.repeat(np.arange(len(texts)), sizes)
-    out[row, np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + before] = codes
+    at = np.arange(len(texts)) * width + before - np.cumsum(sizes) + sizes
+    out.reshape(-1)[np.arange(len(codes)) + np.repeat(at, sizes)] = codes
     return out
 
 
 def banded(pairs: list[tuple[str, str]], limits: np.ndarray) -> np.ndarray:
     """Edit distances of (shorter, longer) pairs, or of those above their limits (all below BAND) some
-    number above it. For each column of the matrix 2 * BAND rows about its diagonal are kept, as bits
-    of two numbers for each pair (steps up and down from row to row); the distance is followed along
-    the diagonal that ends in the last cell, where it never falls, so pairs above the limit leave."""
+    number above it. An alignment of d edits leaves the diagonals of the first and the last cell by no more
+    than half of what d is above the lengths' difference, so for each column of the matrix BAND rows are kept
+    (half of them, if no limit needs more), as bits of two numbers for each pair (steps up and down from row to row);
+    the distance is followed along the diagonal that ends in the last cell, where it never falls, so pairs above
+    the limit leave."""
     short, long_ = [a for a, _ in pairs], [b for _, b in pairs]
     sizes = np.array([len(b) for b in long_])
     most = int(sizes.max(initial=0))
-    rows = _matrix(short, BAND, most + 3 * BAND, 0xFFFFFFFF)
-    columns = _matrix(long_, 0, most, 0xFFFFFFFE)
+    band, kind = (BAND // 2, np.uint32) if limits.max(initial=0) < BAND // 2 else (BAND, np.uint64)
     gap = sizes - np.array([len(a) for a in short])
     out, score = gap.copy(), gap.copy()
-    now = np.arange(len(pairs))
-    end = (BAND - np.minimum(gap, BAND)).astype(np.uint64)  # the bit of the last cell's diagonal
-    one = np.uint64(1)
-    up = np.full(len(pairs), ~((1 << BAND) - 1) & (1 << 64) - 1, dtype=np.uint64)  # rows above the first have no steps
-    down = np.zeros(len(pairs), dtype=np.uint64)
+    now = np.nonzero(gap <= limits)[0]
+    if len(now) < len(pairs):
+        short, long_, sizes, gap, score, limits = [short[i] for i in now], [long_[i] for i in now], sizes[now], gap[now], score[now], limits[now]
+    before = band // 2 + gap // 2  # the bit of the first cell's diagonal
+    chars = "".join((*short, *long_))
+    highest = 0 if chars.isascii() else int(np.frombuffer(chars.encode("utf-32-le"), dtype="<u4").max())
+    code = np.uint8 if highest < 0xFE else np.uint16 if highest < 0xFFFE else np.uint32
+    rows = _matrix(short, before, most + 2 * band, 0, code)
+    columns = np.ascontiguousarray(_matrix(long_, np.zeros(len(now), dtype=np.int64), most, 1, code).T)
+    end = (before - gap).astype(kind)  # and of the last one's
+    one = kind(1)
+    up = np.full(len(now), ~kind(0), dtype=kind) << before.astype(kind)  # rows above the first have no steps
+    down = np.zeros(len(now), dtype=kind)
     for j in range(most):
         if j % 16 == 15:
             stays = (score <= limits) & (sizes > j)
             if stays.sum() * 4 < len(now) * 3:
                 out[now] = score
-                now, rows, columns, sizes, gap, end, up, down, score, limits = (x[stays] for x in (now, rows, columns, sizes, gap, end, up, down, score, limits))
+                now, rows, sizes, gap, end, up, down, score, limits = (x[stays] for x in (now, rows, sizes, gap, end, up, down, score, limits))
+                columns = columns[:, stays]
                 if not len(now):
                     break
-        same = np.packbits(rows[:, j : j + 2 * BAND] == columns[:, j, None], axis=1, bitorder="little").view("<u8")[:, 0]
+        same = np.packbits(rows[:, j : j + band] == columns[j][:, None], axis=1, bitorder="little").view(kind)[:, 0]
         flat = (((same & up) + up) ^ up) | same | down
         plus, minus = down | ~(flat | up), flat & up
         score += (j >= gap) & (j < sizes) & ((flat >> end & one) == 0)
@@ -198,14 +213,28 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _rolled(codes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all grams of ``k`` characters: those of half the length make up those of the whole."""
+    return _mixed(_raw(codes, k))
+
+
+def _raw(codes: np.ndarray, k: int) -> np.ndarray:
     h, n, steps = codes, 1, bin(k)[3:]
     for bit in steps:
         shift = np.uint64(pow(int(_STEP), n, 1 << 64))
-        h, n = h[: len(h) - n] * shift + h[n:], 2 * n
+        new = h[: len(h) - n] * shift
+        new += h[n:]
+        h, n = new, 2 * n
         if bit == "1":
-            h, n = h[:-1] * _STEP + codes[n : n + len(h) - 1], n + 1
-    h = (h ^ (h >> np.uint64(31))) * _SPREAD
-    return h ^ (h >> np.uint64(29))
+            new = h[:-1] * _STEP
+            new += codes[n : n + len(new)]
+            h, n = new, n + 1
+    return h
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
+    h *= _SPREAD
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def _codes(texts: list[str]) -> np.ndarray:
@@ -218,7 +247,10 @@ def _group_of(h: np.ndarray) -> np.ndarray:
 
 def _chosen(h: np.ndarray, k: int, width: int, ranks: np.ndarray) -> np.ndarray:
     """For each substring of ``width`` characters the place of its gram, by (rank of the group, hash, place)."""
-    v = ranks[_group_of(h)] << np.uint64(48) | h << np.uint64(16) >> np.uint64(16 + PLACE_BITS) << np.uint64(PLACE_BITS) | np.arange(len(h), dtype=np.uint64)
+    v = ranks[_group_of(h)]
+    v <<= np.uint64(48)
+    v |= h & np.uint64((1 << 48) - (1 << PLACE_BITS))
+    v |= np.arange(len(h), dtype=np.uint64)
     n, wanted = 1, width - k + 1
     while n < wanted:
         step = min(n, wanted - n)
@@ -276,8 +308,8 @@ def _keys(lines: list[tuple[int, int, int, str]], kind: int, lower: bool, ranks:
         rows = {"key": np.zeros(len(first)), "line": names[of], "first": at[first] + (starts - base)[of], "span": at[last] - at[first], "size": sizes[of]}
         rows["own"] = np.maximum.reduceat(own[at], first) if len(first) else np.zeros(0)
         # beyond the line's ends something else stands here, which no segment reaches; pieces of a line don't tell
-        stands = _rolled(codes, near) >> np.uint64(40)
-        nibble = lambda i: stands[np.clip(i, 0, len(stands) - 1)] % np.uint64(15) + np.uint64(1)  # noqa: E731, B023
+        stands = _raw(codes, near)
+        nibble = lambda i: (_mixed(stands[np.clip(i, 0, len(stands) - 1)]) >> np.uint64(40)) % np.uint64(15) + np.uint64(1)  # noqa: E731, B023
         rows["beside"] = np.where(sizes[of] > PIECE, np.uint64(0), nibble(at[first] - near) | nibble(at[first] + k_) << np.uint64(4))
         hashes.append(key[first])
         out.append({c: rows[c].astype(t) for c, t in _KEY.items()})
@@ -305,7 +337,8 @@ def _signatures(buckets: int, ranks: np.ndarray):
         def flush() -> pa.RecordBatch:
             h, rows = np.concatenate([np.empty(0, np.uint64), *(x for x, _ in held)]), _joined([x for _, x in held])
             held.clear()
-            order = np.argsort(h)
+            low = np.uint64((1 << len(h).bit_length()) - 1)  # the last bits of a hash needn't be in order
+            order = (np.sort(h & ~low | np.arange(len(h), dtype=np.uint64)) & low).astype(np.intp)
             h, rows = h[order], _some(rows, order)
             bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
             rows["key"] = (h * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)  # what the bucket leaves of the hash
@@ -496,20 +529,22 @@ def _pairs(crowd: int):
     return run
 
 
-def crossed(lines: np.ndarray, component: np.ndarray, texts: list[str], earlier: list[list[int]], sides: np.ndarray) -> list[tuple[int, int]]:
+def crossed(lines: np.ndarray, component: np.ndarray, texts: list[str], earlier: tuple[np.ndarray, np.ndarray], sides: np.ndarray) -> list[tuple[int, int]]:
     """Links between lines of unlike components (and of unlike sides, if there are two), as many as
-    join these. Lines that share an ``earlier`` key meet there."""
+    join these. Lines that share an ``earlier`` key (which line, and key) meet there."""
     order = np.argsort([len(t) for t in texts], kind="stable")
-    lines, component, sides, texts, earlier = lines[order], component[order], sides[order], [texts[i] for i in order], [earlier[i] for i in order]
+    lines, component, sides, texts = lines[order], component[order], sides[order], [texts[i] for i in order]
     sizes = np.array([len(t) for t in texts])
     _, root = np.unique(component, return_inverse=True)
     two = len(np.unique(sides)) > 1
-    known, n = np.unique(np.concatenate([np.array(k, dtype=np.int64) for k in earlier]), return_counts=True)
-    known = known[n > 1]
-    masks = np.zeros((len(lines), len(known) // 64 + 1), dtype=np.uint64)
-    for i, keys in enumerate(earlier):
-        for at in np.nonzero(np.isin(known, keys))[0].tolist():
-            masks[i, at // 64] |= np.uint64(1 << at % 64)
+    place = np.empty(len(order), dtype=np.intp)
+    place[order] = np.arange(len(order))
+    of, keys = place[earlier[0]], earlier[1]
+    _, keys, n = np.unique(keys, return_inverse=True, return_counts=True)
+    of, keys = of[n[keys] > 1], keys[n[keys] > 1]
+    _, keys = np.unique(keys, return_inverse=True)
+    masks = np.zeros((len(lines), int(keys.max(initial=0)) // 64 + 1), dtype=np.uint64)
+    np.bitwise_or.at(masks, (of, keys // 64), np.uint64(1) << (keys % 64).astype(np.uint64))
     edits = edits_of(sizes)
     first = np.arange(len(lines)) + 1
     ends = np.cumsum(np.maximum(0, np.searchsorted(sizes, sizes + edits, side="right") - first))
@@ -539,17 +574,25 @@ def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, held = None, []
 
     def solve() -> Iterator[pa.RecordBatch]:
-        if len(held) > 1:
-            found = crossed(np.array([r["a"] for r in held]), np.array([r["component"] for r in held]), [r["text"] for r in held], [[k for k in r["keys"] if k < r["key"]] for r in held], np.array([r["side"] for r in held]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], names=["a", "b"])
+        rows = pa.Table.from_batches(held).combine_chunks() if held else None
         held.clear()
+        if rows is not None and len(rows) > 1:
+            keys = pc.list_flatten(rows["keys"]).to_numpy()
+            of = np.repeat(np.arange(len(rows)), pc.list_value_length(rows["keys"]).to_numpy())
+            before = keys < now[0]
+            found = crossed(rows["a"].to_numpy(), rows["component"].to_numpy(), rows["text"].to_pylist(), (of[before], keys[before]), rows["side"].to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], names=["a", "b"])
 
     for batch in batches:
-        for row in batch.to_pylist():
-            if (cell := (row["key"], row["low"], row["high"])) != now:
+        cells = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "low", "high")], axis=1)
+        starts = [*np.nonzero((cells[1:] != cells[:-1]).any(axis=1))[0] + 1]
+        for i, j in zip([0, *starts], [*starts, len(cells)], strict=True):
+            if i == j:
+                continue
+            if (cell := tuple(cells[i].tolist())) != now:
                 yield from solve()
                 now = cell
-            held.append(row)
+            held.append(batch.slice(i, j - i))
     yield from solve()
 
 
@@ -574,9 +617,9 @@ def near_pairs(left: list[str], right: list[str]) -> np.ndarray:
     for at in range(0, len(some), 2048):
         part = some[at : at + 2048]
         part = part[np.abs(_bags([left[i] for i in part]) - _bags([right[i] for i in part])).sum(axis=1) <= 4 * edits[part]]
-        few = part[edits[part] < BAND]
-        if len(few):
-            near[few] = banded([tuple(sorted((left[i], right[i]), key=len)) for i in few.tolist()], edits[few]) <= edits[few]
+        for few in (part[edits[part] < BAND // 2], part[(edits[part] >= BAND // 2) & (edits[part] < BAND)]):
+            if len(few):
+                near[few] = banded([tuple(sorted((left[i], right[i]), key=len)) for i in few.tolist()], edits[few]) <= edits[few]
         for i in part[edits[part] >= BAND].tolist():
             near[i] = within(left[i], right[i], int(edits[i]))
     return near
@@ -590,12 +633,12 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # Lines of documents -------------------------------------------------------------------------------
 
-_NAMED = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("text_md5", pa.binary()), ("chars", pa.int64()), ("lines", pa.list_(pa.struct([("nth", pa.int32()), ("line", pa.int64()), ("check", pa.int64())]))), ("grams", pa.list_(pa.int64()))])
-_NAMED_DDL = "doc_id long, uid long, text_md5 binary, chars long, lines array<struct<nth:int,line:long,check:long>>, grams array<long>"
+_NAMED = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("text_md5", pa.binary()), ("chars", pa.int64()), ("lines", pa.list_(pa.struct([("nth", pa.int32()), ("line", pa.int64()), ("check", pa.int64())]))), ("block", pa.int32()), ("grams", pa.binary())])
+_NAMED_DDL = "doc_id long, uid long, text_md5 binary, chars long, lines array<struct<nth:int,line:long,check:long>>, block int, grams binary"
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and at the end one with a task's counts of grams by group."""
+    """A row for each document, and at the end some with a task's counts of grams by group, in blocks of these."""
     grams = np.zeros(GROUPS, dtype=np.int64)
     waiting: dict[int, list[str]] = {}
     chars: dict[int, int] = {}
@@ -627,11 +670,20 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends.append(len(nths))
         one = pa.StructArray.from_arrays([pa.array(nths, pa.int32()), pa.array(names, pa.int64()), pa.array(np.array(checks, dtype=np.uint64).view(np.int64))], fields=list(_NAMED.field("lines").type.value_type))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), one, type=_NAMED.field("lines").type)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), pa.array(md5s, pa.binary()), pa.array(chars_, pa.int64()), lists, pa.nulls(len(md5s), pa.list_(pa.int64()))], schema=_NAMED)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), pa.array(md5s, pa.binary()), pa.array(chars_, pa.int64()), lists, pa.nulls(len(md5s), pa.int32()), pa.nulls(len(md5s), pa.binary())], schema=_NAMED)
     for k in list(waiting):
         count(k)
     if grams.any():
-        yield pa.RecordBatch.from_pylist([{"grams": grams.tolist()}], schema=_NAMED)
+        yield pa.RecordBatch.from_pylist([{"block": i, "grams": x.tobytes()} for i, x in enumerate(np.split(grams, GROUPS // BLOCK))], schema=_NAMED)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a block of groups, from all rows of it that a task has."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, grams in zip(batch.column("block").to_pylist(), batch.column("grams").to_pylist(), strict=True):
+            sums[block] = sums.get(block, 0) + np.frombuffer(grams, dtype=np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "grams"])
 
 
 def _hashed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
@@ -640,11 +692,12 @@ def _hashed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("uid"), "text")
     both = cut(rows.mapInArrow(_describe, _NAMED_DDL), "lines-names", docs.count(), TEXT_ROWS)
     counts = np.zeros(GROUPS, dtype=np.int64)
-    for r in both.where("grams is not null").select(F.posexplode("grams").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
-        counts[r["k"]] = r["n"]
+    grams = both.where("block is not null").select("block", "grams").mapInArrow(_summed, "block int, grams binary")
+    for r in grams.repartition("block").mapInArrow(_summed, "block int, grams binary").collect():
+        counts[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["grams"], dtype=np.int64)
     ranks = np.empty(GROUPS, dtype=np.uint64)
     ranks[np.argsort(counts, kind="stable")] = np.arange(GROUPS, dtype=np.uint64)
-    return both.where("uid is not null").drop("grams"), ranks
+    return both.where("uid is not null").drop("block", "grams"), ranks
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -718,16 +771,16 @@ def _removed(docs: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
     named, ranks = _hashed(docs)
     n, n_lines, chars = named.agg(F.count("*"), *(F.coalesce(F.sum(x), F.lit(0)) for x in (F.size("lines"), "chars"))).first()
     lines = named.select("uid", "doc_id", F.explode("lines").alias("x")).select("uid", "doc_id", "x.nth", "x.line", "x.check")
+    facts = lines.groupBy("line").agg(F.count("*").alias("n"), F.min("check").alias("c1"), F.max("check").alias("c2"))
+    facts = facts.where("n > 1").select("line", F.expr("c1 = c2").alias("sound"))
+    near = cut(near_lines(docs, ranks, chars, n_lines, crowd), "lines-classes", n_lines)
+    # lines that neither repeat nor are near another one stay, and their places aren't looked at
+    classes = facts.join(near, "line", "full").where("sound is null or sound").select("line", F.coalesce("component", "line").alias("component"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid", "nth")
-    firsts = lines.groupBy("line").agg(F.min(place).alias("at"), F.count("*").alias("n"), F.min("check").alias("c1"), F.max("check").alias("c2")).where("c1 = c2").select("line", "at", "n")
-    classes = firsts.join(cut(near_lines(docs, ranks, chars, n_lines, crowd), "lines-classes", n_lines), "line", "left").withColumn("component", F.coalesce("component", "line"))
-    near = classes.where("component <> line").select("component").distinct().withColumn("near", F.lit(True))
-    classes = classes.join(near, "component", "left").where("n > 1 or near")
-    classes = cut(classes.select("line", "component", "at"), "lines-repeated", n_lines)
-    keep = classes.groupBy("component").agg(F.min("at").alias("first"))
-    repeated = classes.select("line", "component").join(keep, "component").select("line", "first")
-    gone = lines.select("line", "uid", "nth").join(repeated, "line").where((F.col("uid") != F.col("first.uid")) | (F.col("nth") != F.col("first.nth")))
-    each = F.struct("nth", F.col("first.doc_id").alias("first_doc_id"), F.col("first.nth").alias("first_line"))
+    rows = cut(lines.select("line", "uid", "doc_id", "nth").join(classes, "line").select("component", "uid", place.alias("at")), "lines-repeated", n_lines)
+    keep = rows.groupBy("component").agg(F.min("at").alias("first"))
+    gone = rows.join(keep, "component").where("uid <> first.uid or at.nth <> first.nth")
+    each = F.struct(F.col("at.nth").alias("nth"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.nth").alias("first_line"))
     return named, cut(gone.groupBy("uid").agg(F.sort_array(F.collect_list(each)).alias("removed")), "lines-removed", n)
 
 

@@ -212,51 +212,68 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _rolled(codes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all grams of ``k`` characters: those of half the length make up those of the whole."""
+    """Hashes (32 bits) of all grams of ``k`` characters."""
     return _mixed(_raw(codes, k))
 
 
 def _raw(codes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all grams before their bits are mixed: those of half the length make up those of the whole."""
     h, n, steps = codes, 1, bin(k)[3:]
     for bit in steps:
-        shift = np.uint64(pow(int(_STEP), n, 1 << 64))
-        new = h[: len(h) - n] * shift
+        new = h[: len(h) - n] * np.uint32(pow(int(_STEP), n, 1 << 32))
         new += h[n:]
         h, n = new, 2 * n
         if bit == "1":
-            new = h[:-1] * _STEP
+            new = h[:-1] * np.uint32(int(_STEP) & 0xFFFFFFFF)
             new += codes[n : n + len(new)]
             h, n = new, n + 1
     return h
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(31))
-    h *= _SPREAD
-    h ^= h >> np.uint64(29)
+    h = h ^ (h >> np.uint32(15))
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(0xC2B2AE35)
     return h
 
 
+def _hash_at(codes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Hashes (64 bits) of some grams."""
+    h = np.zeros(len(at), dtype=np.uint64)
+    for i in range(k):
+        h *= _STEP
+        h += codes.take(at + i)
+    h = (h ^ (h >> np.uint64(31))) * _SPREAD
+    h = (h ^ (h >> np.uint64(29))) * _STEP + np.uint64(k)
+    return (h ^ (h >> np.uint64(32))) * _SPREAD
+
+
 def _codes(texts: list[str]) -> np.ndarray:
-    return np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4").astype(np.uint64) + np.uint64(1)
+    return np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4") + np.uint32(1)
 
 
 def _group_of(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(48)).astype(np.intp)
+    return h >> np.uint32(16)
 
 
-def _chosen(h: np.ndarray, k: int, width: int, ranks: np.ndarray) -> np.ndarray:
-    """For each substring of ``width`` characters the place of its gram, by (rank of the group, hash, place)."""
-    v = ranks[_group_of(h)]
-    v <<= np.uint64(48)
-    v |= h & np.uint64((1 << 48) - (1 << PLACE_BITS))
-    v |= np.arange(len(h), dtype=np.uint64)
-    n, wanted = 1, width - k + 1
+def _chosen(h: np.ndarray, k: int, width: int, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of the gram, by (rank of the group, hash, place), of each substring of ``width`` characters: the
+    first substring of each run that has one place, and the places."""
+    v = (ranks.astype(np.uint32) << np.uint32(16)).take(_group_of(h))
+    v |= h & np.uint32(0xFFFF)
+    least, n, wanted = v, 1, width - k + 1
     while n < wanted:
         step = min(n, wanted - n)
-        v = np.minimum(v[:-step], v[step:])
+        least = np.minimum(least[:-step], least[step:])
         n += step
-    return (v & np.uint64((1 << PLACE_BITS) - 1)).astype(np.intp)
+    starts = np.ones(len(least), dtype=bool)
+    starts[1:] = (least[1:] != least[:-1]) | (v[: len(least) - 1] == least[:-1])  # the gram before is out of reach, or a rarer one in it
+    starts = np.nonzero(starts)[0]
+    place = starts + wanted - 1
+    seek = np.nonzero((starts == 0) | (least[starts] >= least[starts - 1]))[0]  # else it is the last gram
+    place[seek] = starts[seek] + (np.lib.stride_tricks.sliding_window_view(v, wanted)[starts[seek]] == least[starts[seek], None]).argmax(axis=1)
+    return starts, place
 
 
 def _pieces(line: str) -> list[tuple[int, str]]:
@@ -286,20 +303,21 @@ def _keys(lines: list[tuple[int, int, int, str]], kind: int, lower: bool, ranks:
     hashes, out = [], []
     for k_, width_ in shapes:
         h = _rolled(codes, k_)
-        place = _chosen(h, k_, width_, ranks)
-        sound = np.ones(len(place), dtype=bool)  # substrings that don't run into the next piece
-        _, over = _ranges(base + np.maximum(lengths - width_ + 1, 0), np.minimum(lengths, width_ - 1))
-        sound[over[over < len(sound)]] = False
-        new = sound.copy()
-        new[1:] &= (place[1:] != place[:-1]) | ~sound[:-1]
-        at = place[new]
+        runs, place = _chosen(h, k_, width_, ranks)
+        marked = np.zeros(len(codes), dtype=bool)
+        marked[runs], marked[base[lengths >= width_]] = True, True  # a line's first substring begins a run too
+        begins = np.nonzero(marked)[0]
+        piece = np.searchsorted(base, begins, side="right") - 1
+        inside = begins + width_ <= (base + lengths)[piece]  # substrings that don't run into the next piece
+        begins, piece = begins[inside], piece[inside]
+        at = place[np.searchsorted(runs, begins, side="right") - 1]
         own, near = np.zeros(len(codes), dtype=np.uint8), _BESIDE[k_]
         if k_ == k:
-            gram = (place if width_ == width else _chosen(h, k, width, ranks))[segment]
+            if width_ != width:
+                runs, place = _chosen(h, k, width, ranks)
+            gram = place[np.searchsorted(runs, segment, side="right") - 1]
             own[gram] = 1 | (gram - segment >= near) << 1 | (segment + width - gram - k >= near) << 2
-        piece = np.searchsorted(base, at, side="right") - 1
-        key = h[at] * _STEP + np.uint64(k_)
-        key = (key ^ (key >> np.uint64(32))) * _SPREAD
+        key = _hash_at(codes, at, k_)
         follows = np.zeros(len(at), dtype=bool)  # a run of one gram is one key
         follows[1:] = (key[1:] == key[:-1]) & (piece[1:] == piece[:-1])
         first = np.nonzero(~follows)[0]
@@ -309,8 +327,8 @@ def _keys(lines: list[tuple[int, int, int, str]], kind: int, lower: bool, ranks:
         rows["own"] = np.maximum.reduceat(own[at], first) if len(first) else np.zeros(0)
         # beyond the line's ends something else stands here, which no segment reaches; pieces of a line don't tell
         stands = _raw(codes, near)
-        nibble = lambda i: (_mixed(stands[np.clip(i, 0, len(stands) - 1)]) >> np.uint64(40)) % np.uint64(15) + np.uint64(1)  # noqa: E731, B023
-        rows["beside"] = np.where(sizes[of] > PIECE, np.uint64(0), nibble(at[first] - near) | nibble(at[first] + k_) << np.uint64(4))
+        nibble = lambda i: ((_mixed(stands[np.clip(i, 0, len(stands) - 1)]) >> np.uint32(16)) % np.uint32(15) + np.uint32(1)).astype(np.uint8)  # noqa: E731, B023
+        rows["beside"] = np.where(sizes[of] > PIECE, np.uint8(0), nibble(at[first] - near) | nibble(at[first] + k_) << np.uint8(4))
         hashes.append(key[first])
         out.append({c: rows[c].astype(t) for c, t in _KEY.items()})
     return np.concatenate(hashes), _joined(out)
@@ -339,7 +357,7 @@ def _signatures(buckets: int, ranks: np.ndarray):
             held.clear()
             low = np.uint64((1 << len(h).bit_length()) - 1)  # the last bits of a hash needn't be in order
             order = (np.sort(h & ~low | np.arange(len(h), dtype=np.uint64)) & low).astype(np.intp)
-            h, rows = h[order], _some(rows, order)
+            h, rows = h.take(order), {c: x.take(order) for c, x in rows.items()}
             bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
             rows["key"] = (h * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)  # what the bucket leaves of the hash
             edges = [*np.nonzero(np.diff(bucket, prepend=-1))[0].tolist(), len(h)]
@@ -725,7 +743,8 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    rows = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("line").alias("b"), F.col("text").alias("text_b")), "b")
+    # a line has one row in texts; pairs needn't be sorted with theirs
+    rows = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("text_a")).hint("shuffle_hash"), "a").join(texts.select(F.col("line").alias("b"), F.col("text").alias("text_b")).hint("shuffle_hash"), "b")
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(_near, "a long, b long")
 
 
@@ -777,7 +796,7 @@ def _removed(docs: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
     # lines that neither repeat nor are near another one stay, and their places aren't looked at
     classes = facts.join(near, "line", "full").where("sound is null or sound").select("line", F.coalesce("component", "line").alias("component"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid", "nth")
-    rows = cut(lines.select("line", "uid", "doc_id", "nth").join(classes, "line").select("component", "uid", place.alias("at")), "lines-repeated", n_lines)
+    rows = cut(lines.select("line", "uid", "doc_id", "nth").join(classes.hint("shuffle_hash"), "line").select("component", "uid", place.alias("at")), "lines-repeated", n_lines)
     keep = rows.groupBy("component").agg(F.min("at").alias("first"))
     gone = rows.join(keep, "component").where("uid <> first.uid or at.nth <> first.nth")
     each = F.struct(F.col("at.nth").alias("nth"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.nth").alias("first_line"))

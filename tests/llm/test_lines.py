@@ -50,6 +50,39 @@ def test_distances_of_many_pairs():
         assert d == want if want <= k else d > k, (a, b, k)
 
 
+def test_lines_of_up_to_63_edits_need_no_distance_one_by_one(monkeypatch):
+    r = random.Random(10)
+    left, right, want = [], [], []
+    for n in (1250, 1800, 2400, 300):
+        line = "".join(r.choice("abcdefgh é") for _ in range(n))
+        edits = int(L.edits_of(n))
+        for at, times in ((0, edits - 3), (n // 2, edits + 4)):
+            s = list(line)
+            for i in range(times):
+                s[(at + i * (n // times)) % n] = "Z"
+            left.append(line)
+            right.append("".join(s))
+            want.append(times <= edits)
+        left.append(line)
+        right.append("Z" * (edits // 2) + line)  # all on one side
+        want.append(True)
+    monkeypatch.setattr(L, "within", None)
+    assert L.near_pairs(left, right).tolist() == want
+    assert L.near_pairs(right, left).tolist() == want
+
+
+def test_a_window_takes_its_rarest_gram():
+    r, ranks = np.random.default_rng(3), np.random.default_rng(5).permutation(L.GROUPS).astype(np.uint64)
+    for _ in range(50):
+        codes = r.integers(1, 4, r.integers(12, 80)).astype(np.uint32)
+        for k, width in ((5, 5), (5, 6), (8, 11), (10, 12)):
+            h = L._rolled(codes, k)
+            starts, places = L._chosen(h, k, width, ranks)
+            v = [(int(ranks[x >> 16]), x & 0xFFFF, i) for i, x in enumerate(h.tolist())]
+            want = [min(v[i : i + width - k + 1])[2] for i in range(len(codes) - width + 1)]
+            assert places[np.searchsorted(starts, np.arange(len(want)), side="right") - 1].tolist() == want
+
+
 def test_copies_meet_in_a_second_round(spark):
     r = random.Random(8)
     base = ["".join(r.choice("abcdefgh é") for _ in range(200)) for _ in range(2)]

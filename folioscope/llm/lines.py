@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -48,10 +48,10 @@ EDIT_CHARS, SHORTEST = 40, 10
 CROWD, FEW, TOGETHER = 32, 8, 1 << 18
 #: So many times a crowd of lines of one key and of fitting lengths are a crowd, whether they could meet or not.
 UNSIFTED = 64
-#: Lines of half a cell of the second round.
-CELL = 1000
-#: Lines that a task remembers so as to emit each once.
-RECENT = 200_000
+#: Lines of half a cell of the second round, and pairs whose distances are taken together there.
+CELL, COMPARED = 2000, 4096
+#: Lines that a task remembers so as to emit each once, and texts that it splits together.
+RECENT, SPLIT = 200_000, 256
 #: Characters hashed at once, keys held before they go out, and characters of all texts for a bucket.
 CHARS, HELD, BUCKET = 1 << 16, 1 << 19, 1 << 23
 #: Bits of a place within the characters hashed at once, and the longest piece of a line among them.
@@ -98,6 +98,12 @@ def _kind(length: int) -> tuple[int, bool]:
     return kind, bool(length - most <= edits_of(most))
 
 
+@lru_cache(1 << 16)
+def _gram_of(length: int) -> int:
+    """Characters of the grams of a line."""
+    return _GRAM[_class_of(length)]
+
+
 # Distances ----------------------------------------------------------------------------------------
 
 
@@ -184,7 +190,7 @@ def banded(pairs: list[tuple[str, str]], limits: np.ndarray) -> np.ndarray:
                 columns = columns[:, stays]
                 if not len(now):
                     break
-        same = np.packbits(rows[:, j : j + band] == columns[j][:, None], axis=1, bitorder="little").view(kind)[:, 0]
+        same = np.packbits((rows[:, j : j + band] == columns[j][:, None]).reshape(-1), bitorder="little").view(kind)
         flat = (((same & up) + up) ^ up) | same | down
         plus, minus = down | ~(flat | up), flat & up
         score += (j >= gap) & (j < sizes) & ((flat >> end & one) == 0)
@@ -334,13 +340,17 @@ def _keys(lines: list[tuple[int, int, int, str]], kind: int, lower: bool, ranks:
     return np.concatenate(hashes), _joined(out)
 
 
-def _name(line: str) -> int:
-    h = xxhash.xxh64_intdigest(line) & (1 << HASH_BITS) - 1 | (len(line) & 1023) << HASH_BITS
-    return h - (1 << 64) if h >> 63 else h
+def _names(lines: list[str]) -> np.ndarray:
+    """Names of lines: a hash, and above it of the length."""
+    h = np.array([xxhash.xxh64_intdigest(x) for x in lines], dtype=np.uint64)
+    sizes = np.array([len(x) for x in lines], dtype=np.uint64)
+    return (h & np.uint64((1 << HASH_BITS) - 1) | (sizes & np.uint64(1023)) << np.uint64(HASH_BITS)).view(np.int64)
 
 
-def _worded(line: str) -> bool:
-    return bool(line.strip(SPACE))
+def _split(texts: pa.Array) -> Iterator[list[list[str]]]:
+    """The lines of texts, of some texts at a time."""
+    for at in range(0, len(texts), SPLIT):
+        yield [(x or "").split("\n") for x in texts.slice(at, SPLIT).to_pylist()]
 
 
 def _signatures(buckets: int, ranks: np.ndarray):
@@ -364,19 +374,18 @@ def _signatures(buckets: int, ranks: np.ndarray):
             return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int32()), pa.array(_packed(rows, edges), pa.binary())], names=["bucket", "keys"])
 
         for batch in batches:
-            for text in batch.column("text"):
-                for line in (text.as_py() or "").split("\n"):
-                    if len(line) < SHORTEST or not _worded(line):
-                        continue
-                    name = _name(line)
+            for some in _split(batch.column("text")):
+                lines = [x for split in some for x in split if len(x) >= SHORTEST and x.strip(SPACE)]
+                for name, line in zip(_names(lines).tolist(), lines, strict=True):
                     if name in recent:
                         continue
                     if len(recent) >= RECENT:
                         recent.clear()
                     recent.add(name)
-                    group = _kind(len(line))
-                    for start, piece in _pieces(line):
-                        waiting.setdefault(group, []).append((name, len(line), start, piece))
+                    size = len(line)
+                    group = _kind(size)
+                    for start, piece in ((0, line),) if size <= PIECE else _pieces(line):
+                        waiting.setdefault(group, []).append((name, size, start, piece))
                         chars[group] = chars.get(group, 0) + len(piece)
                         if chars[group] >= CHARS:
                             held.append(_keys(waiting.pop(group), *group, ranks))
@@ -547,28 +556,24 @@ def _pairs(crowd: int):
     return run
 
 
-def crossed(lines: np.ndarray, component: np.ndarray, texts: list[str], earlier: tuple[np.ndarray, np.ndarray], sides: np.ndarray) -> list[tuple[int, int]]:
-    """Links between lines of unlike components (and of unlike sides, if there are two), as many as
-    join these. Lines that share an ``earlier`` key (which line, and key) meet there."""
-    order = np.argsort([len(t) for t in texts], kind="stable")
-    lines, component, sides, texts = lines[order], component[order], sides[order], [texts[i] for i in order]
-    sizes = np.array([len(t) for t in texts])
-    _, root = np.unique(component, return_inverse=True)
+def _fitting(root: np.ndarray, texts: list[str], earlier: tuple[np.ndarray, np.ndarray], sides: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a cell's lines, these in order of length, of unlike roots (and of unlike sides, if there are two)
+    that share no ``earlier`` key (which line, and key) and may be near by their counts, each line counted once.
+    Roots may change meanwhile."""
     two = len(np.unique(sides)) > 1
-    place = np.empty(len(order), dtype=np.intp)
-    place[order] = np.arange(len(order))
-    of, keys = place[earlier[0]], earlier[1]
+    of, keys = earlier
     _, keys, n = np.unique(keys, return_inverse=True, return_counts=True)
     of, keys = of[n[keys] > 1], keys[n[keys] > 1]
     _, keys = np.unique(keys, return_inverse=True)
-    masks = np.zeros((len(lines), int(keys.max(initial=0)) // 64 + 1), dtype=np.uint64)
+    masks = np.zeros((len(texts), int(keys.max(initial=0)) // 64 + 1), dtype=np.uint64)
     np.bitwise_or.at(masks, (of, keys // 64), np.uint64(1) << (keys % 64).astype(np.uint64))
+    sizes = np.array([len(t) for t in texts])
     edits = edits_of(sizes)
-    first = np.arange(len(lines)) + 1
+    first = np.arange(len(texts)) + 1
     ends = np.cumsum(np.maximum(0, np.searchsorted(sizes, sizes + edits, side="right") - first))
     counts = np.diff(ends, prepend=0)
-    out, i = [], 0
-    while i < len(lines):
+    bags, i = None, 0
+    while i < len(texts):
         j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (1 << 16), side="right")))
         nth, b = _ranges(first[i:j], counts[i:j])
         a = nth + i
@@ -578,40 +583,80 @@ def crossed(lines: np.ndarray, component: np.ndarray, texts: list[str], earlier:
         a, b = a[ok], b[ok]
         ok = ~(masks[a] & masks[b]).any(axis=1)
         a, b = a[ok], b[ok]
-        near = near_pairs([texts[x] for x in a.tolist()], [texts[x] for x in b.tolist()])
-        for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
-            if root[x] != root[y]:
-                root[root == root[y]] = root[x]
-                out.append((int(lines[x]), int(lines[y])))
+        if bags is None and len(a):
+            bags = _all_bags(texts)
+        for at in range(0, len(a), COMPARED):
+            x, y = a[at : at + COMPARED], b[at : at + COMPARED]
+            ok = (root[x] != root[y]) & (np.abs(bags[x] - bags[y]).sum(axis=1) <= 4 * edits[x])
+            yield x[ok], y[ok]
         i = j
-    return out
+
+
+def crossed(cells: Iterable[tuple[np.ndarray, np.ndarray, list[str], tuple[np.ndarray, np.ndarray], np.ndarray]]) -> Iterator[list[tuple[int, int]]]:
+    """Links between lines of unlike components (and of unlike sides, if there are two), as many as
+    join these, of cells (lines, component, texts, earlier, sides). Lines that share an ``earlier`` key (which line,
+    and key) meet there. Pairs of several cells are compared together, most cells having few of them."""
+    waiting: list[tuple] = []
+
+    def compare() -> list[tuple[int, int]]:
+        near = iter(_edited([t for w in waiting for t in w[5]], [t for w in waiting for t in w[6]]).tolist())
+        out = []
+        for root, lines, other, a, b, *_ in waiting:
+            for x, y, i, j, ok in zip(lines, other, a, b, near):  # noqa: B905
+                if ok and root[i] != root[j]:
+                    root[root == root[j]] = root[i]
+                    out.append((x, y))
+        waiting.clear()
+        return out
+
+    n = 0
+    for lines, component, texts, earlier, sides in cells:
+        order = np.argsort([len(t) for t in texts], kind="stable")
+        place = np.empty(len(order), dtype=np.intp)
+        place[order] = np.arange(len(order))
+        lines, texts = lines[order], [texts[i] for i in order]
+        _, root = np.unique(component[order], return_inverse=True)
+        for a, b in _fitting(root, texts, (place[earlier[0]], earlier[1]), sides[order]):
+            if len(a):
+                x, y = lines[a].tolist(), lines[b].tolist()
+                a, b = a.tolist(), b.tolist()
+                waiting.append((root, x, y, a, b, [texts[i] for i in a], [texts[i] for i in b]))
+                n += len(a)
+            if n >= COMPARED:
+                yield compare()
+                n = 0
+    yield compare()
 
 
 def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """a, b: links within cells of crowded keys; the rows of a cell come together."""
     now, held = None, []
 
-    def solve() -> Iterator[pa.RecordBatch]:
+    def solve() -> Iterator[tuple]:
         rows = pa.Table.from_batches(held).combine_chunks() if held else None
         held.clear()
         if rows is not None and len(rows) > 1:
             keys = pc.list_flatten(rows["keys"]).to_numpy()
             of = np.repeat(np.arange(len(rows)), pc.list_value_length(rows["keys"]).to_numpy())
             before = keys < now[0]
-            found = crossed(rows["a"].to_numpy(), rows["component"].to_numpy(), rows["text"].to_pylist(), (of[before], keys[before]), rows["side"].to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], names=["a", "b"])
+            yield rows["a"].to_numpy(), rows["component"].to_numpy(), rows["text"].to_pylist(), (of[before], keys[before]), rows["side"].to_numpy()
 
-    for batch in batches:
-        cells = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "low", "high")], axis=1)
-        starts = [*np.nonzero((cells[1:] != cells[:-1]).any(axis=1))[0] + 1]
-        for i, j in zip([0, *starts], [*starts, len(cells)], strict=True):
-            if i == j:
-                continue
-            if (cell := tuple(cells[i].tolist())) != now:
-                yield from solve()
-                now = cell
-            held.append(batch.slice(i, j - i))
-    yield from solve()
+    def cells() -> Iterator[tuple]:
+        nonlocal now
+        for batch in batches:
+            names = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "low", "high")], axis=1)
+            starts = [*np.nonzero((names[1:] != names[:-1]).any(axis=1))[0] + 1]
+            for i, j in zip([0, *starts], [*starts, len(names)], strict=True):
+                if i == j:
+                    continue
+                if (cell := tuple(names[i].tolist())) != now:
+                    yield from solve()
+                    now = cell
+                held.append(batch.slice(i, j - i))
+        yield from solve()
+
+    for found in crossed(cells()):
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], names=["a", "b"])
 
 
 def _bags(lines: list[str]) -> np.ndarray:
@@ -624,6 +669,28 @@ def _bags(lines: list[str]) -> np.ndarray:
     return np.bincount(two[inside], minlength=128 * len(lines)).reshape(-1, 128).astype(np.int16)
 
 
+def _all_bags(lines: list[str]) -> np.ndarray:
+    """``_bags`` of many lines, long ones by and by."""
+    ends = np.cumsum([len(x) for x in lines])
+    cuts = np.unique([*np.searchsorted(ends, np.arange(0, ends[-1], 1 << 20)), len(lines)])
+    return np.concatenate([_bags(lines[i:j]) for i, j in zip([0, *cuts], cuts) if i < j])  # noqa: B905
+
+
+def _edited(left: list[str], right: list[str]) -> np.ndarray:
+    """Which pairs of lines, whose lengths differ by no more than the edits, are near by their edit distance."""
+    near = np.zeros(len(left), dtype=bool)
+    sizes = np.array([(len(a), len(b)) for a, b in zip(left, right, strict=True)], dtype=np.int64).reshape(-1, 2)
+    edits = edits_of(sizes.min(axis=1))
+    order = np.argsort(sizes.max(axis=1), kind="stable")
+    for few in (order[edits[order] < BAND // 2], order[(edits[order] >= BAND // 2) & (edits[order] < BAND)]):
+        for at in range(0, len(few), 2048):
+            part = few[at : at + 2048]
+            near[part] = banded([tuple(sorted((left[i], right[i]), key=len)) for i in part.tolist()], edits[part]) <= edits[part]
+    for i in order[edits[order] >= BAND].tolist():
+        near[i] = within(left[i], right[i], int(edits[i]))
+    return near
+
+
 def near_pairs(left: list[str], right: list[str]) -> np.ndarray:
     """Which pairs of lines are near."""
     near = np.zeros(len(left), dtype=bool)
@@ -632,14 +699,12 @@ def near_pairs(left: list[str], right: list[str]) -> np.ndarray:
     edits = edits_of(least)
     some = np.nonzero(most - least <= edits)[0]
     some = some[np.argsort(most[some], kind="stable")]
+    fit = [some[:0]]
     for at in range(0, len(some), 2048):
         part = some[at : at + 2048]
-        part = part[np.abs(_bags([left[i] for i in part]) - _bags([right[i] for i in part])).sum(axis=1) <= 4 * edits[part]]
-        for few in (part[edits[part] < BAND // 2], part[(edits[part] >= BAND // 2) & (edits[part] < BAND)]):
-            if len(few):
-                near[few] = banded([tuple(sorted((left[i], right[i]), key=len)) for i in few.tolist()], edits[few]) <= edits[few]
-        for i in part[edits[part] >= BAND].tolist():
-            near[i] = within(left[i], right[i], int(edits[i]))
+        fit.append(part[np.abs(_bags([left[i] for i in part]) - _bags([right[i] for i in part])).sum(axis=1) <= 4 * edits[part]])
+    some = np.concatenate(fit)
+    near[some] = _edited([left[i] for i in some], [right[i] for i in some])
     return near
 
 
@@ -667,26 +732,30 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chars[k] = 0
 
     for batch in batches:
-        md5s, chars_, nths, names, checks, ends = [], [], [], [], [], [0]
-        for text in batch.column("text"):
-            text = text.as_py()
-            md5s.append(None if text is None else hashlib.md5(text.encode()).digest())
-            chars_.append(len(text or ""))
-            for nth, line in enumerate((text or "").split("\n")):
-                if not _worded(line):
+        md5s, chars_, nths, ends = [], [], [], [0]
+        names, checks = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        for at in range(0, batch.num_rows, SPLIT):
+            lines = []
+            for text in batch.column("text").slice(at, SPLIT).to_pylist():
+                md5s.append(None if text is None else hashlib.md5(text.encode()).digest())
+                chars_.append(len(text or ""))
+                for nth, line in enumerate((text or "").split("\n")):
+                    if line.strip(SPACE):
+                        nths.append(nth)
+                        lines.append(line)
+                ends.append(len(nths))
+            names.append(_names(lines))
+            checks.append(np.array([xxhash.xxh64_intdigest(x, 1) for x in lines], dtype=np.uint64))
+            for line in lines:
+                if (size := len(line)) < SHORTEST:
                     continue
-                nths.append(nth)
-                names.append(_name(line))
-                checks.append(xxhash.xxh64_intdigest(line, 1))
-                if len(line) >= SHORTEST:
-                    k = _GRAM[_kind(len(line))[0]]
-                    for _, piece in _pieces(line):
-                        waiting.setdefault(k, []).append(piece)
-                        chars[k] = chars.get(k, 0) + len(piece)
-                        if chars[k] >= CHARS:
-                            count(k)
-            ends.append(len(nths))
-        one = pa.StructArray.from_arrays([pa.array(nths, pa.int32()), pa.array(names, pa.int64()), pa.array(np.array(checks, dtype=np.uint64).view(np.int64))], fields=list(_NAMED.field("lines").type.value_type))
+                k = _gram_of(size)
+                for _, piece in ((0, line),) if size <= PIECE else _pieces(line):
+                    waiting.setdefault(k, []).append(piece)
+                    chars[k] = chars.get(k, 0) + len(piece)
+                    if chars[k] >= CHARS:
+                        count(k)
+        one = pa.StructArray.from_arrays([pa.array(nths, pa.int32()), pa.array(np.concatenate(names)), pa.array(np.concatenate(checks).view(np.int64))], fields=list(_NAMED.field("lines").type.value_type))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), one, type=_NAMED.field("lines").type)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), pa.array(md5s, pa.binary()), pa.array(chars_, pa.int64()), lists, pa.nulls(len(md5s), pa.int32()), pa.nulls(len(md5s), pa.binary())], schema=_NAMED)
     for k in list(waiting):
@@ -728,14 +797,16 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         recent: set[int] = set()
         for batch in batches:
             names, texts = [], []
-            for text in batch.column("text"):
-                for line in (text.as_py() or "").split("\n"):
-                    if len(line) >= SHORTEST and asked[(name := _name(line)) % MAP_BITS] and name not in recent:
+            for some in _split(batch.column("text")):
+                lines = [x for split in some for x in split if len(x) >= SHORTEST]
+                found = _names(lines)
+                for i in np.nonzero(asked[found % MAP_BITS])[0].tolist():
+                    if (name := int(found[i])) not in recent:
                         if len(recent) >= RECENT:
                             recent.clear()
                         recent.add(name)
                         names.append(name)
-                        texts.append(line)
+                        texts.append(lines[i])
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(texts, pa.string())], names=["line", "text"])
 
     found = docs.select("text").mapInArrow(run, "line long, text string")

@@ -211,3 +211,27 @@ def test_what_stands_beside_a_gram_keeps_unlike_lines_apart():
         rows.append(keys | {"key": (h >> np.uint64(32)).astype(np.uint32)})
     crowds = [more for _, _, more in L._met(L._joined(rows), crowd=4) if len(more["key"])]
     assert crowds and len({x for more in crowds for x in more["line"].tolist()}) < 40
+
+
+def test_lines_of_a_crowd_are_counted_once_and_cells_compared_together(monkeypatch):
+    r = random.Random(8)
+    counted, calls, bags, banded = [], [], L._bags, L.banded
+    monkeypatch.setattr(L, "_bags", lambda x: counted.append(len(x)) or bags(x))
+    monkeypatch.setattr(L, "banded", lambda pairs, limits: calls.append(len(pairs)) or banded(pairs, limits))
+    cells, want = [], set()
+    for c in range(20):
+        line = "".join(r.choice("abcdefgh é") for _ in range(200))
+        texts = [changed(r, line, r.choice((0, 3, 9))) for _ in range(30)]
+        names = np.arange(30) + 100 * c
+        cells.append((names, names.copy(), texts, (np.arange(2), np.full(2, 7)), np.zeros(30, dtype=np.int32)))  # the first two meet elsewhere
+        near = [(i, j) for i in range(30) for j in range(i) if (i, j) != (1, 0) and distance(texts[i], texts[j]) <= L.edits_of(min(len(texts[i]), len(texts[j])))]
+        root = list(range(30))
+        for i, j in near:
+            root = [root[j] if x == root[i] else x for x in root]
+        want |= {tuple(sorted(100 * c + i for i in range(30) if root[i] == k)) for k in set(root)}
+    root = {int(x): int(x) for names, *_ in cells for x in names}
+    for a, b in (link for links in L.crossed(iter(cells)) for link in links):
+        assert root[a] != root[b]  # no more links than join the classes
+        root = {x: root[a] if k == root[b] else k for x, k in root.items()}
+    assert {tuple(sorted(x for x in root if root[x] == k)) for k in set(root.values())} == want
+    assert sum(counted) == 600 and len(calls) <= 4

@@ -319,3 +319,43 @@ def test_files_of_a_corpus_are_made_where_their_lines_are(spark):
     made = lambda: sorted(x for x in os.listdir(base.removeprefix("file://")) if not x.startswith("."))
     assert made() == ["htr-inputs"]
     assert corpora.folder(spark, "/root/testdata/sf0.001") == base and made() == sorted(corpora.KINDS)
+
+
+def test_a_layout_file_is_parsed_once(spark, corpus_dir):
+    """Filters are not moved below the parser, where they would parse a file for each mention of it."""
+    blocks, issues = layout.read_layout(spark, str(corpus_dir / "alto"))
+    for df in (layout.layout_regions(blocks), layout.layout_regions(blocks, blank_lines=True), issues, layout.layout_files(spark, str(corpus_dir / "alto"))):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") <= 2  # one for the tags
+
+
+def test_numbers_of_a_text_are_split_once():
+    assert str(layout.points(F.col("x"))).count("split(") <= 1
+
+
+def test_compressed_files_count_as_plain_ones(spark, corpus_dir, tmp_path):
+    import gzip
+
+    told = {}
+    for packed in (False, True):
+        root = tmp_path / f"packed-{packed}"
+        for path in corpus_dir.rglob("*"):
+            if path.is_file():
+                to = root / path.relative_to(corpus_dir)
+                to.parent.mkdir(parents=True, exist_ok=True)
+                if packed and path.suffix in (".xml", ".json") and to.name != "corpus.json":
+                    to.with_name(to.name + ".gz").write_bytes(gzip.compress(path.read_bytes()))
+                else:
+                    to.write_bytes(path.read_bytes())
+        c = load_corpus(spark, str(root))
+        told[packed] = [sorted(map(str, getattr(c, t).collect())) for t in ("pages", "systems", "regions", "artifacts", "results", "annotated", "frozen", "failures", "layout", "issues")]
+    assert told[True] == told[False] and all(told[False][i] for i in (0, 1, 2, 3))
+
+
+def test_corpus_files_of_a_page_are_written_compressed_and_only_counts_kept_of_layout(spark):
+    from folioscope.plans import corpora
+
+    base = corpora.folder(spark, "/root/testdata/sf0.001").removeprefix("file://")
+    for kind in ("alto", "ground-truth", "htr-inputs"):
+        assert all(x.endswith(".gz") for x in os.listdir(f"{base}/{kind}"))
+    c = load_corpus(spark, base)
+    assert c.systems.count() and c.issues.count() and "blocks" not in vars(c)
